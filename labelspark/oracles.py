@@ -176,3 +176,256 @@ SELECT count(*) AS rows_in, count(*) FILTER (WHERE NOT b_ok) AS binary_ties,
 
 oracle("prepare_labels", with_fx(["fx_posts", "fx_votes1", "fx_votes2"], """
 SELECT doc_id, text, binary_labels, category_labels FROM j WHERE b_ok AND c_ok""", _PREP))
+
+
+# ------------------------------------------------------------- text, posts
+oracle("clean_text", with_fx(["fx_posts"], f"""
+SELECT doc_id, {clean_sql('tweet')} AS text FROM fx_posts"""))
+
+_RAW_ID = """CASE WHEN doc_id % 4 = 0 THEN 'tensor(' || CAST(doc_id AS VARCHAR) || ')'
+  WHEN doc_id % 4 = 1 THEN ' tensor(' || CAST(doc_id AS VARCHAR) || ') '
+  WHEN doc_id % 4 = 2 THEN 'x' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END"""
+
+oracle("normalise_id", f"""
+SELECT doc_id, TRY_CAST(t AS BIGINT) AS id_num, t AS id_text
+FROM (SELECT doc_id, trim(replace(replace({_RAW_ID}, 'tensor(', ''), ')', '')) AS t FROM documents)""")
+
+oracle("harmonise_posts", with_fx(["fx_posts"], """
+SELECT doc_id, item_id, cleaned_text AS text FROM fx_posts"""))
+
+oracle("filter_posts", with_fx(["fx_posts"], """
+SELECT doc_id, item_id, duplicates FROM fx_posts
+WHERE item_type = 'reply' AND author_type = 'by_public'
+  AND (duplicates = 'no duplicates' OR duplicates = 'first duplicate')"""))
+
+oracle("surrogate_ids", with_fx(["fx_posts"], """
+SELECT doc_id, item_id, row_number() OVER (ORDER BY md5('51:' || item_id), item_id) AS data_id
+FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'x' || item_id ELSE item_id END AS item_id
+      FROM fx_posts)"""))
+
+_SIG = "1 / (1 + exp(-({x})))"
+_THR = [f"CAST({_SIG.format(x=f'c{i}')} >= 0.5 AS INTEGER)" for i in range(6)]
+
+oracle("parse_label_list", with_fx(["fx_scores"], f"""
+SELECT doc_id, CAST(len(arr) AS INTEGER) AS n, CAST(list_sum(arr) AS INTEGER) AS n_pos,
+  array_to_string(arr, ',') AS pred_category
+FROM (SELECT doc_id, CAST(json('[' || concat_ws(', ', {', '.join(_THR)}) || ']') AS INTEGER[]) AS arr
+      FROM fx_scores)"""))
+
+# ---------------------------------------------------------------- predict
+_PROB = "1 / (1 + exp(b0 - b1))"
+_PRED = (f"SELECT doc_id, b0, b1, {', '.join(f'c{i}' for i in range(6))}, {_PROB} AS prob, "
+         f"CASE WHEN {_PROB} >= 0.5 THEN 1 ELSE 0 END AS pb, "
+         + ", ".join(f"CASE WHEN {_PROB} >= 0.5 THEN {_THR[i]} ELSE {1 if i == 0 else 0} END AS p{i}"
+                     for i in range(6))
+         + " FROM fx_scores")
+_PCAT = "concat_ws(',', " + ", ".join(f"CAST(p{i} AS VARCHAR)" for i in range(6)) + ")"
+
+oracle("binary_prob", with_fx(["fx_scores"], f"""
+SELECT doc_id, round({_PROB}, 6) AS pred_binary_prob FROM fx_scores"""))
+
+oracle("category_conf", with_fx(["fx_scores"], "SELECT doc_id, " + ", ".join(
+    f"round({_SIG.format(x=f'c{i}')}, 6) AS conf_{i}" for i in range(6)) + " FROM fx_scores"))
+
+oracle("threshold_labels", with_fx(["fx_scores"], "SELECT doc_id, concat_ws(',', " + ", ".join(
+    f"CAST({t} AS VARCHAR)" for t in _THR) + ") AS labels FROM fx_scores"))
+
+_ARGMAX_C = ("CASE " + " ".join(
+    f"WHEN c{i} = greatest(c0, c1, c2, c3, c4, c5) THEN {i}" for i in range(6)) + " END")
+oracle("argmax_label", with_fx(["fx_scores"], f"""
+SELECT doc_id, CASE WHEN b1 > b0 THEN 1 ELSE 0 END AS binary_argmax,
+  {_ARGMAX_C} AS category_argmax FROM fx_scores"""))
+
+oracle("gate_predictions", with_fx(["fx_scores"], f"""
+SELECT doc_id, pb AS pred_binary, {_PCAT} AS pred_category FROM pr""", {"pr": _PRED}))
+
+oracle("gate_logits", with_fx(["fx_scores"], "SELECT doc_id, " + ", ".join(
+    f"CASE WHEN b1 > b0 THEN c{i} ELSE {'1.0' if i == 0 else '-1.0'} END AS g{i}" for i in range(6))
+    + " FROM fx_scores"))
+
+_NAMES = ["-"] + CATS
+_PIPE = ("coalesce(nullif(concat_ws('|', " + ", ".join(
+    f"CASE WHEN p{i} = 1 THEN '{n}' END" for i, n in enumerate(_NAMES)) + "), ''), '-')")
+oracle("label_names", with_fx(["fx_scores"], f"""
+SELECT doc_id, CAST(p0 + p1 + p2 + p3 + p4 + p5 AS INTEGER) AS n_labels,
+  {_PIPE} AS pred_category_pipe FROM pr""", {"pr": _PRED}))
+
+_GS = ["Profanity", "Insults", "Char. Assassination", "Outrage", "Discrimination", "Hostility",
+       "Incivility", "Intolerance"]
+_GS_LOGITS = ["b0", "b1"] + [f"c{i}" for i in range(6)]
+_STRICT = ("coalesce(nullif(concat_ws(', ', " + ", ".join(
+    f"CASE WHEN 100 * {_SIG.format(x=x)} > 50 THEN '{n}' END" for x, n in zip(_GS_LOGITS, _GS))
+    + "), ''), 'none')")
+oracle("strict_label_names", with_fx(["fx_scores"], f"""
+SELECT doc_id, {_STRICT} AS predicted_label FROM fx_scores"""))
+
+oracle("contradictions", with_fx(["fx_scores"], f"""
+SELECT doc_id, {_PCAT} AS pred_category FROM pr
+WHERE p0 = 1 AND (p1 = 1 OR p2 = 1 OR p3 = 1 OR p4 = 1 OR p5 = 1)""", {"pr": _PRED}))
+
+oracle("predict_labels", with_fx(["fx_scores"], f"""
+SELECT doc_id, pb AS pred_binary, round(prob, 6) AS pred_binary_prob, {_PCAT} AS pred_category
+FROM pr""", {"pr": _PRED}))
+
+
+# ----------------------------------------------------------------- metrics
+# evaluation rows: decided gold joined to fixture logits, with predictions
+EV_CTES = dict(GOLD_CTES)
+EV_CTES["pr"] = _PRED
+EV_CTES["ev"] = """SELECT g.doc_id, g.y_bin, g.g0, g.g1, g.g2, g.g3, g.g4, g.g5, pr.*
+FROM gold g JOIN pr USING (doc_id) WHERE g.b_status = 'ok' AND g.c_status = 'ok'"""
+EV_FX = ["fx_votes1", "fx_votes2", "fx_scores"]
+
+_TRAIN = dict(GOLD_CTES)
+_TRAIN["tr"] = """SELECT g.* FROM gold g JOIN fx_posts p USING (doc_id)
+WHERE p.split IN ('TRAIN_EN', 'TRAIN_ES') AND g.b_status = 'ok' AND g.c_status = 'ok'"""
+_cw = [(1, 0, "NO", "1 - y_bin"), (1, 1, "YES", "y_bin")] + [
+    (2, i, n, f"g{i}") for i, n in enumerate(_NAMES)]
+_TRAIN["cw"] = "\nUNION ALL ".join(
+    f"SELECT {lv} AS level, {i} AS label_index, '{n}' AS label, CAST(sum({e}) AS BIGINT) AS pos, "
+    f"count(*) AS n FROM tr" for lv, i, n, e in _cw)
+oracle("class_weights", with_fx(["fx_posts", "fx_votes1", "fx_votes2"], """
+SELECT level, label_index, label, pos,
+  round(CASE WHEN pos > 0 THEN (n - pos) / pos ELSE CAST(n - pos AS DOUBLE) END, 6) AS weight
+FROM cw""", _TRAIN))
+
+
+def _clamp(x: str) -> str:
+    return f"least(greatest({x}, 0.0001), 0.9999)"
+
+
+# binary focal loss written as -log softmax = ln(1 + exp(b_other - b_y))
+_B_Y = "CASE WHEN y_bin = 1 THEN b1 ELSE b0 END"
+_B_O = "CASE WHEN y_bin = 1 THEN b0 ELSE b1 END"
+_CE = f"ln(1 + exp(({_B_O}) - ({_B_Y})))"
+_PT = _clamp(f"1 / (1 + exp(({_B_O}) - ({_B_Y})))")
+
+
+def _bce(i: int, weight: str = "1") -> str:
+    x, y = f"c{i}", f"g{i}"
+    p = f"1 / (1 + exp(-{x}))"
+    pt = _clamp(f"CASE WHEN {y} = 1 THEN {p} ELSE 1 - {p} END")
+    return f"pow(1 - {pt}, 2) * ({weight}) * (greatest({x}, 0) - {x} * {y} + ln(1 + exp(-abs({x}))))"
+
+
+_W = dict(EV_CTES)
+_W["wb"] = """SELECT CASE WHEN sum(1 - y_bin) > 0 THEN sum(y_bin) / sum(1 - y_bin) ELSE sum(y_bin) END AS w0,
+  CASE WHEN sum(y_bin) > 0 THEN sum(1 - y_bin) / sum(y_bin) ELSE sum(1 - y_bin) END AS w1 FROM ev"""
+_W["wc"] = "SELECT " + ", ".join(
+    f"CASE WHEN sum(g{i}) > 0 THEN (count(*) - sum(g{i})) / sum(g{i}) "
+    f"ELSE count(*) - sum(g{i}) END AS w{i}" for i in range(6)) + " FROM ev"
+oracle("focal_ce", with_fx(EV_FX, f"""
+SELECT doc_id, round((1 - {_PT}) * (CASE WHEN y_bin = 1 THEN w1 ELSE w0 END) * {_CE}, 6) AS loss
+FROM ev, wb""", _W))
+
+oracle("focal_bce", with_fx(EV_FX, "SELECT doc_id, " + ", ".join(
+    f"round({_bce(i, f'wc.w{i}')}, 6) AS loss_{i}" for i in range(6)) + " FROM ev, wc", _W))
+
+_ROWLOSS = dict(EV_CTES)
+_ROWLOSS["rl"] = (f"SELECT doc_id, y_bin, (1 - {_PT}) * {_CE} AS lb, ("
+                  + " + ".join(_bce(i) for i in range(6)) + ") / 6 AS lc FROM ev")
+_LOSS_AGG = """sum(lc * y_bin) / greatest(sum(y_bin), 1)"""
+oracle("loss_summary", with_fx(EV_FX, f"""
+SELECT round(avg(lb) + {_LOSS_AGG}, 6) AS loss, round(avg(lb), 6) AS loss_binary,
+  round({_LOSS_AGG}, 6) AS loss_category FROM rl""", _ROWLOSS))
+
+_BATCH = dict(_ROWLOSS)
+_BATCH["rb"] = """SELECT *, (row_number() OVER (ORDER BY md5('51:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) // 16 AS batch_id FROM rl"""
+_BATCH["pb"] = f"""SELECT batch_id, avg(lb) + {_LOSS_AGG} AS loss, avg(lb) AS loss_binary,
+  {_LOSS_AGG} AS loss_category FROM rb GROUP BY batch_id"""
+oracle("loss_by_batch", with_fx(EV_FX, """
+SELECT round(avg(loss), 6) AS loss, round(avg(loss_binary), 6) AS loss_binary,
+  round(avg(loss_category), 6) AS loss_category, count(*) AS n_batches FROM pb""", _BATCH))
+
+oracle("f1_binary", with_fx(EV_FX, """
+SELECT tp, fp, fn, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1
+FROM (SELECT count(*) FILTER (WHERE pb = 1 AND y_bin = 1) AS tp,
+             count(*) FILTER (WHERE pb = 1 AND y_bin = 0) AS fp,
+             count(*) FILTER (WHERE pb = 0 AND y_bin = 1) AS fn FROM ev)""", EV_CTES))
+
+# per-label confusion by exploding labels to (row, label) pairs
+_PL = dict(EV_CTES)
+_PL["lab"] = """SELECT doc_id, unnest(range(6)) AS i, unnest([g0, g1, g2, g3, g4, g5]) AS g,
+  unnest([p0, p1, p2, p3, p4, p5]) AS p FROM ev"""
+_PL["names"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{n}')" for i, n in enumerate(_NAMES)) + ") AS t(i, label)"
+_PL["pl"] = """SELECT CAST(lab.i AS INTEGER) AS label_index, names.label,
+  count(*) FILTER (WHERE g = 1 AND p = 1) AS tp, count(*) FILTER (WHERE g <> 1 AND p = 1) AS fp,
+  count(*) FILTER (WHERE g = 1 AND p <> 1) AS fn FROM lab JOIN names ON lab.i = names.i
+GROUP BY lab.i, names.label"""
+_PL["plf"] = """SELECT *, tp + fn AS support,
+  CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM pl"""
+oracle("f1_per_label", with_fx(EV_FX, """
+SELECT label_index, label, tp, fp, fn, support, round(f1, 6) AS f1 FROM plf""", _PL))
+oracle("f1_macro", with_fx(EV_FX, "SELECT round(avg(f1), 6) AS f1_macro FROM plf", _PL))
+oracle("f1_weighted", with_fx(EV_FX, """
+SELECT round(CASE WHEN sum(support) = 0 THEN 0 ELSE sum(f1 * support) / sum(support) END, 6)
+  AS f1_weighted FROM plf""", _PL))
+
+# ICM priors and information content, by exploding label sets
+_IC = dict(_PL)
+_IC["pri"] = ("SELECT " + ", ".join(f"sum(g{i}) / count(*) + 1 / count(*) AS p{i}" for i in range(6))
+              + ", count(*) FILTER (WHERE g1 + g2 + g3 + g4 + g5 > 0) / count(*) + 1 / count(*) AS p_parent, "
+              "CAST(1.0 AS DOUBLE) AS p_root, count(*) AS n_rows FROM ev")
+_IC["node_ic"] = ("SELECT i, -log2(p) AS ic FROM (SELECT unnest(range(6)) AS i, unnest(["
+                  + ", ".join(f"p{i}" for i in range(6)) + "]) AS p FROM pri)")
+_IC["parent_ic"] = "SELECT -log2(p_parent) AS icp FROM pri"
+
+
+def _set_ic_cte(flag_expr: str) -> str:
+    """IC per row of the set {i : flag_expr = 1}, flags read from ``lab``."""
+    return f"""SELECT lab.doc_id,
+  coalesce(sum(node_ic.ic) FILTER (WHERE {flag_expr} = 1), 0)
+  - greatest(count(*) FILTER (WHERE {flag_expr} = 1 AND lab.i > 0) - 1, 0) * max(parent_ic.icp) AS ic
+FROM lab JOIN node_ic ON lab.i = node_ic.i, parent_ic GROUP BY lab.doc_id"""
+
+
+_IC["ic_g"] = _set_ic_cte("g")
+_IC["ic_p"] = _set_ic_cte("p")
+_IC["ic_u"] = _set_ic_cte("greatest(g, p)")
+
+oracle("icm_priors", with_fx(EV_FX, "SELECT " + ", ".join(
+    f"round(p{i}, 6) AS p{i}" for i in range(6))
+    + ", round(p_parent, 6) AS p_parent, round(p_root, 6) AS p_root, n_rows FROM pri", _IC))
+
+oracle("label_set_ic", with_fx(EV_FX, """
+SELECT ic_g.doc_id, round(ic_g.ic, 6) AS ic_gold, round(ic_p.ic, 6) AS ic_pred
+FROM ic_g JOIN ic_p USING (doc_id)""", _IC))
+
+_ICM = dict(_IC)
+_ICM["icm"] = """SELECT avg(2 * ic_g.ic + 2 * ic_p.ic - 3 * ic_u.ic) AS icm
+FROM ic_g JOIN ic_p USING (doc_id) JOIN ic_u USING (doc_id)"""
+oracle("icm_score", with_fx(EV_FX, "SELECT round(icm, 6) AS icm FROM icm", _ICM))
+
+# baselines: the same set IC over constant prediction vectors
+_BASE = dict(_ICM)
+_BASE["ic_gold_u"] = _set_ic_cte("g")
+_BASE["ic_maj"] = _set_ic_cte("CASE WHEN lab.i = 0 THEN 1 ELSE 0 END")
+_BASE["ic_maj_u"] = _set_ic_cte("greatest(g, CASE WHEN lab.i = 0 THEN 1 ELSE 0 END)")
+_BASE["ic_min"] = _set_ic_cte("CASE WHEN lab.i = 4 THEN 1 ELSE 0 END")
+_BASE["ic_min_u"] = _set_ic_cte("greatest(g, CASE WHEN lab.i = 4 THEN 1 ELSE 0 END)")
+_BASE["bl"] = """
+SELECT 'gold' AS prediction, avg(2 * a.ic + 2 * a.ic - 3 * a.ic) AS icm FROM ic_g a
+UNION ALL SELECT 'majority', avg(2 * a.ic + 2 * b.ic - 3 * c.ic)
+  FROM ic_g a JOIN ic_maj b USING (doc_id) JOIN ic_maj_u c USING (doc_id)
+UNION ALL SELECT 'minority', avg(2 * a.ic + 2 * b.ic - 3 * c.ic)
+  FROM ic_g a JOIN ic_min b USING (doc_id) JOIN ic_min_u c USING (doc_id)
+UNION ALL SELECT 'predicted', icm FROM icm"""
+oracle("icm_baselines", with_fx(EV_FX, "SELECT prediction, round(icm, 6) AS icm FROM bl", _BASE))
+
+_REP = dict(_BASE)
+_REP.update({k: v for k, v in _ROWLOSS.items() if k == "rl"})
+_REP["f1b"] = """SELECT CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1
+FROM (SELECT count(*) FILTER (WHERE pb = 1 AND y_bin = 1) AS tp,
+             count(*) FILTER (WHERE pb = 1 AND y_bin = 0) AS fp,
+             count(*) FILTER (WHERE pb = 0 AND y_bin = 1) AS fn FROM ev)"""
+oracle("evaluation_report", with_fx(EV_FX, f"""
+SELECT metric, label, round(value, 6) AS value FROM (
+  SELECT 'loss' AS metric, 'all' AS label, avg(lb) + {_LOSS_AGG} AS value FROM rl
+  UNION ALL SELECT 'loss_binary', 'all', avg(lb) FROM rl
+  UNION ALL SELECT 'loss_category', 'all', {_LOSS_AGG} FROM rl
+  UNION ALL SELECT 'f1_binary', 'YES', f1 FROM f1b
+  UNION ALL SELECT 'f1', label, f1 FROM plf
+  UNION ALL SELECT 'f1_macro', 'all', avg(f1) FROM plf
+  UNION ALL SELECT 'f1_weighted', 'all', CASE WHEN sum(support) = 0 THEN 0 ELSE sum(f1 * support) / sum(support) END FROM plf
+  UNION ALL SELECT 'icm_' || prediction, 'all', icm FROM bl)""", _REP))

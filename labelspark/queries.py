@@ -14,9 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark import fixtures as fx
-from labelspark.functions.arrays import join_ints
+from labelspark.functions import predict as P
+from labelspark.functions.arrays import join_ints, parse_int_list
+from labelspark.functions.losses import focal_bce, focal_ce
+from labelspark.functions.text import clean_text, normalise_id
 from labelspark.operators import consensus as cons
+from labelspark.operators import metrics as M
+from labelspark.operators import posts as posts_ops
+from labelspark.operators.ordering import hash_positions
+from labelspark.plans import evaluate as ev_plan
 from labelspark.plans.prepare import prepare_labels as _prepare
+from labelspark.scheme import DEFAULT_SCHEME, GROUP_STUDY_LABELS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -95,4 +103,251 @@ def q_prepare_labels(spark, sf):
     kept, _ = _prepared(spark, sf)
     return kept.select("doc_id", "text", join_ints("binary_labels").alias("binary_labels"),
                        join_ints("category_labels").alias("category_labels"))
+
+
+# ------------------------------------------------------------- text, posts
+@query("clean_text")
+def q_clean_text(spark, sf):
+    posts = fx.fx_posts(spark, sf)
+    return posts.select("doc_id", clean_text("tweet").alias("text"))
+
+
+def _printed_ids(spark, sf):
+    """Ids as a scoring log may print them: ``tensor(12)``, padded, plain,
+    or not numeric at all."""
+    d = fx.documents(spark, sf).select("doc_id")
+    sid = F.col("doc_id").cast("string")
+    raw = (F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("tensor("), sid, F.lit(")")))
+           .when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" tensor("), sid, F.lit(") ")))
+           .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("x"), sid))
+           .otherwise(sid))
+    return d.select("doc_id", raw.alias("raw_id"))
+
+
+@query("normalise_id")
+def q_normalise_id(spark, sf):
+    ids = _printed_ids(spark, sf)
+    num, txt = normalise_id("raw_id")
+    return ids.select("doc_id", num.alias("id_num"), txt.alias("id_text"))
+
+
+@query("harmonise_posts")
+def q_harmonise_posts(spark, sf):
+    posts = fx.fx_posts(spark, sf).drop("tweet")
+    return posts_ops.harmonise_posts(posts).select("doc_id", "item_id", "text")
+
+
+@query("filter_posts")
+def q_filter_posts(spark, sf):
+    posts = fx.fx_posts(spark, sf)
+    return posts_ops.filter_posts(posts).select("doc_id", "item_id", "duplicates")
+
+
+def _mixed_id_posts(spark, sf):
+    posts = fx.fx_posts(spark, sf)
+    return posts.withColumn("item_id", F.when(F.col("doc_id") % 7 == 3,
+                                              F.concat(F.lit("x"), F.col("item_id")))
+                            .otherwise(F.col("item_id")))
+
+
+@query("surrogate_ids")
+def q_surrogate_ids(spark, sf):
+    posts = _mixed_id_posts(spark, sf).select("doc_id", "item_id")
+    return posts_ops.surrogate_ids(posts, "item_id", seed=51)
+
+
+@query("parse_label_list")
+def q_parse_label_list(spark, sf):
+    # stored prediction text as the reference's temporary CSV holds it
+    s = fx.fx_scores(spark, sf)
+    cats = P.threshold_labels(P.category_conf(F.array(*[f"c{i}" for i in range(6)])))
+    stored = s.select("doc_id", F.concat(F.lit("["), F.array_join(
+        F.transform(cats, lambda x: x.cast("string")), ", "), F.lit("]")).alias("pred_category"))
+    parsed = stored.select("doc_id", parse_int_list("pred_category").alias("arr"))
+    return parsed.select("doc_id", F.size("arr").cast("int").alias("n"),
+                         F.aggregate("arr", F.lit(0), lambda a, x: a + x).alias("n_pos"),
+                         join_ints("arr").alias("pred_category"))
+
+
+# ---------------------------------------------------------------- predict
+def _logits(spark, sf):
+    return ev_plan.logits_arrays(fx.fx_scores(spark, sf))
+
+
+@query("binary_prob")
+def q_binary_prob(spark, sf):
+    s = fx.fx_scores(spark, sf)
+    return s.select("doc_id", r6(P.binary_prob("b0", "b1")).alias("pred_binary_prob"))
+
+
+@query("category_conf")
+def q_category_conf(spark, sf):
+    lg = _logits(spark, sf).select("doc_id", P.category_conf("c").alias("conf"))
+    return lg.select("doc_id", *[r6(F.element_at("conf", i + 1)).alias(f"conf_{i}")
+                                 for i in range(6)])
+
+
+@query("threshold_labels")
+def q_threshold_labels(spark, sf):
+    lg = _logits(spark, sf)
+    return lg.select("doc_id", join_ints(P.threshold_labels(P.category_conf("c"))).alias("labels"))
+
+
+@query("argmax_label")
+def q_argmax_label(spark, sf):
+    lg = _logits(spark, sf)
+    return lg.select("doc_id", P.argmax_label("b").alias("binary_argmax"),
+                     P.argmax_label("c").alias("category_argmax"))
+
+
+@query("gate_predictions")
+def q_gate_predictions(spark, sf):
+    pr = ev_plan.predict_labels(_logits(spark, sf))
+    return pr.select("doc_id", "pred_binary", join_ints("pred_category").alias("pred_category"))
+
+
+@query("gate_logits")
+def q_gate_logits(spark, sf):
+    lg = _logits(spark, sf).select("doc_id", P.gate_logits("b", "c").alias("g"))
+    return lg.select("doc_id", *[F.element_at("g", i + 1).alias(f"g{i}") for i in range(6)])
+
+
+@query("label_names")
+def q_label_names(spark, sf):
+    pr = ev_plan.predict_labels(_logits(spark, sf))
+    names, pipe = P.label_names("pred_category", DEFAULT_SCHEME.level2)
+    return pr.select("doc_id", F.size(names).cast("int").alias("n_labels"),
+                     pipe.alias("pred_category_pipe"))
+
+
+def _group_study_scores(spark, sf):
+    """Eight percent scores per post for the group study's scorer: the
+    sigmoid of the eight fixture logits, times 100."""
+    s = fx.fx_scores(spark, sf)
+    logits = F.array("b0", "b1", *[f"c{i}" for i in range(6)])
+    return s.select("doc_id", F.transform(logits, lambda x: P.sigmoid(x) * 100).alias("scores"))
+
+
+@query("strict_label_names")
+def q_strict_label_names(spark, sf):
+    s = _group_study_scores(spark, sf)
+    return s.select("doc_id", P.strict_label_names("scores", GROUP_STUDY_LABELS)
+                    .alias("predicted_label"))
+
+
+@query("contradictions")
+def q_contradictions(spark, sf):
+    pr = ev_plan.predict_labels(_logits(spark, sf))
+    return pr.where(P.contradiction("pred_category")).select(
+        "doc_id", join_ints("pred_category").alias("pred_category"))
+
+
+@query("predict_labels")
+def q_predict_labels(spark, sf):
+    pr = ev_plan.predict_labels(_logits(spark, sf))
+    return pr.select("doc_id", "pred_binary", r6("pred_binary_prob").alias("pred_binary_prob"),
+                     join_ints("pred_category").alias("pred_category"))
+
+
+# ----------------------------------------------------------------- metrics
+def _gold(spark, sf):
+    kept, _ = _prepared(spark, sf, split="all", multilingual=False, clean=False)
+    return kept
+
+
+def _eval(spark, sf):
+    return ev_plan.evaluation_frame(_gold(spark, sf), fx.fx_scores(spark, sf))
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    train, _ = _prepared(spark, sf)
+    w = M.class_weights(train, "binary_labels", DEFAULT_SCHEME.level1, 1).unionByName(
+        M.class_weights(train, "category_labels", DEFAULT_SCHEME.level2, 2))
+    return w.withColumn("weight", r6("weight"))
+
+
+@query("focal_ce")
+def q_focal_ce(spark, sf):
+    ev = _eval(spark, sf)
+    w = M.weights_vector(M.class_weights(ev.select(F.array((1 - F.col("y_bin")), "y_bin")
+                                                   .alias("yb")), "yb", DEFAULT_SCHEME.level1, 1))
+    return ev.select("doc_id", r6(focal_ce("b", "y_bin", w, 1.0)).alias("loss"))
+
+
+@query("focal_bce")
+def q_focal_bce(spark, sf):
+    ev = _eval(spark, sf)
+    w = M.weights_vector(M.class_weights(ev, "y_cat", DEFAULT_SCHEME.level2, 2))
+    # weights enter a higher-order function, so they become a column first
+    per = ev.withColumn("_w", w).select("doc_id", focal_bce("c", "y_cat", F.col("_w"), 2.0).alias("l"))
+    return per.select("doc_id", *[r6(F.element_at("l", i + 1)).alias(f"loss_{i}") for i in range(6)])
+
+
+@query("loss_summary")
+def q_loss_summary(spark, sf):
+    out = M.loss_summary(_eval(spark, sf), gamma_binary=1.0, gamma_category=2.0)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query("loss_by_batch")
+def q_loss_by_batch(spark, sf):
+    ev = hash_positions(_eval(spark, sf), "doc_id", 51, out="pos")
+    ev = ev.withColumn("batch_id", F.floor(F.col("pos") / 16))
+    out = M.loss_by_batch(ev, "batch_id", gamma_binary=1.0, gamma_category=2.0)
+    return out.select(*[r6(c).alias(c) for c in ("loss", "loss_binary", "loss_category")],
+                      "n_batches")
+
+
+@query("f1_binary")
+def q_f1_binary(spark, sf):
+    return M.f1_binary(_eval(spark, sf)).withColumn("f1", r6("f1"))
+
+
+@query("f1_per_label")
+def q_f1_per_label(spark, sf):
+    return M.f1_per_label(_eval(spark, sf)).withColumn("f1", r6("f1"))
+
+
+@query("f1_macro")
+def q_f1_macro(spark, sf):
+    return M.f1_macro(M.f1_per_label(_eval(spark, sf))).select(r6("f1_macro").alias("f1_macro"))
+
+
+@query("f1_weighted")
+def q_f1_weighted(spark, sf):
+    return M.f1_weighted(M.f1_per_label(_eval(spark, sf))).select(
+        r6("f1_weighted").alias("f1_weighted"))
+
+
+@query("icm_priors")
+def q_icm_priors(spark, sf):
+    pr = M.icm_priors(_eval(spark, sf))
+    return pr.select(*[r6(c).alias(c) for c in pr.columns if c != "n_rows"], "n_rows")
+
+
+@query("label_set_ic")
+def q_label_set_ic(spark, sf):
+    ev = _eval(spark, sf)
+    priors = M.icm_priors(ev).select(F.struct("*").alias("p")).scalar()
+    return ev.select("doc_id", r6(M.information_content("y_cat", priors)).alias("ic_gold"),
+                     r6(M.information_content("pred_category", priors)).alias("ic_pred"))
+
+
+@query("icm_score")
+def q_icm_score(spark, sf):
+    return M.icm(_eval(spark, sf)).select(r6("icm").alias("icm"))
+
+
+@query("icm_baselines")
+def q_icm_baselines(spark, sf):
+    return M.icm_baselines(_eval(spark, sf)).withColumn("icm", r6("icm"))
+
+
+@query("evaluation_report")
+def q_evaluation_report(spark, sf):
+    rep = ev_plan.evaluation_report(_eval(spark, sf))
+    return rep.select("metric", "label", r6(F.col("value").cast("double")).alias("value"))
+
+
 FLAGSHIP = "prepare_labels"
