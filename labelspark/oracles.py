@@ -429,3 +429,145 @@ SELECT metric, label, round(value, 6) AS value FROM (
   UNION ALL SELECT 'f1_macro', 'all', avg(f1) FROM plf
   UNION ALL SELECT 'f1_weighted', 'all', CASE WHEN sum(support) = 0 THEN 0 ELSE sum(f1 * support) / sum(support) END FROM plf
   UNION ALL SELECT 'icm_' || prediction, 'all', icm FROM bl)""", _REP))
+
+
+# ---------------------------------------------------------------- sampling
+def _md5(seed: int, key: str) -> str:
+    return f"md5('{seed}:' || CAST({key} AS VARCHAR))"
+
+
+oracle("dedup_first", with_fx(["fx_scored_log"], """
+SELECT doc_id, min(batch_id) AS batch_id, arg_min(pred_binary, batch_id) AS pred_binary
+FROM fx_scored_log GROUP BY doc_id"""))
+
+_FILTERED = """SELECT doc_id, item_id FROM fx_posts WHERE item_type = 'reply'
+  AND author_type = 'by_public' AND duplicates IN ('no duplicates', 'first duplicate')
+  AND cleaned_text IS NOT NULL"""
+oracle("sample_n", with_fx(["fx_posts"], f"""
+SELECT doc_id, item_id FROM ({_FILTERED}) ORDER BY {_md5(42, 'item_id')}, item_id LIMIT 100"""))
+
+_TR = dict(_PREP)
+_TR["t"] = "SELECT doc_id, CAST(binary_labels = '0,1' AS INTEGER) AS y_bin FROM j WHERE b_ok AND c_ok"
+_TRFX = ["fx_posts", "fx_votes1", "fx_votes2"]
+oracle("sample_frac", with_fx(_TRFX, f"""
+SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_md5(42, 'doc_id')}, doc_id) AS rn,
+  count(*) OVER () AS n FROM t) WHERE rn <= round_even(CAST(0.2 AS DOUBLE) * n, 0)""", _TR))
+
+_SPLIT = dict(_TR)
+_SPLIT["c"] = "SELECT y_bin, CAST(count(*) AS DOUBLE) AS cnt FROM t GROUP BY y_bin"
+_SPLIT["tot"] = "SELECT sum(cnt) AS n, sum(cnt) - ceil(CAST(0.05 AS DOUBLE) * sum(cnt)) AS n_train FROM c"
+_SPLIT["al"] = "SELECT y_bin, cnt, cnt / n * n_train AS cont, floor(cnt / n * n_train) AS fl, n_train FROM c, tot"
+_SPLIT["al2"] = """SELECT *, row_number() OVER (ORDER BY cont - fl DESC, y_bin) AS rk,
+  n_train - sum(fl) OVER () AS extra FROM al"""
+_SPLIT["held"] = "SELECT y_bin, cnt - fl - CASE WHEN rk <= extra THEN 1 ELSE 0 END AS n_held FROM al2"
+_SPLIT["r"] = f"""SELECT doc_id, y_bin, row_number() OVER (PARTITION BY y_bin
+  ORDER BY {_md5(42, 'doc_id')}, doc_id) AS rn FROM t"""
+oracle("stratified_split", with_fx(_TRFX, """
+SELECT doc_id, y_bin, CASE WHEN rn <= n_held THEN 'held_out' ELSE 'train' END AS part
+FROM r JOIN held USING (y_bin)""", _SPLIT))
+
+oracle("sample_per_group", with_fx(["fx_scores"], f"""
+SELECT doc_id, pred_binary FROM (SELECT doc_id, pb AS pred_binary, row_number() OVER (
+  PARTITION BY pb ORDER BY {_md5(51, 'doc_id')}, doc_id) AS rn FROM pr) WHERE rn <= 10""",
+                                   {"pr": _PRED}))
+
+oracle("shuffle_rows", with_fx(_TRFX, f"""
+SELECT doc_id, row_number() OVER (ORDER BY {_md5(42, 'doc_id')}, doc_id) - 1 AS pos FROM t""", _TR))
+
+oracle("batch_ids", with_fx(_TRFX, f"""
+SELECT doc_id, (row_number() OVER (ORDER BY {_md5(42, 'doc_id')}, doc_id) - 1) // 32 AS batch_id
+FROM t""", _TR))
+
+
+# ------------------------------------------------------- scoring and jobs
+def _length_logits(text: str, k: int) -> str:
+    """The stand-in scorer's logits from the text length, as SQL."""
+    n = f"length({text})"
+    cols = ["CAST(0 AS DOUBLE) AS b0", f"(({n} * 37) % 101 - 50) / 20 AS b1"]
+    cols += [f"(({n} * {41 + 14 * j} + {7 * j}) % 101 - 50) / 20 AS c{j}" for j in range(k)]
+    return ", ".join(cols)
+
+
+def _pred_from(src: str, extra: str) -> str:
+    return (f"SELECT {extra}, {_PROB} AS prob, CASE WHEN {_PROB} >= 0.5 THEN 1 ELSE 0 END AS pb, "
+            + ", ".join(f"CASE WHEN {_PROB} >= 0.5 THEN {_THR[i]} ELSE {1 if i == 0 else 0} END AS p{i}"
+                        for i in range(6)) + f" FROM {src}")
+
+
+oracle("score_posts", with_fx(["fx_posts"], f"""
+SELECT doc_id, {_length_logits('cleaned_text', 6)} FROM fx_posts"""))
+
+_JOB = {
+    "jp": """SELECT CASE WHEN doc_id % 7 = 3 THEN 'x' || item_id ELSE item_id END AS item_id,
+  tweet AS text, gender FROM fx_posts WHERE tweet IS NOT NULL""",
+}
+_JOB["lg"] = f"SELECT item_id, text, gender, {_length_logits('text', 6)} FROM jp"
+_JOB["jpr"] = _pred_from("lg", "item_id, text, gender")
+_JOB["lab"] = f"""SELECT item_id AS data_id, text, pb AS pred_binary, round(prob, 6) AS pred_binary_prob,
+  {_PCAT} AS pred_category, {_PIPE} AS pred_category_pipe,
+  (p0 = 1 AND (p1 = 1 OR p2 = 1 OR p3 = 1 OR p4 = 1 OR p5 = 1)) AS contradiction, gender FROM jpr"""
+
+oracle("scoring_job", with_fx(["fx_posts"], """
+SELECT data_id, text, pred_binary, pred_binary_prob, pred_category, pred_category_pipe, contradiction
+FROM lab""", _JOB))
+
+oracle("prediction_checks", with_fx(["fx_posts"], """
+SELECT count(*) AS n_predictions, CAST(0 AS BIGINT) AS binary_sentinels,
+  CAST(0 AS BIGINT) AS category_sentinels, count(*) AS n_inputs, true AS ok FROM jp""", _JOB))
+
+oracle("funnel", with_fx(["fx_posts"], """
+SELECT 0 AS stage_no, 'input' AS stage, count(*) AS n_rows FROM fx_posts
+UNION ALL SELECT 1, 'with_text', count(*) FROM jp
+UNION ALL SELECT 2, 'predictions', count(*) FROM jp
+UNION ALL SELECT 3, 'deduplicated', count(DISTINCT item_id) FROM jp
+UNION ALL SELECT 4, 'labelled', count(*) FROM jp""", _JOB))
+
+oracle("positive_rate", with_fx(["fx_posts"], """
+SELECT gender, round(100 * avg(pred_binary), 6) AS pct_positive FROM lab
+WHERE gender IS NOT NULL GROUP BY gender""", _JOB))
+
+_GS_LIST = ["none"] + _GS
+
+
+def _prevalence(src: str) -> str:
+    """Percent per gender of rows whose label string contains each label."""
+    return "\nUNION ALL ".join(
+        f"SELECT gender, '{lab}' AS label, round(100 * count(*) FILTER "
+        f"(WHERE contains(predicted_label, '{lab}')) / count(*), 6) AS pct FROM {src} "
+        f"WHERE gender IS NOT NULL GROUP BY gender" for lab in _GS_LIST)
+
+
+_STRICT8 = ("coalesce(nullif(concat_ws(', ', " + ", ".join(
+    f"CASE WHEN 100 * {_SIG.format(x=f'c{j}')} > 50 THEN '{n}' END" for j, n in enumerate(_GS))
+    + "), ''), 'none')")
+_GROUP = {
+    "chosen": f"""SELECT item_id, cleaned_text AS text FROM fx_posts WHERE item_type = 'reply'
+  AND author_type = 'by_public' AND duplicates IN ('no duplicates', 'first duplicate')
+  AND cleaned_text IS NOT NULL ORDER BY {_md5(42, 'item_id')}, item_id LIMIT 10000""",
+}
+_GROUP["glg"] = f"SELECT item_id, {_length_logits('text', 8)} FROM chosen"
+_GROUP["gpred"] = f"SELECT item_id, {_STRICT8} AS predicted_label FROM glg"
+_GROUP["gj"] = "SELECT g.item_id, g.predicted_label, p.gender FROM gpred g LEFT JOIN fx_posts p USING (item_id)"
+oracle("group_study", with_fx(["fx_posts"], _prevalence("gj WHERE gender IN ('Female', 'Male')")
+                              .replace("FROM gj WHERE gender IN ('Female', 'Male') WHERE", "FROM gj WHERE gender IN ('Female', 'Male') AND"),
+                              _GROUP))
+oracle("value_counts", with_fx(["fx_posts"], """
+SELECT predicted_label, count(*) AS count FROM gpred GROUP BY predicted_label""", _GROUP))
+oracle("join_demographics", with_fx(["fx_posts"], "SELECT item_id, predicted_label, gender FROM gj",
+                                    _GROUP))
+
+_STORED = {"st": f"""SELECT CAST(doc_id AS VARCHAR) AS item_id, {_STRICT} AS predicted_label FROM fx_scores""",
+           "sj": "SELECT s.item_id, s.predicted_label, p.gender FROM st s LEFT JOIN fx_posts p USING (item_id)"}
+oracle("prevalence_by_group", with_fx(["fx_posts", "fx_scores"], _prevalence("sj"), _STORED))
+
+oracle("join_predictions", with_fx(["fx_posts", "fx_scored_log"], """
+SELECT p.doc_id, p.item_id, d.batch_id, d.pred_binary FROM fx_posts p JOIN (
+  SELECT doc_id, min(batch_id) AS batch_id, arg_min(pred_binary, batch_id) AS pred_binary
+  FROM fx_scored_log GROUP BY doc_id) d USING (doc_id)"""))
+
+oracle("remaining_rows", with_fx(["fx_posts", "fx_scored_log"], """
+SELECT doc_id, item_id FROM fx_posts WHERE doc_id NOT IN (SELECT doc_id FROM fx_scored_log)"""))
+
+_GATED = [f"CASE WHEN b1 > b0 THEN c{i} ELSE {'1.0' if i == 0 else '-1.0'} END" for i in range(6)]
+oracle("score_drift", with_fx(["fx_scores"], "SELECT doc_id, round(greatest(" + ", ".join(
+    f"abs(({g}) - round(({g}) * 8) / 8)" for g in _GATED) + "), 6) AS max_abs_diff FROM fx_scores"))

@@ -23,7 +23,11 @@ from labelspark.operators import metrics as M
 from labelspark.operators import posts as posts_ops
 from labelspark.operators.ordering import hash_positions
 from labelspark.plans import evaluate as ev_plan
+from labelspark.operators import reports as R
+from labelspark.operators import sampling as S
+from labelspark.plans import jobs
 from labelspark.plans.prepare import prepare_labels as _prepare
+from labelspark.streaming.scoring import LengthScorer, score, with_predictions
 from labelspark.scheme import DEFAULT_SCHEME, GROUP_STUDY_LABELS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -350,4 +354,152 @@ def q_evaluation_report(spark, sf):
     return rep.select("metric", "label", r6(F.col("value").cast("double")).alias("value"))
 
 
-FLAGSHIP = "prepare_labels"
+
+# ---------------------------------------------------------------- sampling
+@query("dedup_first")
+def q_dedup_first(spark, sf):
+    log = fx.fx_scored_log(spark, sf)
+    return S.dedup_first(log, "doc_id", order=["batch_id"])
+
+
+def _filtered_posts(spark, sf):
+    posts = posts_ops.harmonise_posts(fx.fx_posts(spark, sf))
+    return posts_ops.filter_posts(posts.dropna(subset=["text"]))
+
+
+@query("sample_n")
+def q_sample_n(spark, sf):
+    return S.sample_n(_filtered_posts(spark, sf), 100, "item_id", seed=42).select("doc_id", "item_id")
+
+
+def _train(spark, sf):
+    kept, _ = _prepared(spark, sf)
+    return kept.select("doc_id", (F.element_at("binary_labels", 2) == 1).cast("int").alias("y_bin"))
+
+
+@query("sample_frac")
+def q_sample_frac(spark, sf):
+    return S.sample_frac(_train(spark, sf), 0.2, "doc_id", seed=42).select("doc_id")
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    return S.stratified_split(_train(spark, sf), "y_bin", 0.05, "doc_id", seed=42)
+
+
+@query("sample_per_group")
+def q_sample_per_group(spark, sf):
+    pr = ev_plan.predict_labels(_logits(spark, sf)).select("doc_id", "pred_binary")
+    return S.sample_per_group(pr, "pred_binary", 10, "doc_id", seed=51)
+
+
+@query("shuffle_rows")
+def q_shuffle_rows(spark, sf):
+    return S.shuffle_rows(_train(spark, sf), "doc_id", seed=42).select("doc_id", "pos")
+
+
+@query("batch_ids")
+def q_batch_ids(spark, sf):
+    return S.batch_ids(_train(spark, sf), "doc_id", 32, seed=42).select("doc_id", "batch_id")
+
+
+# ------------------------------------------------------- scoring and jobs
+def _job_posts(spark, sf):
+    """Posts to score: ids partly non-numeric, raw tweet text (some null)."""
+    return _mixed_id_posts(spark, sf).drop("cleaned_text")
+
+
+@query("score_posts")
+def q_score_posts(spark, sf):
+    posts = posts_ops.harmonise_posts(fx.fx_posts(spark, sf)).select("doc_id", "text")
+    sc = score(posts, LengthScorer(6), keep=["doc_id"])
+    return sc.select("doc_id", *[F.element_at("binary_logits", i + 1).alias(f"b{i}") for i in range(2)],
+                     *[F.element_at("category_logits", i + 1).alias(f"c{i}") for i in range(6)])
+
+
+def _scoring(spark, sf):
+    return jobs.scoring_job(_job_posts(spark, sf), LengthScorer(6))
+
+
+@query("scoring_job")
+def q_scoring_job(spark, sf):
+    lab = _scoring(spark, sf).labelled
+    return lab.select("data_id", "text", "pred_binary", r6("pred_binary_prob").alias("pred_binary_prob"),
+                      join_ints("pred_category").alias("pred_category"), "pred_category_pipe",
+                      "contradiction")
+
+
+@query("prediction_checks")
+def q_prediction_checks(spark, sf):
+    return _scoring(spark, sf).checks
+
+
+@query("funnel")
+def q_funnel(spark, sf):
+    return _scoring(spark, sf).funnel
+
+
+@query("positive_rate")
+def q_positive_rate(spark, sf):
+    lab = _scoring(spark, sf).labelled.select(F.col("data_id").alias("item_id"), "pred_binary")
+    joined = R.join_demographics(lab, _job_posts(spark, sf), "item_id", ("gender",))
+    return R.positive_rate(joined, "gender", "pred_binary").withColumn(
+        "pct_positive", r6("pct_positive"))
+
+
+def _group_study(spark, sf):
+    return jobs.group_study(fx.fx_posts(spark, sf), LengthScorer(8), n=10000, seed=42)
+
+
+@query("group_study")
+def q_group_study(spark, sf):
+    prevalence, _ = _group_study(spark, sf)
+    return prevalence.withColumn("pct", r6("pct"))
+
+
+@query("prevalence_by_group")
+def q_prevalence_by_group(spark, sf):
+    # stored third-party predictions (strict names of the fixture logits) by gender
+    s = _group_study_scores(spark, sf).select(
+        F.col("doc_id").cast("string").alias("item_id"),
+        P.strict_label_names("scores", GROUP_STUDY_LABELS).alias("predicted_label"))
+    joined = R.join_demographics(s, fx.fx_posts(spark, sf), "item_id", ("gender",))
+    out = R.prevalence_by_group(joined, "gender", "predicted_label", GROUP_STUDY_LABELS)
+    return out.withColumn("pct", r6("pct"))
+
+
+@query("value_counts")
+def q_value_counts(spark, sf):
+    _, preds = _group_study(spark, sf)
+    return R.value_counts(preds, "predicted_label")
+
+
+@query("join_demographics")
+def q_join_demographics(spark, sf):
+    _, preds = _group_study(spark, sf)
+    return R.join_demographics(preds, fx.fx_posts(spark, sf), "item_id", ("gender",))
+
+
+@query("join_predictions")
+def q_join_predictions(spark, sf):
+    posts = fx.fx_posts(spark, sf).select("doc_id", "item_id")
+    preds = S.dedup_first(fx.fx_scored_log(spark, sf), "doc_id", order=["batch_id"])
+    return R.join_predictions(posts, preds, "doc_id")
+
+
+@query("remaining_rows")
+def q_remaining_rows(spark, sf):
+    posts = fx.fx_posts(spark, sf).select("doc_id", "item_id")
+    return R.remaining_rows(posts, fx.fx_scored_log(spark, sf), "doc_id")
+
+
+@query("score_drift")
+def q_score_drift(spark, sf):
+    lg = _logits(spark, sf)
+    exported = lg.select("doc_id", P.gate_logits("b", "c").alias("g"))
+    # the same outputs after 8-level-per-unit quantisation
+    quant = exported.select("doc_id", F.transform("g", lambda x: F.round(x * 8) / 8).alias("g"))
+    return R.score_drift(exported, quant, "doc_id", "g").withColumn("max_abs_diff", r6("max_abs_diff"))
+
+
+FLAGSHIP = "scoring_job"
