@@ -571,3 +571,35 @@ SELECT doc_id, item_id FROM fx_posts WHERE doc_id NOT IN (SELECT doc_id FROM fx_
 _GATED = [f"CASE WHEN b1 > b0 THEN c{i} ELSE {'1.0' if i == 0 else '-1.0'} END" for i in range(6)]
 oracle("score_drift", with_fx(["fx_scores"], "SELECT doc_id, round(greatest(" + ", ".join(
     f"abs(({g}) - round(({g}) * 8) / 8)" for g in _GATED) + "), 6) AS max_abs_diff FROM fx_scores"))
+
+
+# ---------------------------------------------------------------- training
+_LOG = {"lg": "SELECT run_id, (check_no - 1) * 20 + 1 AS step, val_loss FROM fx_metric_log"}
+oracle("best_check", with_fx(["fx_metric_log"], """
+SELECT run_id, count(*) AS n_checks, first(step ORDER BY val_loss, step) AS best_step,
+  round(min(val_loss), 6) AS best_score FROM lg GROUP BY run_id""", _LOG))
+
+# early stopping as the plain sequential rule, one recursive step per check
+_ES_IMPROVED = "c.val_loss < st.best - CAST(0.001 AS DOUBLE)"
+oracle("early_stop", "WITH RECURSIVE fx_metric_log AS (" + FX_SQL["fx_metric_log"] + f"""
+),
+lg AS (SELECT run_id, (check_no - 1) * 20 + 1 AS step, val_loss FROM fx_metric_log),
+c AS (SELECT run_id, step, val_loss,
+        row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS k FROM lg WHERE step >= 100),
+st AS (
+  SELECT run_id, k, val_loss AS best, CAST(0 AS BIGINT) AS best_step, 0 AS counter,
+    false AS stop, CAST(NULL AS BIGINT) AS stop_step FROM c WHERE k = 0
+  UNION ALL
+  SELECT c.run_id, c.k,
+    CASE WHEN {_ES_IMPROVED} THEN c.val_loss ELSE st.best END,
+    CASE WHEN {_ES_IMPROVED} THEN c.step ELSE st.best_step END,
+    CASE WHEN {_ES_IMPROVED} THEN 0 ELSE st.counter + 1 END,
+    CASE WHEN {_ES_IMPROVED} THEN false ELSE st.counter + 1 >= 10 END,
+    CASE WHEN NOT ({_ES_IMPROVED}) AND st.counter + 1 >= 10 THEN c.step END
+  FROM st JOIN c ON c.run_id = st.run_id AND c.k = st.k + 1
+  WHERE NOT st.stop),
+fin AS (SELECT run_id, arg_max(best, k) AS best, arg_max(best_step, k) AS best_step,
+          arg_max(stop_step, k) AS stop_step, bool_or(stop) AS stopped FROM st GROUP BY run_id)
+SELECT fin.run_id, n.n_checks, fin.best_step, round(fin.best, 6) AS best_score,
+  fin.stop_step, fin.stopped
+FROM fin JOIN (SELECT run_id, count(*) AS n_checks FROM c GROUP BY run_id) n USING (run_id)""")

@@ -37,3 +37,19 @@ def prepare_labels(posts: DataFrame, votes1: DataFrame, votes2: DataFrame,
         return joined, None
     kept, report = drop_undecided(joined)
     return kept.drop("binary_status", "category_status"), report
+
+
+def load_processed_data(spark, path: str, split: str = "train", multilingual: bool = False,
+                        clean: bool = False, dataset: str = "EXIST", remove_undecided: bool = True):
+    """Annotated file -> labelled rows, as the reference's loader does:
+    read (by extension), split filter, consensus, optional cleaning, drop
+    undecided. Returns ``(labelled, report)`` keyed by the source ``id``."""
+    from labelspark.scheme import scheme_for
+    from labelspark.sources.annotated import annotated_votes, read_annotated
+
+    scheme = scheme_for(dataset)
+    raw = read_annotated(spark, path, dataset, id_col="id")
+    v1, v2 = annotated_votes(raw, "id")
+    return prepare_labels(raw, v1, v2, split=split, multilingual=multilingual, clean=clean,
+                          scheme=scheme, item="id", text_col="text",
+                          remove_undecided=remove_undecided)

@@ -26,6 +26,7 @@ from labelspark.plans import evaluate as ev_plan
 from labelspark.operators import reports as R
 from labelspark.operators import sampling as S
 from labelspark.plans import jobs
+from labelspark.plans import train as TR
 from labelspark.plans.prepare import prepare_labels as _prepare
 from labelspark.streaming.scoring import LengthScorer, score, with_predictions
 from labelspark.scheme import DEFAULT_SCHEME, GROUP_STUDY_LABELS
@@ -502,4 +503,38 @@ def q_score_drift(spark, sf):
     return R.score_drift(exported, quant, "doc_id", "g").withColumn("max_abs_diff", r6("max_abs_diff"))
 
 
+
+# ---------------------------------------------------------------- training
+def _metric_log(spark, sf):
+    log = fx.fx_metric_log(spark, sf)
+    return log.withColumn("step", (F.col("check_no") - 1) * 20 + 1)
+
+
+@query("best_check")
+def q_best_check(spark, sf):
+    out = TR.best_check(_metric_log(spark, sf))
+    return out.withColumn("best_score", r6("best_score"))
+
+
+@query("early_stop")
+def q_early_stop(spark, sf):
+    out = TR.early_stop(_metric_log(spark, sf), patience=10, min_delta=0.001, warmup=100, mode="min")
+    return out.withColumn("best_score", r6("best_score"))
+
+
+@query("train_two_head")
+def q_train_two_head(spark, sf):
+    train, _ = _prepared(spark, sf)
+    test, _ = _prepared(spark, sf, split="test", multilingual=False, clean=False)
+    model = TR.train_two_head(train, "doc_id", reg_param=0.01, max_iter=30)
+    pred = TR.predict_two_head(model, test.select("doc_id", "text"))
+    return pred.select("doc_id", "pred_binary", join_ints("pred_category").alias("pred_category"))
+
+
+@query("trial_table")
+def q_trial_table(spark, sf):
+    labelled, _ = _prepared(spark, sf)
+    return TR.trial_table(labelled, [{"reg_param": 0.0}, {"reg_param": 0.1}], key="doc_id")
+
+
 FLAGSHIP = "scoring_job"
