@@ -167,35 +167,49 @@ def icm_priors(gold_df: DataFrame, gold: str = "y_cat", n: int = 6) -> DataFrame
     return gold_df.agg(*aggs)
 
 
-def information_content(labels: Column | str, priors: Column, n: int = 6) -> Column:
+def node_ic(gold_df: DataFrame, gold: str = "y_cat", n: int = 6) -> Column:
+    """Information content ``-log2 p`` of every tree node as one struct
+    (``ic0..``, ``ic_parent``), a scalar subquery evaluated once."""
+    pr = icm_priors(gold_df, gold, n)
+    ic = pr.select(F.struct(*[(-F.log2(F.col(f"p{i}"))).alias(f"ic{i}") for i in range(n)],
+                            (-F.log2(F.col("p_parent"))).alias("ic_parent")).alias("ic"))
+    return ic.scalar()
+
+
+def with_node_ic(df: DataFrame, gold: str = "y_cat", n: int = 6, out: str = "_ic") -> DataFrame:
+    """Attach the node IC struct as a column (one subquery reference, so
+    the prior pass runs once however many IC terms use it)."""
+    return df.withColumn(out, node_ic(df, gold, n))
+
+
+def information_content(labels: Column | str, ic: Column, n: int = 6) -> Column:
     """IC of a label set on the tree root -> label 0, root -> parent -> 1..n-1.
 
-    Closed form of the reference recursion: the sum of ``-log2 p_i`` over
-    the set, less ``ic(parent)`` once for every category label after the
-    first. The empty set has IC 0.
+    ``ic`` is the node IC struct of ``node_ic``. Closed form of the
+    reference recursion: the sum of node ICs over the set, less
+    ``ic_parent`` once for every category label after the first. The empty
+    set has IC 0.
     """
     lab = as_col(labels)
-    ic = [-F.log2(priors[f"p{i}"]) for i in range(n)]
-    ic_parent = -F.log2(priors["p_parent"])
     total = None
     for i in range(n):
-        term = F.when(F.element_at(lab, i + 1) == 1, ic[i]).otherwise(F.lit(0.0))
+        term = F.when(F.element_at(lab, i + 1) == 1, ic[f"ic{i}"]).otherwise(F.lit(0.0))
         total = term if total is None else total + term
     n_cat = F.size(F.filter(F.slice(lab, 2, n - 1), lambda x: x == 1))
-    return total - F.greatest(n_cat - 1, F.lit(0)) * ic_parent
+    return total - F.greatest(n_cat - 1, F.lit(0)) * ic["ic_parent"]
 
 
-def icm_terms(gold: Column, pred: Column, priors: Column, n: int = 6) -> Column:
+def icm_terms(gold: Column, pred: Column, ic: Column, n: int = 6) -> Column:
     """Per-row ICM term ``2 IC(gold) + 2 IC(pred) - 3 IC(gold or pred)``."""
-    return (F.lit(2.0) * information_content(gold, priors, n)
-            + F.lit(2.0) * information_content(pred, priors, n)
-            - F.lit(3.0) * information_content(union_labels(gold, pred), priors, n))
+    return (F.lit(2.0) * information_content(gold, ic, n)
+            + F.lit(2.0) * information_content(pred, ic, n)
+            - F.lit(3.0) * information_content(union_labels(gold, pred), ic, n))
 
 
 def icm(df: DataFrame, gold: str = "y_cat", pred: str = "pred_category", n: int = 6) -> DataFrame:
     """ICM of predictions against gold (A13); priors always from gold."""
-    priors = icm_priors(df, gold, n).select(F.struct("*").alias("p")).scalar()
-    return df.agg(F.avg(icm_terms(F.col(gold), F.col(pred), priors, n)).alias("icm"))
+    src = with_node_ic(df, gold, n)
+    return src.agg(F.avg(icm_terms(F.col(gold), F.col(pred), F.col("_ic"), n)).alias("icm"))
 
 
 MINORITY_VECTOR = (0, 0, 0, 0, 1, 0)
@@ -205,13 +219,14 @@ def icm_baselines(df: DataFrame, gold: str = "y_cat", pred: str = "pred_category
                   minority: Sequence[int] = MINORITY_VECTOR) -> DataFrame:
     """ICM of the gold labels themselves, all-negative, one fixed category
     vector and the predictions, in one pass (A14): ``prediction, icm``."""
-    priors = icm_priors(df, gold, n).select(F.struct("*").alias("p")).scalar()
+    src = with_node_ic(df, gold, n)
+    ic = F.col("_ic")
     g = F.col(gold)
     majority = F.array(F.lit(1), *[F.lit(0) for _ in range(n - 1)])
     minor = F.array(*[F.lit(int(v)) for v in minority])
-    row = df.agg(F.avg(icm_terms(g, g, priors, n)).alias("gold"),
-                 F.avg(icm_terms(g, majority, priors, n)).alias("majority"),
-                 F.avg(icm_terms(g, minor, priors, n)).alias("minority"),
-                 F.avg(icm_terms(g, F.col(pred), priors, n)).alias("predicted"))
+    row = src.agg(F.avg(icm_terms(g, g, ic, n)).alias("gold"),
+                  F.avg(icm_terms(g, majority, ic, n)).alias("majority"),
+                  F.avg(icm_terms(g, minor, ic, n)).alias("minority"),
+                  F.avg(icm_terms(g, F.col(pred), ic, n)).alias("predicted"))
     return _unpivot(row, [({"prediction": k}, {"icm": F.col(k)})
                           for k in ("gold", "majority", "minority", "predicted")])

@@ -45,7 +45,8 @@ def evaluation_report(ev: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,
     n = scheme.n_categories
     lb, lc = M.loss_columns(F.col("b"), F.col("y_bin"), F.col("c"), F.col("y_cat"),
                             gamma_binary, gamma_category)
-    priors = M.icm_priors(ev, "y_cat", n).select(F.struct("*").alias("p")).scalar()
+    ev = M.with_node_ic(ev, "y_cat", n)
+    priors = F.col("_ic")
     g, p = F.col("y_cat"), F.col("pred_category")
     pb = F.col("pred_binary")
     yb = F.col("y_bin")

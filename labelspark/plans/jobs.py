@@ -13,6 +13,7 @@ from labelspark.operators import reports
 from labelspark.operators.posts import filter_posts, harmonise_posts, surrogate_ids
 from labelspark.operators.sampling import dedup_first, sample_n
 from labelspark.scheme import DEFAULT_SCHEME, GROUP_STUDY_LABELS, LabelScheme
+from labelspark.session import materialise as materialise_df
 from labelspark.streaming.scoring import ScorerFactory, score, with_predictions
 
 
@@ -25,20 +26,32 @@ class ScoringResult:
 
 
 def scoring_job(posts_raw: DataFrame, scorer: ScorerFactory, scheme: LabelScheme = DEFAULT_SCHEME,
-                seed: int = 51, batch_size: int = 32, strict_checks: bool = False) -> ScoringResult:
+                seed: int = 51, batch_size: int = 32, strict_checks: bool = False,
+                materialise: bool = True) -> ScoringResult:
     """Score posts and label them (M5).
 
     harmonise columns -> drop null text -> integer surrogate ids -> score
     (mapInPandas) -> predict and gate -> keep the first prediction per id ->
     checks -> join back to posts -> contradiction flag -> label names. The
     original string id comes back as ``data_id``.
+
+    With ``materialise`` the scored predictions are checkpointed to the
+    session's shared checkpoint folder: the model runs once for all the
+    outputs (labelled rows, checks, funnel), and a lost executor does not
+    send finished posts back through the model.
     """
     posts = harmonise_posts(posts_raw)
     with_text = posts.dropna(subset=["text"])
     ided = surrogate_ids(with_text, "item_id", seed=seed)
     inputs = ided.select("item_id", "data_id", "text")
-    preds = with_predictions(score(inputs, scorer, keep=["data_id", "item_id"],
-                                   batch_size=batch_size), scheme.n_categories)
+    # the scorer passes the post columns through, so one materialised table
+    # feeds both the predictions and the join back to the posts
+    scored = with_predictions(score(inputs, scorer, keep=["data_id", "item_id", "text"],
+                                    batch_size=batch_size), scheme.n_categories)
+    if materialise:
+        scored = materialise_df(scored, "scored")
+        inputs = scored.select("item_id", "data_id", "text")
+    preds = scored.drop("text")
     # one prediction per surrogate id; the first by the original id
     deduped = dedup_first(preds, "data_id", order=["item_id"]).drop("item_id")
     checks = reports.prediction_checks(deduped, inputs, strict=strict_checks)

@@ -26,7 +26,7 @@ from labelspark.operators import metrics as M
 from labelspark.operators.ordering import dense_positions
 from labelspark.operators.sampling import sample_frac, stratified_split
 from labelspark.scheme import DEFAULT_SCHEME, LabelScheme
-from labelspark.session import checkpoint_dir
+from labelspark.session import materialise
 from labelspark.streaming.scoring import with_predictions
 
 CONSTANT_LOGIT = 10.0
@@ -190,23 +190,27 @@ def early_stop(log: DataFrame, patience: int = 10, min_delta: float = 0.001, war
         F.try_element_at(F.filter("_next", lambda x: _improves(x[score], best_col, mode, min_delta)),
                          F.lit(1))["k"]
         .alias("_nxt"))
-    nodes = nxt.select(run, "k", F.coalesce("_nxt", "k").alias("_j"))
-    longest = counted.groupBy(run).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    rounds = max(1, math.ceil(math.log2(longest + 1)))
     spark = log.sparkSession
+    # one materialisation of the successor table feeds every doubling round
+    nxt = materialise(nxt, "early-stop")
+    nodes = nxt.select(run, "k", F.coalesce("_nxt", "k").alias("_j"))
+    longest = nodes.agg(F.max("k").alias("m")).first()["m"]
+    rounds = max(1, math.ceil(math.log2((longest or 0) + 2)))
+    # each round joins the table with itself, so the plan doubles per round;
+    # a checkpoint every third round keeps it small and bounds the work a
+    # lost executor can cost
     for r in range(rounds):
         a = nodes.alias("a")
         b = nodes.select(F.col(run).alias("_r"), F.col("k").alias("_k"), F.col("_j").alias("_jj"))
         nodes = a.join(b, (F.col(f"a.{run}") == F.col("_r")) & (F.col("a._j") == F.col("_k"))) \
                  .select(F.col(f"a.{run}").alias(run), F.col("a.k").alias("k"), F.col("_jj").alias("_j"))
-        if r % 4 == 3 and r + 1 < rounds:
-            checkpoint_dir(spark)
-            nodes = nodes.checkpoint()
+        if r % 3 == 2 and r + 1 < rounds:
+            nodes = materialise(nodes, "early-stop-round")
     last = nodes.where(F.col("k") == 0).select(run, F.col("_j").alias("_t"))
-    stats = numbered.groupBy(run).agg(F.count(F.lit(1)).alias("n_checks"))
-    at_t = numbered.select(run, F.col("k").alias("_t"), F.col(step).alias("_tstep"),
+    stats = nxt.groupBy(run).agg(F.count(F.lit(1)).alias("n_checks"))
+    at_t = nxt.select(run, F.col("k").alias("_t"), F.col(step).alias("_tstep"),
                            F.col(score).alias("best_score"))
-    at_stop = numbered.select(run, F.col("k").alias("_s"), F.col(step).alias("stop_step"))
+    at_stop = nxt.select(run, F.col("k").alias("_s"), F.col(step).alias("stop_step"))
     out = (last.join(stats, run).join(at_t, [run, "_t"])
            .withColumn("_s", F.col("_t") + patience)
            .join(at_stop, [run, "_s"], "left"))

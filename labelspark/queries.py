@@ -334,9 +334,9 @@ def q_icm_priors(spark, sf):
 @query("label_set_ic")
 def q_label_set_ic(spark, sf):
     ev = _eval(spark, sf)
-    priors = M.icm_priors(ev).select(F.struct("*").alias("p")).scalar()
-    return ev.select("doc_id", r6(M.information_content("y_cat", priors)).alias("ic_gold"),
-                     r6(M.information_content("pred_category", priors)).alias("ic_pred"))
+    ev = M.with_node_ic(ev)
+    return ev.select("doc_id", r6(M.information_content("y_cat", F.col("_ic"))).alias("ic_gold"),
+                     r6(M.information_content("pred_category", F.col("_ic"))).alias("ic_pred"))
 
 
 @query("icm_score")
@@ -526,7 +526,7 @@ def q_early_stop(spark, sf):
 def q_train_two_head(spark, sf):
     train, _ = _prepared(spark, sf)
     test, _ = _prepared(spark, sf, split="test", multilingual=False, clean=False)
-    model = TR.train_two_head(train, "doc_id", reg_param=0.01, max_iter=30)
+    model = TR.train_two_head(train, "doc_id", num_features=1 << 14, reg_param=0.01, max_iter=30)
     pred = TR.predict_two_head(model, test.select("doc_id", "text"))
     return pred.select("doc_id", "pred_binary", join_ints("pred_category").alias("pred_category"))
 

@@ -51,3 +51,16 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         conf = fallback or tempfile.mkdtemp(prefix="labelspark-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def materialise(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: lineage is cut and the plan upstream runs exactly once
+    (``Dataset.checkpoint`` computes an uncached plan twice)."""
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/labelspark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

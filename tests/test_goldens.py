@@ -84,9 +84,10 @@ def test_icm_closed_form_equals_recursion_on_all_sets(spark):
     probs += [sum(1 for g in gold if any(g[1:])) / n + 1 / n, 1.0]
     sets = [list(v) for v in itertools.product([0, 1], repeat=6)]
     gdf = spark.createDataFrame([(g,) for g in gold], "y_cat array<int>")
-    priors = M.icm_priors(gdf).select(F.struct("*").alias("p")).scalar()
+    ic = M.node_ic(gdf)
     sdf = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, s array<int>")
-    got = {r["i"]: r["ic"] for r in sdf.select("i", M.information_content("s", priors).alias("ic")).collect()}
+    got = {r["i"]: r["ic"] for r in sdf.withColumn("_ic", ic).select(
+        "i", M.information_content("s", F.col("_ic")).alias("ic")).collect()}
     for i, s in enumerate(sets):
         assert got[i] == pytest.approx(_ic_recursive(probs, s), abs=1e-9)
 
