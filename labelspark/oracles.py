@@ -151,8 +151,7 @@ SELECT doc_id, {L2_STRING} AS category_labels, {L2_STATUS} AS category_status FR
                                {"l2": L2_COUNTS}))
 
 oracle("flatten_votes", with_fx(["fx_votes2"], """
-SELECT doc_id, count(*) AS n_labels, string_agg(label, ',' ORDER BY label) AS labels
-FROM fx_votes2 GROUP BY doc_id"""))
+SELECT doc_id, label, count(*) AS n_votes FROM fx_votes2 GROUP BY doc_id, label"""))
 
 oracle("filter_split", with_fx(["fx_posts"], """
 SELECT doc_id, split FROM fx_posts WHERE split IN ('TRAIN_EN', 'TRAIN_ES')"""))
@@ -526,6 +525,12 @@ oracle("positive_rate", with_fx(["fx_posts"], """
 SELECT gender, round(100 * avg(pred_binary), 6) AS pct_positive FROM lab
 WHERE gender IS NOT NULL GROUP BY gender""", _JOB))
 
+_STREAM = {"slg": f"SELECT item_id, {_length_logits('cleaned_text', 6)} FROM fx_posts"}
+_STREAM["spr"] = _pred_from("slg", "item_id")
+oracle("stream_scoring", with_fx(["fx_posts"], f"""
+SELECT item_id, pb AS pred_binary, round(prob, 6) AS pred_binary_prob, {_PCAT} AS pred_category
+FROM spr""", _STREAM))
+
 _GS_LIST = ["none"] + _GS
 
 

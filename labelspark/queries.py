@@ -28,7 +28,8 @@ from labelspark.operators import sampling as S
 from labelspark.plans import jobs
 from labelspark.plans import train as TR
 from labelspark.plans.prepare import prepare_labels as _prepare
-from labelspark.streaming.scoring import LengthScorer, score, with_predictions
+from labelspark.session import checkpoint_dir
+from labelspark.streaming.scoring import LengthScorer, score, stream_scoring, with_predictions
 from labelspark.scheme import DEFAULT_SCHEME, GROUP_STUDY_LABELS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -71,14 +72,12 @@ def q_consensus_l2(spark, sf):
 @query("flatten_votes")
 def q_flatten_votes(spark, sf):
     v2 = fx.fx_votes2(spark, sf)
-    # per-item nested votes, as the reference stores them: one list per annotator
+    # the stored form: one label list per (item, annotator); a group holds
+    # only the labels one annotator gave one item
     per_ann = v2.groupBy("doc_id", "annotator").agg(F.sort_array(F.collect_list("label")).alias("l"))
-    nested = per_ann.groupBy("doc_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("annotator", "l"))), lambda s: s["l"])
-        .alias("votes"))
-    flat = nested.select("doc_id", F.flatten("votes").alias("flat"))
-    return flat.select("doc_id", F.size("flat").cast("bigint").alias("n_labels"),
-                       F.array_join(F.sort_array("flat"), ",").alias("labels"))
+    nested = per_ann.select("doc_id", F.array("l").alias("votes"))
+    flat = cons.flatten_votes(nested, "doc_id", "votes")
+    return flat.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n_votes"))
 
 
 @query("filter_split")
@@ -504,6 +503,26 @@ def q_score_drift(spark, sf):
 
 
 
+@query("stream_scoring")
+def q_stream_scoring(spark, sf):
+    """Streaming scoring run twice over a growing folder of post files: the
+    second run scores only the new file, repeated ids are dropped."""
+    import uuid
+    base = f"{checkpoint_dir(spark).rstrip('/')}/labelspark-stream-{uuid.uuid4().hex}"
+    posts = fx.fx_posts(spark, sf).select("item_id", "cleaned_text", "doc_id")
+    src, sink, ckpt = f"{base}/src", f"{base}/sink", f"{base}/ckpt"
+    schema = posts.drop("doc_id").schema
+    for part in range(3):
+        posts.where(F.col("doc_id") % 4 == part).drop("doc_id").write.mode("append").parquet(src)
+    stream_scoring(spark, src, schema, sink, ckpt, LengthScorer(6))
+    later = posts.where((F.col("doc_id") % 4 == 3) | (F.col("doc_id") % 10 == 0)).drop("doc_id")
+    later.write.mode("append").parquet(src)
+    stream_scoring(spark, src, schema, sink, ckpt, LengthScorer(6))
+    out = spark.read.parquet(sink)
+    return out.select("item_id", "pred_binary", r6("pred_binary_prob").alias("pred_binary_prob"),
+                      join_ints("pred_category").alias("pred_category"))
+
+
 # ---------------------------------------------------------------- training
 def _metric_log(spark, sf):
     log = fx.fx_metric_log(spark, sf)

@@ -14,7 +14,7 @@ from labelspark.operators.posts import filter_posts
 from labelspark.queries import QUERIES
 
 PYTHON_NODES = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "PythonUDF", "FlatMapGroupsInPandas")
-SCORER_QUERIES = {"score_posts", "scoring_job", "prediction_checks", "funnel", "positive_rate",
+SCORER_QUERIES = {"score_posts", "scoring_job", "stream_scoring", "prediction_checks", "funnel", "positive_rate",
                   "group_study", "value_counts", "join_demographics", "train_two_head", "trial_table"}
 
 
