@@ -102,6 +102,11 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str, take: DataFrame,
          .when(F.col("_before") >= F.col("n_take"), F.lit("none"))
          .otherwise(F.lit("part")).alias("_status"),
         (F.col("n_take") - F.col("_before")).alias("_rest"))
+    # the bucket table has at most 16**digits rows per stratum. Without
+    # strata that bound is proven and it is broadcast; with strata, AQE
+    # measures it after the histogram stage and broadcasts it only if small
+    if not strata:
+        status = F.broadcast(status)
     joined = with_h.join(status, [*strata, BUCKET_COL])
     whole = (joined.where(F.col("_status") != "part")
              .withColumn(flag, F.col("_status") == "all"))

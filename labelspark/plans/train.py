@@ -81,7 +81,8 @@ def train_two_head(train: DataFrame, key: str = "doc_id", scheme: LabelScheme =
     YES rows only, as the reference masks the category loss. Features are
     persisted once and shared by all heads.
     """
-    base = _label_frame(train, key).withColumn("text", F.coalesce("text", F.lit("")))
+    base = _label_frame(train, key).withColumn("text", F.coalesce("text", F.lit(""))).persist()
+    base.count()
     features = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
@@ -97,6 +98,8 @@ def train_two_head(train: DataFrame, key: str = "doc_id", scheme: LabelScheme =
         feats = feats.withColumn("_w", F.lit(1.0))
     feats = feats.persist()
     try:
+        # fill the cache once before the concurrent fits read it
+        feats.count()
         yes = feats.where(F.col("y_bin") == 1)
         n = scheme.n_categories
         stats = yes.agg(F.count(F.lit(1)).alias("n"), *[
@@ -124,6 +127,7 @@ def train_two_head(train: DataFrame, key: str = "doc_id", scheme: LabelScheme =
             heads = [f.result() for f in head_fs]
     finally:
         feats.unpersist()
+        base.unpersist()
     return TwoHeadModel(features, binary, heads, key)
 
 
@@ -232,6 +236,8 @@ def trial_table(labelled: DataFrame, grid: Sequence[dict], key: str = "doc_id",
     drawn = sample_frac(labelled, sample, key, seed)
     with_y = drawn.withColumn("_y", F.element_at("binary_labels", 2))
     split = stratified_split(with_y, "_y", held_out, key, seed).drop("_y")
+    # every trial reads the same drawn split: write it once
+    split = materialise(split, "trial-split")
     train = split.where(F.col("part") == "train")
     test = split.where(F.col("part") == "held_out")
     spark = labelled.sparkSession

@@ -545,7 +545,7 @@ def q_early_stop(spark, sf):
 def q_train_two_head(spark, sf):
     train, _ = _prepared(spark, sf)
     test, _ = _prepared(spark, sf, split="test", multilingual=False, clean=False)
-    model = TR.train_two_head(train, "doc_id", num_features=1 << 14, reg_param=0.01, max_iter=30)
+    model = TR.train_two_head(train, "doc_id", num_features=1 << 14, reg_param=0.01, max_iter=20)
     pred = TR.predict_two_head(model, test.select("doc_id", "text"))
     return pred.select("doc_id", "pred_binary", join_ints("pred_category").alias("pred_category"))
 
