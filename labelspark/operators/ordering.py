@@ -1,13 +1,16 @@
 """Seeded hash order, dense positions and exact cutoff selection.
 
 Every seeded draw in the library ranks rows by ascending
-``md5(concat(seed, ':', key))`` with the key as tie-break. Ranking a whole
-table (or a whole stratum) in one window would put it on one task, so the
-work is split by the first hex digits of the hash: a histogram of rows per
-bucket (partial aggregation, at most 16**digits rows per stratum) gives each
-bucket its offset, and only rows inside a bucket are ranked against each
-other. The hash spreads keys evenly over buckets, so no task gets more than
-about ``rows / 16**digits`` rows however skewed the strata are.
+``md5(concat(seed, ':', key))`` with the key as tie-break (and a hash of the
+whole row after that, so ties between duplicate keys resolve the same way on
+every run). Ranking a whole table (or a whole stratum) in one window would
+put it on one task, so the work is split by the first hex digits of the
+hash: a histogram of rows per bucket (partial aggregation, at most
+16**digits rows per stratum) gives each bucket its offset, and only rows
+inside a bucket are ranked against each other. Distinct keys spread evenly
+over buckets; a bucket made hot by one heavily repeated key (more than
+``hot_rows`` rows) is split again by the key and the top bits of the row
+hash, with its own small histogram of offsets.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 
 HASH_COL = "_h"
 BUCKET_COL = "_b"
+TIE_COL = "_t"
+HOT_ROWS = 1 << 20  # rows one ranking window may hold before it is split
 
 
 def seeded_hash(key: Column | str, seed: int | str) -> Column:
@@ -32,18 +37,33 @@ def hash_bucket(h: Column, digits: int = 4) -> Column:
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
 
 
+def row_hash(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
+    """64-bit hash of a row's columns: the last tie-break between rows with
+    the same key. Rows equal in every column stay tied, and are
+    interchangeable."""
+    return F.xxhash64(*(cols if cols is not None else df.columns))
+
+
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
 def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column,
-                    group: Sequence[str] = (), out: str = "pos") -> DataFrame:
+                    group: Sequence[str] = (), out: str = "pos",
+                    refine: Sequence[Column] | None = None,
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add a 0-based dense position by ``order`` (within ``group``).
 
     ``bucket`` must be an integer expression that never decreases along
     ``order`` inside a group. Rows are ranked only within (group, bucket);
     bucket offsets come from a histogram whose size is bounded by the number
     of buckets per group.
+
+    ``refine`` lists columns whose order agrees with ``order`` inside a
+    bucket (a prefix of it, possibly coarsened). A bucket with more than
+    ``hot_rows`` rows is then ranked in pieces, one per ``refine`` value, each
+    piece offset by a histogram over the hot bucket's pieces. The list of hot
+    buckets has at most ``rows / hot_rows`` entries and is broadcast.
     """
     group = list(group)
     with_b = df.withColumn(BUCKET_COL, bucket)
@@ -52,28 +72,46 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
     w_off = w_off.orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*group, BUCKET_COL,
                           F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(*group, BUCKET_COL).orderBy(*_cols(order))
-    ranked = with_b.withColumn("_local", F.row_number().over(w_in))
     if not group:
         # at most 16**digits rows: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
+    if refine:
+        hot = hist.where(F.col("_n") > hot_rows).select(*group, BUCKET_COL,
+                                                        F.lit(True).alias("_hot"))
+        with_b = (with_b.join(F.broadcast(hot), [*group, BUCKET_COL], "left")
+                  .withColumn("_sub", F.when(F.col("_hot"), F.struct(*refine)))
+                  .drop("_hot"))
+        pieces = with_b.where(F.col("_sub").isNotNull()).groupBy(*group, BUCKET_COL, "_sub") \
+                       .agg(F.count(F.lit(1)).alias("_m"))
+        w_piece = (Window.partitionBy(*group, BUCKET_COL).orderBy("_sub")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        piece_off = pieces.select(*group, BUCKET_COL, "_sub",
+                                  F.coalesce(F.sum("_m").over(w_piece), F.lit(0)).alias("_off2"))
+        w_in = Window.partitionBy(*group, BUCKET_COL, "_sub").orderBy(*_cols(order))
+        ranked = (with_b.withColumn("_local", F.row_number().over(w_in))
+                  .join(piece_off, [*group, BUCKET_COL, "_sub"], "left")
+                  .withColumn("_local", F.coalesce("_off2", F.lit(0)) + F.col("_local"))
+                  .drop("_sub", "_off2"))
+    else:
+        w_in = Window.partitionBy(*group, BUCKET_COL).orderBy(*_cols(order))
+        ranked = with_b.withColumn("_local", F.row_number().over(w_in))
     return (ranked.join(offsets, [*group, BUCKET_COL])
             .withColumn(out, (F.col("_off") + F.col("_local") - 1).cast("bigint"))
             .drop(BUCKET_COL, "_off", "_local"))
 
 
 def hash_positions(df: DataFrame, key: str, seed: int | str, out: str = "pos",
-                   digits: int = 4) -> DataFrame:
+                   digits: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Dense 0-based position of each row in seeded hash order."""
-    h = seeded_hash(key, seed)
-    with_h = df.withColumn(HASH_COL, h)
-    return dense_positions(with_h, [HASH_COL, key], hash_bucket(F.col(HASH_COL), digits),
-                           out=out).drop(HASH_COL)
+    with_h = df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
+    refine = [F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
+    return dense_positions(with_h, [HASH_COL, key, TIE_COL], hash_bucket(F.col(HASH_COL), digits),
+                           out=out, refine=refine, hot_rows=hot_rows).drop(HASH_COL, TIE_COL)
 
 
 def cutoff_select(df: DataFrame, key: str, seed: int | str, take: DataFrame,
                   strata: Sequence[str] = (), flag: str = "taken",
-                  digits: int = 4) -> DataFrame:
+                  digits: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flag the first ``take.n_take`` rows of each stratum in seeded hash order.
 
     ``take`` has the ``strata`` columns and ``n_take`` (one row per stratum;
@@ -83,7 +121,8 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str, take: DataFrame,
     ranked.
     """
     strata = list(strata)
-    with_h = (df.withColumn(HASH_COL, seeded_hash(key, seed))
+    with_h = (df.withColumn(TIE_COL, row_hash(df))
+              .withColumn(HASH_COL, seeded_hash(key, seed))
               .withColumn(BUCKET_COL, hash_bucket(F.col(HASH_COL), digits)))
     hist = with_h.groupBy(*strata, BUCKET_COL).agg(F.count(F.lit(1)).alias("_n"))
     w = (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0)))
@@ -110,7 +149,12 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str, take: DataFrame,
     joined = with_h.join(status, [*strata, BUCKET_COL])
     whole = (joined.where(F.col("_status") != "part")
              .withColumn(flag, F.col("_status") == "all"))
-    w_in = Window.partitionBy(*strata, BUCKET_COL).orderBy(HASH_COL, key)
-    part = (joined.where(F.col("_status") == "part")
-            .withColumn(flag, F.row_number().over(w_in) <= F.col("_rest")))
-    return whole.unionByName(part).drop(HASH_COL, BUCKET_COL, "_status", "_rest")
+    # only the cutoff bucket of each stratum is ranked (split again if hot)
+    part_rows = joined.where(F.col("_status") == "part").drop(BUCKET_COL)
+    refine = [F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
+    part = dense_positions(part_rows, [HASH_COL, key, TIE_COL],
+                           hash_bucket(F.col(HASH_COL), digits), group=strata, out="_rank",
+                           refine=refine, hot_rows=hot_rows)
+    part = part.withColumn(flag, F.col("_rank") < F.col("_rest")).drop("_rank")
+    return whole.unionByName(part.withColumn(BUCKET_COL, F.lit(None).cast("int"))) \
+                .drop(HASH_COL, BUCKET_COL, TIE_COL, "_status", "_rest")

@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelspark.operators.ordering import (HASH_COL, cutoff_select, hash_positions,
-                                           seeded_hash)
+from labelspark.operators.ordering import (HASH_COL, HOT_ROWS, TIE_COL, cutoff_select,
+                                           hash_positions, row_hash, seeded_hash)
 
 
 def dedup_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -37,15 +37,17 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     Planned as a top-k (``TakeOrderedAndProject``): each partition keeps its
     own ``n`` best rows, then the ``n`` best of those; no full sort.
     """
-    return (df.withColumn(HASH_COL, seeded_hash(key, seed))
-            .orderBy(HASH_COL, key).limit(n).drop(HASH_COL))
+    return (df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
+            .orderBy(HASH_COL, key, TIE_COL).limit(n).drop(HASH_COL, TIE_COL))
 
 
-def sample_frac(df: DataFrame, frac: float, key: str, seed: int = 42) -> DataFrame:
+def sample_frac(df: DataFrame, frac: float, key: str, seed: int = 42,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exactly ``round(frac * N)`` rows (round half to even, as Python's
     ``round``) in seeded hash order (D3)."""
     take = df.agg(F.bround(F.lit(float(frac)) * F.count(F.lit(1)), 0).cast("bigint").alias("n_take"))
-    return cutoff_select(df, key, seed, take, flag="_taken").where("_taken").drop("_taken")
+    return cutoff_select(df, key, seed, take, flag="_taken", hot_rows=hot_rows) \
+        .where("_taken").drop("_taken")
 
 
 def split_sizes(df: DataFrame, stratum: str, test_size: float) -> DataFrame:
@@ -72,14 +74,14 @@ def split_sizes(df: DataFrame, stratum: str, test_size: float) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, stratum: str, test_size: float, key: str,
-                     seed: int = 42, out: str = "part") -> DataFrame:
+                     seed: int = 42, out: str = "part", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Stratified two-way split (D4): ``out`` is ``held_out`` or ``train``.
 
     The held-out rows of each stratum are the first ones in seeded hash
     order; exact per-stratum sizes, no stratum ranked in one task.
     """
     take = split_sizes(df, stratum, test_size)
-    flagged = cutoff_select(df, key, seed, take, strata=[stratum], flag="_held")
+    flagged = cutoff_select(df, key, seed, take, strata=[stratum], flag="_held", hot_rows=hot_rows)
     return flagged.withColumn(out, F.when(F.col("_held"), "held_out").otherwise("train")) \
                   .drop("_held")
 
@@ -98,10 +100,10 @@ def sample_per_group(df: DataFrame, group: str | Sequence[str], n: int, key: str
         short = df.groupBy(*groups).count().where(F.col("count") < n).limit(1).collect()
         if short:
             raise ValueError(f"group {short[0].asDict()} has fewer than {n} rows")
-    w = Window.partitionBy(*groups).orderBy(HASH_COL, key)
-    return (df.withColumn(HASH_COL, seeded_hash(key, seed))
+    w = Window.partitionBy(*groups).orderBy(HASH_COL, key, TIE_COL)
+    return (df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
             .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-            .drop(HASH_COL, "_rn"))
+            .drop(HASH_COL, TIE_COL, "_rn"))
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 42, out: str = "pos",

@@ -182,7 +182,7 @@ def early_stop(log: DataFrame, patience: int = 10, min_delta: float = 0.001, war
     chunk = max(chunk, patience)
     counted = log.where(F.col(step) >= warmup).select(run, step, score)
     numbered = dense_positions(counted, [step], F.floor(F.col(step) / step_bucket).cast("bigint"),
-                               group=[run], out="k")
+                               group=[run], out="k", refine=[F.col(step)])
     own = numbered.withColumn("_chunk", F.floor(F.col("k") / chunk)).withColumn("_halo", F.lit(False))
     halo = (numbered.where(F.col("k") % chunk < patience).where(F.col("k") >= chunk)
             .withColumn("_chunk", F.floor(F.col("k") / chunk) - 1).withColumn("_halo", F.lit(True)))

@@ -170,3 +170,40 @@ def test_early_stop_matches_plain_loop(spark):
             continue
         r = out[run]
         assert (r["best_score"], r["best_step"], r["stop_step"]) == (best, best_step, stop), run
+
+
+def test_hot_key_is_ranked_in_pieces_and_stays_exact(spark):
+    # one key holds a third of the rows; with a tiny hot threshold its bucket
+    # is split by the row hash, and positions stay a dense permutation in
+    # (hash, key) order
+    rows = [("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "key string, v int")
+    out = hash_positions(df, "key", 9, digits=1, hot_rows=20).collect()
+    assert sorted(r["pos"] for r in out) == list(range(900))
+    order = _md5_order(sorted({k for k, _ in rows}), 9)
+    start, expect = 0, {}
+    for k in order:
+        n = sum(1 for kk, _ in rows if kk == k)
+        expect[k] = set(range(start, start + n))
+        start += n
+    got = {}
+    for r in out:
+        got.setdefault(r["key"], set()).add(r["pos"])
+    assert got == expect
+    # same positions on a second run (ties among duplicates resolve by row hash)
+    again = {(r["key"], r["v"]): r["pos"] for r in hash_positions(df, "key", 9, digits=1, hot_rows=20).collect()}
+    assert again == {(r["key"], r["v"]): r["pos"] for r in out}
+
+
+def test_cutoff_with_hot_key_is_exact(spark):
+    rows = [(7, i) for i in range(200)] + [(i + 100, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, v int")
+    for frac in (0.1, 0.5, 0.9):
+        got = S.sample_frac(df, frac, "key", seed=4, hot_rows=10)
+        n = round(frac * len(rows))
+        keys = [r["key"] for r in got.collect()]
+        assert len(keys) == n
+        # whole keys in hash order, the cut key partly
+        order = _md5_order(sorted({k for k, _ in rows}), 4)
+        flat = [k for k in order for _ in range(sum(1 for kk, _ in rows if kk == k))]
+        assert sorted(keys) == sorted(flat[:n])
