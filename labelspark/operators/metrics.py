@@ -206,10 +206,55 @@ def icm_terms(gold: Column, pred: Column, ic: Column, n: int = 6) -> Column:
             - F.lit(3.0) * information_content(union_labels(gold, pred), ic, n))
 
 
+def _extra_categories(labels: Column, n: int) -> Column:
+    """``max(0, |S & {1..n-1}| - 1)``: how often the parent IC is taken off."""
+    n_cat = F.size(F.filter(F.slice(labels, 2, n - 1), lambda x: x == 1))
+    return F.greatest(n_cat - 1, F.lit(0))
+
+
+def icm_sums(gold: Column, preds: dict[str, Column], n: int = 6) -> list[Column]:
+    """Aggregates from which ICM follows without a second pass.
+
+    IC of a set is linear in the node ICs, so the mean ICM term is a linear
+    combination of label frequencies: the priors (gold frequencies) and,
+    per prediction, the frequencies of predicted and union labels and the
+    mean parent correction. All are sums in one aggregate.
+    """
+    def ind(arr, i):
+        return (F.element_at(arr, i + 1) == 1).cast("long")
+
+    aggs = [F.count(F.lit(1)).alias("_N"),
+            F.count_if(F.exists(F.slice(gold, 2, n - 1), lambda x: x == 1)).alias("_gpar"),
+            F.sum(_extra_categories(gold, n)).alias("_xg")]
+    aggs += [F.sum(ind(gold, i)).alias(f"_g{i}") for i in range(n)]
+    for name, pred in preds.items():
+        union = union_labels(gold, pred)
+        aggs += [F.sum(ind(pred, i)).alias(f"_p_{name}_{i}") for i in range(n)]
+        aggs += [F.sum(ind(union, i)).alias(f"_u_{name}_{i}") for i in range(n)]
+        aggs += [F.sum(_extra_categories(pred, n)).alias(f"_xp_{name}"),
+                 F.sum(_extra_categories(union, n)).alias(f"_xu_{name}")]
+    return aggs
+
+
+def icm_from_sums(name: str, n: int = 6) -> Column:
+    """ICM of prediction ``name`` from the one-row ``icm_sums`` result."""
+    N = F.col("_N").cast("double")
+    ic = [-F.log2(F.col(f"_g{i}") / N + F.lit(1.0) / N) for i in range(n)]
+    ic_parent = -F.log2(F.col("_gpar") / N + F.lit(1.0) / N)
+    total = None
+    for i in range(n):
+        term = ic[i] * (F.lit(2.0) * F.col(f"_g{i}") + F.lit(2.0) * F.col(f"_p_{name}_{i}")
+                        - F.lit(3.0) * F.col(f"_u_{name}_{i}"))
+        total = term if total is None else total + term
+    total = total - ic_parent * (F.lit(2.0) * F.col("_xg") + F.lit(2.0) * F.col(f"_xp_{name}")
+                                 - F.lit(3.0) * F.col(f"_xu_{name}"))
+    return total / N
+
+
 def icm(df: DataFrame, gold: str = "y_cat", pred: str = "pred_category", n: int = 6) -> DataFrame:
-    """ICM of predictions against gold (A13); priors always from gold."""
-    src = with_node_ic(df, gold, n)
-    return src.agg(F.avg(icm_terms(F.col(gold), F.col(pred), F.col("_ic"), n)).alias("icm"))
+    """ICM of predictions against gold (A13), one pass; priors from gold."""
+    row = df.agg(*icm_sums(F.col(gold), {"pred": F.col(pred)}, n))
+    return row.select(icm_from_sums("pred", n).alias("icm"))
 
 
 MINORITY_VECTOR = (0, 0, 0, 0, 1, 0)
@@ -219,14 +264,9 @@ def icm_baselines(df: DataFrame, gold: str = "y_cat", pred: str = "pred_category
                   minority: Sequence[int] = MINORITY_VECTOR) -> DataFrame:
     """ICM of the gold labels themselves, all-negative, one fixed category
     vector and the predictions, in one pass (A14): ``prediction, icm``."""
-    src = with_node_ic(df, gold, n)
-    ic = F.col("_ic")
     g = F.col(gold)
     majority = F.array(F.lit(1), *[F.lit(0) for _ in range(n - 1)])
     minor = F.array(*[F.lit(int(v)) for v in minority])
-    row = src.agg(F.avg(icm_terms(g, g, ic, n)).alias("gold"),
-                  F.avg(icm_terms(g, majority, ic, n)).alias("majority"),
-                  F.avg(icm_terms(g, minor, ic, n)).alias("minority"),
-                  F.avg(icm_terms(g, F.col(pred), ic, n)).alias("predicted"))
-    return _unpivot(row, [({"prediction": k}, {"icm": F.col(k)})
-                          for k in ("gold", "majority", "minority", "predicted")])
+    preds = {"gold": g, "majority": majority, "minority": minor, "predicted": F.col(pred)}
+    row = df.agg(*icm_sums(g, preds, n))
+    return _unpivot(row, [({"prediction": k}, {"icm": icm_from_sums(k, n)}) for k in preds])

@@ -38,15 +38,14 @@ def evaluation_report(ev: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,
                       gamma_binary: float = 1.0, gamma_category: float = 2.0) -> DataFrame:
     """Long report ``metric, label, value`` (M4).
 
-    Pass 1 is the one-row ICM prior subquery; pass 2 one aggregate holding
-    the loss sums, the binary and per-label confusion counts and the four
-    ICM averages. Everything else is arithmetic on that one row.
+    One aggregate holds the loss sums, the binary and per-label confusion
+    counts and the label frequencies ICM needs (IC is linear in the node
+    ICs, so the priors need no earlier pass). Everything else is arithmetic
+    on that one row.
     """
     n = scheme.n_categories
     lb, lc = M.loss_columns(F.col("b"), F.col("y_bin"), F.col("c"), F.col("y_cat"),
                             gamma_binary, gamma_category)
-    ev = M.with_node_ic(ev, "y_cat", n)
-    priors = F.col("_ic")
     g, p = F.col("y_cat"), F.col("pred_category")
     pb = F.col("pred_binary")
     yb = F.col("y_bin")
@@ -56,11 +55,7 @@ def evaluation_report(ev: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,
         F.count_if((pb == 1) & (yb == 1)).alias("btp"),
         F.count_if((pb == 1) & (yb == 0)).alias("bfp"),
         F.count_if((pb == 0) & (yb == 1)).alias("bfn"),
-        F.avg(M.icm_terms(g, p, priors, n)).alias("icm_predicted"),
-        F.avg(M.icm_terms(g, g, priors, n)).alias("icm_gold"),
-        F.avg(M.icm_terms(g, majority, priors, n)).alias("icm_majority"),
-        F.avg(M.icm_terms(g, minority, priors, n)).alias("icm_minority"),
-    ]
+    ] + M.icm_sums(g, {"predicted": p, "gold": g, "majority": majority, "minority": minority}, n)
     for i in range(n):
         gi, pi = F.element_at(g, i + 1), F.element_at(p, i + 1)
         aggs += [F.count_if((gi == 1) & (pi == 1)).alias(f"tp{i}"),
@@ -81,6 +76,6 @@ def evaluation_report(ev: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,
                 for i, name in enumerate(scheme.level2)]
     entries += [({"metric": "f1_macro", "label": "all"}, {"value": sum(f1s[1:], f1s[0]) / n}),
                 ({"metric": "f1_weighted", "label": "all"}, {"value": weighted})]
-    entries += [({"metric": k, "label": "all"}, {"value": F.col(k)})
-                for k in ("icm_predicted", "icm_gold", "icm_majority", "icm_minority")]
+    entries += [({"metric": f"icm_{k}", "label": "all"}, {"value": M.icm_from_sums(k, n)})
+                for k in ("predicted", "gold", "majority", "minority")]
     return M._unpivot(row, entries)
