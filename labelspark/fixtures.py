@@ -48,13 +48,16 @@ def fx_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when((F.col("lang") == "es") & (m5 == 0), "DEV_ES")
              .when(F.col("lang") == "es", "TRAIN_ES").otherwise("OTHER"))
     # duplicate marks: one aggregate per text (partial aggregation, no window
-    # holding a hot text in one task), joined back on the text
-    dup = (d.groupBy("text").agg(F.count(F.lit(1)).alias("_n"),
-                                 F.min("doc_id").alias("_first")))
+    # holding a hot text in one task), joined back. Texts are grouped by their
+    # SHA-256 digest: 32 bytes cross the shuffle instead of the whole text
+    # (texts run to 20,000 words); a collision is not a practical concern.
+    d = d.withColumn("_tk", F.unhex(F.sha2("text", 256)))
+    dup = (d.groupBy("_tk").agg(F.count(F.lit(1)).alias("_n"),
+                                F.min("doc_id").alias("_first")))
     duplicates = (F.when(F.col("_n") == 1, "no duplicates")
                   .when(F.col("doc_id") == F.col("_first"), "first duplicate")
                   .otherwise("duplicate"))
-    return (d.join(dup, "text")
+    return (d.join(dup, "_tk")
             .select("doc_id", sid.alias("item_id"), F.col("text").alias("cleaned_text"),
                     "lang", "source", tweet.alias("tweet"), split.alias("split"),
                     F.when(F.col("doc_id") % 3 == 0, "post").otherwise("reply").alias("item_type"),
