@@ -15,7 +15,7 @@ hash, with its own small histogram of offsets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,27 +109,36 @@ def hash_positions(df: DataFrame, key: str, seed: int | str, out: str = "pos",
                            out=out, refine=refine, hot_rows=hot_rows).drop(HASH_COL, TIE_COL)
 
 
-def cutoff_select(df: DataFrame, key: str, seed: int | str, take: DataFrame,
-                  strata: Sequence[str] = (), flag: str = "taken",
-                  digits: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Flag the first ``take.n_take`` rows of each stratum in seeded hash order.
+def cutoff_select(df: DataFrame, key: str, seed: int | str,
+                  n_take: Callable[[DataFrame], DataFrame], strata: Sequence[str] = (),
+                  flag: str = "taken", digits: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Flag the first ``n_take`` rows of each stratum in seeded hash order.
 
-    ``take`` has the ``strata`` columns and ``n_take`` (one row per stratum;
-    a single row when there are no strata). No global sort and no whole
-    stratum in one window: whole buckets below the cutoff are flagged by a
-    join against the histogram, and only the one cutoff bucket per stratum is
-    ranked.
+    ``n_take`` maps the row count per stratum (``strata`` columns and
+    ``_c``; one row without strata) to the rows to take (``strata`` columns
+    and ``n_take``), so the sizes come from the histogram, not from another
+    pass over the input.
+
+    No global sort and no whole stratum in one window. Pass 1 is the hash
+    histogram; whole buckets below the cutoff are flagged by a join against
+    it. Only the cutoff bucket of each stratum needs ranking: its rows (about
+    ``rows / 16**digits`` per stratum) are written once to the shared
+    checkpoint folder (pass 2) and ranked there, split again if one key
+    makes the bucket hot. Pass 3 streams every other row through.
     """
+    from labelspark.session import materialise
+
     strata = list(strata)
     with_h = (df.withColumn(TIE_COL, row_hash(df))
               .withColumn(HASH_COL, seeded_hash(key, seed))
               .withColumn(BUCKET_COL, hash_bucket(F.col(HASH_COL), digits)))
     hist = with_h.groupBy(*strata, BUCKET_COL).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (hist.groupBy(*strata) if strata else hist).agg(F.sum("_n").alias("_c"))
+    take_sel = n_take(counts).select(*strata, F.col("n_take").cast("bigint").alias("n_take"))
     w = (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0)))
     w = w.orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.withColumn("_incl", F.sum("_n").over(w))
     cum = cum.withColumn("_before", F.col("_incl") - F.col("_n"))
-    take_sel = take.select(*strata, F.col("n_take").cast("bigint").alias("n_take"))
     if strata:
         cum = cum.join(take_sel, strata)
     else:
@@ -149,12 +158,11 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str, take: DataFrame,
     joined = with_h.join(status, [*strata, BUCKET_COL])
     whole = (joined.where(F.col("_status") != "part")
              .withColumn(flag, F.col("_status") == "all"))
-    # only the cutoff bucket of each stratum is ranked (split again if hot)
-    part_rows = joined.where(F.col("_status") == "part").drop(BUCKET_COL)
+    part_rows = materialise(joined.where(F.col("_status") == "part").drop(BUCKET_COL), "cutoff")
     refine = [F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
     part = dense_positions(part_rows, [HASH_COL, key, TIE_COL],
                            hash_bucket(F.col(HASH_COL), digits), group=strata, out="_rank",
                            refine=refine, hot_rows=hot_rows)
     part = part.withColumn(flag, F.col("_rank") < F.col("_rest")).drop("_rank")
-    return whole.unionByName(part.withColumn(BUCKET_COL, F.lit(None).cast("int"))) \
-                .drop(HASH_COL, BUCKET_COL, TIE_COL, "_status", "_rest")
+    return whole.drop(BUCKET_COL).unionByName(part) \
+                .drop(HASH_COL, TIE_COL, "_status", "_rest")

@@ -45,20 +45,22 @@ def sample_frac(df: DataFrame, frac: float, key: str, seed: int = 42,
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exactly ``round(frac * N)`` rows (round half to even, as Python's
     ``round``) in seeded hash order (D3)."""
-    take = df.agg(F.bround(F.lit(float(frac)) * F.count(F.lit(1)), 0).cast("bigint").alias("n_take"))
+    def take(counts):
+        return counts.select(F.bround(F.lit(float(frac)) * F.col("_c"), 0).alias("n_take"))
+
     return cutoff_select(df, key, seed, take, flag="_taken", hot_rows=hot_rows) \
         .where("_taken").drop("_taken")
 
 
-def split_sizes(df: DataFrame, stratum: str, test_size: float) -> DataFrame:
+def split_sizes(counts: DataFrame, stratum: str, test_size: float) -> DataFrame:
     """Held-out rows per stratum for a stratified split.
 
     ``n_test = ceil(test_size * N)``; the training share ``N - n_test`` is
     spread over strata by largest remainder of ``count / N * n_train``
     (ties to the smaller stratum value); each stratum holds out the rest.
-    One aggregate per stratum; the allocation runs on that small table.
+    ``counts`` holds the rows per stratum (``_c``); the allocation runs on
+    that small table.
     """
-    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_c"))
     w_all = Window.partitionBy(F.lit(0))
     total = F.sum("_c").over(w_all)
     n_train = total - F.ceil(F.lit(float(test_size)) * total)
@@ -80,8 +82,8 @@ def stratified_split(df: DataFrame, stratum: str, test_size: float, key: str,
     The held-out rows of each stratum are the first ones in seeded hash
     order; exact per-stratum sizes, no stratum ranked in one task.
     """
-    take = split_sizes(df, stratum, test_size)
-    flagged = cutoff_select(df, key, seed, take, strata=[stratum], flag="_held", hot_rows=hot_rows)
+    flagged = cutoff_select(df, key, seed, lambda counts: split_sizes(counts, stratum, test_size),
+                            strata=[stratum], flag="_held", hot_rows=hot_rows)
     return flagged.withColumn(out, F.when(F.col("_held"), "held_out").otherwise("train")) \
                   .drop("_held")
 
@@ -117,8 +119,12 @@ def shuffle_rows(df: DataFrame, key: str, seed: int = 42, out: str = "pos",
 
 
 def batch_ids(df: DataFrame, key: str, batch_size: int, seed: int = 42,
-              out: str = "batch_id") -> DataFrame:
-    """Cut the seeded shuffle into batches of ``batch_size`` (D7); the last
-    batch is short."""
+              out: str = "batch_id", position: str | None = None) -> DataFrame:
+    """Cut an ordered table into batches of ``batch_size`` (D7); the last
+    batch is short. The order is the seeded shuffle (training loaders), or
+    an existing dense 0-based ``position`` column, such as the file row
+    index of ``attach_row_index`` (scoring keeps input order)."""
+    if position is not None:
+        return df.withColumn(out, F.floor(F.col(position) / F.lit(batch_size)).cast("bigint"))
     pos = hash_positions(df, key, seed, out="_pos")
     return pos.withColumn(out, F.floor(F.col("_pos") / F.lit(batch_size)).cast("bigint")).drop("_pos")

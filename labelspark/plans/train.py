@@ -233,15 +233,14 @@ def trial_table(labelled: DataFrame, grid: Sequence[dict], key: str = "doc_id",
     split; rank trials by weighted category F1 on the held-out part (the
     reference's search maximises it). Returns ``trial, <params>, f1_weighted,
     f1_binary, rank``."""
-    drawn = sample_frac(labelled, sample, key, seed)
+    drawn = materialise(sample_frac(labelled, sample, key, seed), "trial-sample")
     with_y = drawn.withColumn("_y", F.element_at("binary_labels", 2))
     split = stratified_split(with_y, "_y", held_out, key, seed).drop("_y")
     # every trial reads the same drawn split: write it once
     split = materialise(split, "trial-split")
     train = split.where(F.col("part") == "train")
     test = split.where(F.col("part") == "held_out")
-    spark = labelled.sparkSession
-    rows = []
+    trials = None
     for i, params in enumerate(grid):
         model = train_two_head(train, key, scheme, **params)
         pred = predict_two_head(model, test.select(key, "text", "binary_labels", "category_labels"),
@@ -249,10 +248,14 @@ def trial_table(labelled: DataFrame, grid: Sequence[dict], key: str = "doc_id",
         ev = pred.select(F.element_at("binary_labels", 2).alias("y_bin"),
                          F.col("category_labels").alias("y_cat"), "pred_category",
                          "pred_binary_prob")
-        f1w = M.f1_weighted(M.f1_per_label(ev, "y_cat", "pred_category", scheme.level2)).first()[0]
-        f1b = M.f1_binary(ev, "y_bin", "pred_binary_prob").first()["f1"]
-        rows.append((i, *[float(params.get(k, 0.0)) for k in sorted(grid[0])], float(f1w), float(f1b)))
-    cols = ["trial", *sorted(grid[0]), "f1_weighted", "f1_binary"]
-    trials = spark.createDataFrame(rows, cols)
+        f1w = M.f1_weighted(M.f1_per_label(ev, "y_cat", "pred_category", scheme.level2))
+        f1b = M.f1_binary(ev, "y_bin", "pred_binary_prob").select(F.col("f1").alias("f1_binary"))
+        # one row per trial, computed by Spark from the held-out predictions
+        one = (f1w.unionByName(f1b, allowMissingColumns=True)
+               .agg(F.max("f1_weighted").alias("f1_weighted"), F.max("f1_binary").alias("f1_binary"))
+               .select(F.lit(i).alias("trial"),
+                       *[F.lit(float(params.get(k, 0.0))).alias(k) for k in sorted(grid[0])],
+                       "f1_weighted", "f1_binary"))
+        trials = one if trials is None else trials.unionByName(one)
     return trials.withColumn("rank", F.rank().over(
         Window.partitionBy(F.lit(0)).orderBy(F.desc("f1_weighted"), "trial")))

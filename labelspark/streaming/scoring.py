@@ -64,12 +64,18 @@ def _output_schema(df: DataFrame, keep: Sequence[str]) -> T.StructType:
 
 
 def score(df: DataFrame, scorer: ScorerFactory, keep: Sequence[str] = ("item_id",),
-          text_col: str = "text", batch_size: int = 32) -> DataFrame:
+          text_col: str = "text", batch_size: int = 32,
+          arrow_batch_rows: int | None = None) -> DataFrame:
     """Attach ``binary_logits`` and ``category_logits`` to each row (M2).
 
     Runs as ``mapInPandas``: rows stay in their partitions (no shuffle), and
-    only ``keep`` plus the text cross to Python.
+    only ``keep`` plus the text cross to Python. ``arrow_batch_rows`` sets the
+    session's Arrow batch size (``spark.sql.execution.arrow.maxRecordsPerBatch``)
+    so that batches of long texts fit the Python worker's memory.
     """
+    if arrow_batch_rows:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch",
+                                 str(int(arrow_batch_rows)))
     keep = list(keep)
     schema = _output_schema(df, keep)
     cols = keep + ([text_col] if text_col not in keep else [])

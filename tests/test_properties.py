@@ -207,3 +207,10 @@ def test_cutoff_with_hot_key_is_exact(spark):
         order = _md5_order(sorted({k for k, _ in rows}), 4)
         flat = [k for k in order for _ in range(sum(1 for kk, _ in rows if kk == k))]
         assert sorted(keys) == sorted(flat[:n])
+
+
+def test_batches_in_input_order(spark):
+    from labelspark.sources.annotated import attach_row_index
+    df = attach_row_index(spark.range(70).select(F.col("id").alias("v")), "row_index")
+    out = {r["v"]: r["batch_id"] for r in S.batch_ids(df, "v", 32, position="row_index").collect()}
+    assert out == {v: v // 32 for v in range(70)}
