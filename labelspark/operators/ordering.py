@@ -65,9 +65,17 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
     piece offset by a histogram over the hot bucket's pieces. The list of hot
     buckets has at most ``rows / hot_rows`` entries and is broadcast.
     """
+    from labelspark.session import materialise
+
     group = list(group)
     with_b = df.withColumn(BUCKET_COL, bucket)
     hist = with_b.groupBy(*group, BUCKET_COL).agg(F.count(F.lit(1)).alias("_n"))
+    hot_exists = False
+    if refine:
+        # the histogram is small: write it once, then look for hot buckets
+        # in it; without hot buckets the input is read only once more
+        hist = materialise(hist, "positions-hist")
+        hot_exists = bool(hist.where(F.col("_n") > hot_rows).limit(1).count())
     w_off = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0)))
     w_off = w_off.orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*group, BUCKET_COL,
@@ -75,7 +83,7 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
     if not group:
         # at most 16**digits rows: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
-    if refine:
+    if hot_exists:
         hot = hist.where(F.col("_n") > hot_rows).select(*group, BUCKET_COL,
                                                         F.lit(True).alias("_hot"))
         with_b = (with_b.join(F.broadcast(hot), [*group, BUCKET_COL], "left")
