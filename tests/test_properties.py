@@ -214,3 +214,13 @@ def test_batches_in_input_order(spark):
     df = attach_row_index(spark.range(70).select(F.col("id").alias("v")), "row_index")
     out = {r["v"]: r["batch_id"] for r in S.batch_ids(df, "v", 32, position="row_index").collect()}
     assert out == {v: v // 32 for v in range(70)}
+
+
+def test_clean_text_on_web_pages_matches_python_re(spark):
+    # raw pages carry real entities, links and markup
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    got = {r["page_id"]: (r["html"], r["c"]) for r in
+           pages.select("page_id", "html", clean_text("html").alias("c")).collect()}
+    assert got
+    for html, cleaned in got.values():
+        assert cleaned == py_clean(html)
