@@ -534,12 +534,12 @@ FROM spr""", _STREAM))
 _GS_LIST = ["none"] + _GS
 
 
-def _prevalence(src: str) -> str:
+def _prevalence(src: str, where: str = "gender IS NOT NULL") -> str:
     """Percent per gender of rows whose label string contains each label."""
     return "\nUNION ALL ".join(
         f"SELECT gender, '{lab}' AS label, round(100 * count(*) FILTER "
         f"(WHERE contains(predicted_label, '{lab}')) / count(*), 6) AS pct FROM {src} "
-        f"WHERE gender IS NOT NULL GROUP BY gender" for lab in _GS_LIST)
+        f"WHERE {where} GROUP BY gender" for lab in _GS_LIST)
 
 
 _STRICT8 = ("coalesce(nullif(concat_ws(', ', " + ", ".join(
@@ -553,8 +553,7 @@ _GROUP = {
 _GROUP["glg"] = f"SELECT item_id, {_length_logits('text', 8)} FROM chosen"
 _GROUP["gpred"] = f"SELECT item_id, {_STRICT8} AS predicted_label FROM glg"
 _GROUP["gj"] = "SELECT g.item_id, g.predicted_label, p.gender FROM gpred g LEFT JOIN fx_posts p USING (item_id)"
-oracle("group_study", with_fx(["fx_posts"], _prevalence("gj WHERE gender IN ('Female', 'Male')")
-                              .replace("FROM gj WHERE gender IN ('Female', 'Male') WHERE", "FROM gj WHERE gender IN ('Female', 'Male') AND"),
+oracle("group_study", with_fx(["fx_posts"], _prevalence("gj", "gender IN ('Female', 'Male')"),
                               _GROUP))
 oracle("value_counts", with_fx(["fx_posts"], """
 SELECT predicted_label, count(*) AS count FROM gpred GROUP BY predicted_label""", _GROUP))

@@ -224,3 +224,47 @@ def test_clean_text_on_web_pages_matches_python_re(spark):
     assert got
     for html, cleaned in got.values():
         assert cleaned == py_clean(html)
+
+
+def plain_early_stop_max(scores, patience, min_delta, warmup, steps):
+    best, best_step, counter = None, 0, 0
+    for s, step in zip(scores, steps):
+        if step < warmup:
+            continue
+        if best is None:
+            best = s
+            continue
+        if s > best + min_delta:
+            best, best_step, counter = s, step, 0
+        else:
+            counter += 1
+            if counter >= patience:
+                return best, best_step, step
+    return best, best_step, None
+
+
+def test_early_stop_max_mode(spark):
+    rnd = random.Random(11)
+    rows, runs = [], {}
+    for run in range(30):
+        scores = [round(rnd.random(), 3) for _ in range(rnd.choice([2, 15, 40]))]
+        steps = [5 * i for i in range(len(scores))]
+        runs[run] = (scores, steps)
+        rows += [(run, st_, s) for s, st_ in zip(scores, steps)]
+    df = spark.createDataFrame(rows, "run_id long, step long, val_loss double")
+    out = {r["run_id"]: r for r in TR.early_stop(df, patience=3, min_delta=0.01, warmup=10,
+                                                   mode="max", chunk=4).collect()}
+    for run, (scores, steps) in runs.items():
+        best, best_step, stop = plain_early_stop_max(scores, 3, 0.01, 10, steps)
+        if best is None:
+            assert run not in out
+            continue
+        r = out[run]
+        assert (r["best_score"], r["best_step"], r["stop_step"]) == (best, best_step, stop), run
+
+
+def test_best_check_is_earliest_minimum(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 21, 0.3), (1, 41, 0.3), (1, 61, 0.4)],
+                               "run_id long, step long, val_loss double")
+    r = TR.best_check(df).first()
+    assert (r["best_step"], r["best_score"], r["n_checks"]) == (21, 0.3, 4)

@@ -35,3 +35,22 @@ def test_stream_restart_scores_only_new_files(spark, tmp_dir):
     assert first < len(s_rows)
     assert s_rows == b_rows
     assert streamed.select("item_id").distinct().count() == streamed.count()
+
+
+def test_stream_dedup_within_watermark(spark, tmp_dir):
+    from pyspark.sql import types as T
+    posts = fx.fx_posts(spark, SF).select(
+        "item_id", "cleaned_text", "doc_id",
+        (F.lit("2024-01-01 00:00:00").cast("timestamp")
+         + F.make_dt_interval(secs=F.col("doc_id").cast("int"))).alias("ts"))
+    src = os.path.join(tmp_dir, "src")
+    posts.where(F.col("doc_id") < 100).drop("doc_id").coalesce(1).write.parquet(src)
+    # the same ids again a few seconds later: inside the watermark, dropped
+    posts.where(F.col("doc_id") < 20).drop("doc_id").coalesce(1).write.mode("append").parquet(src)
+    schema = posts.drop("doc_id").schema
+    sink = os.path.join(tmp_dir, "sink")
+    stream_scoring(spark, src, schema, sink, os.path.join(tmp_dir, "ckpt"), LengthScorer(6),
+                   event_time="ts", watermark="1 hour")
+    out = spark.read.parquet(sink)
+    assert out.count() == 100
+    assert out.select("item_id").distinct().count() == 100
