@@ -174,3 +174,10 @@ def cached_or_compute(spark: SparkSession, path: str,
     except AnalysisException:
         compute().write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
+
+
+def store_annotated(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """Write an annotated set as parquet partitioned by ``split``, so a split
+    filter prunes whole directories before any file is opened."""
+    df.write.mode(mode).partitionBy("split").parquet(path)
+    return path

@@ -76,3 +76,20 @@ def test_consensus_is_one_aggregate_on_item(spark):
     text = plan(df)
     assert text.count("hashpartitioning(doc_id") == 1
     assert "partial_count" in text or "partial_sum" in text or "HashAggregate" in text
+
+
+def test_split_filter_prunes_partitions(spark, tmp_dir):
+    from labelspark.sources.annotated import store_annotated
+    path = store_annotated(fx.fx_posts(spark, SF_SMALL), os.path.join(tmp_dir, "annotated"))
+    df = C.filter_split(spark.read.parquet(path), "test")
+    text = formatted(df)
+    assert "PartitionFilters" in text and "DEV_EN" in text
+    assert {r["split"] for r in df.collect()} == {"DEV_EN"}
+
+
+def test_session_checkpoint_folder_is_honoured(spark, tmp_dir):
+    from labelspark.session import checkpoint_dir, materialise
+    current = checkpoint_dir(spark)
+    out = materialise(spark.range(3), "probe")
+    assert out.count() == 3
+    assert checkpoint_dir(spark) == current
