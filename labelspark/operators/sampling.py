@@ -31,14 +31,19 @@ def dedup_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -
     return agg.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, N)`` rows, the ``n`` smallest in seeded hash order.
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42,
+             hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exactly ``min(n, N)`` rows, the ``n`` first in seeded hash order.
 
-    Planned as a top-k (``TakeOrderedAndProject``): each partition keeps its
-    own ``n`` best rows, then the ``n`` best of those; no full sort.
+    Planned as a cutoff select, not a top-k: a top-k sends ``n`` rows from
+    every partition to one task (partitions x n rows at scale), while the
+    hash histogram finds the cutoff bucket and only that bucket is ranked.
     """
-    return (df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
-            .orderBy(HASH_COL, key, TIE_COL).limit(n).drop(HASH_COL, TIE_COL))
+    def take(counts):
+        return counts.select(F.least(F.lit(int(n)).cast("bigint"), F.col("_c")).alias("n_take"))
+
+    return cutoff_select(df, key, seed, take, flag="_taken", hot_rows=hot_rows) \
+        .where("_taken").drop("_taken")
 
 
 def sample_frac(df: DataFrame, frac: float, key: str, seed: int = 42,

@@ -268,3 +268,11 @@ def test_best_check_is_earliest_minimum(spark):
                                "run_id long, step long, val_loss double")
     r = TR.best_check(df).first()
     assert (r["best_step"], r["best_score"], r["n_checks"]) == (21, 0.3, 4)
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 500, 5000])
+def test_sample_n_exact(spark, n):
+    keys = [f"p{i}" for i in range(800)]
+    df = spark.createDataFrame([(k,) for k in keys], "item_id string")
+    got = sorted(r["item_id"] for r in S.sample_n(df, n, "item_id", seed=42).collect())
+    assert got == sorted(_md5_order(keys, 42)[:n])
