@@ -29,7 +29,7 @@ from labelspark.plans import jobs
 from labelspark.plans import train as TR
 from labelspark.plans.prepare import prepare_labels as _prepare
 from labelspark.session import checkpoint_dir
-from labelspark.streaming.scoring import LengthScorer, score, stream_scoring, with_predictions
+from labelspark.streaming.scoring import LengthScorer, score, stream_scoring
 from labelspark.scheme import DEFAULT_SCHEME, GROUP_STUDY_LABELS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelspark.plans.prepare import load_processed_data
 from labelspark.sources import annotated as A

@@ -4,7 +4,6 @@ the parquet scan, row-level rankings are partitioned by hash bucket."""
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from labelspark import fixtures as fx

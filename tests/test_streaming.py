@@ -38,7 +38,6 @@ def test_stream_restart_scores_only_new_files(spark, tmp_dir):
 
 
 def test_stream_dedup_within_watermark(spark, tmp_dir):
-    from pyspark.sql import types as T
     posts = fx.fx_posts(spark, SF).select(
         "item_id", "cleaned_text", "doc_id",
         (F.lit("2024-01-01 00:00:00").cast("timestamp")
