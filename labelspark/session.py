@@ -64,3 +64,31 @@ def materialise(df, name: str = "stage"):
     path = f"{base}/labelspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, executor_memory_gb: float = 16.0,
+                 cores_per_executor: int = 4, target_partition_mb: int = 256) -> dict[str, str]:
+    """Session settings sized for a large input (bytes of compressed parquet).
+
+    Scan splits and post-shuffle partitions aim at ``target_partition_mb``
+    each, with the per-core share of executor memory as the ceiling, so a
+    partition fits in memory; AQE coalesces small shuffle partitions and
+    splits skewed ones at run time; broadcasts stay at Spark's 10 MB unless
+    a size is proven.
+    """
+    per_core_mb = executor_memory_gb * 1024 * 0.6 / max(cores_per_executor, 1)
+    part_mb = int(max(32, min(target_partition_mb, per_core_mb / 2)))
+    # shuffled data is usually larger than the compressed scan: allow 3x
+    shuffle_parts = max(200, int(input_bytes * 3 / (part_mb << 20)))
+    return {
+        "spark.sql.files.maxPartitionBytes": f"{part_mb}m",
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{part_mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{part_mb * 4}m",
+        "spark.sql.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+        "spark.sql.session.timeZone": "UTC",
+    }

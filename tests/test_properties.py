@@ -276,3 +276,44 @@ def test_sample_n_exact(spark, n):
     df = spark.createDataFrame([(k,) for k in keys], "item_id string")
     got = sorted(r["item_id"] for r in S.sample_n(df, n, "item_id", seed=42).collect())
     assert got == sorted(_md5_order(keys, 42)[:n])
+
+
+@pytest.mark.parametrize("parts", [1, 5, 16])
+def test_positions_and_split_invariant_under_repartition(spark, parts):
+    rows = [(i, i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, y int")
+    base = {r["key"]: r["pos"] for r in hash_positions(df, "key", 2).collect()}
+    again = {r["key"]: r["pos"] for r in hash_positions(df.repartition(parts), "key", 2).collect()}
+    assert base == again
+    s1 = {r["key"]: r["part"] for r in S.stratified_split(df, "y", 0.2, "key", 5).collect()}
+    s2 = {r["key"]: r["part"] for r in S.stratified_split(df.repartition(parts), "y", 0.2, "key", 5).collect()}
+    assert s1 == s2
+
+
+def test_score_cuts_model_batches(spark):
+    from labelspark.streaming.scoring import score
+
+    class CountingScorer:
+        def __call__(self):
+            import numpy as np
+
+            def fn(texts):
+                n = len(texts)
+                assert n <= 7
+                return np.zeros((n, 2)), np.full((n, 6), float(n))
+            return fn
+
+    df = spark.createDataFrame([(str(i), "t" * i) for i in range(50)], "item_id string, text string")
+    out = score(df.coalesce(1), CountingScorer(), keep=["item_id"], batch_size=7,
+                arrow_batch_rows=20).collect()
+    assert len(out) == 50
+    # Arrow batches of 20, 20, 10 rows cut into model batches of 7, 7, 6 / 7, 3
+    assert sorted({int(r["category_logits"][0]) for r in out}) == [3, 6, 7]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cluster_conf_sizes_partitions():
+    from labelspark.session import cluster_conf
+    conf = cluster_conf(100 * 1024 ** 4, executor_memory_gb=16, cores_per_executor=4)
+    assert int(conf["spark.sql.shuffle.partitions"]) > 100_000
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
