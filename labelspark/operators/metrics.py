@@ -49,7 +49,8 @@ def class_weights(df: DataFrame, label_col: str, names: Sequence[str], level: in
 
 
 def weights_vector(weights_long: DataFrame) -> Column:
-    """Long class-weight frame -> ``array<double>`` scalar subquery column."""
+    """Long class-weight frame (one row per label) -> ``array<double>``
+    scalar subquery column."""
     arr = weights_long.agg(F.transform(
         F.sort_array(F.collect_list(F.struct("label_index", "weight"))),
         lambda s: s["weight"]).alias("w"))

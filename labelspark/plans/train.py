@@ -186,6 +186,8 @@ def early_stop(log: DataFrame, patience: int = 10, min_delta: float = 0.001, war
     own = numbered.withColumn("_chunk", F.floor(F.col("k") / chunk)).withColumn("_halo", F.lit(False))
     halo = (numbered.where(F.col("k") % chunk < patience).where(F.col("k") >= chunk)
             .withColumn("_chunk", F.floor(F.col("k") / chunk) - 1).withColumn("_halo", F.lit(True)))
+    # the frame holds at most ``patience`` checks; a window partition holds at
+    # most ``chunk + patience`` checks, however long the run
     w = (Window.partitionBy(run, "_chunk").orderBy("k").rowsBetween(1, patience))
     ahead = own.unionByName(halo).withColumn("_next", F.collect_list(F.struct("k", score)).over(w))
     best_col = F.col(score)
@@ -194,15 +196,14 @@ def early_stop(log: DataFrame, patience: int = 10, min_delta: float = 0.001, war
         F.try_element_at(F.filter("_next", lambda x: _improves(x[score], best_col, mode, min_delta)),
                          F.lit(1))["k"]
         .alias("_nxt"))
-    spark = log.sparkSession
     # one materialisation of the successor table feeds every doubling round
     nxt = materialise(nxt, "early-stop")
     nodes = nxt.select(run, "k", F.coalesce("_nxt", "k").alias("_j"))
     longest = nodes.agg(F.max("k").alias("m")).first()["m"]
     rounds = max(1, math.ceil(math.log2((longest or 0) + 2)))
     # each round joins the table with itself, so the plan doubles per round;
-    # a checkpoint every third round keeps it small and bounds the work a
-    # lost executor can cost
+    # writing it out every third round keeps the plan small and bounds the
+    # work a lost executor can cost
     for r in range(rounds):
         a = nodes.alias("a")
         b = nodes.select(F.col(run).alias("_r"), F.col("k").alias("_k"), F.col("_j").alias("_jj"))
