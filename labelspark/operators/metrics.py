@@ -213,28 +213,44 @@ def _extra_categories(labels: Column, n: int) -> Column:
     return F.greatest(n_cat - 1, F.lit(0))
 
 
-def icm_sums(gold: Column, preds: dict[str, Column], n: int = 6) -> list[Column]:
-    """Aggregates from which ICM follows without a second pass.
+def icm_row_cols(gold: Column, preds: dict[str, Column], n: int = 6) -> list[Column]:
+    """Per-row label indicators ICM is summed from (scalar columns, so the
+    aggregate itself stays small): gold labels ``_g<i>``, whether any
+    category is set ``_gpar``, the parent corrections ``_xg`` / ``_xp_*`` /
+    ``_xu_*``, and per prediction its labels ``_p_*_<i>`` and the union with
+    gold ``_u_*_<i>``."""
+    def ind(arr, i):
+        return (F.element_at(arr, i + 1) == 1).cast("int")
+
+    def extra(cols):
+        return F.greatest(sum(cols[2:], cols[1]) - 1, F.lit(0))
+
+    g = [ind(gold, i) for i in range(n)]
+    out = [c.alias(f"_g{i}") for i, c in enumerate(g)]
+    out += [F.greatest(*g[1:]).alias("_gpar"), extra(g).alias("_xg")]
+    for name, pred in preds.items():
+        p = [ind(pred, i) for i in range(n)]
+        u = [F.greatest(a, b) for a, b in zip(g, p)]
+        out += [c.alias(f"_p_{name}_{i}") for i, c in enumerate(p)]
+        out += [c.alias(f"_u_{name}_{i}") for i, c in enumerate(u)]
+        out += [extra(p).alias(f"_xp_{name}"), extra(u).alias(f"_xu_{name}")]
+    return out
+
+
+def icm_aggs(names, n: int = 6) -> list[Column]:
+    """Sums over ``icm_row_cols`` from which ICM follows without a second
+    pass.
 
     IC of a set is linear in the node ICs, so the mean ICM term is a linear
     combination of label frequencies: the priors (gold frequencies) and,
     per prediction, the frequencies of predicted and union labels and the
-    mean parent correction. All are sums in one aggregate.
+    mean parent correction.
     """
-    def ind(arr, i):
-        return (F.element_at(arr, i + 1) == 1).cast("long")
-
-    aggs = [F.count(F.lit(1)).alias("_N"),
-            F.count_if(F.exists(F.slice(gold, 2, n - 1), lambda x: x == 1)).alias("_gpar"),
-            F.sum(_extra_categories(gold, n)).alias("_xg")]
-    aggs += [F.sum(ind(gold, i)).alias(f"_g{i}") for i in range(n)]
-    for name, pred in preds.items():
-        union = union_labels(gold, pred)
-        aggs += [F.sum(ind(pred, i)).alias(f"_p_{name}_{i}") for i in range(n)]
-        aggs += [F.sum(ind(union, i)).alias(f"_u_{name}_{i}") for i in range(n)]
-        aggs += [F.sum(_extra_categories(pred, n)).alias(f"_xp_{name}"),
-                 F.sum(_extra_categories(union, n)).alias(f"_xu_{name}")]
-    return aggs
+    cols = ["_gpar", "_xg"] + [f"_g{i}" for i in range(n)]
+    for name in names:
+        cols += [f"_p_{name}_{i}" for i in range(n)] + [f"_u_{name}_{i}" for i in range(n)]
+        cols += [f"_xp_{name}", f"_xu_{name}"]
+    return [F.count(F.lit(1)).alias("_N")] + [F.sum(c).alias(c) for c in cols]
 
 
 def icm_from_sums(name: str, n: int = 6) -> Column:
@@ -254,8 +270,8 @@ def icm_from_sums(name: str, n: int = 6) -> Column:
 
 def icm(df: DataFrame, gold: str = "y_cat", pred: str = "pred_category", n: int = 6) -> DataFrame:
     """ICM of predictions against gold (A13), one pass; priors from gold."""
-    row = df.agg(*icm_sums(F.col(gold), {"pred": F.col(pred)}, n))
-    return row.select(icm_from_sums("pred", n).alias("icm"))
+    rows = df.select(*icm_row_cols(F.col(gold), {"pred": F.col(pred)}, n))
+    return rows.agg(*icm_aggs(["pred"], n)).select(icm_from_sums("pred", n).alias("icm"))
 
 
 MINORITY_VECTOR = (0, 0, 0, 0, 1, 0)
@@ -269,5 +285,5 @@ def icm_baselines(df: DataFrame, gold: str = "y_cat", pred: str = "pred_category
     majority = F.array(F.lit(1), *[F.lit(0) for _ in range(n - 1)])
     minor = F.array(*[F.lit(int(v)) for v in minority])
     preds = {"gold": g, "majority": majority, "minority": minor, "predicted": F.col(pred)}
-    row = df.agg(*icm_sums(g, preds, n))
+    row = df.select(*icm_row_cols(g, preds, n)).agg(*icm_aggs(list(preds), n))
     return _unpivot(row, [({"prediction": k}, {"icm": icm_from_sums(k, n)}) for k in preds])

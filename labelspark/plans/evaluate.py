@@ -47,21 +47,26 @@ def evaluation_report(ev: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME,
     lb, lc = M.loss_columns(F.col("b"), F.col("y_bin"), F.col("c"), F.col("y_cat"),
                             gamma_binary, gamma_category)
     g, p = F.col("y_cat"), F.col("pred_category")
-    pb = F.col("pred_binary")
-    yb = F.col("y_bin")
     majority = F.array(F.lit(1), *[F.lit(0) for _ in range(n - 1)])
     minority = F.array(*[F.lit(v) for v in M.MINORITY_VECTOR])
-    aggs = M.loss_aggs(lb, lc, yb) + [
+    preds = {"predicted": p, "gold": g, "majority": majority, "minority": minority}
+    # per-row values first, so the one aggregate sums plain columns
+    rows = ev.select(lb.alias("_lb"), lc.alias("_lc"), F.col("y_bin"), F.col("pred_binary"),
+                     *[(F.element_at(g, i + 1) == 1).alias(f"_gi{i}") for i in range(n)],
+                     *[(F.element_at(p, i + 1) == 1).alias(f"_pi{i}") for i in range(n)],
+                     *M.icm_row_cols(g, preds, n))
+    pb, yb = F.col("pred_binary"), F.col("y_bin")
+    aggs = M.loss_aggs(F.col("_lb"), F.col("_lc"), yb) + [
         F.count_if((pb == 1) & (yb == 1)).alias("btp"),
         F.count_if((pb == 1) & (yb == 0)).alias("bfp"),
         F.count_if((pb == 0) & (yb == 1)).alias("bfn"),
-    ] + M.icm_sums(g, {"predicted": p, "gold": g, "majority": majority, "minority": minority}, n)
+    ] + M.icm_aggs(list(preds), n)
     for i in range(n):
-        gi, pi = F.element_at(g, i + 1), F.element_at(p, i + 1)
-        aggs += [F.count_if((gi == 1) & (pi == 1)).alias(f"tp{i}"),
-                 F.count_if((gi != 1) & (pi == 1)).alias(f"fp{i}"),
-                 F.count_if((gi == 1) & (pi != 1)).alias(f"fn{i}")]
-    row = ev.agg(*aggs)
+        gi, pi = F.col(f"_gi{i}"), F.col(f"_pi{i}")
+        aggs += [F.count_if(gi & pi).alias(f"tp{i}"),
+                 F.count_if(~gi & pi).alias(f"fp{i}"),
+                 F.count_if(gi & ~pi).alias(f"fn{i}")]
+    row = rows.agg(*aggs)
     f1s = [M._f1(F.col(f"tp{i}"), F.col(f"fp{i}"), F.col(f"fn{i}")) for i in range(n)]
     sup = [F.col(f"tp{i}") + F.col(f"fn{i}") for i in range(n)]
     total_sup = sum(sup[1:], sup[0])
