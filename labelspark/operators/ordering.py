@@ -128,8 +128,8 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str,
     pass over the input.
 
     No global sort and no whole stratum in one window. Pass 1 is the hash
-    histogram; whole buckets below the cutoff are flagged by a join against
-    it. Only the cutoff bucket of each stratum needs ranking: its rows (about
+    histogram, reduced to a small per-bucket status table that is written
+    once; whole buckets below the cutoff are flagged by a join against it. Only the cutoff bucket of each stratum needs ranking: its rows (about
     ``rows / 16**digits`` per stratum) are written once to the shared
     checkpoint folder (pass 2) and ranked there, split again if one key
     makes the bucket hot. Pass 3 streams every other row through.
@@ -158,16 +158,20 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str,
          .when(F.col("_before") >= F.col("n_take"), F.lit("none"))
          .otherwise(F.lit("part")).alias("_status"),
         (F.col("n_take") - F.col("_before")).alias("_rest"))
-    # the bucket table has at most 16**digits rows per stratum. Without
-    # strata that bound is proven and it is broadcast; with strata, AQE
-    # measures it after the histogram stage and broadcasts it only if small
+    # the bucket table (at most 16**digits rows per stratum) is written once,
+    # so pass 1 runs once for both later passes, and the planner sees its
+    # true size: without strata the bound is proven and it is broadcast;
+    # with strata it is broadcast only if its measured size is small
+    status = materialise(status, "cutoff-buckets")
     if not strata:
         status = F.broadcast(status)
     joined = with_h.join(status, [*strata, BUCKET_COL])
     whole = (joined.where(F.col("_status") != "part")
              .withColumn(flag, F.col("_status") == "all"))
     part_rows = materialise(joined.where(F.col("_status") == "part").drop(BUCKET_COL), "cutoff")
-    refine = [F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
+    # a bucket can only be hot if the written cutoff rows outnumber hot_rows
+    refine = ([F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
+              if part_rows.count() > hot_rows else None)
     part = dense_positions(part_rows, [HASH_COL, key, TIE_COL],
                            hash_bucket(F.col(HASH_COL), digits), group=strata, out="_rank",
                            refine=refine, hot_rows=hot_rows)
