@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelspark.operators.ordering import (HASH_COL, HOT_ROWS, TIE_COL, cutoff_select,
-                                           hash_positions, row_hash, seeded_hash)
+from labelspark.operators.ordering import (BUCKET_COL, HASH_COL, HOT_ROWS, TIE_COL,
+                                           cutoff_select, hash_bucket, hash_positions, row_hash,
+                                           seeded_hash)
 
 
 def dedup_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -35,10 +36,30 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42,
              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exactly ``min(n, N)`` rows, the ``n`` first in seeded hash order.
 
-    Planned as a cutoff select, not a top-k: a top-k sends ``n`` rows from
-    every partition to one task (partitions x n rows at scale), while the
-    hash histogram finds the cutoff bucket and only that bucket is ranked.
+    A plain top-k would send ``n`` rows from every partition into one task.
+    Instead pass 1 builds the hash histogram (at most 16**4 rows, written
+    once) and finds the bucket where the ``n``-th row falls; pass 2 keeps
+    only rows up to that bucket (about ``n + N / 65,536`` rows) and takes
+    the top ``n`` of those. If one repeated key makes those buckets hold more
+    than ``n + hot_rows`` rows, the exact cutoff select is used instead.
     """
+    from labelspark.session import materialise
+
+    with_h = (df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
+              .withColumn(BUCKET_COL, hash_bucket(F.col(HASH_COL))))
+    hist = materialise(with_h.groupBy(BUCKET_COL).agg(F.count(F.lit(1)).alias("_n")),
+                       "sample-hist")
+    w = Window.partitionBy(F.lit(0)).orderBy(BUCKET_COL) \
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = (hist.withColumn("_incl", F.sum("_n").over(w)).where(F.col("_incl") >= n)
+           .agg(F.min(BUCKET_COL).alias("b"), F.min("_incl").alias("upto")).first())
+    if cut["b"] is None:  # n >= N: every row
+        return df
+    if cut["upto"] <= n + hot_rows:
+        return (with_h.where(F.col(BUCKET_COL) <= F.lit(int(cut["b"])))
+                .orderBy(HASH_COL, key, TIE_COL).limit(n)
+                .drop(HASH_COL, TIE_COL, BUCKET_COL))
+
     def take(counts):
         return counts.select(F.least(F.lit(int(n)).cast("bigint"), F.col("_c")).alias("n_take"))
 

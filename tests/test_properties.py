@@ -317,3 +317,13 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 * 1024 ** 4, executor_memory_gb=16, cores_per_executor=4)
     assert int(conf["spark.sql.shuffle.partitions"]) > 100_000
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_sample_n_hot_key_falls_back_to_cutoff(spark):
+    rows = [("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "item_id string, v int")
+    order = _md5_order(sorted({k for k, _ in rows}), 3)
+    flat = [k for k in order for _ in range(sum(1 for kk, _ in rows if kk == k))]
+    for n in (5, 150, 399):
+        got = sorted(r["item_id"] for r in S.sample_n(df, n, "item_id", seed=3, hot_rows=10).collect())
+        assert got == sorted(flat[:n])
