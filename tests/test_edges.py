@@ -64,3 +64,12 @@ def test_one_stratum_split_and_frac_rounding(spark):
     assert parts.count("held_out") == 3          # ceil(0.5 * 5)
     assert S.sample_frac(df, 0.5, "key").count() == 2   # round half to even: round(2.5) = 2
     assert S.sample_frac(spark.range(7).withColumnRenamed("id", "key"), 0.5, "key").count() == 4
+
+
+def test_observed_stage_counts(spark):
+    from labelspark.operators.reports import observe_rows
+    df = spark.range(100)
+    a, obs_a = observe_rows(df, "all")
+    b, obs_b = observe_rows(a.where(F.col("id") % 3 == 0), "kept")
+    b.write.format("noop").mode("overwrite").save()
+    assert obs_a.get["rows"] == 100 and obs_b.get["rows"] == 34
