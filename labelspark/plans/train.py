@@ -46,7 +46,10 @@ class TwoHeadModel:
         A two-class softmax over ``[0, m]`` gives the head's probability
         ``sigmoid(m)``, so M3 applies unchanged.
         """
-        feats = self.features.transform(df)
+        # the tokenizer rejects null text: score it as empty, give it back as is
+        src = df.withColumn("_text_in", F.col("text")).withColumn(
+            "text", F.coalesce(F.col("text"), F.lit("")))
+        feats = self.features.transform(src)
         out = self.binary.transform(feats).withColumn(
             "_mb", vector_to_array("rawPrediction")[1]).drop(
             "rawPrediction", "probability", "prediction")
@@ -60,7 +63,7 @@ class TwoHeadModel:
                           .drop("rawPrediction", "probability", "prediction")
             cat_cols.append(name)
         return out.select(
-            *[c for c in df.columns],
+            *[F.col("_text_in").alias(c) if c == "text" else F.col(c) for c in df.columns],
             F.array(F.lit(0.0), F.col("_mb")).alias("binary_logits"),
             F.array(*[F.col(c) for c in cat_cols]).alias("category_logits"))
 
@@ -133,8 +136,7 @@ def train_two_head(train: DataFrame, key: str = "doc_id", scheme: LabelScheme =
 
 def predict_two_head(model: TwoHeadModel, df: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
     """Score rows with a fitted model and apply M3."""
-    scored = model.transform(df.withColumn("text", F.coalesce("text", F.lit(""))))
-    return with_predictions(scored, scheme.n_categories)
+    return with_predictions(model.transform(df), scheme.n_categories)
 
 
 # ---------------------------------------------------------------- M8
