@@ -27,9 +27,11 @@ HOT_ROWS = 1 << 20  # rows one ranking window may hold before it is split
 
 
 def seeded_hash(key: Column | str, seed: int | str) -> Column:
-    """``md5(concat(seed, ':', key))`` as lowercase hex."""
+    """``md5(concat(seed, ':', key))`` as lowercase hex; a null key hashes
+    like the empty string (null keys are then ties, broken by the row hash)."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), key.cast("string")))
+    return F.md5(F.concat(F.lit(str(seed)), F.lit(":"),
+                          F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def hash_bucket(h: Column, digits: int = 4) -> Column:
@@ -48,6 +50,19 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` where null matches null (a null group or
+    stratum is a group like any other); keeps one copy of each key column."""
+    cols = list(cols)
+    r = right.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(cols)],
+                     *[c for c in right.columns if c not in cols])
+    cond = None
+    for i, c in enumerate(cols):
+        e = left[c].eqNullSafe(r[f"_r{i}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r{i}" for i in range(len(cols))])
+
+
 def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column,
                     group: Sequence[str] = (), out: str = "pos",
                     refine: Sequence[Column] | None = None,
@@ -86,7 +101,7 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
     if hot_exists:
         hot = hist.where(F.col("_n") > hot_rows).select(*group, BUCKET_COL,
                                                         F.lit(True).alias("_hot"))
-        with_b = (with_b.join(F.broadcast(hot), [*group, BUCKET_COL], "left")
+        with_b = (_join_on(with_b, F.broadcast(hot), [*group, BUCKET_COL], "left")
                   .withColumn("_sub", F.when(F.col("_hot"), F.struct(*refine)))
                   .drop("_hot"))
         pieces = with_b.where(F.col("_sub").isNotNull()).groupBy(*group, BUCKET_COL, "_sub") \
@@ -97,13 +112,13 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
                                   F.coalesce(F.sum("_m").over(w_piece), F.lit(0)).alias("_off2"))
         w_in = Window.partitionBy(*group, BUCKET_COL, "_sub").orderBy(*_cols(order))
         ranked = (with_b.withColumn("_local", F.row_number().over(w_in))
-                  .join(piece_off, [*group, BUCKET_COL, "_sub"], "left")
+                  .transform(lambda d: _join_on(d, piece_off, [*group, BUCKET_COL, "_sub"], "left"))
                   .withColumn("_local", F.coalesce("_off2", F.lit(0)) + F.col("_local"))
                   .drop("_sub", "_off2"))
     else:
         w_in = Window.partitionBy(*group, BUCKET_COL).orderBy(*_cols(order))
         ranked = with_b.withColumn("_local", F.row_number().over(w_in))
-    return (ranked.join(offsets, [*group, BUCKET_COL])
+    return (_join_on(ranked, offsets, [*group, BUCKET_COL])
             .withColumn(out, (F.col("_off") + F.col("_local") - 1).cast("bigint"))
             .drop(BUCKET_COL, "_off", "_local"))
 
@@ -148,7 +163,7 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str,
     cum = hist.withColumn("_incl", F.sum("_n").over(w))
     cum = cum.withColumn("_before", F.col("_incl") - F.col("_n"))
     if strata:
-        cum = cum.join(take_sel, strata)
+        cum = _join_on(cum, take_sel, strata)
     else:
         # one row: a scalar subquery, evaluated once and inlined
         cum = cum.withColumn("n_take", take_sel.select("n_take").scalar())
@@ -165,7 +180,7 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str,
     status = materialise(status, "cutoff-buckets")
     if not strata:
         status = F.broadcast(status)
-    joined = with_h.join(status, [*strata, BUCKET_COL])
+    joined = _join_on(with_h, status, [*strata, BUCKET_COL])
     whole = (joined.where(F.col("_status") != "part")
              .withColumn(flag, F.col("_status") == "all"))
     part_rows = materialise(joined.where(F.col("_status") == "part").drop(BUCKET_COL), "cutoff")

@@ -73,3 +73,16 @@ def test_observed_stage_counts(spark):
     b, obs_b = observe_rows(a.where(F.col("id") % 3 == 0), "kept")
     b.write.format("noop").mode("overwrite").save()
     assert obs_a.get["rows"] == 100 and obs_b.get["rows"] == 34
+
+
+def test_null_keys_and_groups_keep_their_rows(spark):
+    from labelspark.operators.ordering import dense_positions
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "key string, v int")
+    pos = sorted(r["pos"] for r in hash_positions(df, "key", 1).collect())
+    assert pos == [0, 1, 2, 3]
+    g = spark.createDataFrame([(None, 5), (None, 1), (1, 2)], "g long, step long")
+    out = dense_positions(g, ["step"], F.col("step"), group=["g"], out="k").collect()
+    assert sorted((r["g"], r["step"], r["k"]) for r in out if r["g"] is None) == [(None, 1, 0), (None, 5, 1)]
+    split = S.stratified_split(spark.createDataFrame([(i, None) for i in range(10)], "key long, y int"),
+                               "y", 0.3, "key")
+    assert split.count() == 10
