@@ -78,16 +78,6 @@ def overall_drift(per_row: DataFrame) -> DataFrame:
     return per_row.agg(F.max("max_abs_diff").alias("max_abs_diff"))
 
 
-def observe_rows(df: DataFrame, name: str):
-    """Count rows as they flow past, with no pass of their own (A20, in-pass
-    form): returns ``(df, observation)``; after any action on a plan built
-    on ``df``, ``observation.get["rows"]`` holds the count."""
-    from pyspark.sql import Observation
-
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
-
-
 def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Row count per named stage (A20): ``stage_no, stage, n_rows``."""
     out = None

@@ -66,15 +66,6 @@ def test_one_stratum_split_and_frac_rounding(spark):
     assert S.sample_frac(spark.range(7).withColumnRenamed("id", "key"), 0.5, "key").count() == 4
 
 
-def test_observed_stage_counts(spark):
-    from labelspark.operators.reports import observe_rows
-    df = spark.range(100)
-    a, obs_a = observe_rows(df, "all")
-    b, obs_b = observe_rows(a.where(F.col("id") % 3 == 0), "kept")
-    b.write.format("noop").mode("overwrite").save()
-    assert obs_a.get["rows"] == 100 and obs_b.get["rows"] == 34
-
-
 def test_null_keys_and_groups_keep_their_rows(spark):
     from labelspark.operators.ordering import dense_positions
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "key string, v int")
