@@ -19,11 +19,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASH_COL = "_h"
 BUCKET_COL = "_b"
 TIE_COL = "_t"
 HOT_ROWS = 1 << 20  # rows one ranking window may hold before it is split
+EXPAND_CHUNK = 1 << 16  # copies of one row emitted per task when expanding
 
 
 def seeded_hash(key: Column | str, seed: int | str) -> Column:
@@ -66,7 +68,7 @@ def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str =
 def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column,
                     group: Sequence[str] = (), out: str = "pos",
                     refine: Sequence[Column] | None = None,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    hot_rows: int = HOT_ROWS, expand_chunk: int = EXPAND_CHUNK) -> DataFrame:
     """Add a 0-based dense position by ``order`` (within ``group``).
 
     ``bucket`` must be an integer expression that never decreases along
@@ -78,7 +80,11 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
     bucket (a prefix of it, possibly coarsened). A bucket with more than
     ``hot_rows`` rows is then ranked in pieces, one per ``refine`` value, each
     piece offset by a histogram over the hot bucket's pieces. The list of hot
-    buckets has at most ``rows / hot_rows`` entries and is broadcast.
+    buckets has at most ``rows / hot_rows`` entries and is broadcast. Copies
+    (rows equal in every column) in a hot bucket are first collapsed to one
+    row and a count, ranked once, and expanded again in chunks of
+    ``expand_chunk`` rows spread over the cluster, so even a row copied
+    across a third of the table is never ranked or emitted by one task.
     """
     from labelspark.session import materialise
 
@@ -99,22 +105,8 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
         # at most 16**digits rows: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
     if hot_exists:
-        hot = hist.where(F.col("_n") > hot_rows).select(*group, BUCKET_COL,
-                                                        F.lit(True).alias("_hot"))
-        with_b = (_join_on(with_b, F.broadcast(hot), [*group, BUCKET_COL], "left")
-                  .withColumn("_sub", F.when(F.col("_hot"), F.struct(*refine)))
-                  .drop("_hot"))
-        pieces = with_b.where(F.col("_sub").isNotNull()).groupBy(*group, BUCKET_COL, "_sub") \
-                       .agg(F.count(F.lit(1)).alias("_m"))
-        w_piece = (Window.partitionBy(*group, BUCKET_COL).orderBy("_sub")
-                   .rowsBetween(Window.unboundedPreceding, -1))
-        piece_off = pieces.select(*group, BUCKET_COL, "_sub",
-                                  F.coalesce(F.sum("_m").over(w_piece), F.lit(0)).alias("_off2"))
-        w_in = Window.partitionBy(*group, BUCKET_COL, "_sub").orderBy(*_cols(order))
-        ranked = (with_b.withColumn("_local", F.row_number().over(w_in))
-                  .transform(lambda d: _join_on(d, piece_off, [*group, BUCKET_COL, "_sub"], "left"))
-                  .withColumn("_local", F.coalesce("_off2", F.lit(0)) + F.col("_local"))
-                  .drop("_sub", "_off2"))
+        ranked = _rank_with_hot_buckets(with_b, hist, order, group, refine, hot_rows,
+                                        expand_chunk)
     else:
         w_in = Window.partitionBy(*group, BUCKET_COL).orderBy(*_cols(order))
         ranked = with_b.withColumn("_local", F.row_number().over(w_in))
@@ -123,13 +115,55 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
             .drop(BUCKET_COL, "_off", "_local"))
 
 
+def _rank_with_hot_buckets(with_b: DataFrame, hist: DataFrame, order, group: list,
+                           refine, hot_rows: int, expand_chunk: int) -> DataFrame:
+    """1-based ``_local`` rank within (group, bucket) when some buckets are hot."""
+    hot = hist.where(F.col("_n") > hot_rows).select(*group, BUCKET_COL, F.lit(True).alias("_hot"))
+    flagged = _join_on(with_b, F.broadcast(hot), [*group, BUCKET_COL], "left")
+    cold = flagged.where(F.col("_hot").isNull()).drop("_hot")
+    w_cold = Window.partitionBy(*group, BUCKET_COL).orderBy(*_cols(order))
+    cold_ranked = cold.withColumn("_local", F.row_number().over(w_cold))
+    hot_rows_df = flagged.where(F.col("_hot").isNotNull()).drop("_hot")
+    cols = hot_rows_df.columns
+    # copies collapse to one row and a count (partial aggregation); map
+    # columns cannot be grouped, so rows holding one are ranked as they are
+    collapsible = not any(isinstance(f.dataType, T.MapType) for f in hot_rows_df.schema.fields)
+    if collapsible:
+        distinct = hot_rows_df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    else:
+        distinct = hot_rows_df.withColumn("_c", F.lit(1).cast("bigint"))
+    distinct = distinct.withColumn("_sub", F.struct(*refine))
+    pieces = distinct.groupBy(*group, BUCKET_COL, "_sub").agg(F.sum("_c").alias("_m"))
+    w_piece = (Window.partitionBy(*group, BUCKET_COL).orderBy("_sub")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    piece_off = pieces.select(*group, BUCKET_COL, "_sub",
+                              F.coalesce(F.sum("_m").over(w_piece), F.lit(0)).alias("_off2"))
+    w_rows = (Window.partitionBy(*group, BUCKET_COL, "_sub").orderBy(*_cols(order))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    distinct = distinct.withColumn("_before", F.coalesce(F.sum("_c").over(w_rows), F.lit(0)))
+    distinct = _join_on(distinct, piece_off, [*group, BUCKET_COL, "_sub"])
+    # expand: a chunk index per ``expand_chunk`` copies, chunks spread by hash,
+    # then each chunk emits its own copies
+    chunk = F.lit(int(expand_chunk))
+    chunks = distinct.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                           F.floor((F.col("_c") - 1) / chunk))))
+    chunks = chunks.repartition(F.xxhash64(*cols, "_k"))
+    rows = chunks.withColumn("_i", F.explode(F.sequence(
+        F.col("_k") * chunk, F.least((F.col("_k") + 1) * chunk, F.col("_c")) - 1)))
+    hot_ranked = (rows.withColumn("_local", F.col("_off2") + F.col("_before") + F.col("_i") + 1)
+                  .drop("_c", "_sub", "_off2", "_before", "_k", "_i"))
+    return cold_ranked.unionByName(hot_ranked)
+
+
 def hash_positions(df: DataFrame, key: str, seed: int | str, out: str = "pos",
-                   digits: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
+                   digits: int = 4, hot_rows: int = HOT_ROWS,
+                   expand_chunk: int = EXPAND_CHUNK) -> DataFrame:
     """Dense 0-based position of each row in seeded hash order."""
     with_h = df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
     refine = [F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
     return dense_positions(with_h, [HASH_COL, key, TIE_COL], hash_bucket(F.col(HASH_COL), digits),
-                           out=out, refine=refine, hot_rows=hot_rows).drop(HASH_COL, TIE_COL)
+                           out=out, refine=refine, hot_rows=hot_rows,
+                           expand_chunk=expand_chunk).drop(HASH_COL, TIE_COL)
 
 
 def cutoff_select(df: DataFrame, key: str, seed: int | str,

@@ -327,3 +327,26 @@ def test_sample_n_hot_key_falls_back_to_cutoff(spark):
     for n in (5, 150, 399):
         got = sorted(r["item_id"] for r in S.sample_n(df, n, "item_id", seed=3, hot_rows=10).collect())
         assert got == sorted(flat[:n])
+
+
+def test_copies_of_one_row_are_ranked_in_parallel_pieces(spark):
+    # one row copied 300 times (a third of the table), plus 600 distinct rows
+    rows = [("hot", 1)] * 300 + [(f"k{i}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "key string, v int")
+    out = hash_positions(df, "key", 9, digits=1, hot_rows=20, expand_chunk=16).collect()
+    assert len(out) == 900
+    assert sorted(r["pos"] for r in out) == list(range(900))
+    order = _md5_order(sorted({k for k, _ in rows}), 9)
+    start, expect = 0, {}
+    for k in order:
+        n = sum(1 for kk, _ in rows if kk == k)
+        expect[k] = set(range(start, start + n))
+        start += n
+    got = {}
+    for r in out:
+        got.setdefault(r["key"], set()).add(r["pos"])
+    assert got == expect
+    # the cutoff select keeps exact sizes when the cut falls inside the copies
+    keys = [r["key"] for r in S.sample_frac(df, 0.5, "key", seed=9, hot_rows=20).collect()]
+    flat = [k for k in order for _ in range(sum(1 for kk, _ in rows if kk == k))]
+    assert sorted(keys) == sorted(flat[:450])
