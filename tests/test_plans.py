@@ -4,6 +4,7 @@ the parquet scan, row-level rankings are partitioned by hash bucket."""
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from labelspark import fixtures as fx
@@ -92,3 +93,11 @@ def test_session_checkpoint_folder_is_honoured(spark, tmp_dir):
     out = materialise(spark.range(3), "probe")
     assert out.count() == 3
     assert checkpoint_dir(spark) == current
+
+
+def test_per_group_sample_limits_before_the_shuffle(spark):
+    from labelspark.operators.sampling import sample_per_group
+    df = spark.range(1000).select(F.col("id").alias("key"), (F.col("id") % 3).alias("g"))
+    text = formatted(sample_per_group(df, "g", 10, "key"))
+    # a partial group limit runs on the map side, so a hot group never arrives whole
+    assert text.count("WindowGroupLimit") >= 2
