@@ -115,7 +115,7 @@ def fx_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One validation log per user id, checks numbered in event order.
 
     Numbered with ``dense_positions`` bucketed by hour (an hour holding too
-    many events is split again by timestamp), so a user holding a large share
+    many events is split again by second), so a user holding a large share
     of events is still ranked in many small windows.
     """
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
@@ -123,7 +123,7 @@ def fx_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = (F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint") * 24
             + F.hour("ts"))
     pos = dense_positions(e, ["ts", "event_id"], hour, group=["user_id"], out="_pos",
-                          refine=[F.col("ts")])
+                          refine=[F.date_trunc("second", "ts")])
     return pos.select(F.col("user_id").alias("run_id"),
                       (F.col("_pos") + 1).cast("bigint").alias("check_no"),
                       F.col("value").alias("val_loss"))
