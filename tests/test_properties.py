@@ -350,3 +350,17 @@ def test_copies_of_one_row_are_ranked_in_parallel_pieces(spark):
     keys = [r["key"] for r in S.sample_frac(df, 0.5, "key", seed=9, hot_rows=20).collect()]
     flat = [k for k in order for _ in range(sum(1 for kk, _ in rows if kk == k))]
     assert sorted(keys) == sorted(flat[:450])
+
+
+def test_grouped_positions_with_hot_buckets(spark):
+    from labelspark.operators.ordering import dense_positions
+    rnd = random.Random(2)
+    rows = [(g, rnd.randint(0, 50), i) for i in range(600) for g in [0 if i < 400 else 1 + i % 3]]
+    df = spark.createDataFrame(rows, "g long, t long, id long")
+    out = dense_positions(df, ["t", "id"], F.floor(F.col("t") / 25), group=["g"], out="k",
+                          refine=[F.col("t")], hot_rows=15, expand_chunk=4).collect()
+    got = {(r["g"], r["id"]): r["k"] for r in out}
+    for g in {r[0] for r in rows}:
+        ordered = sorted((t, i) for gg, t, i in rows if gg == g)
+        for k, (_, i) in enumerate(ordered):
+            assert got[(g, i)] == k
