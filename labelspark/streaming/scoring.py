@@ -106,7 +106,8 @@ def with_predictions(scored: DataFrame, n: int = 6, threshold: float = 0.5) -> D
 def stream_scoring(spark, source_dir: str, schema: T.StructType, sink_dir: str,
                    checkpoint_location: str, scorer: ScorerFactory, key: str = "item_id",
                    event_time: str | None = None, watermark: str = "1 hour",
-                   max_files_per_trigger: int | None = None, batch_size: int = 32):
+                   max_files_per_trigger: int | None = None, batch_size: int = 32,
+                   rocksdb_state: bool = True):
     """Interruptible scoring (ST1): new post files under ``source_dir`` are
     scored, predicted and appended to ``sink_dir`` as parquet.
 
@@ -115,8 +116,14 @@ def stream_scoring(spark, source_dir: str, schema: T.StructType, sink_dir: str,
     file sink. Ids are deduplicated on ``key``: with ``event_time`` given,
     ``dropDuplicatesWithinWatermark`` keeps state bounded by the watermark;
     without it the dedup state grows with the number of distinct ids.
-    Runs with ``availableNow`` and returns after the backlog is done.
+    Runs with ``availableNow`` and returns after the backlog is done. With
+    ``rocksdb_state`` (and no provider chosen yet) the dedup state lives in
+    RocksDB, which keeps it off the JVM heap as the number of ids grows.
     """
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    if rocksdb_state and not spark.conf.get(provider, None):
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state."
+                                 "RocksDBStateStoreProvider")
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
