@@ -577,6 +577,16 @@ oracle("score_drift", with_fx(["fx_scores"], "SELECT doc_id, round(greatest(" +
     f"abs(({g}) - round(({g}) * 8) / 8)" for g in _GATED) + "), 6) AS max_abs_diff FROM fx_scores"))
 
 
+_SRC = {"l1": L1_COUNTS, "l2": L2_COUNTS,
+        "src": f"""SELECT p.item_id AS id, p.tweet AS text, {L1_STRING} AS binary_labels,
+  {L2_STRING} AS category_labels, n_no <> 3 AS b_ok, dash <> 3 AND (dash > 3 OR {ANY_K}) AS c_ok
+FROM fx_posts p JOIN l1 USING (doc_id) JOIN l2 USING (doc_id)"""}
+_SRC_SQL = with_fx(["fx_posts", "fx_votes1", "fx_votes2"], """
+SELECT id, text, binary_labels, category_labels FROM src WHERE b_ok AND c_ok""", _SRC)
+oracle("src_json", _SRC_SQL)
+oracle("src_csv", _SRC_SQL)
+
+
 # ---------------------------------------------------------------- training
 _LOG = {"lg": "SELECT run_id, (check_no - 1) * 20 + 1 AS step, val_loss FROM fx_metric_log"}
 oracle("best_check", with_fx(["fx_metric_log"], """

@@ -8,6 +8,7 @@ rounded to 6 places so the two engines can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,11 @@ from labelspark.operators.ordering import hash_positions
 from labelspark.plans import evaluate as ev_plan
 from labelspark.plans import jobs
 from labelspark.plans import train as TR
+from labelspark.plans.prepare import load_processed_data
 from labelspark.plans.prepare import prepare_labels as _prepare
 from labelspark.scheme import DEFAULT_SCHEME, GROUP_STUDY_LABELS
 from labelspark.session import checkpoint_dir
+from labelspark.sources import annotated as A
 from labelspark.streaming.scoring import LengthScorer, score, stream_scoring
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -507,7 +510,6 @@ def q_score_drift(spark, sf):
 def q_stream_scoring(spark, sf):
     """Streaming scoring run twice over a growing folder of post files: the
     second run scores only the new file, repeated ids are dropped."""
-    import uuid
     base = f"{checkpoint_dir(spark).rstrip('/')}/labelspark-stream-{uuid.uuid4().hex}"
     posts = fx.fx_posts(spark, sf).select("item_id", "cleaned_text", "doc_id")
     src, sink, ckpt = f"{base}/src", f"{base}/sink", f"{base}/ckpt"
@@ -523,6 +525,54 @@ def q_stream_scoring(spark, sf):
                       join_ints("pred_category").alias("pred_category"))
 
 
+def _annotated_rows(spark, sf):
+    """The fixture posts and votes in the annotated-set layout: per post the
+    level-1 labels by annotator and the level-2 label lists by annotator
+    (each list holds what one annotator gave one post)."""
+    v1, v2 = fx.fx_votes1(spark, sf), fx.fx_votes2(spark, sf)
+    l1 = v1.groupBy("doc_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("annotator", "label"))), lambda s: s["label"])
+        .alias("labels_task1_1"))
+    per_ann = v2.groupBy("doc_id", "annotator").agg(F.sort_array(F.collect_list("label")).alias("l"))
+    l2 = per_ann.groupBy("doc_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("annotator", "l"))), lambda s: s["l"])
+        .alias("labels_task1_3"))
+    posts = fx.fx_posts(spark, sf).select(F.col("item_id").alias("id"), "tweet", "split", "doc_id")
+    return posts.join(l1, "doc_id", "left").join(l2, "doc_id", "left").drop("doc_id")
+
+
+def _read_back_labels(spark, path):
+    kept, _ = load_processed_data(spark, path, split="all")
+    return kept.select("id", "text", join_ints("binary_labels").alias("binary_labels"),
+                       join_ints("category_labels").alias("category_labels"))
+
+
+@query("src_json")
+def q_src_json(spark, sf):
+    """Annotated set written as keyed JSON objects, read back, labelled."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/labelspark-annotated-{uuid.uuid4().hex}"
+    A.write_annotated_json_lines(_annotated_rows(spark, sf), f"{base}/exist.jsonkeyed")
+    raw = A.read_annotated_json(spark, f"{base}/exist.jsonkeyed", whole_file=False)
+    votes1, votes2 = A.annotated_votes(raw, "id")
+    labels = cons.consensus(votes1, votes2, item="id").where(
+        (F.col("binary_status") != "missing") & (F.col("category_status") != "missing"))
+    kept, _ = cons.drop_undecided(raw.select("id", "text").join(labels, "id"))
+    return kept.select("id", "text", join_ints("binary_labels").alias("binary_labels"),
+                       join_ints("category_labels").alias("category_labels"))
+
+
+@query("src_csv")
+def q_src_csv(spark, sf):
+    """Annotated set written as CSV with label lists as text, read back through
+    the loader (extension dispatch, list parsing, consensus)."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/labelspark-annotated-{uuid.uuid4().hex}"
+    rows = _annotated_rows(spark, sf).select(
+        "id", "tweet", "split", F.to_json("labels_task1_1").alias("labels_task1_1"),
+        F.to_json("labels_task1_3").alias("labels_task1_3"))
+    rows.write.option("header", True).option("escape", '"').csv(f"{base}/exist.csv")
+    return _read_back_labels(spark, f"{base}/exist.csv")
+
+
 # ---------------------------------------------------------------- training
 def _metric_log(spark, sf):
     log = fx.fx_metric_log(spark, sf)

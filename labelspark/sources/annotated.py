@@ -37,13 +37,15 @@ def _text_first(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_annotated_json(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
-    """One JSON object keyed by row id (S1); the key becomes ``id_col``.
+def read_annotated_json(spark: SparkSession, path: str, id_col: str = "id",
+                        whole_file: bool = True) -> DataFrame:
+    """JSON objects keyed by row id (S1); the key becomes ``id_col``.
 
-    A whole-file object cannot be split, so each file is one task; use
-    ``read_annotated_jsonl`` for large inputs. Keys stay strings.
+    ``whole_file``: one object per file, as the annotated sets ship (a file
+    cannot be split, so each file is one task). Otherwise one keyed object
+    per line, which splits like any text file. Keys stay strings.
     """
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=whole_file)
     rows = raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), RECORD)))
                       .alias(id_col, "_r"))
     return _text_first(rows.select(id_col, "_r.*"))
@@ -81,6 +83,14 @@ def read_annotated_csv(spark: SparkSession, path: str, id_col: str = "id") -> Da
     return _text_first(out)
 
 
+def write_annotated_json_lines(df: DataFrame, path: str, id_col: str = "id") -> str:
+    """Write annotated rows as one ``{"<id>": {record}}`` object per line."""
+    record = F.struct(*[F.col(f.name) for f in RECORD.fields if f.name in df.columns])
+    df.select(F.to_json(F.create_map(F.col(id_col).cast("string"), record)).alias("value")) \
+      .write.text(path)
+    return path
+
+
 def read_annotated(spark: SparkSession, path: str, dataset: str = "EXIST",
                    id_col: str = "id") -> DataFrame:
     """Dispatch on extension (S3): ``.json``, ``.jsonl``, ``.csv``, ``.tsv``.
