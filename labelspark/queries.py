@@ -603,7 +603,8 @@ def q_train_two_head(spark, sf):
 @query("trial_table")
 def q_trial_table(spark, sf):
     labelled, _ = _prepared(spark, sf)
-    return TR.trial_table(labelled, [{"reg_param": 0.0}, {"reg_param": 0.1}], key="doc_id")
+    grid = [{"reg_param": r, "num_features": 1 << 14, "max_iter": 20} for r in (0.0, 0.1)]
+    return TR.trial_table(labelled, grid, key="doc_id")
 
 
 FLAGSHIP = "scoring_job"
