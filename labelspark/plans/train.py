@@ -229,6 +229,24 @@ def early_stop(log: DataFrame, patience: int = 10, min_delta: float = 0.001, war
 
 
 # ---------------------------------------------------------------- M9
+_PARAM_NAMES = {"regParam": "reg_param", "maxIter": "max_iter", "numFeatures": "num_features"}
+
+
+def grid_from_param_maps(param_maps) -> list[dict]:
+    """``ParamGridBuilder().addGrid(lr.regParam, [...]).build()`` (with
+    ``LogisticRegression`` / ``HashingTF`` params) -> keyword grid for
+    ``trial_table``."""
+    grid = []
+    for pm in param_maps:
+        point = {}
+        for param, value in pm.items():
+            if param.name not in _PARAM_NAMES:
+                raise ValueError(f"unsupported parameter {param.name!r}; use {sorted(_PARAM_NAMES)}")
+            point[_PARAM_NAMES[param.name]] = value
+        grid.append(point)
+    return grid
+
+
 def trial_table(labelled: DataFrame, grid: Sequence[dict], key: str = "doc_id",
                 sample: float = 0.2, held_out: float = 0.10, seed: int = 42,
                 scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:

@@ -26,3 +26,14 @@ def test_two_head_model_feeds_evaluation(spark):
     # a YES-only head set: gated rows carry the negative one-hot
     neg = ev.where(F.col("pred_binary") == 0).select("pred_category").distinct().collect()
     assert all(r["pred_category"] == [1, 0, 0, 0, 0, 0] for r in neg)
+
+
+def test_param_grid_maps_to_trial_grid(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.tuning import ParamGridBuilder
+    lr, tf = LogisticRegression(), HashingTF()
+    maps = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).addGrid(tf.numFeatures, [1 << 12]).build()
+    grid = TR.grid_from_param_maps(maps)
+    assert sorted(g["reg_param"] for g in grid) == [0.0, 0.1]
+    assert all(g["num_features"] == 1 << 12 for g in grid)
