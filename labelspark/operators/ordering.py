@@ -10,7 +10,8 @@ hash: a histogram of rows per bucket (partial aggregation, at most
 inside a bucket are ranked against each other. Distinct keys spread evenly
 over buckets; a bucket made hot by one heavily repeated key (more than
 ``hot_rows`` rows) is split again by the key and the top bits of the row
-hash, with its own small histogram of offsets.
+hash, with its own small histogram of offsets, and copies of one row are
+collapsed to a count before ranking and expanded again afterwards.
 """
 
 from __future__ import annotations
@@ -178,10 +179,12 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str,
 
     No global sort and no whole stratum in one window. Pass 1 is the hash
     histogram, reduced to a small per-bucket status table that is written
-    once; whole buckets below the cutoff are flagged by a join against it. Only the cutoff bucket of each stratum needs ranking: its rows (about
+    once; whole buckets below the cutoff are flagged by a join against it.
+    Only the cutoff bucket of each stratum needs ranking: its rows (about
     ``rows / 16**digits`` per stratum) are written once to the shared
-    checkpoint folder (pass 2) and ranked there, split again if one key
-    makes the bucket hot. Pass 3 streams every other row through.
+    checkpoint folder (pass 2) and ranked there, split again if one key or
+    one copied row makes the bucket hot. Pass 3 streams every other row
+    through.
     """
     from labelspark.session import materialise
 
