@@ -90,7 +90,9 @@ def group_study(posts_raw: DataFrame, scorer: ScorerFactory,
     posts = harmonise_posts(posts_raw)
     chosen = sample_n(filter_posts(posts.dropna(subset=["text"])), n, "item_id", seed)
     preds = predictions if predictions is not None else group_scores(chosen, scorer, labels)
-    joined = reports.join_demographics(preds, posts, "item_id", ("gender",))
+    # at most n predictions: a proven bound, so their ids may be broadcast
+    joined = reports.join_demographics(preds, posts, "item_id", ("gender",),
+                                       preds_bounded=predictions is None)
     prevalence = reports.prevalence_by_group(joined, "gender", "predicted_label", labels,
                                              match=match, groups=groups)
     return prevalence, preds

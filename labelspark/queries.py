@@ -480,7 +480,9 @@ def q_value_counts(spark, sf):
 @query("join_demographics")
 def q_join_demographics(spark, sf):
     _, preds = _group_study(spark, sf)
-    return R.join_demographics(preds, fx.fx_posts(spark, sf), "item_id", ("gender",))
+    # the group study's predictions are a drawn sample of at most n posts
+    return R.join_demographics(preds, fx.fx_posts(spark, sf), "item_id", ("gender",),
+                               preds_bounded=True)
 
 
 @query("join_predictions")
