@@ -69,13 +69,15 @@ def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str =
 def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column,
                     group: Sequence[str] = (), out: str = "pos",
                     refine: Sequence[Column] | None = None,
-                    hot_rows: int = HOT_ROWS, expand_chunk: int = EXPAND_CHUNK) -> DataFrame:
+                    hot_rows: int = HOT_ROWS, expand_chunk: int = EXPAND_CHUNK,
+                    hist: DataFrame | None = None) -> DataFrame:
     """Add a 0-based dense position by ``order`` (within ``group``).
 
     ``bucket`` must be an integer expression that never decreases along
     ``order`` inside a group. Rows are ranked only within (group, bucket);
     bucket offsets come from a histogram whose size is bounded by the number
-    of buckets per group.
+    of buckets per group (``hist``: one already computed, with the group
+    columns, ``_b`` and the row count ``_n``).
 
     ``refine`` lists columns whose order agrees with ``order`` inside a
     bucket (a prefix of it, possibly coarsened). A bucket with more than
@@ -91,12 +93,15 @@ def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column
 
     group = list(group)
     with_b = df.withColumn(BUCKET_COL, bucket)
-    hist = with_b.groupBy(*group, BUCKET_COL).agg(F.count(F.lit(1)).alias("_n"))
+    if hist is None:
+        hist = with_b.groupBy(*group, BUCKET_COL).agg(F.count(F.lit(1)).alias("_n"))
+        if refine:
+            # the histogram is small: write it once
+            hist = materialise(hist, "positions-hist")
     hot_exists = False
     if refine:
-        # the histogram is small: write it once, then look for hot buckets
-        # in it; without hot buckets the input is read only once more
-        hist = materialise(hist, "positions-hist")
+        # look for hot buckets in the histogram; without them the input is
+        # read only once more
         hot_exists = bool(hist.where(F.col("_n") > hot_rows).limit(1).count())
     w_off = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0)))
     w_off = w_off.orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.operators.ordering import hash_positions
+from labelspark.operators.ordering import (BUCKET_COL, HASH_COL, HOT_ROWS, TIE_COL,
+                                           dense_positions, hash_bucket, row_hash, seeded_hash)
+from labelspark.session import materialise
 
 ID_CANDIDATES = ("comment_id", "item_id", "data_id")
 TEXT_CANDIDATES = ("cleaned_text", "tweet")
@@ -53,18 +55,28 @@ def ids_all_integers(df: DataFrame, key: str = "item_id") -> bool:
 
 
 def surrogate_ids(df: DataFrame, key: str = "item_id", seed: int = 51, out: str = "data_id",
-                  all_integers: bool | None = None) -> DataFrame:
+                  all_integers: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Integer id per row.
 
     If every key parses as an integer, the parsed value is the id. Otherwise
     every row gets a dense, deterministic id ``1..N`` in seeded hash order of
     the key (the reference draws unique random integers; ours are unique and
-    reproducible). The decision is one small aggregate; the dense path is a
-    histogram plus a bucketed ranking (see ``ordering``), no global sort.
+    reproducible). One pass builds the hash histogram and counts unparsable
+    keys together; the dense path then ranks inside hash buckets (see
+    ``ordering``), with no global sort.
     """
-    if all_integers is None:
-        all_integers = ids_all_integers(df, key)
-    if all_integers:
-        return df.withColumn(out, F.col(key).cast("string").try_cast("bigint"))
-    return hash_positions(df, key, seed, out="_pos").withColumn(
-        out, (F.col("_pos") + 1).cast("bigint")).drop("_pos")
+    parsed = F.col(key).cast("string").try_cast("bigint")
+    if all_integers is True:
+        return df.withColumn(out, parsed)
+    with_h = (df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
+              .withColumn(BUCKET_COL, hash_bucket(F.col(HASH_COL))))
+    hist = materialise(with_h.groupBy(BUCKET_COL).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col(key).isNotNull() & parsed.isNull()).alias("_bad")), "ids-hist")
+    if all_integers is None and (hist.agg(F.sum("_bad")).first()[0] or 0) == 0:
+        return df.withColumn(out, parsed)
+    refine = [F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
+    pos = dense_positions(with_h.drop(BUCKET_COL), [HASH_COL, key, TIE_COL],
+                          hash_bucket(F.col(HASH_COL)), out="_pos", refine=refine,
+                          hot_rows=hot_rows, hist=hist.select(BUCKET_COL, "_n"))
+    return pos.withColumn(out, (F.col("_pos") + 1).cast("bigint")).drop("_pos", HASH_COL, TIE_COL)
