@@ -37,3 +37,17 @@ def test_param_grid_maps_to_trial_grid(spark):
     grid = TR.grid_from_param_maps(maps)
     assert sorted(g["reg_param"] for g in grid) == [0.0, 0.1]
     assert all(g["num_features"] == 1 << 12 for g in grid)
+
+
+def test_group_study_from_stored_predictions(spark, tmp_dir):
+    import os
+    from labelspark.plans.jobs import group_study
+    from labelspark.sources.annotated import cached_or_compute
+    from labelspark.streaming.scoring import LengthScorer
+    posts = fx.fx_posts(spark, SF_SMALL)
+    fresh, preds = group_study(posts, LengthScorer(8), n=10000, seed=42)
+    path = os.path.join(tmp_dir, "stored.parquet")
+    stored = cached_or_compute(spark, path, lambda: preds)
+    again, _ = group_study(posts, LengthScorer(8), predictions=stored)
+    rows = lambda df: sorted((r["gender"], r["label"], round(r["pct"], 9)) for r in df.collect())
+    assert rows(fresh) == rows(again)
