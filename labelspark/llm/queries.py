@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelspark.llm import decontam
+from labelspark.llm import decontam, jaccard, langid
 from labelspark.sources.tables import table_path
 
 
@@ -16,10 +16,21 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
+    "op9_language": op9_language,
 }
 
 ORACLES = {
+    "op2_jaccard_join": jaccard.ORACLE,
     "op6_decontaminate": decontam.ORACLE,
 }
