@@ -184,6 +184,31 @@ def _matcher(spark: SparkSession, block: list):
     return run
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
+                      item_text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain none of the items (see ``contained_items``)."""
+    spark, place = docs.sparkSession, docs.columns.index(text)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    left = docs.toDF(*names)
+
+    def cleaner(block):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            index = ItemIndex(shared.value)
+            sketches = {k: _sketch(v) for k, (v, _) in index.parts.items()}
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[r for r, *_ in find_items(batch.column(place), index, sketches)]] = False
+                yield batch.filter(pa.array(stays))
+
+        return run
+
+    for k, block in enumerate(_item_blocks(items, item_id, item_text, block_shingles)):
+        left = (tx.settle(left, "uncontaminated") if k else left).mapInArrow(cleaner(block), left.schema)
+    return left.toDF(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -342,6 +342,19 @@ def link_sets(sets: DataFrame, copies: DataFrame) -> DataFrame:
     return tx.settle(inside.unionByName(outside), "jaccard-links")
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, fp) and groups (fp, mult, first, root, links)."""
+    rows = tx.settle(document_sets(docs, doc_id, text), "jaccard-documents")
+    copies = (rows.where(F.octet_length("fp") > 0).groupBy("fp")
+              .agg(F.count("*").alias("mult"), F.min("doc_id").alias("first")))
+    answers = link_sets(candidate_sets(docs, text), copies.select("fp", "mult"))
+    roots = connected(answers.where("near <> fp").select(F.col("fp").alias("a"), F.col("near").alias("b")))
+    links = answers.groupBy("fp").agg(F.sum("links").alias("links"))
+    groups = (copies.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+              .join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    return rows, tx.settle(groups, "jaccard-groups")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
@@ -352,15 +365,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     the whole component has none. Other columns are ignored; an empty table
     gives an empty result.
     """
-    rows = tx.settle(document_sets(docs, doc_id, text), "jaccard-documents")
-    copies = (rows.where(F.octet_length("fp") > 0).groupBy("fp")
-              .agg(F.count("*").alias("mult"), F.min("doc_id").alias("first")))
-    answers = link_sets(candidate_sets(docs, text), copies.select("fp", "mult"))
-    roots = connected(answers.where("near <> fp").select(F.col("fp").alias("a"), F.col("near").alias("b")))
-    links = answers.groupBy("fp").agg(F.sum("links").alias("links"))
-    groups = (copies.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-              .join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    groups = tx.settle(groups, "jaccard-groups")
+    rows, groups = _grouped(docs, doc_id, text)
     least = groups.groupBy("root").agg(F.min("first").alias("component"))
     known = groups.join(least, "root").select("fp", "component", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
     return rows.join(known, "fp", "left").select(
@@ -368,6 +373,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one of each group of near duplicates: the smallest
+    doc_id (null last), of equal ids the smallest hash of the text, of rows equal in both any one.
+
+    Rows without words are in no group and stay.
+    """
+    key = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    key = key.select(F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("key"), "text")
+    rows, groups = _grouped(key, "key", "text")
+    rank = F.struct(F.col("key.doc_id").isNull().alias("last"), F.col("key.doc_id").alias("doc_id"), F.col("key.tie").alias("tie"))
+    placed = rows.select(F.col("doc_id").alias("key"), "fp").join(groups.select("fp", "root"), "fp").select("root", rank.alias("rank"))
+    best = placed.groupBy("root").agg(F.min("rank").alias("best"))
+    told = placed.join(best, "root").groupBy("rank.doc_id", "rank.tie").agg(
+        F.max(F.col("rank") == F.col("best")).alias("stays"), F.count("*").alias("rows"))
+    told = tx.settle(told.where("NOT stays OR rows > 1"), "jaccard-told").toDF("_id", "_tie", "_stays", "_rows")
+    whole = docs.withColumn("_text_tie", F.xxhash64(text))
+    hit = whole[doc_id].eqNullSafe(told["_id"]) & whole["_text_tie"].eqNullSafe(told["_tie"])
+    stay = whole.join(told.hint("shuffle_hash"), hit, "left_anti").select(*docs.columns)
+    again = told.where("_stays")
+    if again.limit(1).count():
+        more = whole.join(again, hit, "left_semi").dropDuplicates([doc_id, "_text_tie"]).select(*docs.columns)
+        stay = stay.unionByName(more)
+    return stay
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -154,16 +154,21 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
           sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """Reference bytes per language from labelled rows (null text or lang: not used).
 
-    The sample is drawn on ids and hashes; only its rows' texts are read again,
-    so a language that holds most rows is never gathered in one task.
+    The sample is drawn on hashes, thinned where they are read; only its rows'
+    texts are shuffled. What is broadcast has a row per language, and then
+    ``sample_rows`` per language at most.
     """
     rows = (docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"),
                         F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
             .where("text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'"))
     first = Window.partitionBy("lang").orderBy("h")
-    drawn = (rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(first))
-             .where(F.col("k") <= sample_rows))
-    kept = rows.join(drawn, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # thin each language by its hash to a few times the sample before ranking (all of it, if it is small)
+    share = rows.groupBy("lang").agg((4 * sample_rows / F.count("*")).alias("share"))
+    thinned = rows.select("lang", "h").join(F.broadcast(share), "lang").where(
+        F.pmod("h", F.lit(1 << 30)) < F.least(F.col("share"), F.lit(1.0)) * (1 << 30))
+    drawn = tx.settle(thinned.select("lang", "h").distinct().withColumn("k", F.row_number().over(first))
+                      .where(F.col("k") <= sample_rows), "langid-sample")
+    kept = rows.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     per = [(r["lang"], r["n"]) for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     room = min(reference_bytes, total_bytes // max(len(per), 1))
     capped = (kept.withColumn("text", F.substring("text", 1, room))
@@ -178,8 +183,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return {k: bytes(v) for k, v in found.items()}
 
 
-def predict(docs: DataFrame, references: dict[str, bytes], text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns of every row with lang_pred and score.
+def predict(docs: DataFrame, references: dict[str, bytes], text: str = "text", keep: tuple[str, ...] = (),
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of every row with lang_pred and score (under ``names``).
 
     lang_pred is ``und`` (score 0) for null text, text without a letter, or when
     no language was learned. The score is the share of the runner-up's cost in
@@ -203,7 +209,7 @@ def predict(docs: DataFrame, references: dict[str, bytes], text: str = "text", k
                 [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
 
     told = narrow.mapInArrow(run, out)
-    return told.toDF(*keep, "lang_pred", "score")
+    return told.toDF(*keep, *names)
 
 
 def _judge(parser: CrossParser, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -240,3 +246,13 @@ def identify(docs: DataFrame) -> DataFrame:
     model = learn(docs.where(tx.fold("doc_id", 4) != 2))
     return (predict(docs, model, keep=("doc_id",))
             .select("doc_id", (tx.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"))
+
+
+def drop_undetermined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told: null texts and texts
+    without a letter go, and where no language could be learned only these."""
+    references = learn(docs.where(tx.fold(doc_id, 4) != 2), doc_id, text, lang)
+    if not references:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    told = predict(docs, references, text, tuple(docs.columns), ("_told_language", "_told_score"))
+    return told.where(F.col("_told_language") != UNDETERMINED).select(*docs.columns)

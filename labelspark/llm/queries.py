@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelspark.llm import decontam, jaccard, langid
+from labelspark.llm import decontam, jaccard, langid, lm, quality, spsample, suffixdedup, tokenfile, urlgraph
+from labelspark.llm import textops as tx
 from labelspark.sources.tables import table_path
 
 
@@ -12,25 +13,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), tx.fold("doc_id", 10) != 0)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spsample.encode_samples(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "op2_jaccard_join": op2_jaccard_join,
-    "op6_decontaminate": op6_decontaminate,
-    "op9_language": op9_language,
+    f.__name__: f for f in (op1_lm_score, op2_jaccard_join, op3_suffix_dedup, op4_sample_pieces, op5_url_filter,
+                            op6_decontaminate, op7_quality, op8_token_files, op9_language)
 }
 
 ORACLES = {
     "op2_jaccard_join": jaccard.ORACLE,
+    "op5_url_filter": urlgraph.oracle(),
     "op6_decontaminate": decontam.ORACLE,
 }
