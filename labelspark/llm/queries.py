@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelspark.llm import decontam, jaccard, langid, lm, quality, spsample, suffixdedup, tokenfile, urlgraph
+from labelspark.llm import decontam, jaccard, langid, lm, quality, spsample, suffixdedup, tokenfile, toxicity, urlgraph
 from labelspark.llm import textops as tx
 from labelspark.sources.tables import table_path
 
@@ -49,9 +49,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f for f in (op1_lm_score, op2_jaccard_join, op3_suffix_dedup, op4_sample_pieces, op5_url_filter,
-                            op6_decontaminate, op7_quality, op8_token_files, op9_language)
+                            op6_decontaminate, op7_quality, op8_token_files, op9_language, op10_toxicity)
 }
 
 ORACLES = {
