@@ -15,15 +15,7 @@ def join_ints(arr: Column | str, sep: str = ",") -> Column:
     return F.array_join(F.transform(as_col(arr), lambda x: x.cast("string")), sep)
 
 
-def join_doubles(arr: Column | str, scale: int = 6, sep: str = ",") -> Column:
-    """Round each element to ``scale`` places and join as text."""
-    return F.array_join(F.transform(as_col(arr), lambda x: F.round(x, scale).cast("string")), sep)
-
-
 def parse_int_list(col: Column | str) -> Column:
     """Stored list text ``'[1, 0, 0]'`` -> ``array<int>``."""
     return F.from_json(as_col(col), "array<int>")
 
-
-def parse_double_list(col: Column | str) -> Column:
-    return F.from_json(as_col(col), "array<double>")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelspark.functions.arrays import as_col
 from labelspark.functions.losses import array_mean, focal_bce, focal_ce
-from labelspark.functions.predict import union_labels
+from labelspark.functions.predict import at_least, union_labels
 from labelspark.scheme import DEFAULT_SCHEME
 
 
@@ -110,7 +110,7 @@ def _f1(tp: Column, fp: Column, fn: Column) -> Column:
 def f1_binary(df: DataFrame, gold: str = "y_bin", prob: str = "pred_binary_prob",
               threshold: float = 0.5) -> DataFrame:
     """Binary F1 with YES at ``prob >= threshold`` (A7); one row."""
-    p = (F.col(prob) >= F.lit(threshold)).cast("int")
+    p = at_least(F.col(prob), threshold).cast("int")
     g = F.col(gold)
     agg = df.agg(F.count_if((p == 1) & (g == 1)).alias("tp"),
                  F.count_if((p == 1) & (g == 0)).alias("fp"),
@@ -200,19 +200,6 @@ def information_content(labels: Column | str, ic: Column, n: int = 6) -> Column:
     return total - F.greatest(n_cat - 1, F.lit(0)) * ic["ic_parent"]
 
 
-def icm_terms(gold: Column, pred: Column, ic: Column, n: int = 6) -> Column:
-    """Per-row ICM term ``2 IC(gold) + 2 IC(pred) - 3 IC(gold or pred)``."""
-    return (F.lit(2.0) * information_content(gold, ic, n)
-            + F.lit(2.0) * information_content(pred, ic, n)
-            - F.lit(3.0) * information_content(union_labels(gold, pred), ic, n))
-
-
-def _extra_categories(labels: Column, n: int) -> Column:
-    """``max(0, |S & {1..n-1}| - 1)``: how often the parent IC is taken off."""
-    n_cat = F.size(F.filter(F.slice(labels, 2, n - 1), lambda x: x == 1))
-    return F.greatest(n_cat - 1, F.lit(0))
-
-
 def icm_row_cols(gold: Column, preds: dict[str, Column], n: int = 6) -> list[Column]:
     """Per-row label indicators ICM is summed from (scalar columns, so the
     aggregate itself stays small): gold labels ``_g<i>``, whether any
@@ -230,7 +217,7 @@ def icm_row_cols(gold: Column, preds: dict[str, Column], n: int = 6) -> list[Col
     out += [F.greatest(*g[1:]).alias("_gpar"), extra(g).alias("_xg")]
     for name, pred in preds.items():
         p = [ind(pred, i) for i in range(n)]
-        u = [F.greatest(a, b) for a, b in zip(g, p)]
+        u = [ind(union_labels(gold, pred, n), i) for i in range(n)]
         out += [c.alias(f"_p_{name}_{i}") for i, c in enumerate(p)]
         out += [c.alias(f"_u_{name}_{i}") for i, c in enumerate(u)]
         out += [extra(p).alias(f"_xp_{name}"), extra(u).alias(f"_xu_{name}")]
