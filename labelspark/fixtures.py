@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from labelspark.operators.ordering import dense_positions
 from labelspark.sources.tables import read_table
 
+# fixed values
 _L2_NAMES = ["IDEOLOGICAL-INEQUALITY", "STEREOTYPING-DOMINANCE", "OBJECTIFICATION",
              "SEXUAL-VIOLENCE", "MISOGYNY-NON-SEXUAL-VIOLENCE", "UNKNOWN"]
 
@@ -57,7 +58,9 @@ def fx_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     duplicates = (F.when(F.col("_n") == 1, "no duplicates")
                   .when(F.col("doc_id") == F.col("_first"), "first duplicate")
                   .otherwise("duplicate"))
-    return (d.join(dup, "_tk")
+    # null texts are one group of copies
+    dup = dup.withColumnRenamed("_tk", "_dk")
+    return (d.join(dup, d["_tk"].eqNullSafe(dup["_dk"]))
             .select("doc_id", sid.alias("item_id"), F.col("text").alias("cleaned_text"),
                     "lang", "source", tweet.alias("tweet"), split.alias("split"),
                     F.when(F.col("doc_id") % 3 == 0, "post").otherwise("reply").alias("item_type"),

@@ -3,15 +3,16 @@
 Every seeded draw in the library ranks rows by ascending
 ``md5(concat(seed, ':', key))`` with the key as tie-break (and a hash of the
 whole row after that, so ties between duplicate keys resolve the same way on
-every run). Ranking a whole table (or a whole stratum) in one window would
-put it on one task, so the work is split by the first hex digits of the
-hash: a histogram of rows per bucket (partial aggregation, at most
-16**digits rows per stratum) gives each bucket its offset, and only rows
-inside a bucket are ranked against each other. Distinct keys spread evenly
-over buckets; a bucket made hot by one heavily repeated key (more than
-``hot_rows`` rows) is split again by the key and the top bits of the row
-hash, with its own small histogram of offsets, and copies of one row are
-collapsed to a count before ranking and expanded again afterwards.
+every run). Ranking a whole table (or a whole stratum) in one window would put
+it on one task, so rows are ranked by levels, each with at most 65,536 values
+below one value of the level before: a histogram per level gives every piece
+its offset, pieces of at most ``piece_rows`` rows are ranked, and only larger
+ones go on to the next level. The levels are four hex digits of the hash, four
+more, hash and key, then 16 bits at a time of the row hash and, for copies of
+one row, of a row number written with the rows. A larger table needs one more
+level about every 65,536-fold; a repeated key or a copied row goes down until
+it is split, so no window holds more than a piece and no offset window more
+than 65,536 rows (or the distinct keys of one piece).
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HASH_COL = "_h"
 BUCKET_COL = "_b"
 TIE_COL = "_t"
-HOT_ROWS = 1 << 20  # rows one ranking window may hold before it is split
-EXPAND_CHUNK = 1 << 16  # copies of one row emitted per task when expanding
+ROW_COL = "_r"
+PIECE_ROWS = 1 << 16  # rows one ranking window may hold
 
 
 def seeded_hash(key: Column | str, seed: int | str) -> Column:
@@ -68,113 +68,79 @@ def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str =
 
 def dense_positions(df: DataFrame, order: Sequence[str | Column], bucket: Column,
                     group: Sequence[str] = (), out: str = "pos",
-                    refine: Sequence[Column] | None = None,
-                    hot_rows: int = HOT_ROWS, expand_chunk: int = EXPAND_CHUNK,
-                    hist: DataFrame | None = None) -> DataFrame:
+                    refine: Sequence[Column] = (), piece_rows: int = PIECE_ROWS,
+                    bounded: bool = False) -> DataFrame:
     """Add a 0-based dense position by ``order`` (within ``group``).
 
-    ``bucket`` must be an integer expression that never decreases along
-    ``order`` inside a group. Rows are ranked only within (group, bucket);
-    bucket offsets come from a histogram whose size is bounded by the number
-    of buckets per group (``hist``: one already computed, with the group
-    columns, ``_b`` and the row count ``_n``).
-
-    ``refine`` lists columns whose order agrees with ``order`` inside a
-    bucket (a prefix of it, possibly coarsened). A bucket with more than
-    ``hot_rows`` rows is then ranked in pieces, one per ``refine`` value, each
-    piece offset by a histogram over the hot bucket's pieces. The list of hot
-    buckets has at most ``rows / hot_rows`` entries and is broadcast. Copies
-    (rows equal in every column) in a hot bucket are first collapsed to one
-    row and a count, ranked once, and expanded again in chunks of
-    ``expand_chunk`` rows spread over the cluster, so even a row copied
-    across a third of the table is never ranked or emitted by one task.
+    ``bucket`` and the columns of ``refine`` are the levels: within equal
+    values of the ones before, none decreases along ``order``. Rows are ranked
+    inside a piece (equal values of the levels so far) once it has at most
+    ``piece_rows`` rows, or no level is left. ``df`` should be stored data: it
+    is read once per level that is needed. ``bounded``: there are no groups and
+    ``bucket`` has at most 65,536 values, so its offsets may be broadcast.
     """
     from labelspark.session import materialise
 
-    group = list(group)
-    with_b = df.withColumn(BUCKET_COL, bucket)
-    if hist is None:
-        hist = with_b.groupBy(*group, BUCKET_COL).agg(F.count(F.lit(1)).alias("_n"))
-        if refine:
-            # the histogram is small: write it once
-            hist = materialise(hist, "positions-hist")
-    hot_exists = False
-    if refine:
-        # look for hot buckets in the histogram; without them the input is
-        # read only once more
-        hot_exists = bool(hist.where(F.col("_n") > hot_rows).limit(1).count())
-    w_off = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0)))
-    w_off = w_off.orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(*group, BUCKET_COL,
-                          F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    if not group:
-        # at most 16**digits rows: a proven bound, safe to broadcast
-        offsets = F.broadcast(offsets)
-    if hot_exists:
-        ranked = _rank_with_hot_buckets(with_b, hist, order, group, refine, hot_rows,
-                                        expand_chunk)
-    else:
-        w_in = Window.partitionBy(*group, BUCKET_COL).orderBy(*_cols(order))
-        ranked = with_b.withColumn("_local", F.row_number().over(w_in))
-    return (_join_on(ranked, offsets, [*group, BUCKET_COL])
-            .withColumn(out, (F.col("_off") + F.col("_local") - 1).cast("bigint"))
-            .drop(BUCKET_COL, "_off", "_local"))
-
-
-def _rank_with_hot_buckets(with_b: DataFrame, hist: DataFrame, order, group: list,
-                           refine, hot_rows: int, expand_chunk: int) -> DataFrame:
-    """1-based ``_local`` rank within (group, bucket) when some buckets are hot."""
-    hot = hist.where(F.col("_n") > hot_rows).select(*group, BUCKET_COL, F.lit(True).alias("_hot"))
-    flagged = _join_on(with_b, F.broadcast(hot), [*group, BUCKET_COL], "left")
-    cold = flagged.where(F.col("_hot").isNull()).drop("_hot")
-    w_cold = Window.partitionBy(*group, BUCKET_COL).orderBy(*_cols(order))
-    cold_ranked = cold.withColumn("_local", F.row_number().over(w_cold))
-    hot_rows_df = flagged.where(F.col("_hot").isNotNull()).drop("_hot")
-    cols = hot_rows_df.columns
-    # copies collapse to one row and a count (partial aggregation); map
-    # columns cannot be grouped, so rows holding one are ranked as they are
-    collapsible = not any(isinstance(f.dataType, T.MapType) for f in hot_rows_df.schema.fields)
-    if collapsible:
-        distinct = hot_rows_df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
-    else:
-        distinct = hot_rows_df.withColumn("_c", F.lit(1).cast("bigint"))
-    distinct = distinct.withColumn("_sub", F.struct(*refine))
-    pieces = distinct.groupBy(*group, BUCKET_COL, "_sub").agg(F.sum("_c").alias("_m"))
-    w_piece = (Window.partitionBy(*group, BUCKET_COL).orderBy("_sub")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    piece_off = pieces.select(*group, BUCKET_COL, "_sub",
-                              F.coalesce(F.sum("_m").over(w_piece), F.lit(0)).alias("_off2"))
-    w_rows = (Window.partitionBy(*group, BUCKET_COL, "_sub").orderBy(*_cols(order))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    distinct = distinct.withColumn("_before", F.coalesce(F.sum("_c").over(w_rows), F.lit(0)))
-    distinct = _join_on(distinct, piece_off, [*group, BUCKET_COL, "_sub"])
-    # expand: a chunk index per ``expand_chunk`` copies, chunks spread by hash,
-    # then each chunk emits its own copies
-    chunk = F.lit(int(expand_chunk))
-    chunks = distinct.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                           F.floor((F.col("_c") - 1) / chunk))))
-    chunks = chunks.repartition(F.xxhash64(*cols, "_k"))
-    rows = chunks.withColumn("_i", F.explode(F.sequence(
-        F.col("_k") * chunk, F.least((F.col("_k") + 1) * chunk, F.col("_c")) - 1)))
-    hot_ranked = (rows.withColumn("_local", F.col("_off2") + F.col("_before") + F.col("_i") + 1)
-                  .drop("_c", "_sub", "_off2", "_before", "_k", "_i"))
-    return cold_ranked.unionByName(hot_ranked)
+    group, levels = list(group), [bucket, *refine]
+    names = [f"{BUCKET_COL}{k}" for k in range(len(levels))]
+    left = df.withColumn("_off", F.lit(0).cast("bigint"))
+    found = []
+    for k, (name, level) in enumerate(zip(names, levels)):
+        before = [*group, *names[:k]]
+        left = left.withColumn(name, level)
+        sizes = materialise(left.groupBy(*before, name).agg(F.count(F.lit(1)).alias("_n")), "positions")
+        w = Window.partitionBy(*(before or [F.lit(0)])).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        if bounded and k == 0 and not group:
+            offsets = F.broadcast(offsets)
+        placed = (_join_on(left, offsets, [*before, name])
+                  .withColumn("_off", F.col("_off") + F.col("_skip")).drop("_skip"))
+        last = k + 1 == len(levels) or not sizes.where(F.col("_n") > piece_rows).limit(1).count()
+        small = placed if last else placed.where(F.col("_n") <= piece_rows)
+        inside = Window.partitionBy(*before, name).orderBy(*_cols(order))
+        found.append(small.withColumn(out, F.col("_off") + F.row_number().over(inside) - 1)
+                     .drop("_n", "_off", *names[: k + 1]))
+        if last:
+            break
+        left = placed.where(F.col("_n") > piece_rows).drop("_n")
+    result = found[0]
+    for more in found[1:]:
+        result = result.unionByName(more)
+    return result
+
+
+def _hash_levels(key: str, digits: int = 4) -> list[Column]:
+    """Levels of (hash, key, row hash, row number) after the first digits of the hash."""
+    def bits(c: str, k: int) -> Column:
+        value = F.shiftrightunsigned(F.col(c), 48 - 16 * k).bitwiseAND(F.lit(0xFFFF))
+        # the row hash is signed: its top bits are ordered as signed
+        return F.when(value >= 0x8000, value - 0x10000).otherwise(value) if k == 0 else value
+
+    return [hash_bucket(F.substring(HASH_COL, digits + 1, 4)), F.struct(F.col(HASH_COL), F.col(key).alias("key")),
+            *[bits(TIE_COL, k) for k in range(4)], *[bits(ROW_COL, k) for k in range(4)]]
+
+
+def _with_order(df: DataFrame, key: str, seed: int | str) -> DataFrame:
+    return df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
 
 
 def hash_positions(df: DataFrame, key: str, seed: int | str, out: str = "pos",
-                   digits: int = 4, hot_rows: int = HOT_ROWS,
-                   expand_chunk: int = EXPAND_CHUNK) -> DataFrame:
-    """Dense 0-based position of each row in seeded hash order."""
-    with_h = df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
-    refine = [F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
-    return dense_positions(with_h, [HASH_COL, key, TIE_COL], hash_bucket(F.col(HASH_COL), digits),
-                           out=out, refine=refine, hot_rows=hot_rows,
-                           expand_chunk=expand_chunk).drop(HASH_COL, TIE_COL)
+                   digits: int = 4, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Dense 0-based position of each row in seeded hash order.
+
+    The rows are written once, with their hashes and a row number, and ranked
+    from there."""
+    from labelspark.session import materialise
+
+    stored = materialise(_with_order(df, key, seed).withColumn(ROW_COL, F.monotonically_increasing_id()), "ordered")
+    return dense_positions(stored, [HASH_COL, key, TIE_COL, ROW_COL], hash_bucket(F.col(HASH_COL), digits), out=out,
+                           refine=_hash_levels(key, digits), piece_rows=piece_rows,
+                           bounded=digits <= 4).drop(HASH_COL, TIE_COL, ROW_COL)
 
 
 def cutoff_select(df: DataFrame, key: str, seed: int | str,
                   n_take: Callable[[DataFrame], DataFrame], strata: Sequence[str] = (),
-                  flag: str = "taken", digits: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  flag: str = "taken", digits: int = 4, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Flag the first ``n_take`` rows of each stratum in seeded hash order.
 
     ``n_take`` maps the row count per stratum (``strata`` columns and
@@ -187,15 +153,13 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str,
     once; whole buckets below the cutoff are flagged by a join against it.
     Only the cutoff bucket of each stratum needs ranking: its rows (about
     ``rows / 16**digits`` per stratum) are written once to the shared
-    checkpoint folder (pass 2) and ranked there, split again if one key or
-    one copied row makes the bucket hot. Pass 3 streams every other row
-    through.
+    checkpoint folder (pass 2) and ranked there by the levels of the hash
+    order. Pass 3 streams every other row through.
     """
     from labelspark.session import materialise
 
     strata = list(strata)
-    with_h = (df.withColumn(TIE_COL, row_hash(df))
-              .withColumn(HASH_COL, seeded_hash(key, seed))
+    with_h = (_with_order(df, key, seed)
               .withColumn(BUCKET_COL, hash_bucket(F.col(HASH_COL), digits)))
     hist = with_h.groupBy(*strata, BUCKET_COL).agg(F.count(F.lit(1)).alias("_n"))
     counts = (hist.groupBy(*strata) if strata else hist).agg(F.sum("_n").alias("_c"))
@@ -225,13 +189,11 @@ def cutoff_select(df: DataFrame, key: str, seed: int | str,
     joined = _join_on(with_h, status, [*strata, BUCKET_COL])
     whole = (joined.where(F.col("_status") != "part")
              .withColumn(flag, F.col("_status") == "all"))
-    part_rows = materialise(joined.where(F.col("_status") == "part").drop(BUCKET_COL), "cutoff")
-    # a bucket can only be hot if the written cutoff rows outnumber hot_rows
-    refine = ([F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
-              if part_rows.count() > hot_rows else None)
-    part = dense_positions(part_rows, [HASH_COL, key, TIE_COL],
+    part_rows = materialise(joined.where(F.col("_status") == "part").drop(BUCKET_COL)
+                            .withColumn(ROW_COL, F.monotonically_increasing_id()), "cutoff")
+    part = dense_positions(part_rows, [HASH_COL, key, TIE_COL, ROW_COL],
                            hash_bucket(F.col(HASH_COL), digits), group=strata, out="_rank",
-                           refine=refine, hot_rows=hot_rows)
-    part = part.withColumn(flag, F.col("_rank") < F.col("_rest")).drop("_rank")
+                           refine=_hash_levels(key, digits), piece_rows=piece_rows)
+    part = part.withColumn(flag, F.col("_rank") < F.col("_rest")).drop("_rank", ROW_COL)
     return whole.drop(BUCKET_COL).unionByName(part) \
                 .drop(HASH_COL, TIE_COL, "_status", "_rest")

@@ -8,9 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.operators.ordering import (BUCKET_COL, HASH_COL, HOT_ROWS, TIE_COL,
-                                           dense_positions, hash_bucket, row_hash, seeded_hash)
-from labelspark.session import materialise
+from labelspark.operators.ordering import PIECE_ROWS, hash_positions
 
 ID_CANDIDATES = ("comment_id", "item_id", "data_id")
 TEXT_CANDIDATES = ("cleaned_text", "tweet")
@@ -47,36 +45,21 @@ def filter_posts(df: DataFrame, item_type: str = "reply", author_type: str = "by
                     & F.col("duplicates").isin(*duplicates))
 
 
-def ids_all_integers(df: DataFrame, key: str = "item_id") -> bool:
-    """True when every non-null key parses as a bigint (one global aggregate)."""
-    bad = df.agg(F.count_if(F.col(key).isNotNull()
-                            & F.col(key).cast("string").try_cast("bigint").isNull()).alias("bad"))
-    return bad.first()["bad"] == 0
-
-
 def surrogate_ids(df: DataFrame, key: str = "item_id", seed: int = 51, out: str = "data_id",
-                  all_integers: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  all_integers: bool | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Integer id per row.
 
     If every key parses as an integer, the parsed value is the id. Otherwise
-    every row gets a dense, deterministic id ``1..N`` in seeded hash order of
-    the key (the reference draws unique random integers; ours are unique and
-    reproducible). One pass builds the hash histogram and counts unparsable
-    keys together; the dense path then ranks inside hash buckets (see
-    ``ordering``), with no global sort.
+    (a null key does not parse) every row gets a dense, deterministic id
+    ``1..N`` in seeded hash order of the key, so rows with null or repeated
+    keys keep ids of their own (the reference draws unique random integers;
+    ours are unique and reproducible). The dense path ranks by levels of the
+    hash (see ``ordering``), with no global sort.
     """
     parsed = F.col(key).cast("string").try_cast("bigint")
-    if all_integers is True:
-        return df.withColumn(out, parsed)
-    with_h = (df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
-              .withColumn(BUCKET_COL, hash_bucket(F.col(HASH_COL))))
-    hist = materialise(with_h.groupBy(BUCKET_COL).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col(key).isNotNull() & parsed.isNull()).alias("_bad")), "ids-hist")
-    if all_integers is None and (hist.agg(F.sum("_bad")).first()[0] or 0) == 0:
+    if all_integers is None:
+        all_integers = df.agg(F.count_if(parsed.isNull()).alias("bad")).first()["bad"] == 0
+    if all_integers:
         return df.withColumn(out, parsed)
-    refine = [F.col(HASH_COL), F.col(key), F.shiftright(TIE_COL, 48)]
-    pos = dense_positions(with_h.drop(BUCKET_COL), [HASH_COL, key, TIE_COL],
-                          hash_bucket(F.col(HASH_COL)), out="_pos", refine=refine,
-                          hot_rows=hot_rows, hist=hist.select(BUCKET_COL, "_n"))
-    return pos.withColumn(out, (F.col("_pos") + 1).cast("bigint")).drop("_pos", HASH_COL, TIE_COL)
+    pos = hash_positions(df, key, seed, out="_pos", piece_rows=piece_rows)
+    return pos.withColumn(out, (F.col("_pos") + 1).cast("bigint")).drop("_pos")

@@ -96,17 +96,15 @@ def join_predictions(posts: DataFrame, preds: DataFrame, key: str = "data_id") -
 
 
 def join_demographics(preds: DataFrame, posts: DataFrame, key: str = "item_id",
-                      cols: Sequence[str] = ("gender",), preds_bounded: bool = False) -> DataFrame:
+                      cols: Sequence[str] = ("gender",)) -> DataFrame:
     """Left join of predictions to the posts' group columns (J2). Only the
     key and the wanted columns are taken from the right, so no column is
     duplicated; duplicate right keys fan out as in any left join.
 
-    ``preds_bounded``: the predictions have a proven small size (a drawn
-    sample of ``n`` posts); their keys are then broadcast to cut the posts
-    down before the join, instead of shuffling every post."""
-    right = posts.select(key, *cols)
-    if preds_bounded:
-        right = right.join(F.broadcast(preds.select(key).distinct()), key, "left_semi")
+    The posts are first cut to the predicted ids, so a small stored set of
+    predictions does not shuffle every post: Spark broadcasts the ids if their
+    stored size is small, and joins by shuffle otherwise."""
+    right = posts.select(key, *cols).join(preds.select(key).distinct(), key, "left_semi")
     return preds.drop(*[c for c in cols if c in preds.columns]).join(right, key, "left")
 
 

@@ -14,9 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelspark.operators.ordering import (BUCKET_COL, HASH_COL, HOT_ROWS, TIE_COL,
-                                           cutoff_select, hash_bucket, hash_positions, row_hash,
-                                           seeded_hash)
+from labelspark.operators.ordering import (HASH_COL, PIECE_ROWS, TIE_COL, cutoff_select,
+                                           hash_positions, row_hash, seeded_hash)
 
 
 def dedup_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -32,50 +31,39 @@ def dedup_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -
     return agg.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 42,
-             hot_rows: int = HOT_ROWS) -> DataFrame:
+def _draw_seed(seed: int, draw: str) -> str:
+    """Each kind of draw has its own hash order, so the rows one holds out are
+    not the rows another samples under the same seed."""
+    return f"{seed}:{draw}"
+
+
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, strict: bool = False,
+             piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Exactly ``min(n, N)`` rows, the ``n`` first in seeded hash order.
 
-    A plain top-k would send ``n`` rows from every partition into one task.
-    Instead pass 1 builds the hash histogram (at most 16**4 rows, written
-    once) and finds the bucket where the ``n``-th row falls; pass 2 keeps
-    only rows up to that bucket (about ``n + N / 65,536`` rows) and takes
-    the top ``n`` of those. If one repeated key makes those buckets hold more
-    than ``n + hot_rows`` rows, the exact cutoff select is used instead.
-    """
-    from labelspark.session import materialise
-
-    with_h = (df.withColumn(TIE_COL, row_hash(df)).withColumn(HASH_COL, seeded_hash(key, seed))
-              .withColumn(BUCKET_COL, hash_bucket(F.col(HASH_COL))))
-    hist = materialise(with_h.groupBy(BUCKET_COL).agg(F.count(F.lit(1)).alias("_n")),
-                       "sample-hist")
-    w = Window.partitionBy(F.lit(0)).orderBy(BUCKET_COL) \
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (hist.withColumn("_incl", F.sum("_n").over(w)).where(F.col("_incl") >= n)
-           .agg(F.min(BUCKET_COL).alias("b"), F.min("_incl").alias("upto")).first())
-    if cut["b"] is None:  # n >= N: every row
-        return df
-    if cut["upto"] <= n + hot_rows:
-        return (with_h.where(F.col(BUCKET_COL) <= F.lit(int(cut["b"])))
-                .orderBy(HASH_COL, key, TIE_COL).limit(n)
-                .drop(HASH_COL, TIE_COL, BUCKET_COL))
+    A plain top-k would send ``n`` rows from every partition into one task;
+    the cutoff select ranks only the bucket where the ``n``-th row falls.
+    ``strict`` raises if there are fewer than ``n`` rows (the pandas
+    behaviour)."""
+    if strict and df.count() < n:
+        raise ValueError(f"cannot draw {n} rows: the table has fewer")
 
     def take(counts):
         return counts.select(F.least(F.lit(int(n)).cast("bigint"), F.col("_c")).alias("n_take"))
 
-    return cutoff_select(df, key, seed, take, flag="_taken", hot_rows=hot_rows) \
-        .where("_taken").drop("_taken")
+    return cutoff_select(df, key, _draw_seed(seed, "sample_n"), take, flag="_taken",
+                         piece_rows=piece_rows).where("_taken").drop("_taken")
 
 
 def sample_frac(df: DataFrame, frac: float, key: str, seed: int = 42,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Exactly ``round(frac * N)`` rows (round half to even, as Python's
     ``round``) in seeded hash order (D3)."""
     def take(counts):
         return counts.select(F.bround(F.lit(float(frac)) * F.col("_c"), 0).alias("n_take"))
 
-    return cutoff_select(df, key, seed, take, flag="_taken", hot_rows=hot_rows) \
-        .where("_taken").drop("_taken")
+    return cutoff_select(df, key, _draw_seed(seed, "sample_frac"), take, flag="_taken",
+                         piece_rows=piece_rows).where("_taken").drop("_taken")
 
 
 def split_sizes(counts: DataFrame, stratum: str, test_size: float) -> DataFrame:
@@ -102,14 +90,15 @@ def split_sizes(counts: DataFrame, stratum: str, test_size: float) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, stratum: str, test_size: float, key: str,
-                     seed: int = 42, out: str = "part", hot_rows: int = HOT_ROWS) -> DataFrame:
+                     seed: int = 42, out: str = "part", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Stratified two-way split (D4): ``out`` is ``held_out`` or ``train``.
 
     The held-out rows of each stratum are the first ones in seeded hash
     order; exact per-stratum sizes, no stratum ranked in one task.
     """
-    flagged = cutoff_select(df, key, seed, lambda counts: split_sizes(counts, stratum, test_size),
-                            strata=[stratum], flag="_held", hot_rows=hot_rows)
+    flagged = cutoff_select(df, key, _draw_seed(seed, "stratified_split"),
+                            lambda counts: split_sizes(counts, stratum, test_size),
+                            strata=[stratum], flag="_held", piece_rows=piece_rows)
     return flagged.withColumn(out, F.when(F.col("_held"), "held_out").otherwise("train")) \
                   .drop("_held")
 

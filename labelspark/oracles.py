@@ -431,7 +431,7 @@ SELECT metric, label, round(value, 6) AS value FROM (
 
 
 # ---------------------------------------------------------------- sampling
-def _md5(seed: int, key: str) -> str:
+def _md5(seed: int | str, key: str) -> str:
     return f"md5('{seed}:' || CAST({key} AS VARCHAR))"
 
 
@@ -443,13 +443,13 @@ _FILTERED = """SELECT doc_id, item_id FROM fx_posts WHERE item_type = 'reply'
   AND author_type = 'by_public' AND duplicates IN ('no duplicates', 'first duplicate')
   AND cleaned_text IS NOT NULL"""
 oracle("sample_n", with_fx(["fx_posts"], f"""
-SELECT doc_id, item_id FROM ({_FILTERED}) ORDER BY {_md5(42, 'item_id')}, item_id LIMIT 100"""))
+SELECT doc_id, item_id FROM ({_FILTERED}) ORDER BY {_md5('42:sample_n', 'item_id')}, item_id LIMIT 100"""))
 
 _TR = dict(_PREP)
 _TR["t"] = "SELECT doc_id, CAST(binary_labels = '0,1' AS INTEGER) AS y_bin FROM j WHERE b_ok AND c_ok"
 _TRFX = ["fx_posts", "fx_votes1", "fx_votes2"]
 oracle("sample_frac", with_fx(_TRFX, f"""
-SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_md5(42, 'doc_id')}, doc_id) AS rn,
+SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_md5('42:sample_frac', 'doc_id')}, doc_id) AS rn,
   count(*) OVER () AS n FROM t) WHERE rn <= round_even(CAST(0.2 AS DOUBLE) * n, 0)""", _TR))
 
 _SPLIT = dict(_TR)
@@ -460,7 +460,7 @@ _SPLIT["al2"] = """SELECT *, row_number() OVER (ORDER BY cont - fl DESC, y_bin)
   n_train - sum(fl) OVER () AS extra FROM al"""
 _SPLIT["held"] = "SELECT y_bin, cnt - fl - CASE WHEN rk <= extra THEN 1 ELSE 0 END AS n_held FROM al2"
 _SPLIT["r"] = f"""SELECT doc_id, y_bin, row_number() OVER (PARTITION BY y_bin
-  ORDER BY {_md5(42, 'doc_id')}, doc_id) AS rn FROM t"""
+  ORDER BY {_md5('42:stratified_split', 'doc_id')}, doc_id) AS rn FROM t"""
 oracle("stratified_split", with_fx(_TRFX, """
 SELECT doc_id, y_bin, CASE WHEN rn <= n_held THEN 'held_out' ELSE 'train' END AS part
 FROM r JOIN held USING (y_bin)""", _SPLIT))
@@ -510,6 +510,19 @@ oracle("scoring_job", with_fx(["fx_posts"], """
 SELECT data_id, text, pred_binary, pred_binary_prob, pred_category, pred_category_pipe, contradiction
 FROM lab""", _JOB))
 
+_DIRTY = {"dp": "SELECT doc_id, CAST(doc_id // 2 AS VARCHAR) AS item_id, tweet AS text FROM fx_posts WHERE tweet IS NOT NULL",
+          "np": "SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN item_id END AS item_id, text FROM dp"}
+_DIRTY["dl"] = f"SELECT doc_id, item_id, text, {_length_logits('text', 6)} FROM dp"
+_DIRTY["df"] = "SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rn FROM dl"
+_DIRTY["dr"] = _pred_from("df", "item_id, rn")
+_DIRTY["nl"] = f"SELECT item_id, text, {_length_logits('text', 6)} FROM np"
+_DIRTY["nr"] = _pred_from("nl", "item_id, text")
+_DIRTY_COLS = f"pb AS pred_binary, round(prob, 6) AS pred_binary_prob, {_PCAT} AS pred_category"
+oracle("scoring_job_repeated_ids", with_fx(["fx_posts"], f"""
+SELECT p.item_id AS data_id, p.text, {_DIRTY_COLS} FROM dp p JOIN dr ON dr.item_id = p.item_id AND rn = 1""", _DIRTY))
+oracle("scoring_job_null_ids", with_fx(["fx_posts"], f"""
+SELECT item_id AS data_id, text, {_DIRTY_COLS} FROM nr""", _DIRTY))
+
 oracle("prediction_checks", with_fx(["fx_posts"], """
 SELECT count(*) AS n_predictions, CAST(0 AS BIGINT) AS binary_sentinels,
   CAST(0 AS BIGINT) AS category_sentinels, count(*) AS n_inputs, true AS ok FROM jp""", _JOB))
@@ -548,7 +561,7 @@ _STRICT8 = ("coalesce(nullif(concat_ws(', ', " + ", ".join(
 _GROUP = {
     "chosen": f"""SELECT item_id, cleaned_text AS text FROM fx_posts WHERE item_type = 'reply'
   AND author_type = 'by_public' AND duplicates IN ('no duplicates', 'first duplicate')
-  AND cleaned_text IS NOT NULL ORDER BY {_md5(42, 'item_id')}, item_id LIMIT 10000""",
+  AND cleaned_text IS NOT NULL ORDER BY {_md5('42:sample_n', 'item_id')}, item_id LIMIT 300""",
 }
 _GROUP["glg"] = f"SELECT item_id, {_length_logits('text', 8)} FROM chosen"
 _GROUP["gpred"] = f"SELECT item_id, {_STRICT8} AS predicted_label FROM glg"
@@ -573,8 +586,10 @@ oracle("remaining_rows", with_fx(["fx_posts", "fx_scored_log"], """
 SELECT doc_id, item_id FROM fx_posts WHERE doc_id NOT IN (SELECT doc_id FROM fx_scored_log)"""))
 
 _GATED = [f"CASE WHEN b1 > b0 THEN c{i} ELSE {'1.0' if i == 0 else '-1.0'} END" for i in range(6)]
-oracle("score_drift", with_fx(["fx_scores"], "SELECT doc_id, round(greatest(" + ", ".join(
-    f"abs(({g}) - round(({g}) * 8) / 8)" for g in _GATED) + "), 6) AS max_abs_diff FROM fx_scores"))
+_DRIFT = "SELECT doc_id, round(greatest(" + ", ".join(
+    f"abs(({g}) - round(({g}) * 8) / 8)" for g in _GATED) + "), 6) AS max_abs_diff FROM fx_scores"
+oracle("score_drift", with_fx(["fx_scores"], _DRIFT))
+oracle("overall_drift", with_fx(["fx_scores"], f"SELECT max(max_abs_diff) AS max_abs_diff FROM ({_DRIFT})"))
 
 
 _SRC = {"l1": L1_COUNTS, "l2": L2_COUNTS,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.functions.predict import contradiction, label_names, sigmoid, strict_label_names
+from labelspark.functions.predict import contradiction, each, label_names, sigmoid, strict_label_names
 from labelspark.operators import reports
 from labelspark.operators.posts import filter_posts, harmonise_posts, surrogate_ids
 from labelspark.operators.sampling import dedup_first, sample_n
@@ -26,8 +26,8 @@ class ScoringResult:
 
 
 def scoring_job(posts_raw: DataFrame, scorer: ScorerFactory, scheme: LabelScheme = DEFAULT_SCHEME,
-                seed: int = 51, batch_size: int = 32, strict_checks: bool = False,
-                materialise: bool = True) -> ScoringResult:
+                seed: int = 51, batch_size: int = 32, strict_checks: bool = True,
+                materialise: bool = True, order: Sequence[str] = ()) -> ScoringResult:
     """Score posts and label them (M5).
 
     harmonise columns -> drop null text -> integer surrogate ids -> score
@@ -35,25 +35,30 @@ def scoring_job(posts_raw: DataFrame, scorer: ScorerFactory, scheme: LabelScheme
     checks -> join back to posts -> contradiction flag -> label names. The
     original string id comes back as ``data_id``.
 
-    With ``materialise`` the scored predictions are checkpointed to the
-    session's shared checkpoint folder: the model runs once for all the
-    outputs (labelled rows, checks, funnel), and a lost executor does not
-    send finished posts back through the model.
+    "First" is by the source columns ``order`` (a row index or a time), then
+    by a hash of the whole post, so the result never depends on the order rows
+    are read in. A post without an id makes every id a generated one and is
+    kept. With ``strict_checks`` the result checks raise, as in the reference.
+
+    With ``materialise`` the posts with their ids and the predictions are
+    written to the session's shared checkpoint folder: ids are made and the
+    model runs once for all the outputs (labelled rows, checks, funnel), and a
+    lost executor does not send finished posts back through the model. The
+    text goes into the scorer and never comes back out of it.
     """
     posts = harmonise_posts(posts_raw)
     with_text = posts.dropna(subset=["text"])
-    ided = surrogate_ids(with_text, "item_id", seed=seed)
+    first = [*order, "_first"]
+    keyed = with_text.withColumn("_first", F.xxhash64(*with_text.columns))
+    ided = surrogate_ids(keyed, "item_id", seed=seed).select("item_id", "data_id", "text", *first)
+    if materialise:
+        ided = materialise_df(ided, "posts")
     inputs = ided.select("item_id", "data_id", "text")
-    # the scorer passes the post columns through, so one materialised table
-    # feeds both the predictions and the join back to the posts
-    scored = with_predictions(score(inputs, scorer, keep=["data_id", "item_id", "text"],
-                                    batch_size=batch_size), scheme.n_categories)
+    preds = with_predictions(score(ided, scorer, keep=["data_id", *first], batch_size=batch_size),
+                             scheme.n_categories)
     if materialise:
-        scored = materialise_df(scored, "scored")
-        inputs = scored.select("item_id", "data_id", "text")
-    preds = scored.drop("text")
-    # one prediction per surrogate id; the first by the original id
-    deduped = dedup_first(preds, "data_id", order=["item_id"]).drop("item_id")
+        preds = materialise_df(preds, "scored")
+    deduped = dedup_first(preds, "data_id", order=first).drop(*first)
     checks = reports.prediction_checks(deduped, inputs, strict=strict_checks)
     joined = reports.join_predictions(inputs, deduped, "data_id")
     names, pipe = label_names("pred_category", scheme.level2)
@@ -72,7 +77,7 @@ def group_scores(posts: DataFrame, scorer: ScorerFactory, labels: Sequence[str],
     """Third-party multi-label scorer: percent scores and the strict
     (> 50) joined label string ``predicted_label`` per ``item_id``."""
     scored = score(posts.select("item_id", "text"), scorer, keep=["item_id"], batch_size=batch_size)
-    pct = F.transform("category_logits", lambda x: sigmoid(x) * 100)
+    pct = each("category_logits", lambda x, i: sigmoid(x) * 100, len(labels))
     return scored.select("item_id", strict_label_names(pct, labels).alias("predicted_label"))
 
 
@@ -88,11 +93,12 @@ def group_study(posts_raw: DataFrame, scorer: ScorerFactory,
     Returns ``(prevalence, predictions)``.
     """
     posts = harmonise_posts(posts_raw)
-    chosen = sample_n(filter_posts(posts.dropna(subset=["text"])), n, "item_id", seed)
-    preds = predictions if predictions is not None else group_scores(chosen, scorer, labels)
-    # at most n predictions: a proven bound, so their ids may be broadcast
-    joined = reports.join_demographics(preds, posts, "item_id", ("gender",),
-                                       preds_bounded=predictions is None)
+    # the draw and its scores are written once: both results read them
+    chosen = materialise_df(sample_n(filter_posts(posts.dropna(subset=["text"])), n, "item_id", seed)
+                            .select("item_id", "text"), "study-posts")
+    preds = predictions if predictions is not None else materialise_df(
+        group_scores(chosen, scorer, labels), "study-scores")
+    joined = reports.join_demographics(preds, posts, "item_id", ("gender",))
     prevalence = reports.prevalence_by_group(joined, "gender", "predicted_label", labels,
                                              match=match, groups=groups)
     return prevalence, preds

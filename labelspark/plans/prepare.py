@@ -40,15 +40,17 @@ def prepare_labels(posts: DataFrame, votes1: DataFrame, votes2: DataFrame,
 
 
 def load_processed_data(spark, path: str, split: str = "train", multilingual: bool = False,
-                        clean: bool = False, dataset: str = "EXIST", remove_undecided: bool = True):
+                        clean: bool = False, dataset: str = "EXIST", remove_undecided: bool = True,
+                        multi_line: bool = False):
     """Annotated file -> labelled rows, as the reference's loader does:
     read (by extension), split filter, consensus, optional cleaning, drop
-    undecided. Returns ``(labelled, report)`` keyed by the source ``id``."""
+    undecided. Returns ``(labelled, report)`` keyed by the source ``id``.
+    ``multi_line``: CSV fields may hold line ends (one task per file)."""
     from labelspark.scheme import scheme_for
     from labelspark.sources.annotated import annotated_votes, read_annotated
 
     scheme = scheme_for(dataset)
-    raw = read_annotated(spark, path, dataset, id_col="id")
+    raw = read_annotated(spark, path, dataset, id_col="id", multi_line=multi_line)
     v1, v2 = annotated_votes(raw, "id")
     return prepare_labels(raw, v1, v2, split=split, multilingual=multilingual, clean=clean,
                           scheme=scheme, item="id", text_col="text",

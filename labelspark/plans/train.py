@@ -81,8 +81,9 @@ def train_two_head(train: DataFrame, key: str = "doc_id", scheme: LabelScheme =
 
     Class weights (A4) are computed on the training rows: the binary head
     weighs each row by its class weight; each category head is trained on
-    YES rows only, as the reference masks the category loss. Features are
-    persisted once and shared by all heads.
+    YES rows only, as the reference masks the category loss, and unweighted: a
+    weight per label multiplies a whole head here, which leaves its fit as it
+    is. Features are persisted once and shared by all heads.
     """
     base = _label_frame(train, key).withColumn("text", F.coalesce("text", F.lit(""))).persist()
     base.count()
@@ -116,10 +117,8 @@ def train_two_head(train: DataFrame, key: str = "doc_id", scheme: LabelScheme =
             pos = stats[f"p{j}"] or 0
             if stats["n"] == 0 or pos in (0, stats["n"]):
                 return CONSTANT_LOGIT if pos and pos == stats["n"] else -CONSTANT_LOGIT
-            w = (stats["n"] - pos) / pos if weighted else 1.0
-            data = yes.select("features", F.element_at("category_labels", j + 1).cast("double")
-                              .alias("_y"), F.lit(float(w)).alias("_wc"))
-            return LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_wc",
+            data = yes.select("features", F.element_at("category_labels", j + 1).cast("double").alias("_y"))
+            return LogisticRegression(featuresCol="features", labelCol="_y",
                                       regParam=reg_param, maxIter=max_iter).fit(data)
 
         # the heads are independent: fit them as concurrent Spark jobs
@@ -152,10 +151,12 @@ def best_check(log: DataFrame, run: str = "run_id", step: str = "step",
 
 
 def _improves(new, best, mode: str, min_delta: float):
+    # a NaN on either side never improves (Spark alone orders NaN above all)
+    real = ~F.isnan(new) & ~F.isnan(best)
     if mode == "min":
-        return new < best - F.lit(min_delta)
+        return real & (new < best - F.lit(min_delta))
     if mode == "max":
-        return new > best + F.lit(min_delta)
+        return real & (new > best + F.lit(min_delta))
     raise ValueError(f"mode must be 'min' or 'max', got {mode!r}")
 
 
@@ -173,9 +174,12 @@ def early_stop(log: DataFrame, patience: int = 10, min_delta: float = 0.001, war
     finds the first improving check among the next ``patience`` ones with a
     sliding window over run chunks of ``chunk`` checks plus a halo of
     ``patience`` checks from the next chunk, so no window holds a whole run;
-    (3) the chain of improvements from the first counted check is followed
-    by pointer doubling (log2 of the longest run joins). The run stops
-    ``patience`` checks after the chain's last element, if that check exists.
+    (3) a pointer reaches at most ``patience`` checks ahead, so the chain of
+    improvements enters a chunk only by its first ``patience`` checks: each
+    chunk is folded once into the exits of these entries, and only this table,
+    about ``rows * patience / chunk``, is followed by pointer doubling. The run
+    stops ``patience`` checks after the chain's last element, if that check
+    exists. Equal steps of a run count in the order of their scores.
 
     Output per run: ``n_checks`` (counted), ``best_step`` (0 when nothing
     beat the first counted check), ``best_score``, ``stop_step`` (null when
@@ -183,7 +187,8 @@ def early_stop(log: DataFrame, patience: int = 10, min_delta: float = 0.001, war
     """
     chunk = max(chunk, patience)
     counted = log.where(F.col(step) >= warmup).select(run, step, score)
-    numbered = dense_positions(counted, [step], F.floor(F.col(step) / step_bucket).cast("bigint"),
+    numbered = dense_positions(materialise(counted, "early-stop-log"), [step, score],
+                               F.floor(F.col(step) / step_bucket).cast("bigint"),
                                group=[run], out="k", refine=[F.col(step)])
     own = numbered.withColumn("_chunk", F.floor(F.col("k") / chunk)).withColumn("_halo", F.lit(False))
     halo = (numbered.where(F.col("k") % chunk < patience).where(F.col("k") >= chunk)
@@ -200,19 +205,20 @@ def early_stop(log: DataFrame, patience: int = 10, min_delta: float = 0.001, war
         .alias("_nxt"))
     # one materialisation of the successor table feeds every doubling round
     nxt = materialise(nxt, "early-stop")
-    nodes = nxt.select(run, "k", F.coalesce("_nxt", "k").alias("_j"))
+    folded = (nxt.groupBy(run, F.floor(F.col("k") / chunk).alias("_chunk"))
+              .agg(F.sort_array(F.collect_list(F.struct("k", "_nxt"))).alias("_a")))
+    entry = F.filter(F.transform(F.slice("_a", 1, patience), lambda x: x["k"]),
+                     lambda k: (F.col("_chunk") > 0) | (k == 0))
+    exits = F.transform(entry, lambda e: F.struct(e.alias("k"), F.aggregate(
+        "_a", e, lambda at, x: F.when(x["k"] == at, F.coalesce(x["_nxt"], at)).otherwise(at)).alias("_j")))
+    nodes = materialise(folded.select(run, F.explode(exits).alias("_e")).select(run, "_e.k", "_e._j"), "early-stop-exits")
     longest = nodes.agg(F.max("k").alias("m")).first()["m"]
-    rounds = max(1, math.ceil(math.log2((longest or 0) + 2)))
-    # each round joins the table with itself, so the plan doubles per round;
-    # writing it out every third round keeps the plan small and bounds the
-    # work a lost executor can cost
-    for r in range(rounds):
-        a = nodes.alias("a")
+    rounds = math.ceil(math.log2((longest or 0) // chunk + 1))
+    for _ in range(rounds):
         b = nodes.select(F.col(run).alias("_r"), F.col("k").alias("_k"), F.col("_j").alias("_jj"))
-        nodes = a.join(b, (F.col(f"a.{run}") == F.col("_r")) & (F.col("a._j") == F.col("_k"))) \
-                 .select(F.col(f"a.{run}").alias(run), F.col("a.k").alias("k"), F.col("_jj").alias("_j"))
-        if r % 3 == 2 and r + 1 < rounds:
-            nodes = materialise(nodes, "early-stop-round")
+        nodes = materialise(
+            nodes.join(b, (nodes[run] == b["_r"]) & (nodes["_j"] == b["_k"]), "left")
+            .select(run, "k", F.coalesce("_jj", "_j").alias("_j")), "early-stop-round")
     last = nodes.where(F.col("k") == 0).select(run, F.col("_j").alias("_t"))
     stats = nxt.groupBy(run).agg(F.count(F.lit(1)).alias("n_checks"))
     at_t = nxt.select(run, F.col("k").alias("_t"), F.col(step).alias("_tstep"),

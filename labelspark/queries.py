@@ -420,6 +420,35 @@ def q_score_posts(spark, sf):
                      *[F.element_at("category_logits", i + 1).alias(f"c{i}") for i in range(6)])
 
 
+def _unsure_id_posts(spark, sf):
+    """Numeric ids that repeat over different texts (two posts an id)."""
+    posts = fx.fx_posts(spark, sf).drop("cleaned_text")
+    return posts.withColumn("item_id", F.floor(F.col("doc_id") / 2).cast("string"))
+
+
+def _no_id_posts(spark, sf):
+    """Some posts without an id, some sharing one."""
+    posts = _unsure_id_posts(spark, sf)
+    return posts.withColumn("item_id", F.when(F.col("doc_id") % 9 != 0, F.col("item_id")))
+
+
+def _labelled_rows(lab):
+    return lab.select("data_id", "text", "pred_binary", r6("pred_binary_prob").alias("pred_binary_prob"),
+                      join_ints("pred_category").alias("pred_category"))
+
+
+@query("scoring_job_repeated_ids")
+def q_scoring_job_repeated_ids(spark, sf):
+    """Each of two posts with one id gets the prediction of the first by doc_id."""
+    return _labelled_rows(jobs.scoring_job(_unsure_id_posts(spark, sf), LengthScorer(6), order=["doc_id"]).labelled)
+
+
+@query("scoring_job_null_ids")
+def q_scoring_job_null_ids(spark, sf):
+    """A post without an id makes all ids generated: every post is scored on its own."""
+    return _labelled_rows(jobs.scoring_job(_no_id_posts(spark, sf), LengthScorer(6), order=["doc_id"]).labelled)
+
+
 def _scoring(spark, sf):
     return jobs.scoring_job(_job_posts(spark, sf), LengthScorer(6))
 
@@ -451,7 +480,7 @@ def q_positive_rate(spark, sf):
 
 
 def _group_study(spark, sf):
-    return jobs.group_study(fx.fx_posts(spark, sf), LengthScorer(8), n=10000, seed=42)
+    return jobs.group_study(fx.fx_posts(spark, sf), LengthScorer(8), n=300, seed=42)
 
 
 @query("group_study")
@@ -480,9 +509,7 @@ def q_value_counts(spark, sf):
 @query("join_demographics")
 def q_join_demographics(spark, sf):
     _, preds = _group_study(spark, sf)
-    # the group study's predictions are a drawn sample of at most n posts
-    return R.join_demographics(preds, fx.fx_posts(spark, sf), "item_id", ("gender",),
-                               preds_bounded=True)
+    return R.join_demographics(preds, fx.fx_posts(spark, sf), "item_id", ("gender",))
 
 
 @query("join_predictions")
@@ -498,8 +525,7 @@ def q_remaining_rows(spark, sf):
     return R.remaining_rows(posts, fx.fx_scored_log(spark, sf), "doc_id")
 
 
-@query("score_drift")
-def q_score_drift(spark, sf):
+def _drift(spark, sf):
     lg = _logits(spark, sf)
     exported = lg.select("doc_id", P.gate_logits("b", "c").alias("g"))
     # the same outputs after 8-level-per-unit quantisation
@@ -507,6 +533,15 @@ def q_score_drift(spark, sf):
     return R.score_drift(exported, quant, "doc_id", "g").withColumn("max_abs_diff", r6("max_abs_diff"))
 
 
+@query("score_drift")
+def q_score_drift(spark, sf):
+    return _drift(spark, sf)
+
+
+@query("overall_drift")
+def q_overall_drift(spark, sf):
+    return R.overall_drift(_drift(spark, sf))
+
 
 @query("stream_scoring")
 def q_stream_scoring(spark, sf):
@@ -544,7 +579,7 @@ def _annotated_rows(spark, sf):
 
 
 def _read_back_labels(spark, path):
-    kept, _ = load_processed_data(spark, path, split="all")
+    kept, _ = load_processed_data(spark, path, split="all", multi_line=True)
     return kept.select("id", "text", join_ints("binary_labels").alias("binary_labels"),
                        join_ints("category_labels").alias("category_labels"))
 

@@ -67,19 +67,21 @@ def materialise(df, name: str = "stage"):
 
 
 def cluster_conf(input_bytes: int, executor_memory_gb: float = 16.0,
-                 cores_per_executor: int = 4, target_partition_mb: int = 256) -> dict[str, str]:
+                 cores_per_executor: int = 4, target_partition_mb: int = 256,
+                 shuffled_share: float = 0.2) -> dict[str, str]:
     """Session settings sized for a large input (bytes of compressed parquet).
 
-    Scan splits and post-shuffle partitions aim at ``target_partition_mb``
-    each, with the per-core share of executor memory as the ceiling, so a
-    partition fits in memory; AQE coalesces small shuffle partitions and
-    splits skewed ones at run time; broadcasts stay at Spark's 10 MB unless
-    a size is proven.
+    Scan splits aim at ``target_partition_mb``, with the per-core share of
+    executor memory as the ceiling. Shuffle partitions are sized from what
+    crosses a shuffle: ids, keys and counts, not texts, so
+    ``shuffled_share`` of the input, at four times the scan target each (within
+    the same ceiling); AQE coalesces small partitions and splits skewed ones at
+    run time. Broadcasts stay at Spark's 10 MB unless a size is proven.
     """
     per_core_mb = executor_memory_gb * 1024 * 0.6 / max(cores_per_executor, 1)
     part_mb = int(max(32, min(target_partition_mb, per_core_mb / 2)))
-    # shuffled data is usually larger than the compressed scan: allow 3x
-    shuffle_parts = max(200, int(input_bytes * 3 / (part_mb << 20)))
+    shuffle_mb = int(max(part_mb, min(4 * part_mb, per_core_mb / 2)))
+    shuffle_parts = max(200, int(input_bytes * shuffled_share / (shuffle_mb << 20)))
     return {
         "spark.sql.files.maxPartitionBytes": f"{part_mb}m",
         "spark.sql.shuffle.partitions": str(shuffle_parts),

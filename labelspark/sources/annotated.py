@@ -57,13 +57,17 @@ def read_annotated_jsonl(spark: SparkSession, path: str, id_col: str = "id") ->
     return _text_first(spark.read.schema(schema).json(path))
 
 
-def read_annotated_csv(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
+def read_annotated_csv(spark: SparkSession, path: str, id_col: str = "id",
+                       multi_line: bool = False) -> DataFrame:
     """CSV or TSV by extension (S2); label columns parsed from list text.
 
+    ``multi_line``: quoted fields may hold line ends. Such a file is read by
+    one task; without it a file is split like any text.
+
     Without an id column, the row position in the file becomes the id (P6).
     """
     sep = "\t" if path.endswith(".tsv") else ","
-    raw = (spark.read.option("header", True).option("sep", sep).option("multiLine", True)
+    raw = (spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
            .option("escape", '"').csv(path))
     cols = raw.columns
     out = raw
@@ -92,18 +96,25 @@ def write_annotated_json_lines(df: DataFrame, path: str, id_col: str = "id") ->
 
 
 def read_annotated(spark: SparkSession, path: str, dataset: str = "EXIST",
-                   id_col: str = "id") -> DataFrame:
-    """Dispatch on extension (S3): ``.json``, ``.jsonl``, ``.csv``, ``.tsv``.
+                   id_col: str = "id", multi_line: bool = False) -> DataFrame:
+    """Dispatch on extension (S3): ``.json``, ``.keyed.jsonl``, ``.jsonl``,
+    ``.csv``, ``.tsv``.
+
+    ``.json`` is one object keyed by id, read by one task. Large sets belong in
+    ``.keyed.jsonl`` (one keyed object per line, as
+    ``write_annotated_json_lines`` writes them) or ``.jsonl``, which split.
 
     Unknown extensions and dataset names fail at plan time.
     """
     scheme_for(dataset)
     if path.endswith(".json"):
         return read_annotated_json(spark, path, id_col)
+    if path.endswith(".keyed.jsonl"):
+        return read_annotated_json(spark, path, id_col, whole_file=False)
     if path.endswith(".jsonl"):
         return read_annotated_jsonl(spark, path, id_col)
     if path.endswith(".csv") or path.endswith(".tsv"):
-        return read_annotated_csv(spark, path, id_col)
+        return read_annotated_csv(spark, path, id_col, multi_line)
     raise ValueError(f"unsupported file format: {path}; use .json, .jsonl, .csv or .tsv")
 
 
@@ -117,30 +128,35 @@ def annotated_votes(df: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataF
 
 
 def attach_row_index(df: DataFrame, out: str = "row_index") -> DataFrame:
-    """Dense 0-based row position of a file scan.
+    """Dense 0-based row position (P6): files by name, rows as they stand.
 
-    ``monotonically_increasing_id`` holds the partition index in its upper
-    bits and the row's place in the partition in the lower 33; rows per
-    partition (a table bounded by the partition count) give each partition
-    its offset. Valid straight after a scan: file splits are read in order.
+    ``monotonically_increasing_id`` numbers the rows of a task in read order.
+    Rows per file split (a table bounded by the number of splits) give each
+    split its offset in the order of file name and place in the file, however
+    Spark packed the splits into tasks. A frame that is no file scan has no
+    files; its rows are numbered by partition.
     """
-    mid = df.withColumn("_mid", F.monotonically_increasing_id())
-    mid = mid.withColumn("_pid", F.shiftright("_mid", 33))
-    counts = mid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
-    return (mid.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, (F.col("_off") + local).cast("bigint"))
-            .drop("_mid", "_pid", "_off"))
-
-
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
+    mid = F.monotonically_increasing_id()
+    try:
+        marked = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                           F.col("_metadata.file_block_start").alias("_at"), mid.alias("_mid"))
+    except AnalysisException:
+        marked = df.withColumns({"_mid": mid, "_file": F.lit("")}).withColumn("_at", F.shiftright("_mid", 33))
+    parts = marked.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.partitionBy(F.lit(0)).orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_file", "_at", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (marked.join(offsets, ["_file", "_at"])
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
+            .drop("_mid", "_file", "_at", "_first", "_off"))
+
+
+def read_posts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Posts to score (S4): CSV read as text (ids keep leading zeros and
-    never become numbers); parquet id columns cast to string."""
+    never become numbers); parquet id columns cast to string. ``multi_line``
+    as for annotated CSV."""
     if path.endswith(".csv") or path.endswith(".tsv"):
         sep = "\t" if path.endswith(".tsv") else ","
-        return (spark.read.option("header", True).option("sep", sep).option("multiLine", True)
+        return (spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
                 .option("escape", '"').option("inferSchema", False).csv(path))
     df = spark.read.parquet(path)
     for c in ("comment_id", "item_id", "data_id"):
@@ -178,12 +194,12 @@ def append_scored(df: DataFrame, path: str) -> None:
 
 def cached_or_compute(spark: SparkSession, path: str,
                       compute: Callable[[], DataFrame]) -> DataFrame:
-    """Stored predictions if present, else compute, store and read back."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        compute().write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+    """Stored predictions if they are complete (``_SUCCESS`` is there), else
+    compute, store and read back (S9); a half-written set is replaced."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def store_annotated(df: DataFrame, path: str, mode: str = "errorifexists") -> str:

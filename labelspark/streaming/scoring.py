@@ -64,18 +64,15 @@ def _output_schema(df: DataFrame, keep: Sequence[str]) -> T.StructType:
 
 
 def score(df: DataFrame, scorer: ScorerFactory, keep: Sequence[str] = ("item_id",),
-          text_col: str = "text", batch_size: int = 32,
-          arrow_batch_rows: int | None = None) -> DataFrame:
+          text_col: str = "text", batch_size: int = 32) -> DataFrame:
     """Attach ``binary_logits`` and ``category_logits`` to each row (M2).
 
-    Runs as ``mapInPandas``: rows stay in their partitions (no shuffle), and
-    only ``keep`` plus the text cross to Python. ``arrow_batch_rows`` sets the
-    session's Arrow batch size (``spark.sql.execution.arrow.maxRecordsPerBatch``)
-    so that batches of long texts fit the Python worker's memory.
+    Runs as ``mapInPandas``: rows stay in their partitions (no shuffle), only
+    ``keep`` plus the text cross to Python, and one frame goes back per Arrow
+    batch, cut into model batches of ``batch_size`` inside. Batches of very
+    long texts are bounded by the session's
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``, which is the caller's.
     """
-    if arrow_batch_rows:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch",
-                                 str(int(arrow_batch_rows)))
     keep = list(keep)
     schema = _output_schema(df, keep)
     cols = keep + ([text_col] if text_col not in keep else [])
@@ -83,13 +80,15 @@ def score(df: DataFrame, scorer: ScorerFactory, keep: Sequence[str] = ("item_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = scorer()
         for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size]
-                b, c = model(chunk[text_col])
-                out = chunk[keep].copy()
-                out["binary_logits"] = list(np.asarray(b, dtype=float))
-                out["category_logits"] = list(np.asarray(c, dtype=float))
-                yield out.reset_index(drop=True)
+            if not len(pdf):
+                continue
+            texts = pdf[text_col]
+            logits = [model(texts.iloc[start:start + batch_size])
+                      for start in range(0, len(pdf), batch_size)]
+            out = pdf[keep].copy()
+            out["binary_logits"] = list(np.concatenate([np.asarray(b, dtype=float) for b, _ in logits]))
+            out["category_logits"] = list(np.concatenate([np.asarray(c, dtype=float) for _, c in logits]))
+            yield out
 
     return df.select(*cols).mapInPandas(run, schema)
 
@@ -121,21 +120,27 @@ def stream_scoring(spark, source_dir: str, schema: T.StructType, sink_dir: str,
     RocksDB, which keeps it off the JVM heap as the number of ids grows.
     """
     provider = "spark.sql.streaming.stateStore.providerClass"
-    if rocksdb_state and not spark.conf.get(provider, None):
+    chosen = spark.conf.get(provider, None)
+    if rocksdb_state and not chosen:
         spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state."
                                  "RocksDBStateStoreProvider")
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    posts = harmonise_posts(reader.parquet(source_dir)).dropna(subset=["text"])
-    keep = [key] + ([event_time] if event_time else [])
-    scored = with_predictions(score(posts, scorer, keep=keep, batch_size=batch_size))
-    if event_time:
-        deduped = scored.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
-    else:
-        deduped = scored.dropDuplicates([key])
-    q = (deduped.writeStream.format("parquet").outputMode("append")
-         .option("path", sink_dir).option("checkpointLocation", checkpoint_location)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    try:
+        reader = spark.readStream.schema(schema)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        posts = harmonise_posts(reader.parquet(source_dir)).dropna(subset=["text"])
+        keep = [key] + ([event_time] if event_time else [])
+        # repeats go before the model sees them
+        if event_time:
+            posts = posts.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
+        else:
+            posts = posts.dropDuplicates([key])
+        scored = with_predictions(score(posts, scorer, keep=keep, batch_size=batch_size))
+        q = (scored.writeStream.format("parquet").outputMode("append")
+             .option("path", sink_dir).option("checkpointLocation", checkpoint_location)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if rocksdb_state and not chosen:  # the session keeps its own setting
+            spark.conf.unset(provider)
     return q

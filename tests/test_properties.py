@@ -65,7 +65,7 @@ def test_sample_frac_exact_size(spark, n, frac):
     got = sorted(r["key"] for r in S.sample_frac(df, frac, "key", seed=3).collect())
     want_n = round(frac * n)
     assert len(got) == want_n
-    assert got == sorted(_md5_order(list(range(n)), 3)[:want_n])
+    assert got == sorted(_md5_order(list(range(n)), "3:sample_frac")[:want_n])
 
 
 def _split_sizes(counts, test_size):
@@ -91,7 +91,7 @@ def test_stratified_split_is_exact_partition(spark, n, test_size, p):
     for y, k in want.items():
         held = sorted(r["key"] for r in out if r["y"] == y and r["part"] == "held_out")
         stratum = [key for key, yy in rows if yy == y]
-        assert held == sorted(_md5_order(stratum, 42)[:k])
+        assert held == sorted(_md5_order(stratum, "42:stratified_split")[:k])
 
 
 def test_sample_per_group_and_strict(spark):
@@ -129,21 +129,19 @@ def test_surrogate_ids_paths(spark):
     assert sorted(ids) == list(range(1, 42))
 
 
-def plain_early_stop(scores, patience, min_delta, warmup, steps):
-    best, best_step, counter = None, 0, 0
-    for s, step in zip(scores, steps):
-        if step < warmup:
-            continue
-        if best is None:
-            best = s
-            continue
-        if s < best - min_delta:
-            best, best_step, counter = s, step, 0
-        else:
-            counter += 1
-            if counter >= patience:
-                return best, best_step, step
-    return best, best_step, None
+def declared_early_stop(scores, patience, min_delta, warmup, steps, sign=1):
+    """The rule as a definition: from a check the run moves to the first check within ``patience`` that
+    beats it; it ends at the check that nothing beats, and stops ``patience`` checks later if it gets there."""
+    seen = [(step, sign * s) for s, step in zip(scores, steps) if step >= warmup]
+    if not seen:
+        return None, 0, None
+    beaten_by = {i: min((j for j in range(i + 1, min(i + patience, len(seen) - 1) + 1) if seen[j][1] < seen[i][1] - min_delta),
+                        default=None) for i in range(len(seen))}
+    at = 0
+    while beaten_by[at] is not None:
+        at = beaten_by[at]
+    stop = seen[at + patience][0] if at + patience < len(seen) else None
+    return sign * seen[at][1], (seen[at][0] if at else 0), stop
 
 
 def test_early_stop_matches_plain_loop(spark):
@@ -164,7 +162,7 @@ def test_early_stop_matches_plain_loop(spark):
     out = {r["run_id"]: r for r in TR.early_stop(df, patience=4, min_delta=0.001, warmup=30,
                                                    chunk=5, step_bucket=64).collect()}
     for run, (scores, steps) in runs.items():
-        best, best_step, stop = plain_early_stop(scores, 4, 0.001, 30, steps)
+        best, best_step, stop = declared_early_stop(scores, 4, 0.001, 30, steps)
         if best is None:
             assert run not in out
             continue
@@ -178,7 +176,7 @@ def test_hot_key_is_ranked_in_pieces_and_stays_exact(spark):
     # (hash, key) order
     rows = [("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(600)]
     df = spark.createDataFrame(rows, "key string, v int")
-    out = hash_positions(df, "key", 9, digits=1, hot_rows=20).collect()
+    out = hash_positions(df, "key", 9, digits=1, piece_rows=20).collect()
     assert sorted(r["pos"] for r in out) == list(range(900))
     order = _md5_order(sorted({k for k, _ in rows}), 9)
     start, expect = 0, {}
@@ -191,7 +189,7 @@ def test_hot_key_is_ranked_in_pieces_and_stays_exact(spark):
         got.setdefault(r["key"], set()).add(r["pos"])
     assert got == expect
     # same positions on a second run (ties among duplicates resolve by row hash)
-    again = {(r["key"], r["v"]): r["pos"] for r in hash_positions(df, "key", 9, digits=1, hot_rows=20).collect()}
+    again = {(r["key"], r["v"]): r["pos"] for r in hash_positions(df, "key", 9, digits=1, piece_rows=20).collect()}
     assert again == {(r["key"], r["v"]): r["pos"] for r in out}
 
 
@@ -199,12 +197,12 @@ def test_cutoff_with_hot_key_is_exact(spark):
     rows = [(7, i) for i in range(200)] + [(i + 100, i) for i in range(400)]
     df = spark.createDataFrame(rows, "key long, v int")
     for frac in (0.1, 0.5, 0.9):
-        got = S.sample_frac(df, frac, "key", seed=4, hot_rows=10)
+        got = S.sample_frac(df, frac, "key", seed=4, piece_rows=10)
         n = round(frac * len(rows))
         keys = [r["key"] for r in got.collect()]
         assert len(keys) == n
         # whole keys in hash order, the cut key partly
-        order = _md5_order(sorted({k for k, _ in rows}), 4)
+        order = _md5_order(sorted({k for k, _ in rows}), "4:sample_frac")
         flat = [k for k in order for _ in range(sum(1 for kk, _ in rows if kk == k))]
         assert sorted(keys) == sorted(flat[:n])
 
@@ -226,23 +224,6 @@ def test_clean_text_on_web_pages_matches_python_re(spark):
         assert cleaned == py_clean(html)
 
 
-def plain_early_stop_max(scores, patience, min_delta, warmup, steps):
-    best, best_step, counter = None, 0, 0
-    for s, step in zip(scores, steps):
-        if step < warmup:
-            continue
-        if best is None:
-            best = s
-            continue
-        if s > best + min_delta:
-            best, best_step, counter = s, step, 0
-        else:
-            counter += 1
-            if counter >= patience:
-                return best, best_step, step
-    return best, best_step, None
-
-
 def test_early_stop_max_mode(spark):
     rnd = random.Random(11)
     rows, runs = [], {}
@@ -255,7 +236,7 @@ def test_early_stop_max_mode(spark):
     out = {r["run_id"]: r for r in TR.early_stop(df, patience=3, min_delta=0.01, warmup=10,
                                                    mode="max", chunk=4).collect()}
     for run, (scores, steps) in runs.items():
-        best, best_step, stop = plain_early_stop_max(scores, 3, 0.01, 10, steps)
+        best, best_step, stop = declared_early_stop(scores, 3, 0.01, 10, steps, sign=-1)
         if best is None:
             assert run not in out
             continue
@@ -275,7 +256,7 @@ def test_sample_n_exact(spark, n):
     keys = [f"p{i}" for i in range(800)]
     df = spark.createDataFrame([(k,) for k in keys], "item_id string")
     got = sorted(r["item_id"] for r in S.sample_n(df, n, "item_id", seed=42).collect())
-    assert got == sorted(_md5_order(keys, 42)[:n])
+    assert got == sorted(_md5_order(keys, "42:sample_n")[:n])
 
 
 @pytest.mark.parametrize("parts", [1, 5, 16])
@@ -304,8 +285,8 @@ def test_score_cuts_model_batches(spark):
             return fn
 
     df = spark.createDataFrame([(str(i), "t" * i) for i in range(50)], "item_id string, text string")
-    out = score(df.coalesce(1), CountingScorer(), keep=["item_id"], batch_size=7,
-                arrow_batch_rows=20).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    out = score(df.coalesce(1), CountingScorer(), keep=["item_id"], batch_size=7).collect()
     assert len(out) == 50
     # Arrow batches of 20, 20, 10 rows cut into model batches of 7, 7, 6 / 7, 3
     assert sorted({int(r["category_logits"][0]) for r in out}) == [3, 6, 7]
@@ -315,17 +296,17 @@ def test_score_cuts_model_batches(spark):
 def test_cluster_conf_sizes_partitions():
     from labelspark.session import cluster_conf
     conf = cluster_conf(100 * 1024 ** 4, executor_memory_gb=16, cores_per_executor=4)
-    assert int(conf["spark.sql.shuffle.partitions"]) > 100_000
+    assert 10_000 < int(conf["spark.sql.shuffle.partitions"]) < 100_000
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
-def test_sample_n_hot_key_falls_back_to_cutoff(spark):
+def test_sample_n_with_a_hot_key_is_exact(spark):
     rows = [("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(100)]
     df = spark.createDataFrame(rows, "item_id string, v int")
-    order = _md5_order(sorted({k for k, _ in rows}), 3)
+    order = _md5_order(sorted({k for k, _ in rows}), "3:sample_n")
     flat = [k for k in order for _ in range(sum(1 for kk, _ in rows if kk == k))]
     for n in (5, 150, 399):
-        got = sorted(r["item_id"] for r in S.sample_n(df, n, "item_id", seed=3, hot_rows=10).collect())
+        got = sorted(r["item_id"] for r in S.sample_n(df, n, "item_id", seed=3, piece_rows=10).collect())
         assert got == sorted(flat[:n])
 
 
@@ -333,7 +314,7 @@ def test_copies_of_one_row_are_ranked_in_parallel_pieces(spark):
     # one row copied 300 times (a third of the table), plus 600 distinct rows
     rows = [("hot", 1)] * 300 + [(f"k{i}", i) for i in range(600)]
     df = spark.createDataFrame(rows, "key string, v int")
-    out = hash_positions(df, "key", 9, digits=1, hot_rows=20, expand_chunk=16).collect()
+    out = hash_positions(df, "key", 9, digits=1, piece_rows=20).collect()
     assert len(out) == 900
     assert sorted(r["pos"] for r in out) == list(range(900))
     order = _md5_order(sorted({k for k, _ in rows}), 9)
@@ -347,7 +328,8 @@ def test_copies_of_one_row_are_ranked_in_parallel_pieces(spark):
         got.setdefault(r["key"], set()).add(r["pos"])
     assert got == expect
     # the cutoff select keeps exact sizes when the cut falls inside the copies
-    keys = [r["key"] for r in S.sample_frac(df, 0.5, "key", seed=9, hot_rows=20).collect()]
+    keys = [r["key"] for r in S.sample_frac(df, 0.5, "key", seed=9, piece_rows=20).collect()]
+    order = _md5_order(sorted({k for k, _ in rows}), "9:sample_frac")
     flat = [k for k in order for _ in range(sum(1 for kk, _ in rows if kk == k))]
     assert sorted(keys) == sorted(flat[:450])
 
@@ -358,9 +340,63 @@ def test_grouped_positions_with_hot_buckets(spark):
     rows = [(g, rnd.randint(0, 50), i) for i in range(600) for g in [0 if i < 400 else 1 + i % 3]]
     df = spark.createDataFrame(rows, "g long, t long, id long")
     out = dense_positions(df, ["t", "id"], F.floor(F.col("t") / 25), group=["g"], out="k",
-                          refine=[F.col("t")], hot_rows=15, expand_chunk=4).collect()
+                          refine=[F.col("t")], piece_rows=15).collect()
     got = {(r["g"], r["id"]): r["k"] for r in out}
     for g in {r[0] for r in rows}:
         ordered = sorted((t, i) for gg, t, i in rows if gg == g)
         for k, (_, i) in enumerate(ordered):
             assert got[(g, i)] == k
+
+
+def test_nan_is_never_a_yes_and_never_improves(spark):
+    from labelspark.functions import predict as P
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, nan, [nan] * 6), (0.0, 1.0, [nan, 1.0, -1.0, 0.0, nan, 2.0])],
+                               "b0 double, b1 double, c array<double>")
+    cols = P.predict(F.col("b0"), F.col("b1"), F.col("c"))
+    rows = df.select(*[c.alias(k) for k, c in cols.items()]).collect()
+    assert rows[0]["pred_binary"] == 0 and rows[0]["pred_category"] == [1, 0, 0, 0, 0, 0]
+    assert rows[1]["pred_binary"] == 1 and rows[1]["pred_category"] == [0, 1, 0, 1, 0, 1]
+    for n in (None, 6):
+        assert df.select(P.threshold_labels("c", 0.5, n)).first()[0] == [0] * 6
+    names = df.select(P.strict_label_names("c", list("abcdef"), 0.5)).collect()
+    assert [r[0] for r in names] == ["none", "b, f"]
+    for mode, scores, best in (("min", [nan, 0.5, 0.4], (0, nan)), ("max", [0.5, nan, 0.6], (2, 0.6)), ("min", [0.5, nan, 0.4], (2, 0.4))):
+        log = spark.createDataFrame([(1, i, s) for i, s in enumerate(scores)], "run_id long, step long, val_loss double")
+        r = TR.early_stop(log, patience=3, min_delta=0.01, warmup=0, mode=mode).first()
+        assert r["best_step"] == best[0] and (r["best_score"] == best[1] or best[1] != best[1])
+
+
+def test_draws_with_one_seed_are_independent(spark):
+    df = spark.range(4000).select(F.col("id").alias("key"), (F.col("id") % 2).alias("y"))
+    held = {r["key"] for r in S.stratified_split(df, "y", 0.05, "key", 42).where("part = 'held_out'").collect()}
+    drawn = {r["key"] for r in S.sample_frac(df, 0.2, "key", 42).collect()}
+    assert len(held) == 200 and 15 <= len(held & drawn) <= 75
+
+
+def test_scoring_job_keeps_posts_without_ids_in_any_order(spark):
+    from labelspark.plans.jobs import scoring_job
+    from labelspark.streaming.scoring import LengthScorer
+    rows = [("1", "a"), ("2", "bbbb"), (None, "cc"), (None, "ddddd"), ("1", "eeeeeee"), ("3", None)]
+    frames = [spark.createDataFrame(r, "item_id string, text string").coalesce(1) for r in (rows, rows[::-1])]
+    got = [scoring_job(f, LengthScorer(6)) for f in frames]
+    labelled = [sorted(((r["data_id"], r["text"], r["pred_binary"]) for r in g.labelled.collect()), key=repr) for g in got]
+    assert labelled[0] == labelled[1] and len(labelled[0]) == 5
+    check = got[0].checks.first()
+    assert check["ok"] and check["n_predictions"] == check["n_inputs"] == 5
+    repeated = [("1", "a"), ("1", "bbbbbbbbbbb"), ("2", "c")]
+    frames = [spark.createDataFrame(r, "item_id string, text string").coalesce(1) for r in (repeated, repeated[::-1])]
+    one, two = [sorted(map(tuple, scoring_job(f, LengthScorer(6)).labelled.select("data_id", "text", "pred_binary_prob").collect())) for f in frames]
+    assert one == two and len(one) == 3 and one[0][2] == one[1][2]
+
+
+def test_negative_zero_survives_the_ranking(spark):
+    rows = [("k", -0.0)] * 40 + [("j", 0.0)] * 40
+    out = hash_positions(spark.createDataFrame(rows, "key string, v double"), "key", 1, digits=1, piece_rows=5).collect()
+    assert sorted(r["pos"] for r in out) == list(range(80))
+    assert sum(str(r["v"]) == "-0.0" for r in out) == 40
+
+
+def test_sample_n_strict(spark):
+    with pytest.raises(ValueError):
+        S.sample_n(spark.range(3).withColumnRenamed("id", "key"), 5, "key", strict=True)
