@@ -221,6 +221,24 @@ def _shared_differences(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _linked_groups(hit: np.ndarray, within: bool):
+    """Members of each group joined by links: rows of ``hit``, then its columns (``within``: they are the rows)."""
+    n = len(hit)
+    new = np.concatenate([hit.any(axis=1), np.zeros(0, bool) if within else hit.any(axis=0)])  # not yet in a group
+    while new.any():
+        found, todo = [], [int(new.argmax())]
+        new[todo] = False
+        while todo:
+            k = todo.pop()
+            found.append(k)
+            near = hit[k] if k < n else hit[:, k - n]
+            side = slice(None) if within else slice(n, None) if k < n else slice(0, n)
+            more = np.flatnonzero(near & new[side]) + (0 if within or k >= n else n)
+            new[more] = False
+            todo += more.tolist()
+        yield found
+
+
 def _compare_followers(table: pa.Table) -> pa.Table:
     """Links between two blocks (or within one) of one leader's followers, from their differences.
 
@@ -237,35 +255,21 @@ def _compare_followers(table: pa.Table) -> pa.Table:
     right = left if within else np.flatnonzero(side == 1)
     out = []
     if len(left) and len(right):
-        links = np.zeros(len(fp), np.int64)
-        group = list(range(len(fp)))
-
-        def root(k):
-            while group[k] != k:
-                group[k] = group[group[k]]
-                k = group[k]
-            return k
-
         # differences from the leader: what it has and the follower lacks, and the reverse
         common = (n_lead - (n_lead - c[left])[:, None] - (n_lead - c[right])[None, :]
                   + _shared_differences([diff[k] for k in left], [diff[k] for k in right]).round().astype(np.int64))
         hit = linked(common, n[left][:, None], n[right][None, :])
+        links = np.zeros(len(fp), np.int64)
         if within:
             np.fill_diagonal(hit, False)
         links[left] += hit @ mult[right]
         if not within:
             links[right] += hit.T @ mult[left]
-        for i in range(len(left)):
-            js = np.flatnonzero(hit[i])
-            for j in js.tolist():
-                a, b = root(int(left[i])), root(int(right[j]))
-                if a != b:
-                    group[b] = a
-        least = {}
-        for k in range(len(fp)):
-            r = root(k)
-            least[r] = min(least.get(r, fp[k]), fp[k])
-        out = [(fp[k], int(links[k]), least[root(k)]) for k in range(len(fp)) if links[k]]
+        for members in _linked_groups(hit, within):
+            names = [fp[left[k]] if k < len(left) else fp[right[k - len(left)]] for k in members]
+            least = min(names)
+            rows = [left[k] if k < len(left) else right[k - len(left)] for k in members]
+            out += [(name, int(links[r]), least) for name, r in zip(names, rows)]
     cols = list(zip(*out)) or [(), (), ()]
     return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.binary(), pa.int64(), pa.binary()])], names=ANSWER.names)
 
