@@ -43,10 +43,12 @@ from labelspark.llm import textops as tx
 
 LENGTH = 100
 GRAM = 40
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 FREQUENT = 2_000  # occurrences of an anchor beyond which its windows are dealt one by one
 PIECE = 1 << 20  # window starts hashed at once
+COLLECTION_BYTES = 512 << 10  # contexts of a range are ordered in collections of about this size
 NO_SYMBOL = 255  # no byte of UTF-8
+_SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)  # anchors are small hashes: their keys are hashed again to spread over the ranges
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -57,11 +59,18 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def _span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    """Hash of spans that may overlap, mixed with ``extra``."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tx._power_table(tx._BASE, len(data)), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * tx._power_table(tx._BASE_INV, len(data) + 1)[starts]
-    return tx.mix64(tx.mix64(raw + (ends - starts).astype(np.uint64)) ^ (extra.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    """Hash of spans that may overlap (starts ascend), mixed with ``extra``."""
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(data), PIECE // 2):
+        some = slice(*np.searchsorted(starts, [lo, lo + PIECE // 2]))
+        if some.stop > some.start:
+            part = data[lo: int(ends[some].max())]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * tx._power_table(tx._BASE, len(part)), out=sums[1:])
+            a, b = starts[some] - lo, ends[some] - lo
+            raw = (sums[b] - sums[a]) * tx._power_table(tx._BASE_INV, len(part) + 1)[a]
+            out[some] = tx.mix64(raw + (b - a).astype(np.uint64))
+    return tx.mix64(out ^ (extra.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -82,13 +91,18 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
             width *= 2
         v = np.minimum(v[: n], v[span - width: span - width + n])
         place = (low - (v & low)).astype(np.int64)
-        starts = lo + np.arange(n)
-        doc = np.searchsorted(offsets, starts, "right") - 1
-        ok = starts + length <= offsets[doc + 1]
-        edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (ok[1:] != ok[:-1])]))
+        new, ok = np.ones(n, bool), np.ones(n, bool)
+        new[1:] = place[1:] != place[:-1]
+        ends = offsets[slice(*np.searchsorted(offsets, [lo + 1, hi]))] - lo  # where texts end inside the piece
+        new[ends[ends < n]] = True
+        for end in ends.tolist():
+            ok[max(end - length + 1, 0): end] = False
+        new[1:] |= ok[1:] != ok[:-1]
+        edge = np.flatnonzero(new)
         last = np.append(edge[1:], n) - 1
         edge, last = edge[ok[edge]], last[ok[edge]]
-        for k, x in enumerate((doc[edge], lo + edge, lo + last, lo + place[edge], h[place[edge]])):
+        doc = np.searchsorted(offsets, lo + edge, "right") - 1
+        for k, x in enumerate((doc, lo + edge, lo + last, lo + place[edge], tx.mix64(h[place[edge]] ^ _SPREAD))):
             out[k].append(x)
     if not out[0]:
         none = np.zeros(0, np.int64)
@@ -134,7 +148,8 @@ class Block:
         place = np.concatenate([self.place[plain], self.place[run]])
         doc = np.concatenate([self.doc[plain], self.doc[run]])
         is_hot = np.arange(len(first)) >= len(plain)
-        content = _span_keys(self.data, first, last + self.length, place - first)
+        content = np.concatenate([_span_keys(self.data, first[x], last[x] + self.length, place[x] - first[x])
+                                  for x in (slice(0, len(plain)), slice(len(plain), None))])
         key = np.where(is_hot, content, np.concatenate([self.anchor[plain], self.anchor[run]]))
         order = np.lexsort((place, content))  # places ascend with the order of documents
         new = np.ones(len(order), bool)
@@ -166,29 +181,27 @@ class Block:
 
 
 class Columns:
-    """The growing transform: symbol before, common prefix with the entry before, context, suffix
-    length. Each round reads the files of the last one in order and writes new ones."""
+    """The growing transform (the symbol before each suffix) and the common prefix of each suffix with
+    the one before it. A round reads the files of the last one in order and writes new ones."""
 
-    FIELDS = (("symbol", np.uint8), ("common", np.uint16), ("owner", np.uint32), ("size", np.uint16))
-
-    def __init__(self, folder: str, **first: np.ndarray):
+    def __init__(self, folder: str, symbol: np.ndarray, longest: int):
         self.folder, self.round = folder, 0
-        self._write(first)
+        self.kinds = {"symbol": np.uint8, "common": np.uint8 if longest < 256 else np.uint32}
+        self._write({"symbol": symbol, "common": np.zeros(len(symbol))})
 
     def _write(self, columns: dict) -> None:
-        for name, kind in self.FIELDS:
+        for name, kind in self.kinds.items():
             path = os.path.join(self.folder, f"{name}-{self.round}")
             columns[name].astype(kind, copy=False).tofile(path)
             setattr(self, name, np.memmap(path, kind, "r"))
 
     def insert(self, at: np.ndarray, fixes: tuple[np.ndarray, np.ndarray], **new: np.ndarray) -> None:
         """Put new entries at the places ``at`` (of the longer column), then set common prefixes ``fixes``."""
-        n = len(self.symbol) + len(at)
-        old = np.ones(n, bool)
+        old = np.ones(len(self.symbol) + len(at), bool)
         old[at] = False
         columns = {}
-        for name, kind in self.FIELDS:
-            out = np.empty(n, kind)
+        for name, kind in self.kinds.items():
+            out = np.empty(len(old), kind)
             out[old] = getattr(self, name)
             out[at] = new[name]
             columns[name] = out
@@ -196,10 +209,18 @@ class Columns:
         last = self.round
         self.round += 1
         self._write(columns)
-        for name, _ in self.FIELDS:
+        for name in self.kinds:
             os.unlink(os.path.join(self.folder, f"{name}-{last}"))
 
 
+def _ranks(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of (symbol, place), and the rank of each place in it."""
+    by_symbol = np.argsort(symbol, kind="stable")
+    rank = np.empty(len(symbol), np.int64)
+    rank[by_symbol] = np.arange(len(symbol))
+    return by_symbol, rank
+
+
 def _least(common: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(common[lo:hi]) of every pair, lo < hi."""
     if not len(lo):
@@ -211,23 +232,19 @@ def _least(common: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def collection_order(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     """(owner, suffix length, common prefix) of all suffixes of all strings, in order, column by column."""
-    m = len(starts)
+    m, longest = len(starts), int(sizes.max(initial=0))
+    ends = starts + sizes
     with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        ends = starts + sizes
-        cols = Columns(folder, symbol=np.where(sizes > 0, flat[np.maximum(ends - 1, 0)], NO_SYMBOL), common=np.zeros(m),
-                       owner=np.arange(m), size=np.zeros(m))
+        cols = Columns(folder, np.where(sizes > 0, flat[np.maximum(ends - 1, 0)], NO_SYMBOL), longest)
         active = np.flatnonzero(sizes > 0)
-        place = active.copy()
-        for j in range(1, int(sizes.max(initial=0)) + 1):
-            symbol = np.asarray(cols.symbol)
-            by_symbol = np.argsort(symbol, kind="stable")
-            rank = np.empty(len(symbol), np.int64)
-            rank[by_symbol] = np.arange(len(symbol))
+        place = active
+        for j in range(1, longest + 1):
+            symbol, common = np.asarray(cols.symbol), np.asarray(cols.common)
+            by_symbol, rank = _ranks(symbol)
             lf = rank[place]
             order = np.argsort(lf)
             active, place, lf = active[order], place[order], lf[order]
             mine = symbol[place]
-            common = np.asarray(cols.common)
             before, after = by_symbol[np.maximum(lf - 1, 0)], by_symbol[np.minimum(lf + 1, len(symbol) - 1)]
             has_before = (lf > 0) & (symbol[before] == mine)
             has_after = (lf + 1 < len(symbol)) & (symbol[after] == mine)
@@ -237,12 +254,19 @@ def collection_order(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
             at = m + lf  # the m empty suffixes come first, then every suffix in the order of its symbol and rest
             more = sizes[active] > j
             symbols = np.where(more, flat[np.maximum(ends[active] - 1 - j, 0)], NO_SYMBOL)
-            nxt = at[has_after] + 1
-            cols.insert(at, (nxt, following), symbol=symbols, common=shared, owner=active, size=np.full(len(at), j))
+            cols.insert(at, (at[has_after] + 1, following), symbol=symbols, common=shared)
             place, active = at[more], active[more]
-            if not len(active):
-                break
-        return np.array(cols.owner), np.array(cols.size), np.array(cols.common)
+        # whose suffix each entry is: follow every string through the finished transform
+        symbol, common = np.array(cols.symbol), np.array(cols.common)
+        owner, size = np.empty(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
+        owner[:m] = active = np.arange(m)
+        place, rank = active, _ranks(symbol)[1]
+        for j in range(1, longest + 1):
+            more = sizes[active] >= j
+            active = active[more]
+            place = m + rank[place[more]]
+            owner[place], size[place] = active, j
+    return owner, size, common
 
 
 def repeated_windows(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rank: np.ndarray, length: int):
@@ -250,7 +274,7 @@ def repeated_windows(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ra
     owner, size, common = collection_order(flat, starts, sizes)
     group = np.cumsum(common < length)
     whole = np.flatnonzero(size >= length)
-    group, owner, size = group[whole], owner[whole].astype(np.int64), size[whole].astype(np.int64)
+    group, owner, size = group[whole], owner[whole], size[whole]
     order = np.lexsort((rank[owner], group))
     later = np.zeros(len(order), bool)
     later[1:] = group[order][1:] == group[order][:-1]
@@ -331,6 +355,16 @@ def _send(buckets: int, length: int, gram: int):
     return run
 
 
+def _collections(key: np.ndarray, sizes: np.ndarray):
+    """Slices of contexts, ordered by key, of about ``COLLECTION_BYTES`` with no key in two of them."""
+    total, lo = np.cumsum(sizes), 0
+    while lo < len(key):
+        hi = int(np.searchsorted(total, total[lo] - sizes[lo] + COLLECTION_BYTES, "right"))
+        hi = int(np.searchsorted(key, key[max(hi - 1, lo)], "right"))
+        yield slice(lo, hi)
+        lo = hi
+
+
 def _find_repeats(length: int):
     """Of one range: which windows of which sent contexts also start earlier."""
 
@@ -361,15 +395,17 @@ def _find_repeats(length: int):
         # contexts that share an anchor with a different one
         _, of, times = np.unique(key[some], return_inverse=True, return_counts=True)
         some = some[(times[of.ravel()] > 1) & (sizes[some] >= length)]
-        if len(some):
-            owner, offset = repeated_windows(flat, begin[some], sizes[some], rank[some], length)
-            order = np.lexsort((offset, owner))
-            owner, offset = owner[order], offset[order]
-            edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(owner) else []
-            stop = np.append(edge[1:], len(owner)) - 1 if len(owner) else []
-            gone_at += some[owner[edge]].tolist() if len(owner) else []
-            gone_lo += offset[edge].tolist() if len(owner) else []
-            gone_hi += offset[stop].tolist() if len(owner) else []
+        some = some[np.argsort(key[some], kind="stable")]
+        for part in _collections(key[some], sizes[some]):
+            part = some[part]
+            owner, offset = repeated_windows(flat, begin[part], sizes[part], rank[part], length)
+            if len(owner):
+                order = np.lexsort((offset, owner))
+                owner, offset = owner[order], offset[order]
+                edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+                gone_at += part[owner[edge]].tolist()
+                gone_lo += offset[edge].tolist()
+                gone_hi += offset[np.append(edge[1:], len(owner)) - 1].tolist()
         at, lo, hi = (np.array(x, np.int64) for x in (gone_at, gone_lo, gone_hi))
         out = []
         for k, r in enumerate(sent):
