@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from labelspark.llm import textops as tx
 
@@ -157,13 +158,13 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts = []
     for block in _item_blocks(items, item_id, item_text, block_shingles):
-        parts.append(narrow.mapInArrow(_matcher(spark, block), out))
+        parts.append(narrow.mapInArrow(_matcher(spark, block, to_arrow_type(item_type)), out))
         if len(parts) > 1:  # an earlier block's rows are settled before the next pass
             parts = [tx.settle(parts[0].unionAll(parts[1]), "leaks")]
     return parts[0] if parts else spark.createDataFrame([], out)
 
 
-def _matcher(spark: SparkSession, block: list):
+def _matcher(spark: SparkSession, block: list, item_type: pa.DataType):
     shared = spark.sparkContext.broadcast(block)
 
     def run(batches):
@@ -175,7 +176,7 @@ def _matcher(spark: SparkSession, block: list):
                 rows, items, common, first, end = zip(*found)
                 n = [len(index.sets[k]) for k in items]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(rows)), pa.array([index.ids[k] for k in items]),
+                    batch.column(0).take(pa.array(rows)), pa.array([index.ids[k] for k in items], item_type),
                     pa.array(n, pa.int64()), pa.array(common, pa.int64()),
                     pa.array([c / m for c, m in zip(common, n)], pa.float64()),
                     pa.array(first, pa.int64()), pa.array(end, pa.int64())],

@@ -106,7 +106,7 @@ def run_texts(pieces, texts, seeds, samples=2):
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    return list(spsample.sample_texts(pieces, data, offsets, np.array(seeds, np.uint64), samples))
+    return list(spsample.sample_texts(spsample.Store(pieces), data, offsets, np.array(seeds, np.uint64), samples))
 
 
 def every_segmentation(pieces, text):

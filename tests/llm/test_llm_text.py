@@ -136,6 +136,8 @@ def test_decontamination_matches_plain(spark, odd, odd_pairs):
     same(got.select("doc_id", "item_id", "item_shingles", "common_shingles").collect(), want)
     blocks = decontam.contained_items(odd, frame, block_shingles=10)  # an item a block
     same(blocks.select("doc_id", "item_id", "item_shingles", "common_shingles").collect(), want)
+    alone = decontam.contained_items(odd, frame.where("item_id IS NULL"))
+    assert {r.item_id for r in alone.collect()} == {None}
     clean = decontam.drop_contaminated(odd, frame)
     assert clean.columns == odd.columns
     assert clean.count() == len(odd_pairs) - len([1 for d, t in odd_pairs if d in {w[0] for w in want}])
