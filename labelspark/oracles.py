@@ -85,6 +85,7 @@ def oracle(name: str, sql: str) -> None:
 # ------------------------------------------------------------ shared pieces
 def clean_sql(expr: str) -> str:
     """The seven cleaning substitutions, in order, as nested regexp_replace."""
+    # fixed values: the cleaning patterns, in order
     pats = [r"(RT\s@[A-Za-z]+[A-Za-z0-9-_]+)", r"(@[A-Za-z0-9-_]+)", r"https?\S+",
             r"bit.ly/\S+", r"&[\S]+?;", r"<MENTION_[1-9]>", r"<URL>"]
     out = expr
@@ -93,6 +94,7 @@ def clean_sql(expr: str) -> str:
     return out
 
 
+# fixed values: category names
 CATS = ["IDEOLOGICAL-INEQUALITY", "STEREOTYPING-DOMINANCE", "OBJECTIFICATION",
         "SEXUAL-VIOLENCE", "MISOGYNY-NON-SEXUAL-VIOLENCE"]
 
@@ -249,6 +251,7 @@ oracle("label_names", with_fx(["fx_scores"], f"""
 SELECT doc_id, CAST(p0 + p1 + p2 + p3 + p4 + p5 AS INTEGER) AS n_labels,
   {_PIPE} AS pred_category_pipe FROM pr""", {"pr": _PRED}))
 
+# fixed values: labels of the group study
 _GS = ["Profanity", "Insults", "Char. Assassination", "Outrage", "Discrimination", "Hostility",
        "Incivility", "Intolerance"]
 _GS_LOGITS = ["b0", "b1"] + [f"c{i}" for i in range(6)]
@@ -524,8 +527,11 @@ oracle("scoring_job_null_ids", with_fx(["fx_posts"], f"""
 SELECT item_id AS data_id, text, {_DIRTY_COLS} FROM nr""", _DIRTY))
 
 oracle("prediction_checks", with_fx(["fx_posts"], """
-SELECT count(*) AS n_predictions, CAST(0 AS BIGINT) AS binary_sentinels,
-  CAST(0 AS BIGINT) AS category_sentinels, count(*) AS n_inputs, true AS ok FROM jp""", _JOB))
+SELECT n_predictions, binary_sentinels, category_sentinels, n_inputs,
+  binary_sentinels = 0 AND category_sentinels = 0 AND n_predictions <= n_inputs AS ok
+FROM (SELECT count(DISTINCT data_id) AS n_predictions, count(*) FILTER (WHERE pred_binary = 99) AS binary_sentinels,
+  count(*) FILTER (WHERE contains(pred_category, '99')) AS category_sentinels,
+  (SELECT count(*) FROM jp) AS n_inputs FROM lab)""", _JOB))
 
 oracle("funnel", with_fx(["fx_posts"], """
 SELECT 0 AS stage_no, 'input' AS stage, count(*) AS n_rows FROM fx_posts
