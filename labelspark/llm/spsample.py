@@ -2,8 +2,7 @@
 
 The pieces of a SentencePiece model span a lattice over a text. Pieces never
 reach over the beginning of a run of blanks, so the lattice of a text is the chain
-of its words' lattices, and the lattice of each distinct word of a batch is built
-once. A piece weighs ``exp(ALPHA * log p)``; where a model's scores are merge
+of its words' lattices, and the lattice of each distinct word is built once. A piece weighs ``exp(ALPHA * log p)``; where a model's scores are merge
 ranks, ``p`` is Zipf's ``1 / (rank + 2.7)``. Backward sums turn the weights into
 the probability of each edge, given its start.
 
@@ -40,10 +39,9 @@ SAMPLES = 2
 ALPHA = 0.5
 SEED = 17
 RANK_OFFSET = 2.7
-CHUNK = 3 << 20  # bytes of text searched at once
+CHUNK = 384 << 10  # bytes of text searched at once
 LONGEST = 64  # bytes of a piece looked up
-
-_NONE = np.int64(-1)
+KEPT_EDGES = 5_000_000  # edges of word lattices that a task remembers at a time
 
 
 class Pieces:
@@ -87,9 +85,14 @@ class Pieces:
         self.child = np.array([keys[k] for k in order], np.int64)
         self.piece = np.array([k for k, _ in at], np.int64)
         self.weight = np.array([w for _, w in at])
-        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
-        self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        # the first two bytes by one look-up
+        self.one, self.two = np.full(256, -1, np.int64), np.full(1 << 16, -1, np.int64)
+        for key, to in keys.items():
+            if key < 256:
+                self.one[key] = to
+        for b, to in enumerate(self.one.tolist()):
+            for c in range(256 if to >= 0 else 0):
+                self.two[(b << 8) | c] = keys.get((to << 8) | c, -1)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids, without the blank put before a text."""
@@ -103,7 +106,7 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Lattice:
-    """Lattices of distinct words, all in one set of nodes (a node per byte, and one at each end)."""
+    """Lattices of new words, all in one set of nodes (a node per byte, and one at each end)."""
 
     def __init__(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         sizes = ends - starts
@@ -122,11 +125,17 @@ class Lattice:
             state, alive = state[ok], alive[ok]
             if not len(alive):
                 break
-            key = (state << 8) | raw[alive + d]
-            k = np.searchsorted(pieces.keys, key)
-            k[k == len(pieces.keys)] = 0
-            ok = pieces.keys[k] == key
-            state, alive = pieces.child[k[ok]], alive[ok]
+            if d == 0:
+                state = pieces.one[raw[alive]]
+            elif d == 1:
+                state = pieces.two[(raw[alive].astype(np.int64) << 8) | raw[alive + 1]]
+            else:
+                key = (state << 8) | raw[alive + d]
+                k = np.searchsorted(pieces.keys, key)
+                k[k == len(pieces.keys)] = 0
+                state = np.where(pieces.keys[k] == key, pieces.child[k], -1)
+            ok = state >= 0
+            state, alive = state[ok], alive[ok]
             hit = pieces.piece[state] >= 0
             src.append(node[alive[hit]])
             dst.append(node[alive[hit]] + d + 1)
@@ -178,11 +187,66 @@ class Lattice:
         return weight + beta[self.dst] - beta[src]
 
 
-def _gumbel(seed: np.ndarray, sample: int, word: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Gumbel noise of an edge of a word of a row: a hash of all of them."""
+class Store:
+    """Lattices of the words seen, by hash; emptied when it holds ``KEPT_EDGES`` edges."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slot, self.bare_bytes = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+        self.used = {"edges": 0, "nodes": 0, "bytes": 0, "words": 0}
+        self.parts = {"dst": ("edges", np.int32), "piece": ("edges", np.int32), "log_q": ("edges", np.float64),
+                      "lo": ("nodes", np.int64), "count": ("nodes", np.int32), "end": ("nodes", bool),
+                      "raw": ("bytes", np.uint8), "root": ("words", np.int64)}
+        for name, (_, kind) in self.parts.items():
+            setattr(self, name, np.zeros(0, kind))
+
+    def _append(self, name: str, values: np.ndarray) -> None:
+        n, have = self.used[self.parts[name][0]], getattr(self, name)
+        if n + len(values) > len(have):
+            wider = np.zeros(max(2 * len(have), n + len(values)), have.dtype)
+            wider[:n] = have[:n]
+            setattr(self, name, wider)
+        getattr(self, name)[n: n + len(values)] = values
+
+    def words(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slot of each distinct word (ascending hashes); unknown ones are added."""
+        if self.used["edges"] > KEPT_EDGES:
+            self.clear()
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        new = np.flatnonzero(self.keys[at] != hashes) if len(self.keys) else np.arange(len(hashes))
+        if len(new):
+            lat, used = Lattice(self.pieces, data, starts[new], ends[new]), self.used
+            base = used["bytes"]
+            for name, values in (("dst", lat.dst + used["nodes"]), ("piece", np.where(lat.piece < 0, lat.piece - base, lat.piece)),
+                                 ("log_q", lat.log_q), ("lo", lat.edge[:-1] + used["edges"]), ("count", np.diff(lat.edge)),
+                                 ("end", lat.end), ("raw", lat.raw), ("root", lat.root + used["nodes"])):
+                self._append(name, values)
+            self.bare_bytes.update((k - base, v) for k, v in lat.bare_bytes.items())
+            place = np.searchsorted(self.keys, hashes[new])
+            self.keys = np.insert(self.keys, place, hashes[new])
+            self.slot = np.insert(self.slot, place, used["words"] + np.arange(len(new)))
+            self.used = {"edges": used["edges"] + len(lat.dst), "nodes": used["nodes"] + len(lat.end),
+                         "bytes": base + len(lat.raw), "words": used["words"] + len(new)}
+        return self.slot[np.searchsorted(self.keys, hashes)]
+
+    def start_of(self, edge: int) -> int:
+        """The node an edge begins at."""
+        return int(np.searchsorted(self.lo[: self.used["nodes"]], edge, "right")) - 1
+
+
+def _word_noise(seed: np.ndarray, sample: int, word: np.ndarray) -> np.ndarray:
+    """Hash of a row's key, a sample and the place of a word in the row."""
     h = tx.mix64(seed + np.uint64((sample + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    h = tx.mix64(h ^ (word.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    h = tx.mix64(h + edge.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return tx.mix64(h ^ (word.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def _gumbel(word_noise: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Gumbel noise of an edge, counted from its word's first one."""
+    h = tx.mix64(word_noise + edge.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     u = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
     return -np.log(-np.log(u))
 
@@ -190,8 +254,8 @@ def _gumbel(seed: np.ndarray, sample: int, word: np.ndarray, edge: np.ndarray) -
 class Search:
     """Perturbed A-star over a batch of texts: chains of word lattices."""
 
-    def __init__(self, lattice: Lattice, word_of: np.ndarray, first: np.ndarray, seeds: np.ndarray):
-        """``word_of``: distinct word of every word; ``first``: first word of every text (n + 1)."""
+    def __init__(self, lattice: Store, word_of: np.ndarray, first: np.ndarray, seeds: np.ndarray):
+        """``word_of``: slot of every word; ``first``: first word of every text (n + 1)."""
         self.lattice, self.word_of, self.first, self.seeds = lattice, word_of, first, seeds
         self.n = len(first) - 1
         self.doc_of = np.repeat(np.arange(self.n), np.diff(first))
@@ -253,58 +317,59 @@ class Search:
             d = self.doc_of[lane_word]
             entered = lane_word == begin_word[d]
             node[entered] = lat.dst[edge_in[d[entered]]]
-        steps = []  # (word, step, edge, log_q) of chosen edges and their siblings
-        lanes, step = np.flatnonzero(~lat.end[node]), 0
+        doc = self.doc_of[lane_word]
+        noise = _word_noise(self.seeds[doc], sample, lane_word - self.first[doc])
+        base = lat.lo[lat.root[self.word_of[lane_word]]]
+        taken, passed, done = [], [], 0  # (lane, edge) chosen; (place of the chosen one, edge, gap, value) of its siblings
+        lanes = np.flatnonzero(~lat.end[node])
         while len(lanes):
             here = node[lanes]
-            lo, counts = lat.edge[here], lat.edge[here + 1] - lat.edge[here]
-            one = counts == 1
+            lo, counts = lat.lo[here], lat.count[here]
             pick = lo.copy()
-            many = np.flatnonzero(~one)
+            many = np.flatnonzero(counts > 1)
             if len(many):
-                at, first = _ragged(lo[many], counts[many])
-                owner = np.repeat(many, counts[many])
-                word = lane_word[lanes[owner]]
-                d = self.doc_of[word]
-                r = lat.log_q[at] + _gumbel(self.seeds[d], sample, word - self.first[d], at - lat.edge[lat.root[self.word_of[word]]])
-                top = np.maximum.reduceat(r, first)
-                is_top = r == np.repeat(top, counts[many])
-                won = np.flatnonzero(is_top)
+                some = counts[many]
+                at, first = _ragged(lo[many], some)
+                owner = np.repeat(many, some)
+                lane = lanes[owner]
+                r = lat.log_q[at] + _gumbel(noise[lane], at - base[lane])
+                top = np.repeat(np.maximum.reduceat(r, first), some)
+                gap = r - top
+                won = np.flatnonzero(gap == 0)
                 pick[owner[won[::-1]]] = at[won[::-1]]
-                lost = np.flatnonzero(at != pick[owner])
-                gap = r[lost] - np.repeat(top, counts[many])[lost]
-                steps.append((lane_word[lanes], np.full(len(lanes), step), pick, word[lost], at[lost], gap, r[lost]))
-            else:
-                none = np.zeros(0, np.int64)
-                steps.append((lane_word[lanes], np.full(len(lanes), step), pick, none, none, np.zeros(0), np.zeros(0)))
+                lost = at != pick[owner]
+                passed.append((done + owner[lost], at[lost], gap[lost], r[lost]))
+            taken.append((lanes, pick))
+            done += len(lanes)
             node[lanes] = lat.dst[pick]
             lanes = lanes[~lat.end[node[lanes]]]
-            step += 1
-        if not steps:
+        if not taken:
             self.agenda.append(tuple(np.zeros(0, t) for t in (float, int, int, int, float)))
             self.paths.append((np.zeros(0, np.int64), np.zeros(self.n + 1, np.int64)))
         else:
-            word, at_step, edge = (np.concatenate([s[k] for s in steps]) for k in range(3))
-            sib_word, sib_edge, gap, raw = (np.concatenate([s[k] for s in steps]) for k in range(3, 7))
-            sib_step = np.concatenate([np.full(len(s[3]), k) for k, s in enumerate(steps)])
-            order = np.lexsort((at_step, word))
-            word, at_step, edge = word[order], at_step[order], edge[order]
-            d = self.doc_of[word]
+            lane, edge = (np.concatenate([t[k] for t in taken]) for k in range(2))
+            order = np.argsort(lane, kind="stable")  # lanes are words in order; steps of a word stay in order
+            lane, edge = lane[order], edge[order]
+            d = doc[lane]
             q = lat.log_q[edge]
             total = np.cumsum(q)
             cut = np.searchsorted(d, np.arange(self.n + 1))
             offset = np.concatenate([[0.0], total])[cut[:-1]]
             before = total - q - offset[d] + phi[d]
-            # a sibling's log-probability before it is that of the chosen edge of the same word and step
-            rank = np.searchsorted(word * np.int64(step + 1) + at_step, sib_word * np.int64(step + 1) + sib_step)
-            sib_before = before[rank]
-            sd = self.doc_of[sib_word]
-            g = sib_before + raw
-            limit = bound[sd]
-            v = limit - g + np.log1p(-np.exp(np.minimum(gap, -1e-300)))
-            value = limit - np.maximum(v, 0.0) - np.log1p(np.exp(-np.abs(v)))
-            order = np.lexsort((sib_edge, sib_step, sib_word))
-            self.agenda.append((value[order], sd[order], sib_word[order], sib_edge[order], sib_before[order]))
+            if passed:
+                near, sib_edge, gap, raw = (np.concatenate([t[k] for t in passed]) for k in range(4))
+                rank = np.empty(done, np.int64)
+                rank[order] = np.arange(done)
+                rank = rank[near]  # a sibling's log-probability before it is that of the chosen edge
+                order = np.argsort(rank, kind="stable")
+                rank, sib_edge, gap, raw = rank[order], sib_edge[order], gap[order], raw[order]
+                sib_before, sib_doc = before[rank], d[rank]
+                limit = bound[sib_doc]
+                v = limit - (sib_before + raw) + np.log1p(-np.exp(gap))
+                value = limit - np.maximum(v, 0.0) - np.log1p(np.exp(-np.abs(v)))
+                self.agenda.append((value, sib_doc, lane_word[lane[rank]], sib_edge, sib_before))
+            else:
+                self.agenda.append(tuple(np.zeros(0, t) for t in (float, int, int, int, float)))
             self.paths.append((edge, cut))
             phi = phi + np.where(np.diff(cut) > 0, np.concatenate([[0.0], total])[cut[1:]] - offset, 0.0)
         self.values.append(np.where(chosen, bound, -np.inf))
@@ -321,7 +386,7 @@ class Search:
         before = self.edges(int(parent), d)
         # what the path it left had up to the node where the entry's edge begins
         lat = self.lattice
-        start = int(np.searchsorted(lat.edge, edge_in, "right")) - 1
+        start = lat.start_of(edge_in)
         words = self._word_index(int(parent), d, before)
         ahead = (words < word) | ((words == word) & (lat.dst[before] <= start))
         return np.concatenate([before[ahead], [edge_in], own])
@@ -332,9 +397,9 @@ class Search:
         return self.first[d] + np.concatenate([[0], np.cumsum(ended)[:-1]]) if len(edges) else np.zeros(0, np.int64)
 
 
-def _edge_ids(pieces: Pieces, lat: Lattice, edges: np.ndarray) -> np.ndarray:
+def _edge_ids(pieces: Pieces, lat: Store, edges: np.ndarray) -> np.ndarray:
     """Piece ids of a path; a spelled character gives an id per byte."""
-    ids = lat.piece[edges]
+    ids = lat.piece[edges].astype(np.int64)
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
@@ -346,7 +411,7 @@ def _edge_ids(pieces: Pieces, lat: Lattice, edges: np.ndarray) -> np.ndarray:
     return np.concatenate([*out, ids[last:]])
 
 
-def sample_texts(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES):
+def sample_texts(store: Store, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES):
     """(text, sample, ids, log_prob, value, kappa) of every sample of a run of texts, in order."""
     n = len(offsets) - 1
     padded = np.insert(data, offsets[:-1], 0x20)
@@ -363,11 +428,9 @@ def sample_texts(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: n
         keep = ~np.isin(starts, drop)
         starts, ends = starts[keep], ends[keep]
     first = np.searchsorted(starts, at)
-    _, one, word_of = np.unique(tx.span_hashes(padded, starts, ends, lower=False), return_index=True, return_inverse=True)
-    search = None
     if len(starts):
-        lattice = Lattice(pieces, padded, starts[one], ends[one])
-        search = Search(lattice, word_of.ravel(), first, seeds)
+        hashes, one, word_of = np.unique(tx.span_hashes(padded, starts, ends, lower=False), return_index=True, return_inverse=True)
+        search = Search(store, store.words(hashes, padded, starts[one], ends[one])[word_of.ravel()], first, seeds)
         search.run(samples)
     for d in range(n):
         if not full[d]:
@@ -375,7 +438,7 @@ def sample_texts(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: n
             continue
         for s in range(samples):
             if np.isfinite(search.values[s][d]):
-                yield (d, s, _edge_ids(pieces, lattice, search.edges(s, d)), float(search.log_probs[s][d]),
+                yield (d, s, _edge_ids(store.pieces, store, search.edges(s, d)), float(search.log_probs[s][d]),
                        float(search.values[s][d]), float(search.kappa[d]))
 
 
@@ -400,22 +463,22 @@ def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                          F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed)).alias("seed"))
 
     def run(batches):
-        pieces = None
+        store = None
         for batch in batches:
-            pieces = pieces or Pieces(model, alpha)
+            store = store or Store(Pieces(model, alpha))
             data, offsets = tx.text_buffers(batch.column(1))
             seeds = tx.unsigned(batch.column(2).to_numpy())
             for i, j in tx.doc_chunks(offsets, CHUNK):
                 part, at = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
                 rows, sample, ids, log_prob, value, kappa, same = [], [], [], [], [], [], []
-                for d, s, x, lp, v, k in sample_texts(pieces, part, at, seeds[i:j], samples):
+                for d, s, x, lp, v, k in sample_texts(store, part, at, seeds[i:j], samples):
                     rows.append(i + d)
                     sample.append(s)
                     ids.append(x)
                     log_prob.append(lp)
                     value.append(v)
                     kappa.append(k)
-                    same.append(pieces.decode(x) == part[at[d]: at[d + 1]].tobytes())
+                    same.append(store.pieces.decode(x) == part[at[d]: at[d + 1]].tobytes())
                 sizes = np.array([len(x) for x in ids], np.int64)
                 inclusion = -np.expm1(-np.exp(np.minimum(np.array(log_prob) - np.array(kappa), 700.0)))
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
