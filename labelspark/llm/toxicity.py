@@ -39,8 +39,8 @@ CODE = 16
 WINDOW = 8
 ORDINARY_BYTES = 131_072  # size of the ordinary dictionary
 SIZES = (512, 1024, 2048, 4096)  # of the toxic one
-SAMPLE_ROWS = {0: 5_000, 1: 2_500}
-SAMPLE_BYTES = {0: 16 << 20, 1: 8 << 20}
+SAMPLE_ROWS = {0: 4_000, 1: 2_000}
+SAMPLE_BYTES = {0: 10 << 20, 1: 5 << 20}
 THRESHOLD = 0.3
 _PAD = bytes(range(1, 33))  # the last bytes of a window are never matched
 
@@ -196,7 +196,9 @@ def score_texts(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...
             distance = None
             for batch in batches:
                 distance = distance or Distance(ordinary, toxic)
-                x = np.array([distance.features(c) for c in word_codes(batch.column(len(keep)))]).reshape(-1, 3)
+                texts = batch.column(len(keep))
+                x = np.array([distance.features(c) for i, j in tx.doc_chunks(tx.text_buffers(texts)[1])
+                              for c in word_codes(texts.slice(i, j - i))]).reshape(-1, 3)
                 z = weights[0] + x @ np.array(weights[1:])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], out.names)
 
