@@ -14,7 +14,8 @@ either way between a host and its parent domain, down to two labels.
 
 A host is blocked when its distrust is at least ``MIN_DISTRUST`` times the mean
 over all hosts and at least ``RATIO`` times its trust. Scores are whole numbers
-(a total mass of ``MASS``), so sums do not depend on their order. Edges and seeds
+of 38 digits (a total mass of ``TOTAL``), so sums do not depend on their order and
+the number of seeds does not matter. Edges and seeds
 are aggregated by host before anything is joined, so a host that holds a third
 of all pages is one row of each; the verdicts join the pages by host, where
 adaptive execution splits a hot one.
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 
 from labelspark.llm import textops as tx
 
-MASS = 10 ** 12
-SHARE = 10 ** 6  # resolution of an edge's share and of a seed's weight
+TOTAL = 10 ** 24  # mass of the scores: 10^12 a host at 10^12 hosts, and room for weights up to 10^13
+SEED = 10 ** 12  # resolution of a seed's weight
+SCORE = "decimal(38,0)"
+MASS = 10 ** 12  # mass of the oracle's scores
+SHARE = 10 ** 6  # resolution of an edge's share and of a seed's weight in the oracle
 DAMPING = 85  # hundredths
 ROUNDS = 10
 MIN_DISTRUST = 1
@@ -55,6 +59,11 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"),
          Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
 
+def _divide(a: str, b: str):
+    """Whole quotient of two whole numbers (``div`` of decimals gives a long, ``/`` alone rounds)."""
+    return F.expr(f"CAST((({a}) - ({a}) % ({b})) / ({b}) AS {SCORE})")
+
+
 def _lower(column):
     return F.translate(column, _UPPER, _UPPER.lower())
 
@@ -107,12 +116,13 @@ def propagate(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     forward = _shares(edges, "src", "ts").select(F.col("src").alias("u"), F.col("dst").alias("v"), "ts", F.lit(0).cast("long").alias("ds"))
     backward = _shares(edges, "dst", "ds").select(F.col("dst").alias("u"), F.col("src").alias("v"), F.lit(0).cast("long").alias("ts"), "ds")
     flow = tx.settle(forward.unionByName(backward).groupBy("u", "v").agg(F.sum("ts").alias("ts"), F.sum("ds").alias("ds")), "url-flow")
+    nodes = nodes.select("host", F.col("t0").cast(SCORE).alias("t0"), F.col("d0").cast(SCORE).alias("d0"))
     state = nodes.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
     for k in range(1, rounds + 1):
         inward = (state.join(flow, state.host == flow.u).groupBy(F.col("v").alias("host"))
-                  .agg(F.sum(F.expr(f"trust * ts div {SHARE}")).alias("t"), F.sum(F.expr(f"distrust * ds div {SHARE}")).alias("d")))
+                  .agg(F.sum(_divide("trust * ts", f"{SHARE}BD")).alias("t"), F.sum(_divide("distrust * ds", f"{SHARE}BD")).alias("d")))
         state = nodes.join(inward, "host", "left").select(
-            "host", *[F.expr(f"((100 - {DAMPING}) * {seed} + {DAMPING} * coalesce({now}, 0)) div 100").alias(name)
+            "host", *[_divide(f"(100 - {DAMPING}) * {seed} + {DAMPING} * coalesce({now}, 0)", "100").alias(name)
                       for seed, now, name in (("t0", "t", "trust"), ("d0", "d", "distrust"))])
         if k % 5 == 0:
             state = tx.settle(state, "url-ranks")
@@ -138,15 +148,14 @@ def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str
     hosts = per_host.select("host").unionAll(links.select("dst")).distinct()
     edges = (links.unionByName(parent_edges(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     every = hosts.unionAll(edges.select("src")).distinct()
-    weights = tx.settle(every.join(per_host, "host", "left").select(
-        "host", F.expr(f"coalesce({SHARE} * allowed div pages, 0)").alias("wt"),
-        F.expr(f"coalesce({SHARE} * blocked div pages, 0)").alias("wd")), "url-seeds")
-    total = weights.agg(F.coalesce(F.sum("wt"), F.lit(0)).alias("wt"), F.coalesce(F.sum("wd"), F.lit(0)).alias("wd"),
-                        F.count("*").alias("n")).first()
-    nodes = weights.select("host", F.expr(f"wt * ({MASS} div greatest({total.wt}, 1L))").alias("t0"),
-                           F.expr(f"wd * ({MASS} div greatest({total.wd}, 1L))").alias("d0"))
+    weights = tx.settle(every.join(per_host, "host", "left").select("host", *[
+        F.coalesce(_divide(f"{SEED}BD * {count}", "pages"), F.lit(0).cast(SCORE)).alias(name)
+        for count, name in (("allowed", "wt"), ("blocked", "wd"))]), "url-seeds")
+    total = weights.agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd"), F.count("*").alias("n")).first()
+    nodes = weights.select("host", *[_divide(f"{name} * {TOTAL}BD", f"{max(int(all_ or 0), 1)}BD").alias(seed)
+                                     for name, all_, seed in (("wt", total.wt, "t0"), ("wd", total.wd, "d0"))])
     ranks = propagate(nodes, edges)
-    bad = ranks.where(F.expr(f"distrust >= {MIN_DISTRUST} * {MASS} div {max(total.n, 1)} AND distrust >= {RATIO} * trust")
+    bad = ranks.where(F.expr(f"distrust >= {MIN_DISTRUST * TOTAL // max(total.n, 1)}BD AND distrust >= {RATIO} * trust")
                       ).select("host", F.lit("block").alias("spread"))
     return ruled.join(bad, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"))

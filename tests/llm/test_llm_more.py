@@ -60,6 +60,16 @@ def test_trust_and_distrust_follow_links(spark):
     assert rank["liar"][1] > 0 and rank["liar"][0] == 0
 
 
+def test_distrust_survives_a_million_seeds(spark):
+    # a seed's score was wt * (MASS div total): 0 for every seed beyond 10^6 of them
+    blocked = spark.range(0, 1_000_100).selectExpr("id AS page_id", "concat('http://h', id, '.net/') AS url", "CAST(null AS string) AS html")
+    link = '<a href="http://h{}.net/">t</a>'
+    bad = spark.createDataFrame([(-1, "http://bad.com/", "".join(link.format(k) for k in range(20))), (-2, "http://good.com/", None)],
+                                "page_id long, url string, html string")
+    got = urlgraph.judge_urls(blocked.unionAll(bad)).where("page_id < 0").collect()
+    assert {r.page_id: r.verdict for r in got} == {-1: "block", -2: "allow"}
+
+
 def direct():
     from tokenizers import Tokenizer
 
