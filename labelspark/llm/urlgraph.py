@@ -15,7 +15,7 @@ either way between a host and its parent domain, down to two labels.
 A host is blocked when its distrust is at least ``MIN_DISTRUST`` times the mean
 over all hosts and at least ``RATIO`` times its trust. Scores are whole numbers
 of 38 digits (a total mass of ``TOTAL``), so sums do not depend on their order and
-the number of seeds does not matter. Edges and seeds
+neither the number of seeds nor the degree of a host matters. Edges and seeds
 are aggregated by host before anything is joined, so a host that holds a third
 of all pages is one row of each; the verdicts join the pages by host, where
 adaptive execution splits a hot one.
@@ -106,21 +106,25 @@ def parent_edges(hosts: DataFrame) -> DataFrame:
         steps.select(F.col("b"), F.col("a"), F.lit(1).cast("long")))
 
 
-def _shares(edges: DataFrame, source: str, share: str) -> DataFrame:
-    total = edges.groupBy(source).agg(F.sum("weight").alias("total"))
-    return edges.join(total, source).withColumn(share, F.expr(f"{SHARE} * weight div total"))
+def _totals(edges: DataFrame, end: str) -> DataFrame:
+    total = edges.groupBy(end).agg(F.sum("weight").alias("total"))
+    return edges.join(total, end)
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust). ``nodes``: host, t0, d0; ``edges``: src, dst, weight."""
-    forward = _shares(edges, "src", "ts").select(F.col("src").alias("u"), F.col("dst").alias("v"), "ts", F.lit(0).cast("long").alias("ds"))
-    backward = _shares(edges, "dst", "ds").select(F.col("dst").alias("u"), F.col("src").alias("v"), F.lit(0).cast("long").alias("ts"), "ds")
-    flow = tx.settle(forward.unionByName(backward).groupBy("u", "v").agg(F.sum("ts").alias("ts"), F.sum("ds").alias("ds")), "url-flow")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    forward = _totals(edges, "src").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").alias("tw"),
+                                           F.col("total").alias("tt"), none.alias("dw"), one.alias("dt"))
+    backward = _totals(edges, "dst").select(F.col("dst").alias("u"), F.col("src").alias("v"), none.alias("tw"),
+                                            one.alias("tt"), F.col("weight").alias("dw"), F.col("total").alias("dt"))
+    flow = tx.settle(forward.unionByName(backward).groupBy("u", "v").agg(
+        F.sum("tw").alias("tw"), F.max("tt").alias("tt"), F.sum("dw").alias("dw"), F.max("dt").alias("dt")), "url-flow")
     nodes = nodes.select("host", F.col("t0").cast(SCORE).alias("t0"), F.col("d0").cast(SCORE).alias("d0"))
     state = nodes.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
     for k in range(1, rounds + 1):
         inward = (state.join(flow, state.host == flow.u).groupBy(F.col("v").alias("host"))
-                  .agg(F.sum(_divide("trust * ts", f"{SHARE}BD")).alias("t"), F.sum(_divide("distrust * ds", f"{SHARE}BD")).alias("d")))
+                  .agg(F.sum(_divide("trust * tw", "tt")).alias("t"), F.sum(_divide("distrust * dw", "dt")).alias("d")))
         state = nodes.join(inward, "host", "left").select(
             "host", *[_divide(f"(100 - {DAMPING}) * {seed} + {DAMPING} * coalesce({now}, 0)", "100").alias(name)
                       for seed, now, name in (("t0", "t", "trust"), ("d0", "d", "distrust"))])

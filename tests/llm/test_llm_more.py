@@ -70,6 +70,19 @@ def test_distrust_survives_a_million_seeds(spark):
     assert {r.page_id: r.verdict for r in got} == {-1: "block", -2: "allow"}
 
 
+def test_a_rare_edge_beside_a_heavy_one_gets_its_share(spark):
+    # an edge's share was 10^6 * weight div total: 0 here, and for every edge of a hub with more than 10^6
+    heavy, mass = 10 ** 8, 10 ** 12
+    edges = spark.createDataFrame([("hub", "big", heavy), ("hub", "rare", 1), ("big", "sink", heavy), ("small", "sink", 1)],
+                                  "src string, dst string, weight long")
+    nodes = spark.createDataFrame([(h, mass * (h == "hub"), mass * (h == "sink")) for h in ("hub", "big", "rare", "small", "sink")],
+                                  "host string, t0 long, d0 long")
+    rank = {r.host: (int(r.trust), int(r.distrust)) for r in urlgraph.propagate(nodes, edges).collect()}
+    start = 15 * mass // 100
+    assert rank["rare"][0] == 85 * (start // (heavy + 1)) // 100 and rank["small"][1] == rank["rare"][0]
+    assert rank["big"][0] == 85 * (start * heavy // (heavy + 1)) // 100
+
+
 def direct():
     from tokenizers import Tokenizer
 
