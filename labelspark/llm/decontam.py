@@ -10,8 +10,9 @@ the resemblance of item and window high where the containment is. A window whose
 minimum in a bin equals an item's is a candidate. With four bins per position
 almost every shared shingle is its bin's minimum, so an item with containment
 0.8 is missed only if all its shared minima are shadowed (for 30 shingles below
-1e-9). Candidates are verified by exact containment of the item's shingle set in
-the whole document.
+1e-9). Items of at most ``SMALL`` shingles have too few minima for that: all their
+shingles are looked up and counted, and none is missed. Candidates are verified by
+exact containment of the item's shingle set in the whole document.
 
 The items are worked through in blocks of bounded shingle count (the driver
 holds one block at a time, which is what the tasks receive), each in one pass
@@ -35,6 +36,8 @@ from labelspark.llm import textops as tx
 WIDTH = 5
 CONTAINMENT = (80, 100)
 BLOCK_SHINGLES = 2_000_000
+SMALL = 8  # items of so many shingles are found by all of them; the smallest class bound
+COUNTED = 4_000_000  # (text, item) hits of small items counted at a time
 
 
 class ItemIndex:
@@ -48,14 +51,15 @@ class ItemIndex:
         rows: dict[tuple[int, int], list] = {}
         for k, (_, s, width) in enumerate(items):
             if len(s):
-                bound = max(8, 1 << (len(s) - 1).bit_length())
-                rows.setdefault((width, bound), []).append((k, _bin_minima(s, 4 * bound)))
+                bound = max(SMALL, 1 << (len(s) - 1).bit_length())
+                rows.setdefault((width, bound), []).append((k, s if bound == SMALL else _bin_minima(s, 4 * bound)))
         for key, found in rows.items():
             values = np.concatenate([v for _, v in found])
             owner = np.concatenate([np.full(len(v), k) for k, v in found])
             order = np.argsort(values, kind="stable")
             self.parts[key] = (values[order], owner[order])
         self.widths = sorted({w for w, _ in self.parts})
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
 
 
 def _bin(values: np.ndarray, bins: int) -> np.ndarray:
@@ -93,6 +97,9 @@ def find_items(texts: pa.Array, index: ItemIndex, sketches: dict) -> Iterator[tu
                 hi = np.searchsorted(values, shingles[hit], "right")
                 hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
                 docs = np.searchsorted(at, hit, "right") - 1
+                if bound == SMALL:
+                    pairs.update(_counted(docs, lo, hi, owner, index.sizes))
+                    continue
                 for p, d, a, b in zip(hit.tolist(), docs.tolist(), lo.tolist(), hi.tolist()):
                     fresh = [k for k in owner[a:b].tolist() if (d, k) not in pairs]
                     if fresh and _is_minimum(shingles, p, int(at[d]), int(at[d + 1]), bound):
@@ -107,6 +114,28 @@ def find_items(texts: pa.Array, index: ItemIndex, sketches: dict) -> Iterator[tu
                     yield i + d, k, common, int(places[0]), int(places[-1]) + width
 
 
+def _counted(docs: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(text, item) whose share of the item's shingles is reached. ``lo``, ``hi``: the
+    places in ``owner`` of the shingle at each hit; ``docs`` ascends."""
+    num, den = CONTAINMENT
+    span = np.int64(len(owner) + 1)
+    _, once = np.unique(docs * span + lo, return_index=True)  # a shingle once a text
+    docs, lo, hi = docs[once], lo[once], hi[once]
+    ends = np.flatnonzero(np.append(docs[1:] != docs[:-1], True)) + 1 if len(docs) else docs
+    total = np.concatenate([[0], np.cumsum(hi - lo)])
+    i = 0
+    while i < len(docs):  # whole texts
+        e = min(int(np.searchsorted(total[ends], total[i] + COUNTED, "right")), len(ends) - 1)
+        j = int(ends[e - 1]) if e and total[ends[e]] > total[i] + COUNTED and ends[e - 1] > i else int(ends[e])
+        n = hi[i:j] - lo[i:j]
+        place = np.arange(total[j] - total[i]) - np.repeat(total[i:j] - total[i], n) + np.repeat(lo[i:j], n)
+        codes, common = np.unique(np.repeat(docs[i:j], n) * np.int64(len(sizes)) + owner[place], return_counts=True)
+        d, k = np.divmod(codes, np.int64(len(sizes)))
+        enough = den * common >= num * sizes[k]
+        yield from zip(d[enough].tolist(), k[enough].tolist())
+        i = j
+
+
 def _is_minimum(shingles: np.ndarray, p: int, lo: int, hi: int, bound: int) -> bool:
     """Whether position p holds its bin's minimum in one of the two windows over it."""
     block, mine = (p - lo) // bound, shingles[p]

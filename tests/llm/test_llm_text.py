@@ -143,6 +143,35 @@ def test_decontamination_matches_plain(spark, odd, odd_pairs):
     assert clean.count() == len(odd_pairs) - len([1 for d, t in odd_pairs if d in {w[0] for w in want}])
 
 
+@pytest.mark.parametrize("counted", [decontam.COUNTED, 3])
+def test_small_items_are_never_missed(counted, monkeypatch):
+    # a shingle that was not its bin's minimum was no candidate: 12 % of the items of one shingle
+    monkeypatch.setattr(decontam, "COUNTED", counted)
+    draw = random.Random(5)
+    docs = [[f"w{draw.randrange(300)}" for _ in range(draw.randrange(1, 120))] for _ in range(60)] * 2
+    items = []
+    for k in range(600):
+        doc = draw.choice(docs)
+        at, n = draw.randrange(len(doc)), 1 + k % 14
+        items.append([*doc[at: at + n], *["x"] * (k % 5 == 0)])
+    want, sets = set(), []
+    for k, item in enumerate(items):
+        width = min(5, len(item))
+        own = plain.shingles(" ".join(item), width)
+        (_, s), = tx.text_shingle_sets(pa.array([" ".join(item)]), width)
+        sets.append((k, s, width))
+        for d, w in enumerate(docs):
+            common = len(own & {tuple(w[i:i + width]) for i in range(len(w) - width + 1)})
+            if 100 * common >= 80 * len(own):
+                want.add((d, k, common))
+    index = decontam.ItemIndex(sets)
+    sketches = {k: decontam._sketch(v) for k, (v, _) in index.parts.items()}
+    found = [f[:3] for f in decontam.find_items(pa.array([" ".join(d) for d in docs]), index, sketches)]
+    small = {k for k, s, _ in sets if len(s) <= 8}
+    assert len(found) == len(set(found)) and len(want) > 1000
+    assert {f for f in found if f[1] in small} == {w for w in want if w[1] in small}
+
+
 def test_cross_parsing_counts_phrases_of_a_naive_parse():
     references = {"x": b"abracadabra abra cadabra", "y": b"the cat sat on the mat"}
     parser = langid.CrossParser(references)
