@@ -239,6 +239,17 @@ def test_toxic_texts_score_higher(spark):
     assert r[0] >= 0.65 and r[1] <= 0.03 and 0 <= r[2] <= r[3] <= 1
 
 
+def test_toxicity_trains_on_the_whole_bound(spark, monkeypatch):
+    def counted(table):
+        y = table["toxic"].to_pylist()
+        return pa.table([[b"o"], [b"t"], [[float(len(y) - sum(y)), float(sum(y))]]], names=["ordinary", "toxic", "weights"])
+
+    monkeypatch.setattr(toxicity, "_fit", counted)  # the sample had been lowered to 4,000 and 2,000 rows
+    docs = spark.range(8_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(8_000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS toxic")
+    assert toxicity.learn(docs, labels)[2] == [5_000.0, 2_500.0]
+
+
 def test_toxicity_of_odd_texts(spark, odd, odd_pairs):
     labels = spark.createDataFrame([(k, 1, int(k % 2)) for k in range(1, 23)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.judge_toxicity(odd, labels).collect()
