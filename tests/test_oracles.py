@@ -2,8 +2,7 @@
 
 import pytest
 
-from harness import compare, duck
-from conftest import SF_MID, SF_SMALL
+from harness import SF_MID, SF_SMALL, compare, duck
 from labelspark.oracles import ORACLES
 from labelspark.queries import QUERIES
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from harness import SF_SMALL
 from labelspark import fixtures as fx
 from labelspark.operators import consensus as C
 from labelspark.operators.ordering import hash_positions

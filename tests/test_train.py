@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from harness import SF_SMALL
 from labelspark import fixtures as fx
 from labelspark.plans import evaluate as E
 from labelspark.plans import train as TR
