@@ -118,8 +118,8 @@ def f1_binary(df: DataFrame, gold: str = "y_bin", prob: str = "pred_binary_prob"
     return agg.select("tp", "fp", "fn", _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
 
 
-def label_confusion(df: DataFrame, gold: str, pred: str, n: int) -> DataFrame:
-    """One row of tp/fp/fn/support per label, all from one pass."""
+def confusion_columns(gold: str, pred: str, n: int) -> list[Column]:
+    """Aggregates ``tp{i}``, ``fp{i}``, ``fn{i}`` of every label."""
     aggs = []
     for i in range(n):
         g = F.element_at(gold, i + 1)
@@ -127,7 +127,27 @@ def label_confusion(df: DataFrame, gold: str, pred: str, n: int) -> DataFrame:
         aggs += [F.count_if((g == 1) & (p == 1)).alias(f"tp{i}"),
                  F.count_if((g != 1) & (p == 1)).alias(f"fp{i}"),
                  F.count_if((g == 1) & (p != 1)).alias(f"fn{i}")]
-    return df.agg(*aggs)
+    return aggs
+
+
+def label_confusion(df: DataFrame, gold: str, pred: str, n: int) -> DataFrame:
+    """One row of tp/fp/fn/support per label, all from one pass."""
+    return df.agg(*confusion_columns(gold, pred, n))
+
+
+def f1_by_group(df: DataFrame, group: str, n: int, gold: str = "y_cat", pred: str = "pred_category",
+                gold_binary: str = "y_bin", pred_binary: str = "pred_binary") -> DataFrame:
+    """Support-weighted category F1 and binary F1 of every group, from one aggregate:
+    ``<group>, n_rows, f1_weighted, f1_binary``."""
+    g, p = F.col(gold_binary), F.col(pred_binary)
+    conf = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_rows"), *confusion_columns(gold, pred, n), F.count_if((p == 1) & (g == 1)).alias("tp"),
+        F.count_if((p == 1) & (g == 0)).alias("fp"), F.count_if((p == 0) & (g == 1)).alias("fn"))
+    parts = [(F.col(f"tp{i}"), F.col(f"fp{i}"), F.col(f"fn{i}")) for i in range(n)]
+    support = sum((tp + fn for tp, _, fn in parts), F.lit(0))
+    gain = sum((_f1(tp, fp, fn) * (tp + fn) for tp, fp, fn in parts), F.lit(0.0))
+    return conf.select(group, "n_rows", F.when(support == 0, F.lit(0.0)).otherwise(gain / support).alias("f1_weighted"),
+                       _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1_binary"))
 
 
 def f1_per_label(df: DataFrame, gold: str = "y_cat", pred: str = "pred_category",

@@ -481,6 +481,27 @@ SELECT doc_id, (row_number() OVER (ORDER BY {_md5(42, 'doc_id')}, doc_id) - 1) /
 FROM t""", _TR))
 
 
+# ------------------------------------------------------------- training
+_HEADS = ["-", *CATS]
+_FIT = dict(_PREP)
+_FIT["t"] = """SELECT doc_id, CAST(binary_labels = '0,1' AS INTEGER) AS y, string_split(category_labels, ',') AS c
+FROM j WHERE b_ok AND c_ok"""
+_FIT["heads"] = " UNION ALL ".join(
+    ["SELECT 'binary' AS head, count(*) AS n_rows, sum(y) AS positives, count(*) AS n, sum(y) AS pos FROM t"]
+    + [f"SELECT '{name}', count(*) FILTER (WHERE y = 1), count(*) FILTER (WHERE y = 1 AND c[{j + 1}] = '1'), "
+       f"count(*), count(*) FILTER (WHERE c[{j + 1}] = '1') FROM t" for j, name in enumerate(_HEADS)])
+
+oracle("train_two_head", with_fx(["fx_posts", "fx_votes1", "fx_votes2"], """
+SELECT head, n_rows, CAST(positives AS BIGINT) AS positives,
+  round(CASE WHEN pos = 0 THEN n ELSE (n - pos) / pos END, 6) AS class_weight,
+  positives IN (0, n_rows) AS constant, true AS converged, true AS loss_fell FROM heads""", _FIT))
+
+oracle("trial_ranks", with_fx(["fx_posts", "fx_votes1", "fx_votes2"], """
+SELECT unnest([1, 2, 3])::BIGINT AS rank, CAST(n - ceil(CAST(0.1 AS DOUBLE) * n) AS BIGINT) AS n_train,
+  CAST(ceil(CAST(0.1 AS DOUBLE) * n) AS BIGINT) AS n_held_out, true AS converged, true AS in_order
+FROM (SELECT round_even(CAST(0.2 AS DOUBLE) * count(*), 0) AS n FROM t)""", _FIT))
+
+
 # ------------------------------------------------------- scoring and jobs
 def _length_logits(text: str, k: int) -> str:
     """The stand-in scorer's logits from the text length, as SQL."""

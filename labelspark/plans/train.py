@@ -1,30 +1,30 @@
 """Training on Spark (M7-M9).
 
-M7 re-aims the reference's two-head network as a linear two-head model on
-``pyspark.ml``: hashed TF-IDF features, a weighted binary head on all rows
-and one head per category trained only on YES rows. It has the reference's
-interface and training rule, not its quality. M8 analyses validation logs
-(best check and early-stop check per run) exactly and without holding a run
-in one task. M9 runs a grid of M7 fits on a seeded sample and split.
+M7 re-aims the reference's two-head network as a linear two-head model over
+hashed text: focal cross entropy for the binary head, focal BCE of the YES rows for
+one head per category, class weights in both, all heads fitted together by Spark
+aggregates (``plans.linear``). It has the reference's interface and training
+rule, not its quality. M8 analyses validation logs (best check and
+early-stop check per run) exactly and without holding a run in one task. M9 fits a
+grid of M7 models on a seeded sample and split, all trials in the same passes over
+one stored feature table.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelspark.operators import metrics as M
 from labelspark.operators.ordering import dense_positions
 from labelspark.operators.sampling import sample_frac, stratified_split
+from labelspark.plans import linear
 from labelspark.scheme import DEFAULT_SCHEME, LabelScheme
 from labelspark.session import materialise
 from labelspark.streaming.scoring import with_predictions
@@ -35,102 +35,100 @@ CONSTANT_LOGIT = 10.0
 # ---------------------------------------------------------------- M7
 @dataclass
 class TwoHeadModel:
-    features: PipelineModel
-    binary: LogisticRegressionModel
-    categories: list  # LogisticRegressionModel, or a float logit for a constant head
-    key: str
+    num_features: int
+    idf: np.ndarray
+    fits: list[linear.Fit]  # the binary head, then one per category
+
+    def weights(self) -> np.ndarray:
+        """(heads, features + 1); a constant head is its logit alone."""
+        out = np.stack([f.weights for f in self.fits])
+        for row, f in zip(out, self.fits):
+            if f.head.constant:
+                row[-1] = CONSTANT_LOGIT if f.head.positives else -CONSTANT_LOGIT
+        return out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``binary_logits`` ``[0, m]`` and ``category_logits`` per row.
+        """Add ``binary_logits`` ``[0, m]`` and ``category_logits`` per row; null text is scored as empty.
 
         A two-class softmax over ``[0, m]`` gives the head's probability
         ``sigmoid(m)``, so M3 applies unchanged.
         """
-        # the tokenizer rejects null text: score it as empty, give it back as is
-        src = df.withColumn("_text_in", F.col("text")).withColumn(
-            "text", F.coalesce(F.col("text"), F.lit("")))
-        feats = self.features.transform(src)
-        out = self.binary.transform(feats).withColumn(
-            "_mb", vector_to_array("rawPrediction")[1]).drop(
-            "rawPrediction", "probability", "prediction")
-        cat_cols = []
-        for j, head in enumerate(self.categories):
-            name = f"_mc{j}"
-            if isinstance(head, float):
-                out = out.withColumn(name, F.lit(head))
-            else:
-                out = head.transform(out).withColumn(name, vector_to_array("rawPrediction")[1]) \
-                          .drop("rawPrediction", "probability", "prediction")
-            cat_cols.append(name)
-        return out.select(
-            *[F.col("_text_in").alias(c) if c == "text" else F.col(c) for c in df.columns],
-            F.array(F.lit(0.0), F.col("_mb")).alias("binary_logits"),
-            F.array(*[F.col(c) for c in cat_cols]).alias("category_logits"))
-
-
-def _label_frame(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, "text", (F.element_at("binary_labels", 2) == 1).cast("double").alias("y_bin"),
-                     "category_labels")
+        m = linear.margin_column(df.sparkSession, linear.token_slots(F.col("text"), self.num_features), self.idf, self.weights())
+        out = df.withColumn("_m", m)
+        return out.select(*df.columns, F.array(F.lit(0.0), F.element_at("_m", 1)).alias("binary_logits"),
+                          F.slice("_m", 2, len(self.fits) - 1).alias("category_logits"))
+
+    def report(self, spark) -> DataFrame:
+        """The certificate, one row per head: ``head, n_rows, positives, class_weight, constant,
+        start_loss, loss, grad_norm, passes, converged``."""
+        rows = [(f.head.name, f.head.rows, f.head.positives, float(f.head.weights[1]), f.head.constant, float(f.start_loss),
+                 float(f.loss), float(f.grad_norm), f.passes, bool(f.converged)) for f in self.fits]
+        return spark.createDataFrame(rows, REPORT)
+
+
+REPORT = ("head string, n_rows long, positives long, class_weight double, constant boolean, start_loss double, loss double, "
+          "grad_norm double, passes int, converged boolean")
+
+
+def feature_table(labelled: DataFrame, num_features: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Slots and labels of the rows whose labels are known, written once."""
+    rows = labelled.where(F.col("binary_labels").isNotNull() & F.col("category_labels").isNotNull())
+    return materialise(rows.select(
+        *keep, linear.token_slots(F.col("text"), num_features).alias("slots"),
+        F.element_at("binary_labels", 2).cast("double").alias("y_bin"), F.col("category_labels").cast("array<double>").alias("y_cat")),
+        "features")
+
+
+def _weight(pos: int, n: int) -> float:
+    return (n - pos) / pos if pos else float(n)
+
+
+def two_heads(features: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME, reg_param: float = 0.01, max_iter: int = 50,
+              weighted: bool = True, gamma_binary: float = 1.0, gamma_category: float = 2.0, lambda_binary: float = 1.0,
+              lambda_category: float = 1.0, trial: int = 0, counts=None) -> list[linear.Head]:
+    """The heads of one model, with the class weights (A4) of the training rows.
+
+    The binary loss is a mean over all rows; the category loss a mean over
+    the labels, summed over YES rows and divided by max(#YES, 1).
+    """
+    n = scheme.n_categories
+    c = counts or label_counts(features, n)
+    rows, yes = c["n"], c["yes"]
+    w = [(_weight(rows - yes, rows), _weight(yes, rows))] + [(_weight(c[f"p{j}"], rows),) * 2 for j in range(n)]
+    if not weighted:
+        w = [(1.0, 1.0)] * (n + 1)
+    common = {"reg": reg_param, "max_iter": max_iter, "trial": trial}
+    return [linear.Head("binary", -1, gamma_binary, w[0], lambda_binary / max(rows, 1), rows=rows, positives=yes, **common)] + [
+        linear.Head(name, j, gamma_category, w[j + 1], lambda_category / (n * max(yes, 1)), rows=yes, positives=c[f"y{j}"], **common)
+        for j, name in enumerate(scheme.level2)]
+
+
+def label_counts(features: DataFrame, n: int) -> dict:
+    """Rows, YES rows, and per category the positives of all rows (p) and of YES rows (y): one aggregate."""
+    cat = [F.element_at("y_cat", j + 1) for j in range(n)]
+    told = features.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("y_bin") == 1).alias("yes"),
+        *[F.count_if(x == 1).alias(f"p{j}") for j, x in enumerate(cat)],
+        *[F.count_if((x == 1) & (F.col("y_bin") == 1)).alias(f"y{j}") for j, x in enumerate(cat)]).first()
+    return told.asDict()
 
 
 def train_two_head(train: DataFrame, key: str = "doc_id", scheme: LabelScheme = DEFAULT_SCHEME,
-                   num_features: int = 1 << 18, reg_param: float = 0.0, max_iter: int = 50,
-                   weighted: bool = True) -> TwoHeadModel:
-    """Fit the two-head model on labelled rows (``text``, ``binary_labels``,
-    ``category_labels``).
-
-    Class weights (A4) are computed on the training rows: the binary head
-    weighs each row by its class weight; each category head is trained on
-    YES rows only, as the reference masks the category loss, and unweighted: a
-    weight per label multiplies a whole head here, which leaves its fit as it
-    is. Features are persisted once and shared by all heads.
+                   num_features: int = 1 << 18, reg_param: float = 0.01, max_iter: int = 50, tol: float = 1e-3,
+                   **kw) -> TwoHeadModel:
+    """Fit the two-head model on labelled rows (``text``, ``binary_labels``, ``category_labels``).
+
+    The objective is the reference's loss, ``lambda_binary`` x focal cross entropy +
+    ``lambda_category`` x focal BCE of the YES rows, with class weights, plus a ridge
+    (``reg_param``, not on the constants). Every head ends at a gradient norm of at most
+    ``tol`` or after ``max_iter`` passes; ``TwoHeadModel.report`` tells which. Other
+    keywords go to ``two_heads``. Rows with a null label are not used; without rows, and
+    where a label never varies, a head is constant.
     """
-    base = _label_frame(train, key).withColumn("text", F.coalesce("text", F.lit(""))).persist()
-    base.count()
-    features = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="features"),
-    ]).fit(base)
-    feats = features.transform(base).drop("_tokens", "_tf")
-    if weighted:
-        bw = M.weights_vector(M.class_weights(
-            feats.select(F.array((1 - F.col("y_bin")).cast("int"), F.col("y_bin").cast("int"))
-                         .alias("yb")), "yb", scheme.level1, 1))
-        feats = feats.withColumn("_w", F.element_at(bw, F.col("y_bin").cast("int") + 1))
-    else:
-        feats = feats.withColumn("_w", F.lit(1.0))
-    feats = feats.persist()
-    try:
-        # fill the cache once before the concurrent fits read it
-        feats.count()
-        yes = feats.where(F.col("y_bin") == 1)
-        n = scheme.n_categories
-        stats = yes.agg(F.count(F.lit(1)).alias("n"), *[
-            F.sum(F.element_at("category_labels", j + 1)).alias(f"p{j}") for j in range(n)]).first()
-
-        def fit_binary():
-            return LogisticRegression(featuresCol="features", labelCol="y_bin", weightCol="_w",
-                                      regParam=reg_param, maxIter=max_iter).fit(feats)
-
-        def fit_head(j):
-            pos = stats[f"p{j}"] or 0
-            if stats["n"] == 0 or pos in (0, stats["n"]):
-                return CONSTANT_LOGIT if pos and pos == stats["n"] else -CONSTANT_LOGIT
-            data = yes.select("features", F.element_at("category_labels", j + 1).cast("double").alias("_y"))
-            return LogisticRegression(featuresCol="features", labelCol="_y",
-                                      regParam=reg_param, maxIter=max_iter).fit(data)
-
-        # the heads are independent: fit them as concurrent Spark jobs
-        with ThreadPoolExecutor(max_workers=n + 1) as pool:
-            binary_f = pool.submit(fit_binary)
-            head_fs = [pool.submit(fit_head, j) for j in range(n)]
-            binary = binary_f.result()
-            heads = [f.result() for f in head_fs]
-    finally:
-        feats.unpersist()
-        base.unpersist()
-    return TwoHeadModel(features, binary, heads, key)
+    features = feature_table(train, num_features)
+    _, idf = linear.document_frequencies(features, num_features)
+    heads = two_heads(features, scheme, reg_param=reg_param, max_iter=max_iter, **kw)
+    return TwoHeadModel(num_features, idf, linear.fit_heads(features, idf, heads, tol))
 
 
 def predict_two_head(model: TwoHeadModel, df: DataFrame, scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
@@ -255,34 +253,51 @@ def grid_from_param_maps(param_maps) -> list[dict]:
 
 def trial_table(labelled: DataFrame, grid: Sequence[dict], key: str = "doc_id",
                 sample: float = 0.2, held_out: float = 0.10, seed: int = 42,
-                scheme: LabelScheme = DEFAULT_SCHEME) -> DataFrame:
-    """Fit M7 once per grid point on a seeded sample with a stratified
-    split; rank trials by weighted category F1 on the held-out part (the
-    reference's search maximises it). Returns ``trial, <params>, f1_weighted,
-    f1_binary, rank``."""
+                scheme: LabelScheme = DEFAULT_SCHEME, tol: float = 1e-3) -> DataFrame:
+    """Fit M7 for every grid point (keywords of ``train_two_head``) on a seeded sample with a
+    stratified split; rank trials by weighted category F1 on the held-out part (the
+    reference's search maximises it).
+
+    Both parts are tokenised once per distinct ``num_features``; the trials that share
+    it share every pass of the fit, and all of them are scored in one pass and
+    counted in one aggregate keyed by trial. Returns ``trial, <params>, n_train,
+    n_held_out, converged, f1_weighted, f1_binary, rank``.
+    """
     drawn = materialise(sample_frac(labelled, sample, key, seed), "trial-sample")
     with_y = drawn.withColumn("_y", F.element_at("binary_labels", 2))
     split = stratified_split(with_y, "_y", held_out, key, seed).drop("_y")
-    # every trial reads the same drawn split: write it once
-    split = materialise(split, "trial-split")
-    train = split.where(F.col("part") == "train")
-    test = split.where(F.col("part") == "held_out")
-    trials = None
-    for i, params in enumerate(grid):
-        model = train_two_head(train, key, scheme, **params)
-        pred = predict_two_head(model, test.select(key, "text", "binary_labels", "category_labels"),
-                                scheme)
-        ev = pred.select(F.element_at("binary_labels", 2).alias("y_bin"),
-                         F.col("category_labels").alias("y_cat"), "pred_category",
-                         "pred_binary_prob")
-        f1w = M.f1_weighted(M.f1_per_label(ev, "y_cat", "pred_category", scheme.level2))
-        f1b = M.f1_binary(ev, "y_bin", "pred_binary_prob").select(F.col("f1").alias("f1_binary"))
-        # one row per trial, computed by Spark from the held-out predictions
-        one = (f1w.unionByName(f1b, allowMissingColumns=True)
-               .agg(F.max("f1_weighted").alias("f1_weighted"), F.max("f1_binary").alias("f1_binary"))
-               .select(F.lit(i).alias("trial"),
-                       *[F.lit(float(params.get(k, 0.0))).alias(k) for k in sorted(grid[0])],
-                       "f1_weighted", "f1_binary"))
-        trials = one if trials is None else trials.unionByName(one)
-    return trials.withColumn("rank", F.rank().over(
-        Window.partitionBy(F.lit(0)).orderBy(F.desc("f1_weighted"), "trial")))
+    points = [{"num_features": 1 << 18, **g} for g in grid]
+    scored = None
+    for size in sorted({g["num_features"] for g in points}):
+        trials = [i for i, g in enumerate(points) if g["num_features"] == size]
+        features = feature_table(split, size, keep=["part"])
+        train, test = (features.where(F.col("part") == p) for p in ("train", "held_out"))
+        _, idf = linear.document_frequencies(train, size)
+        counts = label_counts(train, scheme.n_categories)
+        heads = [h for i in trials for h in two_heads(train, scheme, trial=i, counts=counts, **{k: v for k, v in points[i].items() if k != "num_features"})]
+        fits = linear.fit_heads(train, idf, heads, tol)
+        per = scheme.n_categories + 1
+        models = [TwoHeadModel(size, idf, fits[k: k + per]) for k in range(0, len(fits), per)]
+        told = _held_out_counts(test, models, trials, scheme)
+        facts = labelled.sparkSession.createDataFrame(
+            [(i, *[float(points[i].get(k, 0.0)) for k in sorted(grid[0])], counts["n"], all(f.converged for f in m.fits))
+             for i, m in zip(trials, models)],
+            "trial int, " + "".join(f"{k} double, " for k in sorted(grid[0])) + "n_train long, converged boolean")
+        one = facts.join(told, "trial", "left")
+        scored = one if scored is None else scored.unionByName(one)
+    return scored.select("trial", *sorted(grid[0]), "n_train", F.coalesce("n_held_out", F.lit(0)).alias("n_held_out"), "converged",
+                         F.coalesce("f1_weighted", F.lit(0.0)).alias("f1_weighted"), F.coalesce("f1_binary", F.lit(0.0)).alias("f1_binary")) \
+        .withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f1_weighted"), "trial")))  # a row per grid point
+
+
+def _held_out_counts(test: DataFrame, models: Sequence[TwoHeadModel], trials: Sequence[int], scheme: LabelScheme) -> DataFrame:
+    """``trial, n_held_out, f1_weighted, f1_binary``: margins of all models in one pass, one aggregate keyed by trial."""
+    per = scheme.n_categories + 1
+    m = linear.margin_column(test.sparkSession, "slots", models[0].idf, np.concatenate([x.weights() for x in models]))
+    one = F.transform(F.sequence(F.lit(0), F.lit(len(models) - 1)), lambda k: F.slice("_m", k * per + 1, per))
+    rows = test.select("y_bin", "y_cat", m.alias("_m")).select("y_bin", "y_cat", F.posexplode(one).alias("_t", "_l"))
+    rows = rows.select(F.element_at(F.array(*[F.lit(i) for i in trials]), F.col("_t") + 1).alias("trial"),
+                       F.col("y_bin").cast("int").alias("y_bin"), F.col("y_cat").cast("array<int>").alias("y_cat"),
+                       F.array(F.lit(0.0), F.element_at("_l", 1)).alias("binary_logits"), F.slice("_l", 2, per - 1).alias("category_logits"))
+    pred = with_predictions(rows, scheme.n_categories)
+    return M.f1_by_group(pred, "trial", scheme.n_categories).withColumnRenamed("n_rows", "n_held_out")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelspark import fixtures as fx
@@ -628,20 +628,42 @@ def q_early_stop(spark, sf):
     return out.withColumn("best_score", r6("best_score"))
 
 
+def _two_head(spark, sf):
+    train, _ = _prepared(spark, sf)
+    return TR.train_two_head(train, "doc_id", num_features=1 << 14, max_iter=60)
+
+
 @query("train_two_head")
 def q_train_two_head(spark, sf):
-    train, _ = _prepared(spark, sf)
+    report = _two_head(spark, sf).report(spark)
+    return report.select("head", "n_rows", "positives", r6("class_weight").alias("class_weight"), "constant", "converged",
+                         (F.col("loss") <= F.col("start_loss")).alias("loss_fell"))
+
+
+@query("two_head_predictions")
+def q_two_head_predictions(spark, sf):
     test, _ = _prepared(spark, sf, split="test", multilingual=False, clean=False)
-    model = TR.train_two_head(train, "doc_id", num_features=1 << 14, reg_param=0.01, max_iter=20)
-    pred = TR.predict_two_head(model, test.select("doc_id", "text"))
+    pred = TR.predict_two_head(_two_head(spark, sf), test.select("doc_id", "text"))
     return pred.select("doc_id", "pred_binary", join_ints("pred_category").alias("pred_category"))
 
 
-@query("trial_table")
-def q_trial_table(spark, sf):
+def _trials(spark, sf):
     labelled, _ = _prepared(spark, sf)
-    grid = [{"reg_param": r, "num_features": 1 << 14, "max_iter": 20} for r in (0.0, 0.1)]
+    grid = [{"reg_param": r, "num_features": 1 << 14, "max_iter": 60} for r in (0.003, 0.03, 0.3)]
     return TR.trial_table(labelled, grid, key="doc_id")
 
 
+@query("trial_table")
+def q_trial_table(spark, sf):
+    return _trials(spark, sf)
+
+
+@query("trial_ranks")
+def q_trial_ranks(spark, sf):
+    before = Window.partitionBy(F.lit(0)).orderBy("rank")
+    return _trials(spark, sf).select(
+        F.col("rank").cast("bigint").alias("rank"), "n_train", "n_held_out", "converged",
+        (F.coalesce(F.lag("f1_weighted").over(before), F.lit(1.0)) >= F.col("f1_weighted")).alias("in_order"))
+
+
 FLAGSHIP = "scoring_job"

@@ -15,7 +15,8 @@ from labelspark.queries import QUERIES
 
 PYTHON_NODES = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "PythonUDF", "FlatMapGroupsInPandas")
 SCORER_QUERIES = {"score_posts", "scoring_job", "stream_scoring", "prediction_checks", "funnel", "positive_rate",
-                  "group_study", "value_counts", "join_demographics", "train_two_head", "trial_table"}
+                  "group_study", "value_counts", "join_demographics", "train_two_head", "two_head_predictions",
+                  "trial_table", "trial_ranks"}
 
 
 def plan(df):
