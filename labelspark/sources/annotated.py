@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from labelspark.scheme import scheme_for
+from labelspark.sources import blocks
 
 L1 = "labels_task1_1"
 L2 = "labels_task1_3"
@@ -41,13 +43,14 @@ def read_annotated_json(spark: SparkSession, path: str, id_col: str = "id",
                         whole_file: bool = True) -> DataFrame:
     """JSON objects keyed by row id (S1); the key becomes ``id_col``.
 
-    ``whole_file``: one object per file, as the annotated sets ship (a file
-    cannot be split, so each file is one task). Otherwise one keyed object
+    ``whole_file``: one object per file, as the annotated sets ship; a large file is
+    read in blocks by many tasks (``sources.blocks``). Otherwise one keyed object
     per line, which splits like any text file. Keys stay strings.
     """
-    raw = spark.read.text(path, wholetext=whole_file)
-    rows = raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), RECORD)))
-                      .alias(id_col, "_r"))
+    if whole_file:
+        rows = blocks.read_keyed_json(spark, path, RECORD, id_col)
+    else:
+        rows = spark.read.text(path).select(F.explode(F.from_json("value", T.MapType(T.StringType(), RECORD))).alias(id_col, "_r"))
     return _text_first(rows.select(id_col, "_r.*"))
 
 
@@ -61,15 +64,18 @@ def read_annotated_csv(spark: SparkSession, path: str, id_col: str = "id",
                        multi_line: bool = False) -> DataFrame:
     """CSV or TSV by extension (S2); label columns parsed from list text.
 
-    ``multi_line``: quoted fields may hold line ends. Such a file is read by
-    one task; without it a file is split like any text.
+    ``multi_line``: quoted fields may hold line ends; the file is read in blocks by
+    many tasks (``sources.blocks``). Without it every line is a row.
 
     Without an id column, the row position in the file becomes the id (P6).
     """
     sep = "\t" if path.endswith(".tsv") else ","
-    raw = (spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
-           .option("escape", '"').csv(path))
-    cols = raw.columns
+    position = "_position"
+    if multi_line:
+        raw = blocks.read_quoted_csv(spark, path, sep, position)
+    else:
+        raw = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    cols = [c for c in raw.columns if c != position]
     out = raw
     for c in cols:
         out = out.withColumn(c, F.col(c).cast("string"))
@@ -82,9 +88,29 @@ def read_annotated_csv(spark: SparkSession, path: str, id_col: str = "id",
         unnamed = [c for c in cols if c in ("", "_c0", "Unnamed: 0")]
         if unnamed:
             out = out.withColumnRenamed(unnamed[0], id_col)
+        elif multi_line:
+            out = out.withColumn(id_col, F.col(position).cast("string"))
         else:
             out = attach_row_index(out, id_col).withColumn(id_col, F.col(id_col).cast("string"))
-    return _text_first(out)
+    return _text_first(out.drop(position))
+
+
+def write_annotated_json(df: DataFrame, path: str, files: int, id_col: str = "id") -> str:
+    """Write annotated rows as ``files`` files, each one object keyed by id."""
+    record = F.struct(*[F.col(f.name) for f in RECORD.fields if f.name in df.columns])
+    text = F.to_json(F.create_map(F.col(id_col).cast("string"), record))
+    members = df.select(F.substring(text, 2, F.length(text) - 2).alias("value"))
+
+    def one_object(batches):
+        mark = "{"
+        for batch in batches:
+            values = [mark + v if k == 0 else "," + v for k, v in enumerate(batch.column(0).to_pylist())]
+            mark = "," if values else mark
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["}" if mark == "," else "{}"], pa.string())], ["value"])
+
+    members.repartition(files).mapInArrow(one_object, "value string").write.text(path)
+    return path
 
 
 def write_annotated_json_lines(df: DataFrame, path: str, id_col: str = "id") -> str:
@@ -100,9 +126,8 @@ def read_annotated(spark: SparkSession, path: str, dataset: str = "EXIST",
     """Dispatch on extension (S3): ``.json``, ``.keyed.jsonl``, ``.jsonl``,
     ``.csv``, ``.tsv``.
 
-    ``.json`` is one object keyed by id, read by one task. Large sets belong in
-    ``.keyed.jsonl`` (one keyed object per line, as
-    ``write_annotated_json_lines`` writes them) or ``.jsonl``, which split.
+    ``.json`` is one object keyed by id, ``.keyed.jsonl`` one keyed object per line (as
+    ``write_annotated_json_lines`` writes them). All of them are read by many tasks.
 
     Unknown extensions and dataset names fail at plan time.
     """
@@ -156,7 +181,9 @@ def read_posts(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     as for annotated CSV."""
     if path.endswith(".csv") or path.endswith(".tsv"):
         sep = "\t" if path.endswith(".tsv") else ","
-        return (spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
+        if multi_line:
+            return blocks.read_quoted_csv(spark, path, sep)
+        return (spark.read.option("header", True).option("sep", sep)
                 .option("escape", '"').option("inferSchema", False).csv(path))
     df = spark.read.parquet(path)
     for c in ("comment_id", "item_id", "data_id"):
