@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelspark.functions.predict import contains_label
@@ -88,6 +88,20 @@ def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with aggregates that come along when it next runs; ``Observation.get`` gives them."""
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in counts.items()]), seen
+
+
+def funnel_rows(known: Sequence[tuple[str, int]], rest: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """The funnel from counts that jobs have observed (``known``) and a one-row frame with the columns ``stages``."""
+    rows = [(name, F.lit(n).cast("bigint")) for name, n in known] + [(name, F.col(name)) for name in stages]
+    return rest.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), n.alias("n_rows")) for i, (name, n) in enumerate(rows)])).alias("_e")) \
+        .select("_e.*")
+
+
 # ------------------------------------------------------------------- joins
 def join_predictions(posts: DataFrame, preds: DataFrame, key: str = "data_id") -> DataFrame:
     """Inner equi join of posts and predictions (J1). Duplicate post keys all
@@ -109,5 +123,6 @@ def join_demographics(preds: DataFrame, posts: DataFrame, key: str = "item_id",
 
 
 def remaining_rows(posts: DataFrame, scored: DataFrame, key: str) -> DataFrame:
-    """Rows not scored yet (J3): anti join on the stable key."""
+    """Rows not scored yet (J3): anti join on the stable key. A log stored with ``steps.write_bucketed``
+    is read bucket by bucket and does not move."""
     return posts.join(scored.select(key), key, "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from labelspark.operators.ordering import (HASH_COL, PIECE_ROWS, TIE_COL, cutoff_select,
                                            hash_positions, row_hash, seeded_hash)
+from labelspark.session import materialise
 
 
 def dedup_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -72,20 +73,32 @@ def split_sizes(counts: DataFrame, stratum: str, test_size: float) -> DataFrame:
     ``n_test = ceil(test_size * N)``; the training share ``N - n_test`` is
     spread over strata by largest remainder of ``count / N * n_train``
     (ties to the smaller stratum value); each stratum holds out the rest.
-    ``counts`` holds the rows per stratum (``_c``); the allocation runs on
-    that small table.
+    ``counts`` holds the rows per stratum (``_c``). Strata are ranked in ranges of the
+    order (remainder, stratum) of at most about ``PIECE_ROWS`` each, with the ranges' sizes as
+    offsets, so no task holds all strata.
     """
-    w_all = Window.partitionBy(F.lit(0))
-    total = F.sum("_c").over(w_all)
-    n_train = total - F.ceil(F.lit(float(test_size)) * total)
-    cont = F.col("_c") / total * n_train
+    counts = materialise(counts.select(stratum, "_c"), "strata")
+    told = counts.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("strata")).first()
+    total = told["n"] or 0
+    n_train = F.lit(total) - F.ceil(F.lit(float(test_size)) * F.lit(total))
+    cont = F.col("_c") / F.lit(total) * n_train if total else F.lit(0.0)
     alloc = counts.select(stratum, "_c", cont.alias("_cont"), n_train.alias("_n_train"))
     alloc = alloc.withColumn("_floor", F.floor("_cont")).withColumn(
         "_rem", F.col("_cont") - F.col("_floor"))
-    w_rank = Window.partitionBy(F.lit(0)).orderBy(F.col("_rem").desc(), F.col(stratum))
-    alloc = alloc.withColumn("_extra", F.col("_n_train") - F.sum("_floor").over(w_all))
-    alloc = alloc.withColumn("_train", F.col("_floor")
-                             + (F.row_number().over(w_rank) <= F.col("_extra")).cast("bigint"))
+    order = [F.col("_rem").desc(), F.col(stratum)]
+    ranges = 1 + 2 * told["strata"] // PIECE_ROWS
+    if ranges > 1:
+        # written with its range, which is then fixed however often the plan runs
+        alloc = materialise(alloc.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()), "strata-ranges")
+    else:
+        alloc = alloc.withColumn("_p", F.lit(0))
+    sizes = alloc.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_floor").alias("_f"), F.max("_n_train").alias("_t"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    everything = Window.partitionBy(F.lit(0))
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                           (F.col("_t") - F.sum("_f").over(everything)).alias("_extra"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_off")
+    alloc = alloc.join(offsets, "_p").withColumn("_train", F.col("_floor") + (rank <= F.col("_extra")).cast("bigint"))
     return alloc.select(stratum, (F.col("_c") - F.col("_train")).cast("bigint").alias("n_take"))
 
 

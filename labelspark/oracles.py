@@ -588,7 +588,7 @@ _STRICT8 = ("coalesce(nullif(concat_ws(', ', " + ", ".join(
 _GROUP = {
     "chosen": f"""SELECT item_id, cleaned_text AS text FROM fx_posts WHERE item_type = 'reply'
   AND author_type = 'by_public' AND duplicates IN ('no duplicates', 'first duplicate')
-  AND cleaned_text IS NOT NULL ORDER BY {_md5('42:sample_n', 'item_id')}, item_id LIMIT 300""",
+  AND cleaned_text IS NOT NULL ORDER BY {_md5('42:sample_n', 'item_id')}, item_id LIMIT 10000""",
 }
 _GROUP["glg"] = f"SELECT item_id, {_length_logits('text', 8)} FROM chosen"
 _GROUP["gpred"] = f"SELECT item_id, {_STRICT8} AS predicted_label FROM glg"
@@ -627,6 +627,21 @@ _SRC_SQL = with_fx(["fx_posts", "fx_votes1", "fx_votes2"], """
 SELECT id, text, binary_labels, category_labels FROM src WHERE b_ok AND c_ok""", _SRC)
 oracle("src_json", _SRC_SQL)
 oracle("src_csv", _SRC_SQL)
+oracle("src_json_whole", _SRC_SQL)
+
+oracle("read_posts", with_fx(["fx_posts"], """
+SELECT lpad(item_id, 9, '0') AS item_id, md5(concat(cleaned_text, ' "q",', chr(10), chr(10), 'end')) AS text_md5, lang FROM fx_posts"""))
+
+oracle("row_ids", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id FROM documents")
+
+oracle("write_labelled", with_fx(["fx_posts"], """
+SELECT data_id, pred_binary, pred_category, pred_category_pipe FROM lab""", _JOB))
+
+_CACHE = {"clg": f"SELECT doc_id, {_length_logits('cleaned_text', 6)} FROM fx_posts"}
+_CACHE["cpr"] = _pred_from("clg", "doc_id")
+oracle("cached_scores", with_fx(["fx_posts"], "SELECT doc_id, pb AS pred_binary, 1 AS times_computed FROM cpr", _CACHE))
+
+oracle("scored_steps", with_fx(["fx_scored_log"], "SELECT doc_id, batch_id, pred_binary FROM fx_scored_log"))
 
 
 # ---------------------------------------------------------------- training

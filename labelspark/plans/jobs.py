@@ -47,6 +47,8 @@ def scoring_job(posts_raw: DataFrame, scorer: ScorerFactory, scheme: LabelScheme
     text goes into the scorer and never comes back out of it.
     """
     posts = harmonise_posts(posts_raw)
+    if materialise:  # counted by the job that makes the ids
+        posts, came = reports.observed(posts, input=F.count(F.lit(1)), with_text=F.count("text"))
     with_text = posts.dropna(subset=["text"])
     first = [*order, "_first"]
     keyed = with_text.withColumn("_first", F.xxhash64(*with_text.columns))
@@ -57,6 +59,7 @@ def scoring_job(posts_raw: DataFrame, scorer: ScorerFactory, scheme: LabelScheme
     preds = with_predictions(score(ided, scorer, keep=["data_id", *first], batch_size=batch_size),
                              scheme.n_categories)
     if materialise:
+        preds, scored = reports.observed(preds, predictions=F.count(F.lit(1)))
         preds = materialise_df(preds, "scored")
     deduped = dedup_first(preds, "data_id", order=first).drop(*first)
     checks = reports.prediction_checks(deduped, inputs, strict=strict_checks)
@@ -66,9 +69,16 @@ def scoring_job(posts_raw: DataFrame, scorer: ScorerFactory, scheme: LabelScheme
                 .withColumn("pred_category_labels", names)
                 .withColumn("pred_category_pipe", pipe)
                 .drop("data_id").withColumnRenamed("item_id", "data_id"))
-    funnel = reports.funnel([("input", posts), ("with_text", with_text),
-                             ("predictions", preds), ("deduplicated", deduped),
-                             ("labelled", labelled)])
+    if materialise:
+        ids = (inputs.select("data_id", F.lit(1).alias("i"), F.lit(0).alias("p"))
+               .unionByName(preds.select("data_id", F.lit(0).alias("i"), F.lit(1).alias("p")))
+               .groupBy("data_id").agg(F.sum("i").alias("i"), F.max("p").alias("p")).where("p = 1"))
+        last = ids.agg(F.count(F.lit(1)).alias("deduplicated"), F.coalesce(F.sum("i"), F.lit(0)).cast("bigint").alias("labelled"))
+        funnel = reports.funnel_rows([*came.get.items(), *scored.get.items()], last, ["deduplicated", "labelled"])
+    else:
+        funnel = reports.funnel([("input", posts), ("with_text", with_text),
+                                 ("predictions", preds), ("deduplicated", deduped),
+                                 ("labelled", labelled)])
     return ScoringResult(labelled, checks, funnel, deduped)
 
 

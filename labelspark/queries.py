@@ -33,7 +33,8 @@ from labelspark.plans.prepare import prepare_labels as _prepare
 from labelspark.scheme import DEFAULT_SCHEME, GROUP_STUDY_LABELS
 from labelspark.session import checkpoint_dir
 from labelspark.sources import annotated as A
-from labelspark.streaming.scoring import LengthScorer, score, stream_scoring
+from labelspark.sources import steps
+from labelspark.streaming.scoring import LengthScorer, score, stream_scoring, with_predictions
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -480,7 +481,7 @@ def q_positive_rate(spark, sf):
 
 
 def _group_study(spark, sf):
-    return jobs.group_study(fx.fx_posts(spark, sf), LengthScorer(8), n=300, seed=42)
+    return jobs.group_study(fx.fx_posts(spark, sf), LengthScorer(8), n=10_000, seed=42)
 
 
 @query("group_study")
@@ -521,8 +522,9 @@ def q_join_predictions(spark, sf):
 
 @query("remaining_rows")
 def q_remaining_rows(spark, sf):
-    posts = fx.fx_posts(spark, sf).select("doc_id", "item_id")
-    return R.remaining_rows(posts, fx.fx_scored_log(spark, sf), "doc_id")
+    name = f"labelspark_log_{uuid.uuid4().hex}"
+    log = steps.write_bucketed(fx.fx_scored_log(spark, sf), name, "doc_id", 32, f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+    return R.remaining_rows(fx.fx_posts(spark, sf).select("doc_id", "item_id"), log, "doc_id")
 
 
 def _drift(spark, sf):
@@ -557,7 +559,7 @@ def q_stream_scoring(spark, sf):
     later = posts.where((F.col("doc_id") % 4 == 3) | (F.col("doc_id") % 10 == 0)).drop("doc_id")
     later.write.mode("append").parquet(src)
     stream_scoring(spark, src, schema, sink, ckpt, LengthScorer(6))
-    out = spark.read.parquet(sink)
+    out = steps.read_steps(spark, sink)
     return out.select("item_id", "pred_binary", r6("pred_binary_prob").alias("pred_binary_prob"),
                       join_ints("pred_category").alias("pred_category"))
 
@@ -610,6 +612,82 @@ def q_src_csv(spark, sf):
     return _read_back_labels(spark, f"{base}/exist.csv")
 
 
+@query("src_json_whole")
+def q_src_json_whole(spark, sf):
+    """The same as objects keyed by id, a few files of one object each, read in blocks."""
+    base = _folder(spark, "whole")
+    path = A.write_annotated_json(_annotated_rows(spark, sf), f"{base}/exist.json", files=4)
+    return _read_back_labels(spark, path)
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/labelspark-{name}-{uuid.uuid4().hex}"
+
+
+def _stored_posts_csv(spark, sf):
+    """Posts as quoted CSV: texts with line ends, ids with leading zeros."""
+    path = f"{_folder(spark, 'posts')}/posts.csv"
+    posts = fx.fx_posts(spark, sf).select(
+        F.lpad("item_id", 9, "0").alias("comment_id"), F.concat("cleaned_text", F.lit(' "q",\n\nend')).alias("cleaned_text"), "lang")
+    posts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return path
+
+
+@query("read_posts")
+def q_read_posts(spark, sf):
+    posts = posts_ops.harmonise_posts(A.read_posts(spark, _stored_posts_csv(spark, sf), multi_line=True))
+    return posts.select("item_id", F.md5("text").alias("text_md5"), "lang")
+
+
+@query("row_ids")
+def q_row_ids(spark, sf):
+    """Row positions over several files whose quoted fields hold line ends."""
+    path = f"{_folder(spark, 'rows')}/posts.csv"
+    posts = fx.fx_posts(spark, sf).select("doc_id", F.concat_ws("\n", "item_id", "lang").alias("t"))
+    posts.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.option("header", True).option("escape", '"').csv(path)
+    rows = A.read_annotated_csv(spark, path, id_col="row_id", multi_line=True)
+    return rows.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+@query("write_labelled")
+def q_write_labelled(spark, sf):
+    """Labelled posts written as CSV, named after the input's stem, and read back."""
+    lab = _scoring(spark, sf).labelled.select("data_id", "pred_binary", "pred_category", "pred_category_pipe")
+    path = A.write_labelled(lab, _folder(spark, "labelled"), "posts", fmt="csv")
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select("data_id", F.col("pred_binary").cast("int").alias("pred_binary"),
+                       join_ints(parse_int_list("pred_category")).alias("pred_category"), "pred_category_pipe")
+
+
+@query("cached_scores")
+def q_cached_scores(spark, sf):
+    """Stored predictions: a half-written set is computed again, a whole one is read and not computed."""
+    path, calls = f"{_folder(spark, 'cache')}/scores.parquet", []
+    posts = posts_ops.harmonise_posts(fx.fx_posts(spark, sf)).select("doc_id", "text")
+
+    def compute():
+        calls.append(1)
+        return with_predictions(score(posts, LengthScorer(6), keep=["doc_id"])).select("doc_id", "pred_binary")
+
+    # a run that died: rows, but no mark of success
+    compute().where("doc_id % 3 = 0").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    A.cached_or_compute(spark, path, compute)
+    return A.cached_or_compute(spark, path, compute).withColumn("times_computed", F.lit(len(calls) - 1))
+
+
+@query("scored_steps")
+def q_scored_steps(spark, sf):
+    """A log written in steps: one step repeated, one written by two writers at once, one left half done."""
+    base, log = _folder(spark, "steps"), fx.fx_scored_log(spark, sf)
+    for step in (0, 1, 1):
+        steps.write_step(log.where(F.col("batch_id") == step), base, step)
+    both = [steps.stage_step(log.where(F.col("batch_id") == 2), base, 2) for _ in range(2)]
+    for attempt in both:
+        steps.commit_step(spark, base, 2, attempt)
+    steps.stage_step(log, base, 3)
+    return steps.read_steps(spark, base).select("doc_id", "batch_id", "pred_binary")
+
+
 # ---------------------------------------------------------------- training
 def _metric_log(spark, sf):
     log = fx.fx_metric_log(spark, sf)

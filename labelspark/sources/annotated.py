@@ -215,7 +215,8 @@ def write_labelled(df: DataFrame, base: str, stem: str, fmt: str = "parquet",
 
 
 def append_scored(df: DataFrame, path: str) -> None:
-    """Append a step of scored rows (S7); each call adds new files only."""
+    """Append scored rows as new files (S7). A repeated call repeats its rows: where steps may be
+    repeated, use ``steps.write_step``, which counts every step once."""
     df.write.mode("append").parquet(path)
 
 

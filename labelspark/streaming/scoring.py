@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from labelspark.functions.predict import predict
 from labelspark.operators.posts import harmonise_posts
+from labelspark.sources.steps import read_steps, write_step
 
 # The task code below is shipped by value, so executors need numpy and pandas
 # but not this package. A scorer defined in a user module must be importable
@@ -105,42 +106,43 @@ def with_predictions(scored: DataFrame, n: int = 6, threshold: float = 0.5) -> D
 def stream_scoring(spark, source_dir: str, schema: T.StructType, sink_dir: str,
                    checkpoint_location: str, scorer: ScorerFactory, key: str = "item_id",
                    event_time: str | None = None, watermark: str = "1 hour",
-                   max_files_per_trigger: int | None = None, batch_size: int = 32,
-                   rocksdb_state: bool = True):
+                   max_files_per_trigger: int | None = None, batch_size: int = 32):
     """Interruptible scoring (ST1): new post files under ``source_dir`` are
-    scored, predicted and appended to ``sink_dir`` as parquet.
+    scored, predicted and written to ``sink_dir`` as committed steps; ``steps.read_steps`` reads them.
 
     The checkpoint records which files were done, so a restart scores only
-    new files and a crash mid-batch replays that batch exactly once into the
-    file sink. Ids are deduplicated on ``key``: with ``event_time`` given,
-    ``dropDuplicatesWithinWatermark`` keeps state bounded by the watermark;
-    without it the dedup state grows with the number of distinct ids.
-    Runs with ``availableNow`` and returns after the backlog is done. With
-    ``rocksdb_state`` (and no provider chosen yet) the dedup state lives in
-    RocksDB, which keeps it off the JVM heap as the number of ids grows.
+    new files; a batch that is replayed after a crash is the same step again and
+    counts once. Runs with ``availableNow`` and returns after the backlog is done.
+
+    Ids are deduplicated on ``key`` before the model sees them, exactly and without state: each
+    batch keeps one post per id and drops the ids that earlier steps hold. Only ids are
+    read back, and only those of the batch are looked for (Spark broadcasts the batch's ids
+    when they are few, so the stored ids are not shuffled). With ``event_time`` given,
+    ``dropDuplicatesWithinWatermark`` is used instead: repeats within the watermark go, and the
+    stored ids are not read.
     """
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    chosen = spark.conf.get(provider, None)
-    if rocksdb_state and not chosen:
-        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state."
-                                 "RocksDBStateStoreProvider")
-    try:
-        reader = spark.readStream.schema(schema)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        posts = harmonise_posts(reader.parquet(source_dir)).dropna(subset=["text"])
-        keep = [key] + ([event_time] if event_time else [])
-        # repeats go before the model sees them
-        if event_time:
-            posts = posts.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
-        else:
-            posts = posts.dropDuplicates([key])
-        scored = with_predictions(score(posts, scorer, keep=keep, batch_size=batch_size))
-        q = (scored.writeStream.format("parquet").outputMode("append")
-             .option("path", sink_dir).option("checkpointLocation", checkpoint_location)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        if rocksdb_state and not chosen:  # the session keeps its own setting
-            spark.conf.unset(provider)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    posts = harmonise_posts(reader.parquet(source_dir)).dropna(subset=["text"])
+    keep = [key] + ([event_time] if event_time else [])
+    if event_time:
+        posts = posts.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not event_time:
+            batch = _new_ids(batch, sink_dir, key)
+        write_step(with_predictions(score(batch, scorer, keep=keep, batch_size=batch_size)), sink_dir, number)
+
+    q = (posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_location)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
     return q
+
+
+def _new_ids(batch: DataFrame, sink_dir: str, key: str) -> DataFrame:
+    """One post per id (the least by its columns) of the ids that no committed step holds."""
+    first = batch.groupBy(key).agg(F.min(F.struct(*[c for c in batch.columns if c != key])).alias("_r")).select(key, "_r.*")
+    done = read_steps(batch.sparkSession, sink_dir, batch.select(key).schema).select(key)
+    known = done.join(first.select(key), key, "left_semi").distinct()
+    return first.select(*batch.columns).join(known, key, "left_anti")

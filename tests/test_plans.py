@@ -16,7 +16,7 @@ from labelspark.queries import QUERIES
 PYTHON_NODES = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "PythonUDF", "FlatMapGroupsInPandas")
 SCORER_QUERIES = {"score_posts", "scoring_job", "stream_scoring", "prediction_checks", "funnel", "positive_rate",
                   "group_study", "value_counts", "join_demographics", "train_two_head", "two_head_predictions",
-                  "trial_table", "trial_ranks"}
+                  "trial_table", "trial_ranks", "write_labelled", "cached_scores"}
 
 
 def plan(df):
@@ -102,3 +102,37 @@ def test_per_group_sample_limits_before_the_shuffle(spark):
     text = formatted(sample_per_group(df, "g", 10, "key"))
     # a partial group limit runs on the map side, so a hot group never arrives whole
     assert text.count("WindowGroupLimit") >= 2
+
+
+def test_scored_log_does_not_move(spark):
+    """The bucketed log is read bucket by bucket; only the posts are shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["remaining_rows"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = text[text.index("Bucketed: true"):]
+    join = text[text.index("SortMergeJoin"):]
+    right = join[join.rindex("\n      ", 0, join.index("Bucketed: true")):] if "Bucketed: true" in join else ""
+    assert "Bucketed: true" in scan and "Exchange" not in right
+
+
+def test_funnel_counts_come_with_the_jobs(spark):
+    """The stages are counted while they run; the report reads ids only."""
+    text = formatted(QUERIES["funnel"](spark, SF_SMALL))
+    reads = [line for line in text.splitlines() if line.startswith("ReadSchema")]
+    assert reads and all(line.strip() in ("ReadSchema: struct<data_id:bigint>",) for line in reads), reads
+
+
+def test_million_strata_are_ranked_in_ranges(spark):
+    from labelspark.operators.sampling import split_sizes
+    n = 1_000_000
+    counts = spark.range(n).select(F.col("id").alias("s"), (1 + F.col("id") % 5).alias("_c"))
+    got = split_sizes(counts, "s", 0.1)
+    text = plan(got)
+    assert "Window" in text and "_p" in text
+    told = got.join(counts, "s").agg(F.sum("n_take").alias("t"), F.count("*").alias("n"), F.min("n_take").alias("lo"),
+                                     F.count_if(F.col("n_take") > F.col("_c")).alias("bad")).first()
+    total = 3 * n
+    assert (told.t, told.n, told.bad) == (-(-total // 10), n, 0) and told.lo >= 0
