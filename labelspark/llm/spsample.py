@@ -2,7 +2,9 @@
 
 The pieces of a SentencePiece model span a lattice over a text. Pieces never
 reach over the beginning of a run of blanks, so the lattice of a text is the chain
-of its words' lattices, and the lattice of each distinct word is built once. A piece weighs ``exp(ALPHA * log p)``; where a model's scores are merge
+of its words' lattices, and the lattice of each distinct word is built once. A word of
+more than ``LONGEST_WORD`` bytes is cut there, at the beginning of a character, and no piece reaches over
+a cut: work and memory stay in proportion to the text. A piece weighs ``exp(ALPHA * log p)``; where a model's scores are merge
 ranks, ``p`` is Zipf's ``1 / (rank + 2.7)``. Backward sums turn the weights into
 the probability of each edge, given its start.
 
@@ -24,6 +26,8 @@ above kappa.
 from __future__ import annotations
 
 import math
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +43,10 @@ SAMPLES = 2
 ALPHA = 0.5
 SEED = 17
 RANK_OFFSET = 2.7
-CHUNK = 384 << 10  # bytes of text searched at once
+CHUNK = 96 << 10  # bytes of text searched at once
 LONGEST = 64  # bytes of a piece looked up
-KEPT_EDGES = 5_000_000  # edges of word lattices that a task remembers at a time
+LONGEST_WORD = 1024  # bytes of a word's lattice
+KEPT_EDGES = 2_000_000  # edges of word lattices that a worker remembers at a time
 
 
 class Pieces:
@@ -80,6 +85,9 @@ class Pieces:
                     at.append((-1, 0.0))
                 node = nxt
             at[node] = (k, alpha * lp)
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         order = sorted(keys)
         self.keys = np.array(order, np.int64)
         self.child = np.array([keys[k] for k in order], np.int64)
@@ -146,10 +154,10 @@ class Lattice:
         length = np.diff(np.append(chars, len(raw)))
         length = np.minimum(length, left[chars])
         have = np.zeros(len(raw) + len(starts) + 1, bool)
-        if src:
-            for s, t in zip(src, dst):
-                short = np.searchsorted(node[chars], s)
-                have[s[t - s == length[short]]] = True
+        first_of = np.zeros(len(have), np.int64)  # bytes of the character at a node
+        first_of[node[chars]] = length
+        for s, t in zip(src, dst):
+            have[s[t - s == first_of[s]]] = True
         bare = ~have[node[chars]]
         src.append(node[chars[bare]])
         dst.append(node[chars[bare]] + length[bare])
@@ -158,7 +166,6 @@ class Lattice:
         src, dst, piece, weight = (np.concatenate(x) for x in (src, dst, piece, weight))
         order = np.lexsort((dst, src))
         self.dst, self.piece, self.raw = dst[order], piece[order], raw
-        self.bare_bytes = dict(zip((-1 - chars[bare]).tolist(), length[bare].tolist()))
         nodes = len(raw) + len(starts)
         self.edge = np.searchsorted(src[order], np.arange(nodes + 1))
         self.end = np.zeros(nodes, bool)
@@ -195,18 +202,18 @@ class Store:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot, self.bare_bytes = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.used = {"edges": 0, "nodes": 0, "bytes": 0, "words": 0}
         self.parts = {"dst": ("edges", np.int32), "piece": ("edges", np.int32), "log_q": ("edges", np.float64),
                       "lo": ("nodes", np.int64), "count": ("nodes", np.int32), "end": ("nodes", bool),
                       "raw": ("bytes", np.uint8), "root": ("words", np.int64)}
         for name, (_, kind) in self.parts.items():
-            setattr(self, name, np.zeros(0, kind))
+            setattr(self, name, np.empty(KEPT_EDGES, kind))  # room that is not touched takes no memory
 
     def _append(self, name: str, values: np.ndarray) -> None:
         n, have = self.used[self.parts[name][0]], getattr(self, name)
         if n + len(values) > len(have):
-            wider = np.zeros(max(2 * len(have), n + len(values)), have.dtype)
+            wider = np.empty(n + len(values) + (len(have) >> 2), have.dtype)
             wider[:n] = have[:n]
             setattr(self, name, wider)
         getattr(self, name)[n: n + len(values)] = values
@@ -225,7 +232,6 @@ class Store:
                                  ("log_q", lat.log_q), ("lo", lat.edge[:-1] + used["edges"]), ("count", np.diff(lat.edge)),
                                  ("end", lat.end), ("raw", lat.raw), ("root", lat.root + used["nodes"])):
                 self._append(name, values)
-            self.bare_bytes.update((k - base, v) for k, v in lat.bare_bytes.items())
             place = np.searchsorted(self.keys, hashes[new])
             self.keys = np.insert(self.keys, place, hashes[new])
             self.slot = np.insert(self.slot, place, used["words"] + np.arange(len(new)))
@@ -397,22 +403,58 @@ class Search:
         return self.first[d] + np.concatenate([[0], np.cumsum(ended)[:-1]]) if len(edges) else np.zeros(0, np.int64)
 
 
-def _edge_ids(pieces: Pieces, lat: Store, edges: np.ndarray) -> np.ndarray:
-    """Piece ids of a path; a spelled character gives an id per byte."""
+_CHARACTER = np.ones(256, np.int64)  # bytes of a UTF-8 character, by its first one
+_CHARACTER[0xC0:0xE0], _CHARACTER[0xE0:0xF0], _CHARACTER[0xF0:] = 2, 3, 4
+
+
+def _path_ids(pieces: Pieces, lat: Store, edges: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of paths laid end to end, and where each path's begin (n + 1); a spelled character gives an id per byte."""
     ids = lat.piece[edges].astype(np.int64)
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
-        return ids
-    out, last = [], 0
-    for k in bare.tolist():
-        place = -1 - int(ids[k])
-        out += [ids[last:k], pieces.byte_id[lat.raw[place: place + lat.bare_bytes[int(ids[k])]]]]
-        last = k + 1
-    return np.concatenate([*out, ids[last:]])
-
-
-def sample_texts(store: Store, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES):
-    """(text, sample, ids, log_prob, value, kappa) of every sample of a run of texts, in order."""
+        return ids, cut
+    place = -1 - ids[bare]
+    count = np.ones(len(ids), np.int64)
+    count[bare] = _CHARACTER[lat.raw[place]]
+    out = np.repeat(ids, count)
+    at, _ = _ragged((np.cumsum(count) - count)[bare], count[bare])
+    spelled, _ = _ragged(place, count[bare])
+    out[at] = pieces.byte_id[lat.raw[spelled]]
+    return out, np.concatenate([[0], np.cumsum(count)])[cut]
+
+
+def _round_trips(pieces: Pieces, ids: np.ndarray, cut: np.ndarray, data: np.ndarray, offsets: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether the ids of every path decode to its text (a blank goes in front)."""
+    size = pieces.size[ids]
+    at, _ = _ragged(pieces.start[ids], size)
+    got = pieces.flat[at]
+    first = np.concatenate([[0], np.cumsum(size)])[cut]
+    have, want = np.diff(first), np.diff(offsets)[text]
+    good = (have == want + 1) | ((have == 0) & (want == 0))
+    some = np.flatnonzero(good & (have > 0))
+    place, begin = _ragged(first[some] + 1, want[some])
+    source, _ = _ragged(offsets[text[some]], want[some])
+    differ = np.concatenate([[0], np.cumsum(got[place] != data[source])])
+    good[some] = differ[begin + want[some]] == differ[begin]
+    return good
+
+
+def _cut_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of at most ``LONGEST_WORD`` bytes: longer ones are cut where a character begins."""
+    long = np.flatnonzero(ends - starts > LONGEST_WORD)
+    if not len(long):
+        return starts, ends
+    places, _ = _ragged(np.zeros(len(long), np.int64), (ends[long] - starts[long] - 1) // LONGEST_WORD)
+    cuts = np.repeat(starts[long], (ends[long] - starts[long] - 1) // LONGEST_WORD) + (places + 1) * LONGEST_WORD
+    for _ in range(3):
+        cuts = cuts - ((data[cuts] & 0xC0) == 0x80)
+    starts = np.sort(np.concatenate([starts, cuts]))
+    return starts, np.sort(np.concatenate([ends, cuts]))
+
+
+def sample_chunk(store: Store, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES):
+    """Text, sample, ids end to end, where each sample's begin, log_prob, value, kappa and round_trip
+    of every sample of a run of texts, in order."""
     n = len(offsets) - 1
     padded = np.insert(data, offsets[:-1], 0x20)
     at = offsets + np.arange(n + 1)
@@ -427,19 +469,46 @@ def sample_texts(store: Store, data: np.ndarray, offsets: np.ndarray, seeds: np.
     if len(drop):
         keep = ~np.isin(starts, drop)
         starts, ends = starts[keep], ends[keep]
+    starts, ends = _cut_words(padded, starts, ends)
     first = np.searchsorted(starts, at)
     if len(starts):
         hashes, one, word_of = np.unique(tx.span_hashes(padded, starts, ends, lower=False), return_index=True, return_inverse=True)
         search = Search(store, store.words(hashes, padded, starts[one], ends[one])[word_of.ravel()], first, seeds)
         search.run(samples)
+    rows, told, paths = [], [], []
     for d in range(n):
         if not full[d]:
-            yield d, 0, np.zeros(0, np.int64), 0.0, 0.0, -math.inf
+            rows.append((d, 0))
+            told.append((0.0, 0.0, -math.inf))
+            paths.append(np.zeros(0, np.int64))
             continue
         for s in range(samples):
             if np.isfinite(search.values[s][d]):
-                yield (d, s, _edge_ids(store.pieces, store, search.edges(s, d)), float(search.log_probs[s][d]),
-                       float(search.values[s][d]), float(search.kappa[d]))
+                rows.append((d, s))
+                told.append((search.log_probs[s][d], search.values[s][d], search.kappa[d]))
+                paths.append(search.edges(s, d))
+    text, sample = np.array(rows, np.int64).reshape(-1, 2).T
+    log_prob, value, kappa = np.array(told, np.float64).reshape(-1, 3).T
+    edges = np.concatenate([np.zeros(0, np.int64), *paths])
+    ids, cut = _path_ids(store.pieces, store, edges, np.concatenate([[0], np.cumsum([len(p) for p in paths], dtype=np.int64)]))
+    return text, sample, ids, cut, log_prob, value, kappa, _round_trips(store.pieces, ids, cut, data, offsets, text)
+
+
+def sample_texts(store: Store, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES):
+    """(text, sample, ids, log_prob, value, kappa) of every sample of a run of texts, in order."""
+    text, sample, ids, cut, log_prob, value, kappa, _ = sample_chunk(store, data, offsets, seeds, samples)
+    for k in range(len(text)):
+        yield int(text[k]), int(sample[k]), ids[cut[k]: cut[k + 1]], float(log_prob[k]), float(value[k]), float(kappa[k])
+
+
+def worker_store(model: str, alpha: float) -> Store:
+    """The store of this Python worker: tasks that follow each other share the vocabulary and the words."""
+    kept = sys.modules.setdefault("_piece_stores", types.ModuleType("_piece_stores"))
+    name = f"{model} {alpha}"
+    if name not in vars(kept):
+        vars(kept).clear()  # one model at a time
+        setattr(kept, name, Store(Pieces(model, alpha)))
+    return vars(kept)[name]
 
 
 OUT = (("sample", T.IntegerType()), ("n_pieces", T.LongType()), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()),
@@ -463,29 +532,18 @@ def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                          F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed)).alias("seed"))
 
     def run(batches):
-        store = None
         for batch in batches:
-            store = store or Store(Pieces(model, alpha))
+            store = worker_store(model, alpha)
             data, offsets = tx.text_buffers(batch.column(1))
             seeds = tx.unsigned(batch.column(2).to_numpy())
             for i, j in tx.doc_chunks(offsets, CHUNK):
                 part, at = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
-                rows, sample, ids, log_prob, value, kappa, same = [], [], [], [], [], [], []
-                for d, s, x, lp, v, k in sample_texts(store, part, at, seeds[i:j], samples):
-                    rows.append(i + d)
-                    sample.append(s)
-                    ids.append(x)
-                    log_prob.append(lp)
-                    value.append(v)
-                    kappa.append(k)
-                    same.append(store.pieces.decode(x) == part[at[d]: at[d + 1]].tobytes())
-                sizes = np.array([len(x) for x in ids], np.int64)
-                inclusion = -np.expm1(-np.exp(np.minimum(np.array(log_prob) - np.array(kappa), 700.0)))
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                text, sample, ids, cut, log_prob, value, kappa, same = sample_chunk(store, part, at, seeds[i:j], samples)
+                inclusion = -np.expm1(-np.exp(np.minimum(log_prob - kappa, 700.0)))
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sample, pa.int32()), pa.array(sizes), pa.array(log_prob, pa.float64()),
-                     pa.array(value, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(same, pa.bool_()), lists], out.names)
+                    [batch.column(0).take(pa.array(i + text)), pa.array(sample.astype(np.int32)), pa.array(np.diff(cut)), pa.array(log_prob),
+                     pa.array(value), pa.array(inclusion), pa.array(same), lists], out.names)
 
     return narrow.mapInArrow(run, out)
 

@@ -209,6 +209,33 @@ def test_samples_do_not_depend_on_the_batch(pieces):
         assert all(pieces.decode(r[2]) == t.encode() for r in mine)
 
 
+def test_words_without_blanks_are_cut_and_stay_in_proportion(pieces):
+    """A word of 200,000 bytes costs about what as many bytes of prose cost, and decodes exactly."""
+    import time
+
+    rng = np.random.default_rng(4)
+    store, seeds = spsample.Store(pieces), np.array([1], np.uint64)
+    long = ["".join(chr(97 + k) for k in rng.integers(0, 26, 200_000)), "é😀漢" * 20_000, "x" * 150_000]
+    prose = " ".join("".join(chr(97 + k) for k in rng.integers(0, 26, 6)) for _ in range(30_000))
+    cost = []
+    for text in [prose, *long]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        began = time.process_time()
+        _, sample, ids, cut, log_prob, value, _, same = spsample.sample_chunk(store, data, np.array([0, len(data)]), seeds, 2)
+        cost.append((time.process_time() - began) / len(data))
+        assert same.tolist() == [True, True] and sample.tolist() == [0, 1] and value[0] >= value[1]
+        assert ids[cut[0]: cut[1]].tolist() != ids[cut[1]: cut[2]].tolist()
+    assert max(cost[1:]) < 20 * cost[0]
+
+
+def test_cuts_fall_where_characters_begin():
+    text = ("a" * 1023 + "😀" * 700 + "é" * 900).encode()
+    data = np.frombuffer(text, np.uint8)
+    starts, ends = spsample._cut_words(data, np.array([0]), np.array([len(data)]))
+    assert starts[0] == 0 and ends[-1] == len(data) and (starts[1:] == ends[:-1]).all() and (ends - starts).max() <= spsample.LONGEST_WORD + 3
+    assert all((data[k] & 0xC0) != 0x80 for k in starts)
+
+
 def test_encode_samples_of_odd_rows(odd, odd_pairs, empty):
     rows = spsample.encode_samples(odd).collect()
     assert all(r.round_trip and 0 < r.inclusion <= 1 for r in rows)
