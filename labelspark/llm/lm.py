@@ -2,11 +2,11 @@
 
 Tokens are the words of a text (A-Z lowered) and one end token. The automaton has
 a root state, a start state and a state for every training word. The state of h
-has an arc for every w that followed h at least ``MIN_COUNT`` times in training,
-and a failure arc to the root; the root has an arc for every word:
+has an arc for every w that followed h in training, and a failure arc to the
+root; the root has an arc for every word:
 
 * root:      p(w) = (c(w) + A) / (N + A (V + 1)), with one share for unseen words
-* failure:   f(h) = 1 - sum over kept w of (c(h w) - D) / c(h)
+* failure:   f(h) = 1 - sum over w that followed h of (c(h w) - D) / c(h)
 * arc:       p(w | h) = (c(h w) - D) / c(h) + f(h) p(w)
 
 so the weights of every state sum to one. A text is traversed once from the start
@@ -17,7 +17,7 @@ not seen it.
 No table of n-grams is sent whole to any task. Documents are dealt into blocks of
 about ``BLOCK_BYTES``; a block asks for its distinct words and bigrams, combined
 before the shuffle, in ranges of the word's or context's hash; each range counts,
-keeps and smooths, and answers every block in the order it asked. Contexts that
+smooths, and answers every block in the order it asked. Contexts that
 hold more than a quarter of a range's share of tokens (at most four per range, so
 their list is bounded) and the start state are dealt by the following word
 instead, and their failure weights summed over the ranges.
@@ -35,7 +35,6 @@ from labelspark.llm import textops as tx
 
 ADD = 0.1  # added to every count at the root
 DISCOUNT = 0.75
-MIN_COUNT = 2  # bigrams seen less often have no arc
 BLOCK_BYTES = 8 << 20
 START = np.uint64(0x51A27B0C5EED0001)
 END = np.uint64(0x0E0D0E0D5EED0002)
@@ -175,7 +174,7 @@ def _ask(frequent: np.ndarray, buckets: int):
 
 
 def _count_pairs(rows: list) -> tuple[list, np.ndarray, np.ndarray]:
-    """Total count (0 if below ``MIN_COUNT``) of every pair of every row; contexts and their discounted sums."""
+    """Total count of every pair of every row (0: never in training); contexts and their discounted sums."""
     if not rows:
         return [], np.zeros(0, np.uint64), np.zeros(0)
     context = np.concatenate([np.repeat(tx.unpack(r["keys"]), tx.unpack(r["runs"]).astype(np.int64)) for r in rows])
@@ -185,7 +184,6 @@ def _count_pairs(rows: list) -> tuple[list, np.ndarray, np.ndarray]:
     c, w = context[order], word[order]
     edge = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
     total = np.add.reduceat(count[order], edge)
-    total[total < MIN_COUNT] = 0
     out = np.empty(len(order), np.int64)
     out[order] = np.repeat(total, np.diff(np.append(edge, len(order))))
     of = c[edge]

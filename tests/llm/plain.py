@@ -101,7 +101,7 @@ def text_counts(text):
             len(w) < 20 or 100 * len(hit) > 30 * len(w))
 
 
-def score(rows, modulus=10, add=0.1, discount=0.75, least=2):
+def score(rows, modulus=10, add=0.1, discount=0.75, least=1):
     """rows: (doc_id, text). (doc_id, held_out, n_tokens, n_known, N, base, score)."""
     end, start = ("end",), ("start",)
     texts = [[*words(t), end] for _, t in rows]

@@ -49,7 +49,7 @@ def test_lm_weights_of_a_state_sum_to_one(odd_pairs):
         ctx.update(t[:-1])
     n, v = sum(one.values()), len(one)
     h = max(ctx, key=ctx.get)
-    kept = {w: c for (a, w), c in two.items() if a == h and c >= lm.MIN_COUNT}
+    kept = {w: c for (a, w), c in two.items() if a == h}
     back = 1 - sum(c - lm.DISCOUNT for c in kept.values()) / ctx[h]
     total = sum((kept[w] - lm.DISCOUNT) / ctx[h] if w in kept else 0 for w in one)
     total += back * (sum((c + lm.ADD) for c in one.values()) + lm.ADD) / (n + lm.ADD * (v + 1))
