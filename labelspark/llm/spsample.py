@@ -46,7 +46,7 @@ RANK_OFFSET = 2.7
 CHUNK = 96 << 10  # bytes of text searched at once
 LONGEST = 64  # bytes of a piece looked up
 LONGEST_WORD = 1024  # bytes of a word's lattice
-KEPT_EDGES = 2_000_000  # edges of word lattices that a worker remembers at a time
+KEPT_EDGES = 2_000_000  # edges of word lattices that a task remembers at a time
 
 
 class Pieces:
@@ -88,9 +88,7 @@ class Pieces:
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        order = sorted(keys)
-        self.keys = np.array(order, np.int64)
-        self.child = np.array([keys[k] for k in order], np.int64)
+        self._place(np.array(list(keys), np.int64), np.array(list(keys.values()), np.int64))
         self.piece = np.array([k for k, _ in at], np.int64)
         self.weight = np.array([w for _, w in at])
         # the first two bytes by one look-up
@@ -102,6 +100,37 @@ class Pieces:
             for c in range(256 if to >= 0 else 0):
                 self.two[(b << 8) | c] = keys.get((to << 8) | c, -1)
 
+    def _place(self, keys: np.ndarray, child: np.ndarray) -> None:
+        """Children by (state, byte) in a table of four times their number, each at its hash or the next free places."""
+        size = 1 << max(4, int(4 * len(keys) - 1).bit_length())
+        self.mask, self.keys, self.child = size - 1, np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        left, at = np.arange(len(keys)), self._hash(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            _, one = np.unique(at[free], return_index=True)  # of several, the first takes the place
+            won = np.flatnonzero(free)[one]
+            self.keys[at[won]], self.child[at[won]] = keys[left[won]], child[left[won]]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, at = left[stay], (at[stay] + 1) & self.mask
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * 0x9E3779B1) >> 13) & self.mask
+
+    def next(self, keys: np.ndarray) -> np.ndarray:
+        """Child of every (state, byte), or -1."""
+        at = self._hash(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.child[at], -1)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.child[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids, without the blank put before a text."""
         return b"".join([self.bytes[k] for k in ids.tolist()])[1:]
@@ -138,10 +167,7 @@ class Lattice:
             elif d == 1:
                 state = pieces.two[(raw[alive].astype(np.int64) << 8) | raw[alive + 1]]
             else:
-                key = (state << 8) | raw[alive + d]
-                k = np.searchsorted(pieces.keys, key)
-                k[k == len(pieces.keys)] = 0
-                state = np.where(pieces.keys[k] == key, pieces.child[k], -1)
+                state = pieces.next((state << 8) | raw[alive + d])
             ok = state >= 0
             state, alive = state[ok], alive[ok]
             hit = pieces.piece[state] >= 0
@@ -239,10 +265,6 @@ class Store:
                          "bytes": base + len(lat.raw), "words": used["words"] + len(new)}
         return self.slot[np.searchsorted(self.keys, hashes)]
 
-    def start_of(self, edge: int) -> int:
-        """The node an edge begins at."""
-        return int(np.searchsorted(self.lo[: self.used["nodes"]], edge, "right")) - 1
-
 
 def _word_noise(seed: np.ndarray, sample: int, word: np.ndarray) -> np.ndarray:
     """Hash of a row's key, a sample and the place of a word in the row."""
@@ -265,12 +287,13 @@ class Search:
         self.lattice, self.word_of, self.first, self.seeds = lattice, word_of, first, seeds
         self.n = len(first) - 1
         self.doc_of = np.repeat(np.arange(self.n), np.diff(first))
-        # siblings passed so far, per sample: value, text, word, edge, log-probability before it
+        # the best siblings passed, per sample: value, text, word, edge, log-probability before it, place in the path
         self.agenda: list[tuple[np.ndarray, ...]] = []
         self.paths: list[tuple[np.ndarray, np.ndarray]] = []  # edges of each sample in (word, step) order
         self.values, self.log_probs, self.came = [], [], []
 
     def run(self, samples: int) -> None:
+        self.samples = samples
         root = -np.log(-np.log(((tx.mix64(self.seeds ^ np.uint64(0x5EED)) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)))
         live = np.arange(self.n)
         self._follow(0, live, root, None)
@@ -285,7 +308,7 @@ class Search:
         value = np.full(self.n, -np.inf)
         at = np.full(self.n, -1)
         source = np.full(self.n, -1)
-        for k, (v, doc, _, _, _) in enumerate(self.agenda):
+        for k, (v, doc, *_) in enumerate(self.agenda):
             if len(v):
                 cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 top = np.maximum.reduceat(v, cut)
@@ -306,13 +329,13 @@ class Search:
         phi = np.zeros(self.n)  # log-probability up to and with the entry's edge
         begin_word = self.first[:-1].copy()
         parent = np.full(self.n, -1)
-        edge_in = np.full(self.n, -1)
+        edge_in, left_at = np.full(self.n, -1), np.zeros(self.n, np.int64)
         if entry is not None:
             source, at = entry
             for d in live.tolist():
                 k, a = int(source[d]), int(at[d])
-                v, _, word, edge, before = self.agenda[k]
-                parent[d], edge_in[d], begin_word[d] = k, edge[a], word[a]
+                v, _, word, edge, before, place = self.agenda[k]
+                parent[d], edge_in[d], begin_word[d], left_at[d] = k, edge[a], word[a], place[a]
                 phi[d] = before[a] + lat.log_q[edge[a]]
                 v[a] = -np.inf
         keep = chosen[self.doc_of] & (np.arange(len(self.doc_of)) >= begin_word[self.doc_of])
@@ -350,7 +373,7 @@ class Search:
             node[lanes] = lat.dst[pick]
             lanes = lanes[~lat.end[node[lanes]]]
         if not taken:
-            self.agenda.append(tuple(np.zeros(0, t) for t in (float, int, int, int, float)))
+            self.agenda.append(self._siblings([], *[None] * 6, 0))
             self.paths.append((np.zeros(0, np.int64), np.zeros(self.n + 1, np.int64)))
         else:
             lane, edge = (np.concatenate([t[k] for t in taken]) for k in range(2))
@@ -362,45 +385,55 @@ class Search:
             cut = np.searchsorted(d, np.arange(self.n + 1))
             offset = np.concatenate([[0.0], total])[cut[:-1]]
             before = total - q - offset[d] + phi[d]
-            if passed:
-                near, sib_edge, gap, raw = (np.concatenate([t[k] for t in passed]) for k in range(4))
-                rank = np.empty(done, np.int64)
-                rank[order] = np.arange(done)
-                rank = rank[near]  # a sibling's log-probability before it is that of the chosen edge
-                order = np.argsort(rank, kind="stable")
-                rank, sib_edge, gap, raw = rank[order], sib_edge[order], gap[order], raw[order]
-                sib_before, sib_doc = before[rank], d[rank]
-                limit = bound[sib_doc]
-                v = limit - (sib_before + raw) + np.log1p(-np.exp(gap))
-                value = limit - np.maximum(v, 0.0) - np.log1p(np.exp(-np.abs(v)))
-                self.agenda.append((value, sib_doc, lane_word[lane[rank]], sib_edge, sib_before))
-            else:
-                self.agenda.append(tuple(np.zeros(0, t) for t in (float, int, int, int, float)))
+            rank = np.empty(done, np.int64)
+            rank[order] = np.arange(done)
+            self.agenda.append(self._siblings(passed, rank, before, d, lane_word[lane], cut, bound, self.samples - sample))
             self.paths.append((edge, cut))
             phi = phi + np.where(np.diff(cut) > 0, np.concatenate([[0.0], total])[cut[1:]] - offset, 0.0)
         self.values.append(np.where(chosen, bound, -np.inf))
         self.log_probs.append(np.where(chosen, phi, -np.inf))
-        self.came.append((parent, begin_word, edge_in))
+        self.came.append((parent, left_at, edge_in))
+
+    def _siblings(self, passed, rank, before, doc, word, cut, bound, wanted: int) -> tuple[np.ndarray, ...]:
+        """The ``wanted`` best siblings of each text's path (no later step takes more), by text.
+
+        A sibling's value falls with ``v``, so only those that stay get a value.
+        """
+        if not passed or wanted < 1:
+            return tuple(np.zeros(0, t) for t in (float, int, int, int, float, int))
+        near, edge, gap, raw = (np.concatenate([t[k] for t in passed]) for k in range(4))
+        near = rank[near]  # a sibling's log-probability before it is that of the chosen edge
+        owner = doc[near]
+        v = np.log1p(-np.exp(gap)) - (before[near] + raw)
+        chosen = []
+        for _ in range(wanted):
+            least = np.full(self.n, np.inf)
+            np.minimum.at(least, owner, v)
+            hit = np.flatnonzero(v == least[owner])
+            hit = hit[np.isfinite(v[hit])]
+            hit = hit[np.unique(owner[hit], return_index=True)[1]]
+            chosen.append((hit, v[hit]))
+            v[hit] = np.inf
+        at, v = (np.concatenate([c[k] for c in chosen]) for k in range(2))
+        order = np.argsort(owner[at], kind="stable")
+        at, v = at[order], v[order]
+        near, owner = near[at], owner[at]
+        limit = bound[owner]
+        v = v + limit
+        value = limit - np.maximum(v, 0.0) - np.log1p(np.exp(-np.abs(v)))
+        return value, owner, word[near], edge[at], before[near], near - cut[owner]
 
     def edges(self, sample: int, d: int) -> np.ndarray:
         """All edges of a sample of a text, from the first word on."""
         path, cut = self.paths[sample]
         own = path[cut[d]: cut[d + 1]]
-        parent, word, edge_in = (x[d] for x in self.came[sample])
+        parent, place, edge_in = (int(x[d]) for x in self.came[sample])
         if parent < 0:
             return own
-        before = self.edges(int(parent), d)
+        _, cut = self.paths[parent]
+        before = self.edges(parent, d)
         # what the path it left had up to the node where the entry's edge begins
-        lat = self.lattice
-        start = lat.start_of(edge_in)
-        words = self._word_index(int(parent), d, before)
-        ahead = (words < word) | ((words == word) & (lat.dst[before] <= start))
-        return np.concatenate([before[ahead], [edge_in], own])
-
-    def _word_index(self, sample: int, d: int, edges: np.ndarray) -> np.ndarray:
-        """Word of the batch that each edge of a path belongs to: a word ends at its last node."""
-        ended = self.lattice.end[self.lattice.dst[edges]]
-        return self.first[d] + np.concatenate([[0], np.cumsum(ended)[:-1]]) if len(edges) else np.zeros(0, np.int64)
+        return np.concatenate([before[: len(before) - int(cut[d + 1] - cut[d]) + place], [edge_in], own])
 
 
 _CHARACTER = np.ones(256, np.int64)  # bytes of a UTF-8 character, by its first one
@@ -502,7 +535,7 @@ def sample_texts(store: Store, data: np.ndarray, offsets: np.ndarray, seeds: np.
 
 
 def worker_store(model: str, alpha: float) -> Store:
-    """The store of this Python worker: tasks that follow each other share the vocabulary and the words."""
+    """The store of this Python worker: tasks that follow each other share the vocabulary."""
     kept = sys.modules.setdefault("_piece_stores", types.ModuleType("_piece_stores"))
     name = f"{model} {alpha}"
     if name not in vars(kept):
@@ -544,6 +577,8 @@ def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(i + text)), pa.array(sample.astype(np.int32)), pa.array(np.diff(cut)), pa.array(log_prob),
                      pa.array(value), pa.array(inclusion), pa.array(same), lists], out.names)
+        worker_store(model, alpha).clear()  # of a worker that waits only the vocabulary stays
+        tx.give_back()
 
     return narrow.mapInArrow(run, out)
 

@@ -7,6 +7,7 @@ A word or shingle is identified by a 64-bit hash.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,6 +212,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system, where the C library can: workers are
+    kept for later tasks, beside which it would count."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 BINARY, LONG, INT = T.BinaryType(), T.LongType(), T.IntegerType()
 
 
