@@ -46,7 +46,7 @@ RANK_OFFSET = 2.7
 CHUNK = 96 << 10  # bytes of text searched at once
 LONGEST = 64  # bytes of a piece looked up
 LONGEST_WORD = 1024  # bytes of a word's lattice
-KEPT_EDGES = 2_000_000  # edges of word lattices that a task remembers at a time
+KEPT_EDGES = 4_000_000  # edges of word lattices that a task remembers at a time
 
 
 class Pieces:
