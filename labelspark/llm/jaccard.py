@@ -70,7 +70,7 @@ def document_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())],
                 ["doc_id", "n_shingles", "fp"])
 
-    return narrow.mapInArrow(run, out)
+    return narrow.mapInArrow(tx.tidy(run), out)
 
 
 POSTINGS = tx.schema(bucket=tx.INT, block=tx.BINARY, hashes=tx.BINARY, owner=tx.BINARY, extra=tx.BINARY)
@@ -177,7 +177,7 @@ def candidate_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The distinct sets that can have a partner: fp, n, weight (mean log frequency),
     shared shingles, prefix entries in order and the positions skipped before them."""
     buckets = tx.bucket_count(docs)
-    posted = docs.select(F.col(text).alias("text")).mapInArrow(_postings(buckets), POSTINGS)
+    posted = docs.select(F.col(text).alias("text")).mapInArrow(tx.tidy(_postings(buckets)), POSTINGS)
     told = posted.groupBy("bucket").applyInArrow(
         _count_bucket, tx.schema(block=tx.BINARY, hashes=tx.BINARY, owner=tx.BINARY, extra=tx.BINARY))
     return told.groupBy("block").applyInArrow(_prefixes, SETS).dropDuplicates(["fp"])

@@ -208,7 +208,7 @@ def predict(docs: DataFrame, references: dict[str, bytes], text: str = "text", k
                 [*batch.columns[:len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
 
-    told = narrow.mapInArrow(run, out)
+    told = narrow.mapInArrow(tx.tidy(run), out)
     return told.toDF(*keep, *names)
 
 

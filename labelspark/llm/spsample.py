@@ -185,12 +185,12 @@ class Lattice:
         for s, t in zip(src, dst):
             have[s[t - s == first_of[s]]] = True
         bare = ~have[node[chars]]
-        src.append(node[chars[bare]])
-        dst.append(node[chars[bare]] + length[bare])
-        piece.append(-1 - chars[bare])  # minus the place of the character, less one
-        weight.append(length[bare] * pieces.byte_weight)
+        src.insert(0, node[chars[bare]])
+        dst.insert(0, node[chars[bare]] + length[bare])
+        piece.insert(0, -1 - chars[bare])  # minus the place of the character, less one
+        weight.insert(0, length[bare] * pieces.byte_weight)
         src, dst, piece, weight = (np.concatenate(x) for x in (src, dst, piece, weight))
-        order = np.lexsort((dst, src))
+        order = np.argsort(src, kind="stable")  # edges came by length, so those of a node stay in order
         self.dst, self.piece, self.raw = dst[order], piece[order], raw
         nodes = len(raw) + len(starts)
         self.edge = np.searchsorted(src[order], np.arange(nodes + 1))
@@ -578,9 +578,8 @@ def encode_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     [batch.column(0).take(pa.array(i + text)), pa.array(sample.astype(np.int32)), pa.array(np.diff(cut)), pa.array(log_prob),
                      pa.array(value), pa.array(inclusion), pa.array(same), lists], out.names)
         worker_store(model, alpha).clear()  # of a worker that waits only the vocabulary stays
-        tx.give_back()
 
-    return narrow.mapInArrow(run, out)
+    return narrow.mapInArrow(tx.tidy(run), out)
 
 
 def decode_ids(frame: DataFrame, ids: str = "ids", model: str = MODEL, into: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 2 << 20  # texts are worked on in runs of about this many bytes
+CHUNK_BYTES = 1 << 20  # texts are worked on in runs of about this many bytes
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -222,6 +222,15 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(run):
+    """The ``mapInArrow`` function ``run``, giving memory back when a task is done."""
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 BINARY, LONG, INT = T.BinaryType(), T.LongType(), T.IntegerType()
 
 
