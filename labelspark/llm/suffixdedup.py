@@ -459,10 +459,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = tx.bucket_count(docs)
     every = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(blocks)))
     dealt = every.select("doc_id", "text", "tie", "block")
-    states = tx.settle(dealt.groupBy("block").applyInArrow(_anchor_counts(buckets, length, gram), COUNT)
+    states = tx.settle(dealt.groupBy("block").applyInArrow(tx.tidy_group(_anchor_counts(buckets, length, gram)), COUNT)
                        .groupBy("bucket").applyInArrow(_anchor_states(frequent), STATE), "repeats-anchors")
     sent = dealt.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(_send(buckets, length, gram), SENT)
-    gone = tx.settle(sent.groupBy("bucket").applyInArrow(_find_repeats(length), GONE), "repeats-windows")
+    gone = tx.settle(sent.groupBy("bucket").applyInArrow(tx.tidy_group(_find_repeats(length)), GONE), "repeats-windows")
     blank = F.lit(None).cast("binary")
     answers = states.select("block", "bucket", "state", blank.alias("item"), blank.alias("lo"), blank.alias("hi")).unionByName(
         gone.select("block", "bucket", blank.alias("state"), "item", "lo", "hi"))

@@ -231,6 +231,16 @@ def tidy(run):
     return whole
 
 
+def tidy_group(run):
+    """``tidy`` for a function of one group (``applyInArrow``)."""
+    def whole(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return whole
+
+
 BINARY, LONG, INT = T.BinaryType(), T.LongType(), T.IntegerType()
 
 
