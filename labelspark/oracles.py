@@ -399,6 +399,39 @@ _ICM["icm"] = """SELECT avg(2 * ic_g.ic + 2 * ic_p.ic - 3 * ic_u.ic) AS icm
 FROM ic_g JOIN ic_p USING (doc_id) JOIN ic_u USING (doc_id)"""
 oracle("icm_score", with_fx(EV_FX, "SELECT round(icm, 6) AS icm FROM icm", _ICM))
 
+# ICM over declared trees: closure by recursion, information content by closure rows
+_TREE = dict(_PL)
+_TREE["declared"] = """SELECT tree, label, CASE WHEN i = 0 THEN NULL WHEN tree = 'scheme' THEN 'YES'
+    WHEN label LIKE '%VIOLENCE%' THEN 'VIOLENCE' ELSE 'ATTITUDE' END AS parent
+  FROM names, (VALUES ('scheme'), ('grouped')) t(tree)
+  UNION ALL SELECT * FROM (VALUES ('scheme', 'YES', NULL), ('grouped', 'YES', NULL),
+    ('grouped', 'VIOLENCE', 'YES'), ('grouped', 'ATTITUDE', 'YES')) v(tree, label, parent)"""
+_TREE["clo"] = """SELECT tree, label, label AS node FROM declared
+  UNION ALL SELECT tree, label, parent FROM declared WHERE parent IS NOT NULL
+  UNION ALL SELECT a.tree, a.label, b.parent FROM declared a JOIN declared b ON a.tree = b.tree AND a.parent = b.label
+    WHERE b.parent IS NOT NULL"""
+_TREE["has"] = """SELECT tree, doc_id, node, max(g) AS g, max(p) AS p, max(greatest(g, p)) AS u
+  FROM lab JOIN names ON lab.i = names.i JOIN clo USING (label) GROUP BY tree, doc_id, node"""
+_TREE["tp"] = """SELECT d.tree, d.label AS node, d.parent, CAST(coalesce(sum(h.g), 0) AS BIGINT) AS g,
+    (SELECT count(*) FROM ev) AS n_rows FROM declared d LEFT JOIN has h ON d.tree = h.tree AND d.label = h.node
+  GROUP BY d.tree, d.label, d.parent"""
+_TREE["ti"] = "SELECT *, g / n_rows + 1 / n_rows AS prior, -log2(g / n_rows + 1 / n_rows) AS ic FROM tp"
+_TREE["td"] = """SELECT a.*, a.ic - coalesce(b.ic, 0) AS delta
+  FROM ti a LEFT JOIN ti b ON a.tree = b.tree AND a.parent = b.node"""
+_TREE["tset"] = """SELECT e.tree, e.doc_id, coalesce(sum(g * delta), 0) AS ic_g, coalesce(sum(p * delta), 0) AS ic_p,
+    coalesce(sum(u * delta), 0) AS ic_u
+  FROM (SELECT doc_id, tree FROM ev, (VALUES ('scheme'), ('grouped')) t(tree)) e
+  LEFT JOIN (SELECT has.*, td.delta FROM has JOIN td USING (tree, node)) h ON e.tree = h.tree AND e.doc_id = h.doc_id
+  GROUP BY e.tree, e.doc_id"""
+oracle("tree_priors", with_fx(EV_FX, """
+SELECT node, parent, CAST(g AS BIGINT) AS g, n_rows, round(prior, 6) AS prior, round(ic, 6) AS ic, round(delta, 6) AS delta
+FROM td WHERE tree = 'grouped'""", _TREE))
+oracle("tree_set_ic", with_fx(EV_FX, """
+SELECT doc_id, round(ic_g, 6) AS ic_gold, round(ic_p, 6) AS ic_pred FROM tset WHERE tree = 'grouped'""", _TREE))
+oracle("tree_icm", with_fx(EV_FX, """
+SELECT tree, 'gold' AS prediction, round(avg(ic_g), 6) AS icm FROM tset GROUP BY tree
+UNION ALL SELECT tree, 'predicted', round(avg(2 * ic_g + 2 * ic_p - 3 * ic_u), 6) FROM tset GROUP BY tree""", _TREE))
+
 # baselines: the same set IC over constant prediction vectors
 _BASE = dict(_ICM)
 _BASE["ic_gold_u"] = _set_ic_cte("g")
@@ -674,3 +707,6 @@ fin AS (SELECT run_id, arg_max(best, k) AS best, arg_max(best_step, k) AS best_s
 SELECT fin.run_id, n.n_checks, fin.best_step, round(fin.best, 6) AS best_score,
   fin.stop_step, fin.stopped
 FROM fin JOIN (SELECT run_id, count(*) AS n_checks FROM c GROUP BY run_id) n USING (run_id)""")
+
+# decided on the growing log: the rule itself does not change
+oracle("live_early_stop", ORACLES["early_stop"])

@@ -20,6 +20,7 @@ from labelspark.functions.arrays import join_ints, parse_int_list
 from labelspark.functions.losses import focal_bce, focal_ce
 from labelspark.functions.text import clean_text, normalise_id
 from labelspark.operators import consensus as cons
+from labelspark.operators import hierarchy as H
 from labelspark.operators import metrics as M
 from labelspark.operators import posts as posts_ops
 from labelspark.operators import reports as R
@@ -35,6 +36,7 @@ from labelspark.session import checkpoint_dir
 from labelspark.sources import annotated as A
 from labelspark.sources import steps
 from labelspark.streaming.scoring import LengthScorer, score, stream_scoring, with_predictions
+from labelspark.streaming.stopping import live_decisions, live_early_stop
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -347,6 +349,44 @@ def q_icm_score(spark, sf):
     return M.icm(_eval(spark, sf)).select(r6("icm").alias("icm"))
 
 
+# the scheme's own tree, and one in which the categories under YES are grouped once more
+SCHEME_TREE = H.LabelTree({"YES": None, **{n: None if i == 0 else "YES" for i, n in enumerate(DEFAULT_SCHEME.level2)}})
+GROUPED_TREE = H.LabelTree({
+    "YES": None, "VIOLENCE": "YES", "ATTITUDE": "YES",
+    **{n: None if i == 0 else "VIOLENCE" if "VIOLENCE" in n else "ATTITUDE" for i, n in enumerate(DEFAULT_SCHEME.level2)}})
+
+
+def _named_eval(spark, sf):
+    """Evaluation rows with gold and predicted labels as lists of names."""
+    def names(vector):
+        return F.array_compact(F.array(*[F.when(F.element_at(vector, i + 1) == 1, F.lit(n))
+                                         for i, n in enumerate(DEFAULT_SCHEME.level2)]))
+    return _eval(spark, sf).select("doc_id", names("y_cat").alias("gold"), names("pred_category").alias("predicted"))
+
+
+@query("tree_priors")
+def q_tree_priors(spark, sf):
+    return H.tree_priors(_named_eval(spark, sf), GROUPED_TREE, "gold").select(
+        "node", "parent", "g", "n_rows", r6("prior").alias("prior"), r6("ic").alias("ic"), r6("delta").alias("delta"))
+
+
+@query("tree_set_ic")
+def q_tree_set_ic(spark, sf):
+    ev = _named_eval(spark, sf)
+    rows = ev.withColumn("_d", H.deltas(H.tree_priors(ev, GROUPED_TREE, "gold")))
+    return rows.select("doc_id", r6(H.tree_ic("gold", GROUPED_TREE, F.col("_d"))).alias("ic_gold"),
+                       r6(H.tree_ic("predicted", GROUPED_TREE, F.col("_d"))).alias("ic_pred"))
+
+
+@query("tree_icm")
+def q_tree_icm(spark, sf):
+    ev = _named_eval(spark, sf)
+    each = [H.tree_icm(ev, tree, "gold", {"gold": "gold", "predicted": "predicted"}).select(
+        F.lit(name).alias("tree"), "prediction", r6("icm").alias("icm"))
+        for name, tree in (("scheme", SCHEME_TREE), ("grouped", GROUPED_TREE))]
+    return each[0].unionByName(each[1])
+
+
 @query("icm_baselines")
 def q_icm_baselines(spark, sf):
     return M.icm_baselines(_eval(spark, sf)).withColumn("icm", r6("icm"))
@@ -706,6 +746,17 @@ def q_early_stop(spark, sf):
     return out.withColumn("best_score", r6("best_score"))
 
 
+@query("live_early_stop")
+def q_live_early_stop(spark, sf):
+    """The logs arrive in three parts; after each the stream goes on from its checkpoint."""
+    log, base = _metric_log(spark, sf).select("run_id", "step", "val_loss"), _folder(spark, "live")
+    for part in (F.col("step") < 200, F.col("step").between(200, 399), F.col("step") >= 400):
+        log.where(part).write.mode("append").parquet(f"{base}/log")
+        live_early_stop(spark, f"{base}/log", log.schema, f"{base}/sink", f"{base}/ckpt")
+    out = live_decisions(spark, f"{base}/sink")
+    return out.select("run_id", "n_checks", "best_step", r6("best_score").alias("best_score"), "stop_step", "stopped")
+
+
 def _two_head(spark, sf):
     train, _ = _prepared(spark, sf)
     return TR.train_two_head(train, "doc_id", num_features=1 << 14, max_iter=60)
