@@ -21,8 +21,11 @@ answers, ``|y & z| = |x| - |x - y| - |x - z| + <y, z>``, where ``<y, z>`` counts
 the differences from x that y and z have in common (all over shared shingles;
 those of one set alone meet nothing), so only differences are sent
 and compared, in blocks of bounded size. Lists whose sets follow one leader are
-skipped whole; from the others only pairs across leaders that pass the size and
-position bounds are verified one by one.
+skipped whole. The others are cut into blocks of bounded size, blocks whose sizes
+are in reach meet in one task, and of the pairs across leaders that pass the size
+and position bounds only those go on to the exact comparison whose parity bitmaps
+allow a link: two sets differ in at least as many shingles as their bitmaps differ
+in bits, so no link is lost and hardly any other pair is emitted.
 
 Results are exact up to 64-bit shingle hashes (128 bits for whole sets).
 """
@@ -43,6 +46,9 @@ from labelspark.llm.components import connected
 NUM, DEN = 80, 100
 FLUSH = 2_000_000  # shingles per posting block
 FOLLOWERS = 1_000  # followers of one leader compared in one task, per side
+ACROSS = 1_000  # entries of one list compared in one task, per side
+REACH = 1.26  # sizes of linked sets lie in one or in neighbouring classes of this ratio (above DEN / NUM)
+BITMAP = 1 << 16  # most bits of a set's parity bitmap
 EMPTY = b""
 
 
@@ -75,7 +81,19 @@ def document_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 POSTINGS = tx.schema(bucket=tx.INT, block=tx.BINARY, hashes=tx.BINARY, owner=tx.BINARY, extra=tx.BINARY)
 SETS = tx.schema(fp=tx.BINARY, n=tx.LONG, weight=T.DoubleType(), shared=tx.BINARY,
-                 prefix=T.ArrayType(tx.LONG), skipped=tx.LONG)
+                 prefix=T.ArrayType(tx.LONG), skipped=tx.LONG, parity=tx.BINARY)
+
+
+def _parity(h: np.ndarray, n: int) -> bytes:
+    """Bitmap of the parity of the shingles at each bit: n to 2 n bits, 64 at least, ``BITMAP`` at most."""
+    bits = min(max(64, 1 << (n - 1).bit_length()), BITMAP)
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(parity: bytes, size: int) -> np.ndarray:
+    """The bitmap of ``size`` bytes that ``parity`` (as long or longer) is a refinement of, as words."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def _postings(buckets: int):
@@ -167,15 +185,15 @@ def _prefixes(table: pa.Table) -> pa.Table:
             if own < length and len(h):
                 rare = np.lexsort((h, t))[: length - own]
                 out.append((prints[16 * k: 16 * k + 16], n, float(np.log(t).sum() / n), tx.pack(h),
-                            tx.signed(h[rare]).tolist(), own))
-    cols = list(zip(*out)) or [()] * 6
-    types = [pa.binary(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+                            tx.signed(h[rare]).tolist(), own, _parity(h, n)))
+    cols = list(zip(*out)) or [()] * 7
+    types = [pa.binary(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=SETS.names)
 
 
 def candidate_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The distinct sets that can have a partner: fp, n, weight (mean log frequency),
-    shared shingles, prefix entries in order and the positions skipped before them."""
+    shared shingles, prefix entries in order, the positions skipped before them and the parity bitmap."""
     buckets = tx.bucket_count(docs)
     posted = docs.select(F.col(text).alias("text")).mapInArrow(tx.tidy(_postings(buckets)), POSTINGS)
     told = posted.groupBy("bucket").applyInArrow(
@@ -275,25 +293,67 @@ def _compare_followers(table: pa.Table) -> pa.Table:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one list that follow different leaders and pass the size and position bounds.
+    """Pairs of two blocks (or within one) of a list that follow different leaders and may be linked.
 
-    Entries are ordered by size; from each entry only the block of sizes in reach
-    is looked at, and positions that leave too few shingles are passed over.
+    Entries are ordered by size; from each entry only the sizes in reach are looked
+    at, positions that leave too few shingles are passed over, and so are sets whose
+    bitmaps differ in more bits than linked sets can. ``skipped`` shingles are a
+    set's own, so they are differences too.
     """
-    fp, lead = table["fp"].to_pylist(), table["leader"].to_pylist()
-    n, pos = (np.array(table[k].to_pylist(), np.int64) for k in ("n", "pos"))
+    fp, lead, parity = (table[k].to_pylist() for k in ("fp", "leader", "parity"))
+    n, pos, own, side = (np.array(table[k].to_pylist(), np.int64) for k in ("n", "pos", "skipped", "side"))
     code = np.unique(lead, return_inverse=True)[1]
     order = np.argsort(n, kind="stable")
-    n, pos, code = n[order], pos[order], code[order]
-    left, right = [], []
+    n, pos, own, side, code = n[order], pos[order], own[order], side[order], code[order]
+    parity = [parity[k] for k in order]
+    size = np.array([len(x) for x in parity])  # ascends as n does
+    left, right, level = [], [], 0
     for i in range(len(order)):
-        end = np.searchsorted(n, n[i] * DEN // NUM, "right")
-        j = np.arange(i + 1, end)
+        if size[i] != level:  # sizes in reach have this many bytes or twice as many
+            level = int(size[i])
+            last = int(np.searchsorted(size, 2 * level, "right"))
+            maps = np.stack([_folded(x, level) for x in parity[i:last]])
+            base = i
+        j = np.arange(i + 1, np.searchsorted(n, n[i] * DEN // NUM, "right"))
         most = np.minimum(n[i] - pos[i], n[j] - pos[j])
-        j = j[(code[j] != code[i]) & linked(most, n[i], n[j])]
-        left += [min(fp[order[i]], fp[order[k]]) for k in j]
-        right += [max(fp[order[i]], fp[order[k]]) for k in j]
-    return pa.table([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+        j = j[(code[j] != code[i]) & ((side[j] == 2) | (side[j] != side[i])) & linked(most, n[i], n[j])]
+        if len(j):
+            apart = np.bitwise_count(maps[j - base] ^ maps[i - base]).sum(axis=1, dtype=np.int64) + own[i] + own[j]
+            j = j[linked((n[i] + n[j] - apart) // 2, n[i], n[j])]
+            left.append(np.full(len(j), order[i]))
+            right.append(order[j])
+    names = pa.array(fp, pa.binary())
+    some = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    rank = np.argsort(np.argsort(np.array([x.hex() for x in fp])))
+    turned = rank[some[0]] > rank[some[1]]
+    return pa.table([names.take(pa.array(np.where(turned, some[1], some[0]))),
+                     names.take(pa.array(np.where(turned, some[0], some[1])))], names=["a", "b"])
+
+
+def _blocks_of_lists(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """The entries of ``lists`` (shingle, size) once for each pair of blocks they are compared in: ``i`` and ``j``
+    name the blocks, ``side`` is 0 or 1 (2: within one block).
+
+    A list of up to ``ACROSS`` entries is one block. A longer one is cut by size class
+    (ratio ``REACH``) and a hash of the set; a block meets those of its own and the
+    neighbouring classes.
+    """
+    entries = entries.join(lists, "shingle")
+    one = F.lit("")
+    short = entries.where(f"size <= {ACROSS}").select("*", one.alias("i"), one.alias("j"), F.lit(2).alias("side"))
+    long = entries.where(f"size > {ACROSS}").withColumn("class", F.floor(F.ln("n") / F.lit(np.log(REACH))).cast("int"))
+    counts = long.groupBy("shingle", "class").agg(F.ceil(F.count("*") / F.lit(ACROSS)).cast("int").alias("cuts"))
+    cuts = counts.groupBy("shingle").agg(F.map_from_entries(F.collect_list(F.struct("class", "cuts"))).alias("cuts"))
+    placed = (long.join(cuts, "shingle")
+              .withColumn("cut", F.expr("CAST(pmod(xxhash64(fp), cuts[class]) AS INT)")))
+    met = F.expr("""flatten(transform(array(class - 1, class, class + 1), c ->
+        transform(sequence(0, coalesce(cuts[c], 0)), k -> struct(c AS class, k AS cut))))""")
+    placed = placed.withColumn("other", F.explode(met)).where("other.cut < cuts[other.class]")
+    here, there = F.struct("class", "cut"), F.col("other")
+    name = lambda x: F.concat_ws(".", x["class"], x["cut"])
+    long = placed.select(*short.columns[:-3], name(F.least(here, there)).alias("i"), name(F.greatest(here, there)).alias("j"),
+                         F.when(here == there, 2).when(here < there, 0).otherwise(1).alias("side"))
+    return short.unionByName(long)
 
 
 def _verify(batches):
@@ -312,8 +372,8 @@ def link_sets(sets: DataFrame, copies: DataFrame) -> DataFrame:
     """For every set with links: fp, links (documents of other sets it links to) and ``near``,
     the smallest set of its linked group in one place; a row per place. ``copies``: fp, mult."""
     sets = tx.settle(sets.join(copies, "fp"), "jaccard-sets")
-    entries = sets.select("fp", "n", "weight", F.posexplode("prefix").alias("at", "shingle"),
-                          "skipped").select("shingle", "fp", "n", "weight", (F.col("at") + F.col("skipped")).alias("pos"))
+    entries = (sets.select("fp", "n", "weight", F.posexplode("prefix").alias("at", "shingle"), "skipped", "parity")
+               .select("shingle", "fp", "n", "weight", (F.col("at") + F.col("skipped")).alias("pos"), "skipped", "parity"))
     lists = (entries.groupBy("shingle").agg(F.max(F.struct("weight", "fp")).alias("lead"), F.count("*").alias("size"))
              .where("size > 1"))
     following = tx.settle(entries.join(lists, "shingle").groupBy("fp").agg(F.max("lead.weight").alias("w"), F.max("lead").alias("lead"))
@@ -336,9 +396,10 @@ def link_sets(sets: DataFrame, copies: DataFrame) -> DataFrame:
 
     # lists whose sets follow several leaders
     mixed = entries.join(following, "fp")
-    several = mixed.groupBy("shingle").agg(F.min("leader").alias("a"), F.max("leader").alias("b")).where("a <> b")
-    pairs = (mixed.join(several.select("shingle"), "shingle", "left_semi").select("shingle", "fp", "leader", "n", "pos")
-             .groupBy("shingle").applyInArrow(_across, tx.schema(a=tx.BINARY, b=tx.BINARY)).distinct())
+    several = (mixed.groupBy("shingle").agg(F.min("leader").alias("a"), F.max("leader").alias("b"), F.count("*").alias("size"))
+               .where("a <> b").select("shingle", "size"))
+    pairs = (_blocks_of_lists(mixed.select("shingle", "fp", "leader", "n", "pos", "skipped", "parity"), several)
+             .groupBy("shingle", "i", "j").applyInArrow(_across, tx.schema(a=tx.BINARY, b=tx.BINARY)).distinct())
     one = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"), F.col("mult").alias("m_a"))
     two = sets.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"), F.col("mult").alias("m_b"))
     outside = (pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b", "m_a", "m_b")

@@ -67,6 +67,69 @@ def test_near_duplicates_match_plain(odd, odd_pairs, monkeypatch):
     same(jaccard.near_duplicates(odd).collect(), plain.near_duplicates(odd_pairs))
 
 
+@pytest.mark.parametrize("across", [1, 7, 1_000])
+def test_mixed_lists_lose_no_link(spark, monkeypatch, across):
+    """Groups around several centres that share a frequent passage: lists with many leaders, cut or whole."""
+    rng, rows = random.Random(5), []
+    passage = [f"p{k}" for k in range(40)]
+    for group in range(6):
+        base = passage + [f"g{group % 3}w{k}" for k in range(30 + 4 * group)]
+        for _ in range(9):
+            words = list(base)
+            for k in rng.sample(range(40, len(words)), rng.randrange(3)):
+                words[k] = f"x{rng.randrange(4)}"
+            rows.append((len(rows), " ".join(words[: len(words) - rng.randrange(6)])))
+    monkeypatch.setattr(jaccard, "ACROSS", across)
+    monkeypatch.setattr(jaccard, "FOLLOWERS", 4)
+    want = plain.near_duplicates(rows)
+    assert len({r[2] for r in want}) < len(rows) and max(r[3] for r in want) > 9
+    same(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want)
+
+
+def _list_entries(sets, leaders):
+    return pa.table({"fp": pa.array([k.to_bytes(16, "big") for k in range(len(sets))]), "leader": pa.array(leaders, pa.binary()),
+                     "n": [len(s) for s in sets], "pos": [0] * len(sets), "skipped": [0] * len(sets),
+                     "parity": pa.array([jaccard._parity(s, len(s)) for s in sets], pa.binary()), "side": [2] * len(sets)})
+
+
+def test_bitmaps_pass_every_link_and_little_else():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 3, 60, 64, 65, 500, 530, 50_000):  # bitmaps of 8 to 8,192 bytes
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for change in (0, n // 20, n // 8, n):
+            fresh = rng.integers(0, 1 << 63, change).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[change:], fresh, fresh[: n // 10] + np.uint64(1)])))
+    found = jaccard._across(_list_entries(sets, [bytes([k]) for k in range(len(sets))]))
+    got = {(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(*(c.to_pylist() for c in found.columns))}
+    common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j)}
+    links = {(i, j) for (i, j), c in common.items() if jaccard.linked(c, len(sets[i]), len(sets[j]))}
+    assert links <= got
+    assert all(common[p] for p in got if len(sets[p[0]]) > 3)
+
+
+def test_a_block_of_different_sets_emits_nothing():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(jaccard.ACROSS)]
+    assert jaccard._across(_list_entries(sets, [k.to_bytes(4, "big") for k in range(len(sets))])).num_rows == 0
+
+
+def test_long_lists_meet_in_bounded_blocks(spark, monkeypatch):
+    """Every pair of one list whose sizes are in reach meets once; a block has few entries, whatever the list's length."""
+    monkeypatch.setattr(jaccard, "ACROSS", 50)
+    rows = [(7, k.to_bytes(16, "big"), 40 + k % 30) for k in range(600)]
+    entries = spark.createDataFrame(rows, "shingle long, fp binary, n long")
+    lists = spark.createDataFrame([(7, 600)], "shingle long, size long")
+    blocks = {}
+    for r in jaccard._blocks_of_lists(entries, lists).collect():
+        blocks.setdefault((r.i, r.j), []).append((int.from_bytes(r.fp, "big"), r.side))
+    met = [(min(a, b), max(a, b)) for members in blocks.values() for x, (a, s) in enumerate(members)
+           for b, t in members[:x] if s == 2 or s != t]
+    assert len(met) == len(set(met)) and max(map(len, blocks.values())) < 4 * 50
+    near = {(a, b) for b in range(600) for a in range(b) if max(rows[a][2], rows[b][2]) * 80 <= min(rows[a][2], rows[b][2]) * 100}
+    assert near <= set(met)
+
+
 def test_keep_one_keeps_the_smallest_of_each_group(odd, odd_pairs):
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
