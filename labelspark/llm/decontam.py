@@ -216,7 +216,12 @@ def _matcher(spark: SparkSession, block: list, item_type: pa.DataType):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                       item_text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain none of the items (see ``contained_items``)."""
+    """The rows of ``docs``, all columns, that contain none of the items (see ``contained_items``).
+
+    Null and empty texts contain nothing and stay; null, empty and word-less items
+    are in no text. Repeated rows stay or go together; repeated items count as
+    one. Without items every row stays; an empty table gives an empty result.
+    """
     spark, place = docs.sparkSession, docs.columns.index(text)
     names = [f"c{i}" for i in range(len(docs.columns))]
     left = docs.toDF(*names)

@@ -33,8 +33,6 @@ from labelspark.llm import textops as tx
 TOTAL = 10 ** 24  # mass of the scores: 10^12 a host at 10^12 hosts, and room for weights up to 10^13
 SEED = 10 ** 12  # resolution of a seed's weight
 SCORE = "decimal(38,0)"
-MASS = 10 ** 12  # mass of the oracle's scores
-SHARE = 10 ** 6  # resolution of an edge's share and of a seed's weight in the oracle
 DAMPING = 85  # hundredths
 ROUNDS = 10
 MIN_DISTRUST = 1
@@ -166,7 +164,7 @@ def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str
 
 
 def oracle(rules=RULES, rounds: int = ROUNDS) -> str:
-    """The same computation as chained DuckDB queries."""
+    """The same computation, in whole numbers of as many digits, as chained DuckDB queries."""
     low = f"'{_UPPER}', '{_UPPER.lower()}'"
     cases = {k: "CASE " + " ".join(
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{v(r)}'"
@@ -185,21 +183,22 @@ steps AS (SELECT DISTINCT array_to_string(l[i:], '.') AS a, array_to_string(l[i
           FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM (SELECT string_split(host, '.') AS l FROM hosts))),
 edges AS MATERIALIZED (SELECT src, dst, sum(weight)::BIGINT AS weight FROM
   (FROM links UNION ALL SELECT a, b, 1 FROM steps UNION ALL SELECT b, a, 1 FROM steps) GROUP BY src, dst),
-weights AS MATERIALIZED (SELECT host, coalesce({SHARE} * allowed // pages, 0) AS wt, coalesce({SHARE} * blocked // pages, 0) AS wd
+weights AS MATERIALIZED (SELECT host, coalesce({SEED}::HUGEINT * allowed // pages, 0) AS wt, coalesce({SEED}::HUGEINT * blocked // pages, 0) AS wd
   FROM (SELECT host FROM hosts UNION SELECT src FROM edges) LEFT JOIN per_host USING (host)),
-total AS (SELECT greatest(coalesce(sum(wt), 0), 1)::BIGINT AS wt, greatest(coalesce(sum(wd), 0), 1)::BIGINT AS wd, greatest(count(*), 1) AS n FROM weights),
-r0 AS MATERIALIZED (SELECT host, w.wt * ({MASS} // t.wt) AS t0, w.wd * ({MASS} // t.wd) AS d0,
-  w.wt * ({MASS} // t.wt) AS trust, w.wd * ({MASS} // t.wd) AS distrust FROM weights w, total t),
-fwd AS (SELECT src AS u, dst AS v, ({SHARE} * weight // sum(weight) OVER (PARTITION BY src))::BIGINT AS ts, 0 AS ds FROM edges),
-bwd AS (SELECT dst AS u, src AS v, 0 AS ts, ({SHARE} * weight // sum(weight) OVER (PARTITION BY dst))::BIGINT AS ds FROM edges),
-flow AS MATERIALIZED (SELECT u, v, sum(ts)::BIGINT AS ts, sum(ds)::BIGINT AS ds FROM (FROM fwd UNION ALL FROM bwd) GROUP BY u, v)"""
+total AS (SELECT greatest(coalesce(sum(wt), 0), 1)::HUGEINT AS wt, greatest(coalesce(sum(wd), 0), 1)::HUGEINT AS wd, greatest(count(*), 1)::HUGEINT AS n FROM weights),
+r0 AS MATERIALIZED (SELECT host, w.wt * {TOTAL}::HUGEINT // t.wt AS t0, w.wd * {TOTAL}::HUGEINT // t.wd AS d0,
+  w.wt * {TOTAL}::HUGEINT // t.wt AS trust, w.wd * {TOTAL}::HUGEINT // t.wd AS distrust FROM weights w, total t),
+fwd AS (SELECT src AS u, dst AS v, weight AS tw, sum(weight) OVER (PARTITION BY src) AS tt, 0 AS dw, 1 AS dt FROM edges),
+bwd AS (SELECT dst AS u, src AS v, 0 AS tw, 1 AS tt, weight AS dw, sum(weight) OVER (PARTITION BY dst) AS dt FROM edges),
+flow AS MATERIALIZED (SELECT u, v, sum(tw)::HUGEINT AS tw, max(tt)::HUGEINT AS tt, sum(dw)::HUGEINT AS dw, max(dt)::HUGEINT AS dt
+  FROM (FROM fwd UNION ALL FROM bwd) GROUP BY u, v)"""
     for k in range(1, rounds + 1):
         sql += f""",
-r{k} AS MATERIALIZED (SELECT n.host, t0, d0, (({100 - DAMPING} * t0 + {DAMPING} * coalesce(t, 0)) // 100)::BIGINT AS trust,
-  (({100 - DAMPING} * d0 + {DAMPING} * coalesce(d, 0)) // 100)::BIGINT AS distrust FROM r{k - 1} n LEFT JOIN
-  (SELECT v AS host, sum(trust * ts // {SHARE}) AS t, sum(distrust * ds // {SHARE}) AS d FROM r{k - 1} r JOIN flow ON flow.u = r.host GROUP BY v) i ON i.host = n.host)"""
+r{k} AS MATERIALIZED (SELECT n.host, t0, d0, ({100 - DAMPING} * t0 + {DAMPING} * coalesce(t, 0)) // 100 AS trust,
+  ({100 - DAMPING} * d0 + {DAMPING} * coalesce(d, 0)) // 100 AS distrust FROM r{k - 1} n LEFT JOIN
+  (SELECT v AS host, sum(trust * tw // tt)::HUGEINT AS t, sum(distrust * dw // dt)::HUGEINT AS d FROM r{k - 1} r JOIN flow ON flow.u = r.host GROUP BY v) i ON i.host = n.host)"""
     return sql + f""",
-bad AS (SELECT host FROM r{rounds}, total WHERE distrust >= {MIN_DISTRUST} * {MASS} // total.n AND distrust >= {RATIO} * trust)
+bad AS (SELECT host FROM r{rounds}, total WHERE distrust >= {MIN_DISTRUST * TOTAL}::HUGEINT // total.n AND distrust >= {RATIO} * trust)
 SELECT page_id, ruled.host, path, rule, coalesce(ruled, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM ruled LEFT JOIN bad ON bad.host = ruled.host
 """

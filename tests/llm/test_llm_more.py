@@ -52,7 +52,7 @@ def test_url_rules_longest_wins(spark):
 
 
 def test_trust_and_distrust_follow_links(spark):
-    s = urlgraph.SHARE
+    s = 10 ** 6
     edges = spark.createDataFrame([("good", "friend", 1), ("liar", "bad", 3), ("friend", "far", 1)], "src string, dst string, weight long")
     nodes = spark.createDataFrame([("good", s, 0), ("bad", 0, s), ("friend", 0, 0), ("liar", 0, 0), ("far", 0, 0)], "host string, t0 long, d0 long")
     rank = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(nodes, edges).collect()}
@@ -60,6 +60,38 @@ def test_trust_and_distrust_follow_links(spark):
     assert rank["liar"][1] > 0 and rank["liar"][0] == 0
 
 
+def crawl():
+    """Pages of a planted crawl (url, html) and the hosts without a rule that propagation should block.
+
+    Seeds: shop*.net (blocked), site*.org/fr (allowed). Farms link mostly to blocked seeds, their
+    feeders only to farms; friends are linked from allowed seeds, news link among themselves and a
+    few to one blocked shop although allowed seeds link to them; islands link to nobody.
+    """
+    def links(*hosts):
+        return "".join(f'<a href="http://{h}/x">t</a>' for h in hosts)
+
+    pages = [(f"http://shop{k}.net/", links(f"shop{(k + 1) % 10}.net")) for k in range(10)]
+    pages += [(f"http://site{k}.org/fr/", links(f"friend{k}.info", f"news{k % 5}.info", f"site{(k + 1) % 10}.org")) for k in range(10)]
+    pages += [(f"http://farm{k}.info/", links(*[f"shop{j}.net" for j in range(10)], f"friend{k}.info")) for k in range(6)]
+    pages += [(f"http://feeder{k}.info/", links(*[f"farm{j}.info" for j in range(6)])) for k in range(4)]
+    pages += [(f"http://friend{k}.info/", links(f"friend{(k + 1) % 10}.info")) for k in range(10)]
+    pages += [(f"http://news{k}.info/", links(*[f"news{j}.info" for j in range(5) if j != k], *["shop0.net"] * (k == 0))) for k in range(5)]
+    pages += [(f"http://island{k}.info/", None) for k in range(40)]
+    return pages, {f"farm{k}.info" for k in range(6)} | {f"feeder{k}.info" for k in range(4)}
+
+
+def test_propagation_decides_planted_hosts(spark, tmp_dir):
+    pages, bad = crawl()
+    frame = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    frame.write.parquet(os.path.join(tmp_dir, "pages"))
+    got = urlgraph.judge_urls(frame).collect()
+    assert {r.host for r in got if r.rule is None and r.verdict == "block"} == bad
+    assert all(r.verdict == ("block" if r.host.endswith(".net") else "allow") for r in got if r.rule)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_dir}/pages/*.parquet')")
+    same(got, con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({urlgraph.oracle()})").fetchall())
+
+
 def test_distrust_survives_a_million_seeds(spark):
     # a seed's score was wt * (MASS div total): 0 for every seed beyond 10^6 of them
     blocked = spark.range(0, 1_000_100).selectExpr("id AS page_id", "concat('http://h', id, '.net/') AS url", "CAST(null AS string) AS html")

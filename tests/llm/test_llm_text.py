@@ -1,6 +1,7 @@
 """Operators over texts against plain versions, on a table of odd rows and on empty tables."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -14,6 +15,7 @@ from labelspark.llm import decontam, jaccard, langid, lm, queries, quality, suff
 from labelspark.llm import textops as tx
 
 SF = "/root/testdata/sf0.001"
+RECALL_ITEMS = int(os.environ.get("RECALL_ITEMS", 400))  # per size class
 
 
 def test_word_and_shingle_sets_match_words(odd_pairs):
@@ -206,6 +208,31 @@ def test_decontamination_matches_plain(spark, odd, odd_pairs):
     assert clean.count() == len(odd_pairs) - len([1 for d, t in odd_pairs if d in {w[0] for w in want}])
 
 
+@pytest.mark.parametrize("size", [9, 16, 17, 32, 33, 64, 120, 300])
+def test_recall_of_larger_items(size):
+    """Items of ``size`` shingles, whole or with as many words changed as containment 0.8 allows, inside longer texts."""
+    draw = random.Random(size)
+    items, docs, changes = [], [], size // 5 // 5
+    for k in range(RECALL_ITEMS):
+        item = [f"w{draw.randrange(3000)}" for _ in range(size + 4)]
+        inside = list(item)
+        if k % 2:
+            first = draw.randrange(5)
+            for c in range(changes):
+                inside[min(first + c * (len(item) // max(changes, 1)), len(item) - 1)] = f"new{k}x{c}"
+        before, after = ([f"w{draw.randrange(3000)}" for _ in range(draw.randrange(200))] for _ in range(2))
+        items.append(item)
+        docs.append([*before, *inside, *after])
+    sets = [(k, s, 5) for k, s in tx.text_shingle_sets(pa.array([" ".join(i) for i in items]), 5)]
+    index = decontam.ItemIndex(sets)
+    sketches = {k: decontam._sketch(v) for k, (v, _) in index.parts.items()}
+    found = {f[:2] for f in decontam.find_items(pa.array([" ".join(d) for d in docs]), index, sketches)}
+    own = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in items]
+    there = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in docs]
+    planted = {(k, k) for k in range(len(items)) if 100 * len(own[k] & there[k]) >= 80 * len(own[k])}
+    assert len(planted) > 0.99 * len(items) and found >= planted
+
+
 @pytest.mark.parametrize("counted", [decontam.COUNTED, 3])
 def test_small_items_are_never_missed(counted, monkeypatch):
     # a shingle that was not its bin's minimum was no candidate: 12 % of the items of one shingle
