@@ -209,8 +209,11 @@ def score_texts(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...
 def judge_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labels in the folds 0, 1 and 3 and score every row of ``docs``.
 
-    Null ids are scored and join no label; repeated rows are scored alike; an
-    empty table gives an empty result.
+    Null and empty texts are scored like any other. Null ids are scored and join
+    no label; repeated rows are scored alike, repeated labels count once, an id with
+    both labels teaches both. A score equal to ``THRESHOLD`` is predicted 1. Other
+    columns of either table are ignored, whatever their names; an empty table gives
+    an empty result, and labels of one class or none give that class as the score.
     """
     model = learn(docs, labels.where(tx.fold("doc_id", 4) != 2))
     return (score_texts(docs, model, keep=("doc_id",))

@@ -348,6 +348,15 @@ def test_toxicity_of_odd_texts(spark, odd, odd_pairs):
     assert {r.score for r in one_class} == {1.0}
 
 
+def test_extra_columns_of_labels_change_nothing(spark, odd):
+    labels = spark.createDataFrame([(k, int(k % 2), int(k % 3 == 0)) for k in range(1, 23)] + [(None, 1, 1), (3, 1, None), (4, None, 1)],
+                                   "doc_id long, quality int, toxic int")
+    more = labels.select("*", *[F.lit("x").alias(c) for c in ("text", "lang", "source", "bytes", "h", "one", "n_words", "kept", "rule",
+                                                              "score", "predicted", "fp")])
+    for judge in (toxicity.judge_toxicity, quality.judge_quality):
+        same(judge(odd, more).collect(), [tuple(r) for r in judge(odd, labels).collect()], places=9)
+
+
 def test_empty_tables(spark, empty, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
