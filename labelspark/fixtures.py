@@ -52,15 +52,16 @@ def fx_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # holding a hot text in one task), joined back. Texts are grouped by their
     # SHA-256 digest: 32 bytes cross the shuffle instead of the whole text
     # (texts run to 20,000 words); a collision is not a practical concern.
-    d = d.withColumn("_tk", F.unhex(F.sha2("text", 256)))
+    # Null texts are one group of copies, under an empty digest. Every row has
+    # its group, so the join keeps all rows: as a left join it is dropped where
+    # no duplicate mark is read.
+    d = d.withColumn("_tk", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))
     dup = (d.groupBy("_tk").agg(F.count(F.lit(1)).alias("_n"),
                                 F.min("doc_id").alias("_first")))
     duplicates = (F.when(F.col("_n") == 1, "no duplicates")
                   .when(F.col("doc_id") == F.col("_first"), "first duplicate")
                   .otherwise("duplicate"))
-    # null texts are one group of copies
-    dup = dup.withColumnRenamed("_tk", "_dk")
-    return (d.join(dup, d["_tk"].eqNullSafe(dup["_dk"]))
+    return (d.join(dup, "_tk", "left")
             .select("doc_id", sid.alias("item_id"), F.col("text").alias("cleaned_text"),
                     "lang", "source", tweet.alias("tweet"), split.alias("split"),
                     F.when(F.col("doc_id") % 3 == 0, "post").otherwise("reply").alias("item_type"),

@@ -31,6 +31,9 @@ EPS = 1e-4  # the probability of the true class is clamped to [EPS, 1 - EPS] in
 MEMORY = 8  # steps an L-BFGS direction looks back
 BACKTRACKS = 20
 MODEL_BYTES = 64 << 20  # weights of the heads that share a pass
+BLOCK_ROWS = 32  # texts whose slots are counted in one matrix
+BLOCK_TOKENS = 1 << 15
+ROWS_AT_ONCE = 256  # texts whose matrices a task holds
 
 
 def token_slots(text: Column, num_features: int) -> Column:
@@ -103,14 +106,52 @@ def focal_terms(margin: np.ndarray, label: np.ndarray, gamma: float, weights: tu
     return w * q ** gamma * ce, w * sign * slope
 
 
+def _slot_counts(slots: np.ndarray, sizes: np.ndarray, features: int) -> list[tuple[slice, np.ndarray, np.ndarray]]:
+    """Texts in blocks: their rows, the slots they have, and how often each of them has each of these slots.
+
+    Sums over the tokens of a block are then products with its small dense matrix.
+    """
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    out, lo = [], 0
+    while lo < len(sizes):
+        hi = int(np.searchsorted(cut, cut[lo] + BLOCK_TOKENS, "right")) - 1
+        hi = min(max(hi, lo + 1), lo + BLOCK_ROWS, len(sizes))
+        own = slots[cut[lo]: cut[hi]].astype(np.intp, copy=False)
+        seen = np.zeros(features, bool)
+        seen[own] = True
+        some = np.flatnonzero(seen)
+        place = np.empty(features, np.int64)
+        place[some] = np.arange(len(some))
+        cell = place[own] + np.repeat(np.arange(hi - lo) * len(some), sizes[lo:hi])
+        counts = np.bincount(cell, minlength=(hi - lo) * len(some)).reshape(hi - lo, -1).astype(np.float64) if len(some) else np.zeros((hi - lo, 0))
+        out.append((slice(lo, hi), some, counts))
+        lo = hi
+    return out
+
+
+def _token_sums(blocks: list, table: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, heads): sums of the table's rows over the tokens of each text."""
+    out = np.zeros((rows, table.shape[1]))
+    for part, some, counts in blocks:
+        out[part] = counts @ table[some]
+    return out
+
+
+def _pieces(sizes: np.ndarray):
+    """(rows, tokens) of runs of at most ``ROWS_AT_ONCE`` texts."""
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    for lo in range(0, len(sizes), ROWS_AT_ONCE):
+        hi = min(lo + ROWS_AT_ONCE, len(sizes))
+        yield slice(lo, hi), slice(cut[lo], cut[hi])
+
+
 def margins(slots: np.ndarray, sizes: np.ndarray, table: np.ndarray, constants: np.ndarray) -> np.ndarray:
     """(rows, heads): margins of texts from a (features, heads) table."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    scale = 1.0 / np.sqrt(np.maximum(sizes, 1))
     out = np.empty((len(sizes), table.shape[1]))
-    for h in range(table.shape[1]):
-        out[:, h] = np.bincount(owner, weights=table[slots, h], minlength=len(sizes)) * scale + constants[h]
-    return out
+    for rows, tokens in _pieces(sizes):
+        n = rows.stop - rows.start
+        out[rows] = _token_sums(_slot_counts(slots[tokens], sizes[rows], len(table)), table, n)
+    return out / np.sqrt(np.maximum(sizes, 1))[:, None] + constants
 
 
 def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,16 +174,22 @@ def _evaluate(features: DataFrame, idf, fits: list[Fit], points: list[np.ndarray
             slots, sizes = _list_parts(batch.column(0))
             yes = batch.column(1).to_numpy(zero_copy_only=False)
             cats = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False)).reshape(len(sizes), -1)
-            m = margins(slots, sizes, table, w[-1])
-            scale = np.repeat(1.0 / np.sqrt(np.maximum(sizes, 1)), sizes)
-            for h, head in enumerate(heads):
-                label = yes if head.target < 0 else cats[:, head.target]
-                loss, slope = focal_terms(m[:, h], label, head.gamma, head.weights)
-                if head.target >= 0:  # the category loss counts YES rows only
-                    loss, slope = loss * yes, slope * yes
-                losses[h] += loss.sum()
-                total[:size, h] += np.bincount(slots, weights=np.repeat(slope, sizes) * scale, minlength=size)
-                total[size, h] += slope.sum()
+            for rows, tokens in _pieces(sizes):
+                blocks = _slot_counts(slots[tokens], sizes[rows], size)
+                scale = 1.0 / np.sqrt(np.maximum(sizes[rows], 1))
+                m = _token_sums(blocks, table, len(scale)) * scale[:, None] + w[-1]
+                slopes = np.empty_like(m)
+                for h, head in enumerate(heads):
+                    label = yes[rows] if head.target < 0 else cats[rows, head.target]
+                    loss, slope = focal_terms(m[:, h], label, head.gamma, head.weights)
+                    if head.target >= 0:  # the category loss counts YES rows only
+                        loss, slope = loss * yes[rows], slope * yes[rows]
+                    losses[h] += loss.sum()
+                    slopes[:, h] = slope
+                total[size] += slopes.sum(axis=0)
+                slopes *= scale[:, None]
+                for part, some, counts in blocks:
+                    total[some] += counts.T @ slopes[part]
         total[:size] *= idf[:, None]
         used = np.flatnonzero(total.any(axis=1))
         rows = np.concatenate([total[used], losses[None]])

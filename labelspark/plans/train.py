@@ -71,14 +71,18 @@ REPORT = ("head string, n_rows long, positives long, class_weight double, consta
 
 
 def feature_table(labelled: DataFrame, num_features: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Slots and labels of the rows whose labels are known, written once."""
+    """Slots and labels of the rows whose labels are known, written once, in as many parts as tasks can read at a time."""
     rows = labelled.where(F.col("binary_labels").isNotNull() & F.col("category_labels").isNotNull())
-    return materialise(rows.select(
+    return materialise(_spread(rows.select(
         *keep, linear.token_slots(F.col("text"), num_features).alias("slots"),
-        F.element_at("binary_labels", 2).cast("double").alias("y_bin"), F.col("category_labels").cast("array<double>").alias("y_cat")),
+        F.element_at("binary_labels", 2).cast("double").alias("y_bin"), F.col("category_labels").cast("array<double>").alias("y_cat"))),
         "features")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _weight(pos: int, n: int) -> float:
     return (n - pos) / pos if pos else float(n)
 
@@ -263,7 +267,8 @@ def trial_table(labelled: DataFrame, grid: Sequence[dict], key: str = "doc_id",
     counted in one aggregate keyed by trial. Returns ``trial, <params>, n_train,
     n_held_out, converged, f1_weighted, f1_binary, rank``.
     """
-    drawn = materialise(sample_frac(labelled, sample, key, seed), "trial-sample")
+    # the draw reads the rows three times, their plan runs once
+    drawn = materialise(_spread(sample_frac(materialise(labelled, "trial-rows"), sample, key, seed)), "trial-sample")
     with_y = drawn.withColumn("_y", F.element_at("binary_labels", 2))
     split = stratified_split(with_y, "_y", held_out, key, seed).drop("_y")
     points = [{"num_features": 1 << 18, **g} for g in grid]

@@ -165,3 +165,54 @@ def test_training_on_no_rows_and_on_one_class(spark):
     assert all(f.head.constant for f in empty.fits)
     ones = TR.train_two_head(frame.where("binary_labels[1] = 1"), num_features=16, max_iter=5)
     assert ones.fits[0].head.constant and {r.pred_binary for r in TR.predict_two_head(ones, frame).collect()} == {1}
+
+
+def test_margins_and_gradients_match_sums_over_tokens(spark):
+    import numpy as np
+
+    from labelspark.plans import linear
+
+    rng = np.random.default_rng(5)
+    sizes = rng.choice([0, 1, 7, 40, 3000], 700, p=[0.1, 0.2, 0.3, 0.38, 0.02])
+    slots = rng.integers(0, 500, sizes.sum()).astype(np.int32)
+    table, constants = rng.normal(size=(512, 3)), np.array([0.5, 0.0, -2.0])
+    want = np.zeros((len(sizes), 3))
+    np.add.at(want, np.repeat(np.arange(len(sizes)), sizes), table[slots])
+    want = want / np.sqrt(np.maximum(sizes, 1))[:, None] + constants
+    assert np.allclose(linear.margins(slots, sizes, table, constants), want)
+    # the blocks a pass works on are small, whatever the batch
+    assert all(c.shape[0] <= linear.BLOCK_ROWS for _, _, c in linear._slot_counts(slots, sizes, 512))
+
+    # the gradient of the summed loss is its slope
+    cut = np.cumsum(sizes)[:-1]
+    rows = [(s.tolist(), float(k % 3 > 0), [float(k % 2), 0.0, 1.0]) for k, s in enumerate(np.split(slots, cut))]
+    frame = spark.createDataFrame(rows, "slots array<int>, y_bin double, y_cat array<double>")
+    fits = [linear.Fit(linear.Head("b", -1, 1.0, (1.0, 2.0), 1.0, 0.0, 5), None), linear.Fit(linear.Head("c", 0, 2.0, (1.0, 1.0), 1.0, 0.0, 5), None)]
+    idf, point, way = rng.random(512), rng.normal(size=(2, 513)), rng.normal(size=(2, 513))
+    _, grads = linear._evaluate(frame, idf, fits, list(point))
+    ahead, _ = linear._evaluate(frame, idf, fits, list(point + 1e-6 * way))
+    behind, _ = linear._evaluate(frame, idf, fits, list(point - 1e-6 * way))
+    assert np.allclose((ahead - behind) / 2e-6, (grads * way).sum(axis=1), rtol=1e-4)
+
+
+def test_a_search_runs_the_plan_of_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, f"word{k % 7} word{k % 3}", [int(k % 2 == 0), int(k % 2)], [int(k % 2 == 0), int(k % 2), 0, 0, 0, 0]) for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, binary_labels array<int>, category_labels array<int>")
+    out = TR.trial_table(frame.mapInArrow(told, frame.schema), [{"reg_param": 0.1, "num_features": 64, "max_iter": 3}])
+    assert out.first()["n_train"] == 36
+    assert seen.value == 200
+
+
+def test_posts_join_their_copies_only_for_the_mark(spark):
+    posts = fx.fx_posts(spark, SF_SMALL)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(posts.select("doc_id", "tweet", "split"))
+    assert "Join" in plan(posts.select("doc_id", "duplicates"))
+    assert posts.count() == fx.documents(spark, SF_SMALL).count()
