@@ -213,12 +213,15 @@ class Columns:
             os.unlink(os.path.join(self.folder, f"{name}-{last}"))
 
 
-def _ranks(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the order of (symbol, place), and the rank of each place in it."""
-    by_symbol = np.argsort(symbol, kind="stable")
-    rank = np.empty(len(symbol), np.int64)
-    rank[by_symbol] = np.arange(len(symbol))
-    return by_symbol, rank
+def _ranks(by_symbol: np.ndarray, symbol: np.ndarray, mine: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rank, in the order of (symbol, place), of some places and their symbols ``mine``, which are in that order."""
+    kinds, first = np.unique(mine, return_index=True)
+    lo = np.searchsorted(symbol, kinds, sorter=by_symbol)
+    hi = np.searchsorted(symbol, kinds, "right", sorter=by_symbol)
+    out = np.empty(len(place), np.int64)
+    for a, b, x, y in zip(first.tolist(), [*first[1:].tolist(), len(place)], lo.tolist(), hi.tolist()):
+        out[a:b] = x + np.searchsorted(by_symbol[x:y], place[a:b])
+    return out
 
 
 def _least(common: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -240,11 +243,11 @@ def collection_order(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         place = active
         for j in range(1, longest + 1):
             symbol, common = np.asarray(cols.symbol), np.asarray(cols.common)
-            by_symbol, rank = _ranks(symbol)
-            lf = rank[place]
-            order = np.argsort(lf)
-            active, place, lf = active[order], place[order], lf[order]
+            by_symbol = np.argsort(symbol, kind="stable")
             mine = symbol[place]
+            order = np.argsort(mine, kind="stable")  # places ascend
+            active, place, mine = active[order], place[order], mine[order]
+            lf = _ranks(by_symbol, symbol, mine, place)
             before, after = by_symbol[np.maximum(lf - 1, 0)], by_symbol[np.minimum(lf + 1, len(symbol) - 1)]
             has_before = (lf > 0) & (symbol[before] == mine)
             has_after = (lf + 1 < len(symbol)) & (symbol[after] == mine)
@@ -260,7 +263,8 @@ def collection_order(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         symbol, common = np.array(cols.symbol), np.array(cols.common)
         owner, size = np.empty(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
         owner[:m] = active = np.arange(m)
-        place, rank = active, _ranks(symbol)[1]
+        place, rank = active, np.empty(len(symbol), np.int64)
+        rank[np.argsort(symbol, kind="stable")] = np.arange(len(symbol))
         for j in range(1, longest + 1):
             more = sizes[active] >= j
             active = active[more]

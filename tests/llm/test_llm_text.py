@@ -161,6 +161,17 @@ def test_column_order_is_the_suffix_order():
     assert list(common[1:]) == [prefix(a, b) for a, b in zip(found, found[1:])]
 
 
+def test_places_are_ranked_without_ranking_all():
+    rng = np.random.default_rng(8)
+    symbol = rng.choice(np.array([3, 97, 98, 255], np.uint8), 500)
+    by_symbol = np.argsort(symbol, kind="stable")
+    rank = np.empty(500, np.int64)
+    rank[by_symbol] = np.arange(500)
+    place = np.sort(rng.choice(500, 60, replace=False))
+    place = place[np.argsort(symbol[place], kind="stable")]
+    assert (suffixdedup._ranks(by_symbol, symbol, symbol[place], place) == rank[place]).all()
+
+
 @pytest.mark.parametrize("frequent", [suffixdedup.FREQUENT, 1])
 def test_repeats_match_plain(odd, odd_pairs, monkeypatch, frequent):
     monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 4_000)
