@@ -43,7 +43,7 @@ SAMPLES = 2
 ALPHA = 0.5
 SEED = 17
 RANK_OFFSET = 2.7
-CHUNK = 96 << 10  # bytes of text searched at once
+CHUNK = 192 << 10  # bytes of text searched at once
 LONGEST = 64  # bytes of a piece looked up
 LONGEST_WORD = 1024  # bytes of a word's lattice
 KEPT_EDGES = 4_000_000  # edges of word lattices that a task remembers at a time
