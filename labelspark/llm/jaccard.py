@@ -45,6 +45,7 @@ from labelspark.llm.components import connected
 
 NUM, DEN = 80, 100
 FLUSH = 2_000_000  # shingles per posting block
+RANGES = 32  # hash ranges of a block sent at a time
 FOLLOWERS = 1_000  # followers of one leader compared in one task, per side
 ACROSS = 1_000  # entries of one list compared in one task, per side
 REACH = 1.26  # sizes of linked sets lie in one or in neighbouring classes of this ratio (above DEN / NUM)
@@ -100,18 +101,24 @@ def _postings(buckets: int):
     """Blocks of (shingle, set) dealt by hash range; the block's list of sets goes along to one of them."""
 
     def emit(sets: list[np.ndarray], prints: list[bytes]):
-        block = hashlib.blake2b(b"".join(prints), digest_size=16).digest()
+        """Rows of a block, which is emptied, a few hash ranges at a time."""
+        names = b"".join(prints)
+        block = hashlib.blake2b(names, digest_size=16).digest()
         sizes = np.array([len(s) for s in sets])
         hashes = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+        sets.clear()
+        prints.clear()
         order = np.argsort(hashes)
-        hashes, owner = hashes[order], owner[order]
+        hashes = hashes[order]
+        owner = np.repeat(np.arange(len(sizes), dtype="<u4"), sizes)[order]
+        del order
         cuts = tx.bucket_cuts(hashes, buckets)
-        for b in range(buckets):
-            lo, hi = cuts[b], cuts[b + 1]
-            if hi > lo:
-                yield b, block, tx.pack(hashes[lo:hi]), owner[lo:hi].astype("<u4").tobytes(), None
-        yield int.from_bytes(block[:4], "little") % buckets, block, None, sizes.astype("<i8").tobytes(), b"".join(prints)
+        for low in range(0, buckets, RANGES):
+            found = [(b, block, tx.pack(hashes[cuts[b]: cuts[b + 1]]), owner[cuts[b]: cuts[b + 1]].tobytes(), None)
+                     for b in range(low, min(low + RANGES, buckets)) if cuts[b + 1] > cuts[b]]
+            if found:
+                yield rows(found)
+        yield rows([(int.from_bytes(block[:4], "little") % buckets, block, None, sizes.astype("<i8").tobytes(), names)])
 
     def rows(found):
         cols = list(zip(*found))
@@ -130,10 +137,10 @@ def _postings(buckets: int):
                     prints.append(fp)
                     held += len(s)
                     if held >= FLUSH:
-                        yield rows(emit(sets, prints))
-                        sets, prints, seen, held = [], [], set(), 0
+                        yield from emit(sets, prints)
+                        seen, held = set(), 0
         if sets:
-            yield rows(emit(sets, prints))
+            yield from emit(sets, prints)
 
     return run
 

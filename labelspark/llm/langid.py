@@ -195,15 +195,15 @@ def predict(docs: DataFrame, references: dict[str, bytes], text: str = "text", k
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(CrossParser(references))
     kept = [docs.schema[c] for c in keep]
-    narrow = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
+    narrow = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(text).alias("text")]))
+    at = keep.index(text) if text in keep else len(keep)  # a text that is kept is sent once
     out = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)]
                        + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         parser = shared.value
         for batch in batches:
-            texts = batch.column(len(keep))
-            lang, score = _judge(parser, texts)
+            lang, score = _judge(parser, batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
