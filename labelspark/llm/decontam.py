@@ -240,7 +240,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
         return run
 
     for k, block in enumerate(_item_blocks(items, item_id, item_text, block_shingles)):
-        left = (tx.settle(left, "uncontaminated") if k else left).mapInArrow(cleaner(block), left.schema)
+        left = (tx.settle(left, "uncontaminated") if k else left).mapInArrow(tx.tidy(cleaner(block)), left.schema)
     return left.toDF(*docs.columns)
 
 

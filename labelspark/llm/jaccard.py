@@ -172,7 +172,8 @@ def _count_bucket(table: pa.Table) -> pa.Table:
 def _prefixes(table: pa.Table) -> pa.Table:
     """Of one block of sets: those that can have partners, their shared shingles and prefix."""
     hashes, owner, times, sizes, prints = [], [], [], None, b""
-    for _, h, o, x in zip(*(c.to_pylist() for c in table.columns)):
+    for k in range(table.num_rows):  # the bytes of one range at a time
+        h, o, x = (table[c][k].as_py() for c in ("hashes", "owner", "extra"))
         if h is None:
             sizes, prints = np.frombuffer(o, "<i8"), x
         else:
@@ -183,8 +184,10 @@ def _prefixes(table: pa.Table) -> pa.Table:
     if hashes and sizes is not None:
         hashes, owner, times = np.concatenate(hashes), np.concatenate(owner), np.concatenate(times)
         order = np.lexsort((hashes, owner))
-        hashes, owner, times = hashes[order], owner[order], times[order]
-        cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+        del owner
+        hashes, times = hashes[order], times[order]
+        del order
         for k, n in enumerate(sizes.tolist()):
             h, t = hashes[cuts[k]: cuts[k + 1]], times[cuts[k]: cuts[k + 1]]
             own = n - len(h)
@@ -192,7 +195,7 @@ def _prefixes(table: pa.Table) -> pa.Table:
             if own < length and len(h):
                 rare = np.lexsort((h, t))[: length - own]
                 out.append((prints[16 * k: 16 * k + 16], n, float(np.log(t).sum() / n), tx.pack(h),
-                            tx.signed(h[rare]).tolist(), own, _parity(h, n)))
+                            tx.signed(h[rare]), own, _parity(h, n)))
     cols = list(zip(*out)) or [()] * 7
     types = [pa.binary(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=SETS.names)
@@ -204,8 +207,8 @@ def candidate_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     buckets = tx.bucket_count(docs)
     posted = docs.select(F.col(text).alias("text")).mapInArrow(tx.tidy(_postings(buckets)), POSTINGS)
     told = posted.groupBy("bucket").applyInArrow(
-        _count_bucket, tx.schema(block=tx.BINARY, hashes=tx.BINARY, owner=tx.BINARY, extra=tx.BINARY))
-    return told.groupBy("block").applyInArrow(_prefixes, SETS).dropDuplicates(["fp"])
+        tx.tidy_group(_count_bucket), tx.schema(block=tx.BINARY, hashes=tx.BINARY, owner=tx.BINARY, extra=tx.BINARY))
+    return told.groupBy("block").applyInArrow(tx.tidy_group(_prefixes), SETS).dropDuplicates(["fp"])
 
 
 def _differences(batches):
@@ -390,7 +393,7 @@ def link_sets(sets: DataFrame, copies: DataFrame) -> DataFrame:
     heads = sets.select(F.col("fp").alias("leader"), F.col("shared").alias("theirs"))
     follow = (sets.select("fp", "n", "mult", "shared").join(following, "fp").join(heads, "leader")
               .select("leader", "fp", "n", "mult", "shared", "theirs")
-              .mapInArrow(_differences, FOLLOW))
+              .mapInArrow(tx.tidy(_differences), FOLLOW))
     follow = tx.settle(follow, "jaccard-followers")
     blocks = follow.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(FOLLOWERS)).cast("int").alias("blocks")).where("blocks > 1")
     small = (follow.join(blocks, "leader", "left_anti")
@@ -399,18 +402,18 @@ def link_sets(sets: DataFrame, copies: DataFrame) -> DataFrame:
     large = (spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(*follow.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
-    inside = small.unionByName(large).groupBy("leader", "i", "j").applyInArrow(_compare_followers, ANSWER)
+    inside = small.unionByName(large).groupBy("leader", "i", "j").applyInArrow(tx.tidy_group(_compare_followers), ANSWER)
 
     # lists whose sets follow several leaders
     mixed = entries.join(following, "fp")
     several = (mixed.groupBy("shingle").agg(F.min("leader").alias("a"), F.max("leader").alias("b"), F.count("*").alias("size"))
                .where("a <> b").select("shingle", "size"))
     pairs = (_blocks_of_lists(mixed.select("shingle", "fp", "leader", "n", "pos", "skipped", "parity"), several)
-             .groupBy("shingle", "i", "j").applyInArrow(_across, tx.schema(a=tx.BINARY, b=tx.BINARY)).distinct())
+             .groupBy("shingle", "i", "j").applyInArrow(tx.tidy_group(_across), tx.schema(a=tx.BINARY, b=tx.BINARY)).distinct())
     one = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"), F.col("mult").alias("m_a"))
     two = sets.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"), F.col("mult").alias("m_b"))
     outside = (pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b", "m_a", "m_b")
-               .mapInArrow(_verify, ANSWER))
+               .mapInArrow(tx.tidy(_verify), ANSWER))
     return tx.settle(inside.unionByName(outside), "jaccard-links")
 
 

@@ -161,10 +161,11 @@ class Block:
 
     def spans(self, lo: np.ndarray, hi: np.ndarray):
         """Per document: removed bytes, removed runs, digest of the rest, for window ranges lo .. hi."""
-        change = np.zeros(len(self.data) + 1, np.int64)
+        change = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(change, lo, 1)
         np.add.at(change, np.minimum(hi + self.length, len(self.data)), -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], out=change[:-1]) > 0
+        del change
         n = len(self.ids)
         removed, runs, digests, kept_bytes = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
         for d in range(n):
@@ -379,14 +380,14 @@ def _find_repeats(length: int):
         item = np.concatenate([np.arange(c) for c in counts])
         key = np.concatenate([tx.unpack(r["keys"]) for r in sent])
         sizes, places, ids, ties, starts = (np.concatenate([_ints(r[k]) for r in sent]) for k in ("sizes", "places", "ids", "ties", "starts"))
-        flat = np.frombuffer(b"".join(r["bytes"] for r in sent), np.uint8)
+        raw = b"".join(r.pop("bytes") for r in sent)
+        flat = np.frombuffer(raw, np.uint8)
         begin = np.cumsum(sizes) - sizes
         rank = np.empty(len(key), np.int64)
         rank[np.lexsort((starts + places, ties, ids))] = np.arange(len(key))
         gone_at, gone_lo, gone_hi = [], [], []
         # equal contexts: the earliest stays
         kept: dict[tuple, int] = {}
-        raw = flat.tobytes()
         for k in np.argsort(rank).tolist():
             same = (int(key[k]), int(places[k]), raw[begin[k]: begin[k] + sizes[k]])
             if same in kept:
@@ -464,8 +465,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     every = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(blocks)))
     dealt = every.select("doc_id", "text", "tie", "block")
     states = tx.settle(dealt.groupBy("block").applyInArrow(tx.tidy_group(_anchor_counts(buckets, length, gram)), COUNT)
-                       .groupBy("bucket").applyInArrow(_anchor_states(frequent), STATE), "repeats-anchors")
-    sent = dealt.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(_send(buckets, length, gram), SENT)
+                       .groupBy("bucket").applyInArrow(tx.tidy_group(_anchor_states(frequent)), STATE), "repeats-anchors")
+    sent = dealt.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(tx.tidy_group(_send(buckets, length, gram)), SENT)
     gone = tx.settle(sent.groupBy("bucket").applyInArrow(tx.tidy_group(_find_repeats(length)), GONE), "repeats-windows")
     blank = F.lit(None).cast("binary")
     answers = states.select("block", "bucket", "state", blank.alias("item"), blank.alias("lo"), blank.alias("hi")).unionByName(
@@ -476,5 +477,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         fields = [*[(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)], ("kept", T.StringType())]
     out = T.StructType([T.StructField(n, t) for n, t in fields])
     done = every.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _finish(buckets, length, gram, len(keep), kept_text is not None), out)
+        tx.tidy_group(_finish(buckets, length, gram, len(keep), kept_text is not None)), out)
     return done if kept_text is None else done.toDF(*keep, kept_text)

@@ -399,3 +399,62 @@ def test_a_kept_text_is_sent_once(spark):
     below = told._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
     assert below.count(" AS ") <= 3 and "AS text" not in below
     assert [r.text for r in told.collect()] == ["some words"]
+
+
+def test_groups_give_memory_back_once_they_have_worked_enough(monkeypatch):
+    """Small groups together, and groups of two tables that meet; what a function returns is left alone."""
+    calls = []
+    monkeypatch.setattr(tx, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(tx, "TIDY_BYTES", 1000)
+    table = pa.table({"x": pa.array(range(50), pa.int64())})  # 400 bytes
+    one = tx.tidy_group(lambda t: t.slice(1))
+    assert [(one(table).num_rows, len(calls)) for _ in range(6)] == [(49, 0), (49, 0), (49, 1), (49, 1), (49, 1), (49, 2)]
+    calls.clear()
+    two = tx.tidy_group(lambda a, b: pa.concat_tables([a, b]))
+    assert [(two(table, table).num_rows, len(calls)) for _ in range(4)] == [(100, 0), (100, 1), (100, 1), (100, 2)]
+
+
+def test_every_python_step_of_the_pipeline_stages_gives_memory_back(spark, odd, monkeypatch):
+    """A worker is kept from stage to stage: what a step leaves counts beside all later ones."""
+    told, handed = set(), []
+    for name in ("tidy", "tidy_group"):
+        def wrap(run, real=getattr(tx, name)):
+            told.add(id(out := real(run)))
+            handed.append(out)  # so that no later one gets its id
+            return out
+
+        monkeypatch.setattr(tx, name, wrap)
+    seen = []
+    kinds = {type(odd): ("mapInArrow",), type(odd.groupBy("doc_id")): ("applyInArrow",),
+             type(odd.groupBy("doc_id").cogroup(odd.groupBy("doc_id"))): ("applyInArrow",)}
+    for kind, (method,) in kinds.items():
+        def call(self, func, *args, real=getattr(kind, method), **more):
+            seen.append((func, id(func) in told))
+            return real(self, func, *args, **more)
+
+        monkeypatch.setattr(kind, method, call)
+    monkeypatch.setattr(tx, "settle", lambda df, name: df)  # plans only
+    docs = odd.select("doc_id", "text")
+    prints = jaccard.document_sets(docs).groupBy("fp").count().withColumnRenamed("count", "mult")
+    jaccard.link_sets(jaccard.candidate_sets(docs), prints)
+    suffixdedup.remove_repeats(docs, keep=("doc_id",), kept_text="text")
+    decontam.drop_contaminated(docs, spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string"))
+    assert len(seen) == 14
+    assert [func for func, good in seen if not good] == []
+
+
+def test_cutting_a_block_takes_a_few_bytes_per_byte_of_text():
+    import tracemalloc
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(50_000)) for _ in range(8)]
+    table = pa.table({"doc_id": pa.array(range(8), pa.int64()), "text": texts, "tie": pa.array(range(8), pa.int64())})
+    block = suffixdedup.Block(table, 100, 40)
+    lo, hi = np.array([10, 60, 399_800, 120_000]), np.array([40, 70, 399_900, 120_000])
+    tracemalloc.start()
+    removed, runs, _, rest = block.spans(lo, hi)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert removed.tolist() == [160, 0, 100, 0, 0, 0, 0, 200] and runs.tolist() == [1, 0, 1, 0, 0, 0, 0, 1]
+    assert rest[0].tobytes().decode() == texts[0][:10] + texts[0][170:]
+    assert peak < 12 * len(block.data)
