@@ -18,13 +18,20 @@ No table of n-grams is sent whole to any task. Documents are dealt into blocks o
 about ``BLOCK_BYTES``; a block asks for its distinct words and bigrams, combined
 before the shuffle, in ranges of the word's or context's hash; each range counts,
 smooths, and answers every block in the order it asked. Contexts that
-hold more than a quarter of a range's share of tokens (at most four per range, so
-their list is bounded) and the start state are dealt by the following word
-instead, and their failure weights summed over the ranges.
+hold more than a range's share of tokens, or a quarter of the share of one of the
+session's ranges (at most four per range, so their list is bounded), and the start
+state are dealt by the following word instead, and their failure weights summed over
+the ranges. A range is one of about ``RANGE_BYTES`` of text, so that what a task holds
+of it stays small whatever the session's partitions; beyond ``FINE_RANGES`` of them,
+where every block's request to every range would cost more than it saves, there are
+no more than those partitions ask for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,20 +43,65 @@ from labelspark.llm import textops as tx
 ADD = 0.1  # added to every count at the root
 DISCOUNT = 0.75
 BLOCK_BYTES = 8 << 20
+RANGE_BYTES = 2 << 20
+FINE_RANGES = 2048
+ROWS = 256  # rows that wait outside Arrow while a table is made
 START = np.uint64(0x51A27B0C5EED0001)
 END = np.uint64(0x0E0D0E0D5EED0002)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, end tokens included, and the first token of each text."""
+def range_count(docs: DataFrame, size: int) -> int:
+    """Power of two of hash ranges for ``size`` bytes of text."""
+    fine = min(FINE_RANGES, -(-size // RANGE_BYTES))
+    return max(tx.bucket_count(docs), 1 << max(0, fine - 1).bit_length())
+
+
+def _token_runs(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the tokens of runs of texts, end tokens included, and where each text of the run ends."""
     data, offsets = tx.text_buffers(texts)
-    parts, firsts, base = [], [np.zeros(1, np.int64)], 0
     for i, j in tx.doc_chunks(offsets):
         words, first = tx.word_hashes(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-        parts.append(np.insert(words, first[1:], END))
-        firsts.append(base + first[1:] + np.arange(1, j - i + 1))
-        base += len(parts[-1])
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate(firsts)
+        yield np.insert(words, first[1:], END), first[1:] + np.arange(1, j - i + 1)
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, end tokens included, and the first token of each text."""
+    parts, firsts, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for tokens, ends in _token_runs(texts):
+        parts.append(tokens)
+        firsts.append(base + ends)
+        base += len(tokens)
+    return np.concatenate(parts), np.concatenate(firsts)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of every value among them in 32 bits."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    distinct = ordered[new]
+    del ordered
+    place = np.cumsum(new, dtype=np.uint32)
+    place -= np.uint32(1)
+    out = np.empty(len(values), np.uint32)
+    out[order] = place
+    return distinct, out
+
+
+def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of several lists with the sums of their counts."""
+    distinct, at = _distinct(np.concatenate([np.zeros(0, np.uint64), *words]))
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, at, np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64))
+    return distinct, sums
+
+
+def _table(rows: Iterable[tuple], types: list[pa.DataType], names: list[str]) -> pa.Table:
+    rows, batches, schema = iter(rows), [], pa.schema(list(zip(names, types)))
+    while some := list(islice(rows, ROWS)):
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], schema=schema))
+    return pa.Table.from_batches(batches, schema)
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default) -> np.ndarray:
@@ -70,8 +122,8 @@ def vocabulary(docs: DataFrame, buckets: int) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            tokens, _ = _tokens(batch.column(0).filter(batch.column(1)))
-            words, counts = np.unique(tokens, return_counts=True)
+            runs = [np.unique(tokens, return_counts=True) for tokens, _ in _token_runs(batch.column(0).filter(batch.column(1)))]
+            words, counts = _summed([w for w, _ in runs], [c for _, c in runs])
             cuts = tx.bucket_cuts(words, buckets)
             full = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
             yield pa.RecordBatch.from_arrays(
@@ -79,17 +131,13 @@ def vocabulary(docs: DataFrame, buckets: int) -> DataFrame:
                  pa.array([tx.pack(counts[cuts[b]: cuts[b + 1]]) for b in full], pa.binary())], ["bucket", "words", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
-        words = np.concatenate([tx.unpack(x) for x in table["words"].to_pylist()])
-        counts = np.concatenate([tx.unpack(x) for x in table["counts"].to_pylist()])
-        distinct, at = np.unique(words, return_inverse=True)
-        sums = np.zeros(len(distinct), np.int64)
-        np.add.at(sums, at, counts.astype(np.int64))
+        distinct, sums = _summed(*[[tx.unpack(x) for x in table[c].to_pylist()] for c in ("words", "counts")])
         return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([tx.pack(distinct)], pa.binary()),
                          pa.array([tx.pack(sums)], pa.binary()), pa.array([len(distinct)], pa.int64()),
                          pa.array([int(sums.sum())], pa.int64())], names=VOCABULARY.names)
 
-    counted = docs.select("text", "train").mapInArrow(count, tx.schema(bucket=tx.INT, words=tx.BINARY, counts=tx.BINARY))
-    return tx.settle(counted.groupBy("bucket").applyInArrow(merge, VOCABULARY), "lm-vocabulary")
+    counted = docs.select("text", "train").mapInArrow(tx.tidy(count), tx.schema(bucket=tx.INT, words=tx.BINARY, counts=tx.BINARY))
+    return tx.settle(counted.groupBy("bucket").applyInArrow(tx.tidy_group(merge), VOCABULARY), "lm-vocabulary")
 
 
 def _frequent(vocab: DataFrame, least: int) -> dict[int, int]:
@@ -102,7 +150,7 @@ def _frequent(vocab: DataFrame, least: int) -> dict[int, int]:
                 keep = c >= least
                 yield pa.RecordBatch.from_arrays([pa.array(tx.signed(w[keep])), pa.array(c[keep])], ["word", "count"])
 
-    found = vocab.select("words", "counts").mapInArrow(pick, tx.schema(word=tx.LONG, count=tx.LONG)).collect()
+    found = vocab.select("words", "counts").mapInArrow(tx.tidy(pick), tx.schema(word=tx.LONG, count=tx.LONG)).collect()
     return {r["word"] & 0xFFFFFFFFFFFFFFFF: r["count"] for r in found}
 
 
@@ -111,18 +159,20 @@ class Block:
 
     def __init__(self, texts: pa.Array, train: np.ndarray, frequent: np.ndarray, buckets: int):
         tokens, self.first = _tokens(texts)
-        starts = self.first[:-1]
-        everything = np.append(tokens, START)
-        self.words, inverse = np.unique(everything, return_inverse=True)
-        self.token = inverse[:-1].astype(np.uint64)
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
-        before[starts] = inverse[-1]
-        pairs, self.pair = np.unique((before << np.uint64(32)) | self.token, return_inverse=True)
-        self.context = (pairs >> np.uint64(32)).astype(np.int64)
-        self.word = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(starts)), np.diff(self.first))
-        self.count = np.bincount(self.pair, weights=train[self.doc], minlength=len(pairs)).astype(np.int64)
+        self.words, place = _distinct(np.append(tokens, START))
+        del tokens
+        self.token, start = place[:-1], place[-1]
+        pairs = np.empty(len(self.token), np.uint64)  # first every token's pair, then the distinct ones
+        pairs[1:] = self.token[:-1]
+        pairs[self.first[:-1]] = start
+        pairs <<= np.uint64(32)
+        pairs |= self.token
+        pairs, self.pair = _distinct(pairs)
+        self.context = (pairs >> np.uint64(32)).astype(np.uint32)
+        self.word = pairs.astype(np.uint32)
+        trained = np.repeat(train, np.diff(self.first))
+        self.count = np.bincount(self.pair[trained], minlength=len(pairs))
+        del pairs, trained
         spread = np.isin(self.words, frequent)[self.context]
         self.word_cuts = tx.bucket_cuts(self.words, buckets)
         # pairs by the range of their context; those of frequent contexts by the range of their word
@@ -165,10 +215,9 @@ ANSWER = tx.schema(block=tx.LONG, bucket=tx.INT, kind=T.StringType(), counts=tx.
 
 def _ask(frequent: np.ndarray, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        block = Block(table["text"], table["train"].to_numpy().astype(np.float64), frequent, buckets)
-        cols = list(zip(*block.requests(table["block"][0].as_py(), buckets)))
+        block = Block(table["text"], table["train"].to_numpy().astype(bool), frequent, buckets)
         types = [pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=REQUEST.names)
+        return _table(block.requests(table["block"][0].as_py(), buckets), types, REQUEST.names)
 
     return run
 
@@ -214,9 +263,8 @@ def _answer(table: pa.Table) -> pa.Table:
     found, contexts, kept = _count_pairs(hot)
     out += [(r["block"], bucket, "h", tx.pack(v), None, None, None) for r, v in zip(hot, found)]
     out += [(None, bucket, "s", None, None, c, k) for c, k in zip(tx.signed(contexts).tolist(), kept.tolist())]
-    cols = list(zip(*out)) or [()] * 7
     types = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.float64()]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=ANSWER.names)
+    return _table(out, types, ANSWER.names)
 
 
 def _traverse(frequent: dict[int, tuple[int, float]], buckets: int, total: int, distinct: int, names: list[str]):
@@ -224,10 +272,10 @@ def _traverse(frequent: dict[int, tuple[int, float]], buckets: int, total: int,
     floor = ADD / (total + ADD * (distinct + 1))
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(docs["text"], docs["train"].to_numpy().astype(np.float64), keys, buckets)
+        block = Block(docs["text"], docs["train"].to_numpy().astype(bool), keys, buckets)
         count, failure = np.zeros(len(block.words), np.int64), np.ones(len(block.words))
         arcs = np.zeros(len(block.context), np.int64)
-        for r in answers.to_pylist():
+        for r in (r for some in answers.to_batches(ROWS) for r in some.to_pylist()):
             if r["kind"] == "u":
                 block.place("u", r["bucket"], tx.unpack(r["counts"]).astype(np.int64), count)
                 block.place("u", r["bucket"], np.frombuffer(r["failure"], "<f8"), failure)
@@ -242,8 +290,7 @@ def _traverse(frequent: dict[int, tuple[int, float]], buckets: int, total: int,
         weight = failure[c] * unigram[w]
         has = (arcs > 0) & (state_count[c] > 0)
         weight[has] += (arcs[has] - DISCOUNT) / state_count[c][has]
-        first = block.first[:-1]
-        token = block.token.astype(np.int64)
+        first, token = block.first[:-1], block.token
         base = np.add.reduceat(np.log10(unigram)[token], first)
         score = np.add.reduceat(np.log10(np.maximum(weight, floor * 1e-9))[block.pair], first)
         known = np.add.reduceat((count > 0)[token].astype(np.int64), first)
@@ -264,21 +311,21 @@ def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str =
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    buckets = tx.bucket_count(docs)
-    vocab = vocabulary(rows, buckets)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"),
                     F.count_if("train").alias("train")).first()
+    buckets = range_count(docs, size.bytes)
+    vocab = vocabulary(rows, buckets)
     sums = vocab.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
-    hot = _frequent(vocab, max(1, sums.n // (4 * buckets)))
+    hot = _frequent(vocab, max(1, sums.n // max(buckets, 4 * tx.bucket_count(docs))))
     hot.pop(int(END), None)
     hot[int(START)] = size.train
     keys = np.sort(np.array(list(hot), np.uint64))
     blocks = max(1, -(-size.bytes // BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(blocks)))
-    asked = dealt.groupBy("block").applyInArrow(_ask(keys, buckets), REQUEST)
+    asked = dealt.groupBy("block").applyInArrow(tx.tidy_group(_ask(keys, buckets)), REQUEST)
     known = vocab.select("bucket", F.lit("v").alias("kind"), F.lit(None).cast("long").alias("block"), F.col("words").alias("keys"),
                          F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("words"), "counts")
-    answers = tx.settle(asked.unionByName(known).groupBy("bucket").applyInArrow(_answer, ANSWER), "lm-answers")
+    answers = tx.settle(asked.unionByName(known).groupBy("bucket").applyInArrow(tx.tidy_group(_answer), ANSWER), "lm-answers")
     kept = {r["context"] & 0xFFFFFFFFFFFFFFFF: r["kept"]
             for r in answers.where("kind = 's'").groupBy("context").agg(F.sum("kept").alias("kept")).collect()}
     states = {w: (c, 1.0 - kept.get(w, 0.0) / c if c else 1.0) for w, c in hot.items()}
@@ -288,4 +335,4 @@ def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str =
                         T.StructField("score", T.DoubleType())])
     replies = answers.where("kind <> 's'").select("block", "bucket", "kind", "counts", "failure")
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        _traverse(states, buckets, sums.n, sums.v, out.names), out)
+        tx.tidy_group(_traverse(states, buckets, sums.n, sums.v, out.names)), out)

@@ -63,6 +63,57 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert r[1] > r[0]
 
 
+def test_lm_ranges_follow_the_text_and_change_no_score(odd, odd_pairs, monkeypatch):
+    """Whatever the session's partitions, a range is one of a few bytes of text; the number of ranges stays bounded."""
+    few = lm.range_count(odd, 0)
+    assert few == tx.bucket_count(odd)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 4_000)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 100)
+    size = sum(len((t or "").encode()) for _, t in odd_pairs)
+    assert lm.range_count(odd, size) >= size / 100 and lm.range_count(odd, size) > few
+    assert lm.range_count(odd, 1 << 50) == lm.FINE_RANGES
+    monkeypatch.setattr(lm, "FINE_RANGES", 256)
+    monkeypatch.setattr(lm, "ROWS", 3)
+    same(lm.score_documents(odd, tx.fold("doc_id", 10) != 0).collect(), plain.score(odd_pairs), places=6)
+
+
+def test_lm_block_takes_few_bytes_a_token():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 500) % 50_000) for _ in range(400)] * 12
+    table = pa.table({"text": texts, "train": [k % 10 > 0 for k in range(4_800)], "block": [0] * 4_800})
+    ask = lm._ask(np.array([lm.START], np.uint64), 64)
+    ask(table.slice(0, 100))  # tables of powers
+    tracemalloc.start()
+    asked = ask(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(int(tx.unpack(c).sum()) for c in asked["counts"].to_pylist() if c) == 4_320 * 501
+    assert peak < 50 * 4_800 * 501  # 89 with 64-bit places and all temporaries kept
+
+
+def test_every_python_step_of_the_lm_gives_memory_back(odd, monkeypatch):
+    """A worker is kept from step to step: what a step leaves counts beside all later ones."""
+    told, seen, handed = set(), [], []
+    for name in ("tidy", "tidy_group"):
+        def wrap(run, real=getattr(tx, name)):
+            told.add(id(out := real(run)))
+            handed.append(out)  # so that no later one gets its id
+            return out
+
+        monkeypatch.setattr(tx, name, wrap)
+    grouped = odd.groupBy("doc_id")
+    for kind, method in ((type(odd), "mapInArrow"), (type(grouped), "applyInArrow"), (type(grouped.cogroup(grouped)), "applyInArrow")):
+        def call(self, func, *args, real=getattr(kind, method), **more):
+            seen.append(id(func) in told)
+            return real(self, func, *args, **more)
+
+        monkeypatch.setattr(kind, method, call)
+    lm.score_documents(odd, tx.fold("doc_id", 10) != 0)
+    assert seen == [True] * 6
+
+
 def test_near_duplicates_match_plain(odd, odd_pairs, monkeypatch):
     monkeypatch.setattr(jaccard, "FLUSH", 500)  # several posting blocks
     monkeypatch.setattr(jaccard, "FOLLOWERS", 2)  # several blocks of followers
